@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 #: Maps A-Z to a-z and ASCII characters other than letters and digits to a space.
@@ -65,7 +66,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 8 <<
         n = batch.num_rows
         if not n:
             continue
-        lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(batch.schema.get_field_index(column))), 0)
+        lengths = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0)
         ends = np.cumsum(lengths.to_numpy(zero_copy_only=False), dtype=np.int64)
         start, base = 0, 0
         while start < n:
