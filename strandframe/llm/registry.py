@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
+from strandframe.llm import warc
 from strandframe.llm.bpe import op1_bpe_round_trip
 
-QUERIES = {"op1_bpe_round_trip": op1_bpe_round_trip}
-ORACLE: dict[str, str] = {}
+QUERIES = {"op1_bpe_round_trip": op1_bpe_round_trip, "op5_warc_round_trip": warc.op5_warc_round_trip}
+ORACLE: dict[str, str] = {"op5_warc_round_trip": warc.ORACLE_SQL}
