@@ -80,7 +80,7 @@ def features(text: str | None) -> np.ndarray:
     out[WORD_DIMS : WORD_DIMS + SHAPE_DIMS] = np.sqrt(np.bincount(shapes - WORD_DIMS, minlength=SHAPE_DIMS) / len(shapes))
     lines = raw.split(b"\n")
     extra = out[WORD_DIMS + SHAPE_DIMS :]
-    extra[0] = np.sqrt(np.mean(ids[1:] == ids[:-1])) if len(ids) > 1 else 0  # a word said twice running
+    extra[0] = 2 * np.sqrt(np.mean(ids[1:] == ids[:-1])) if len(ids) > 1 else 0  # a word said twice running
     extra[1] = np.sqrt(1 - len(set(lines)) / len(lines))  # lines said again
     extra[2] = np.sqrt(max(0.0, 1 - len(set(words)) / max(1, min(len(words), 400))))  # few different words
     extra[3 + min(9, int(np.log2(len(tokens))))] = 0.15  # length

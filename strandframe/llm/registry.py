@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
-from strandframe.llm import warc
-from strandframe.llm.bpe import op1_bpe_round_trip
+from strandframe.llm import bpe, licences, quality, warc
 
-QUERIES = {"op1_bpe_round_trip": op1_bpe_round_trip, "op5_warc_round_trip": warc.op5_warc_round_trip}
-ORACLE: dict[str, str] = {"op5_warc_round_trip": warc.ORACLE_SQL}
+QUERIES = {
+    "op1_bpe_round_trip": bpe.op1_bpe_round_trip,
+    "op3_license_scan": licences.op3_license_scan,
+    "op5_warc_round_trip": warc.op5_warc_round_trip,
+    "op8_knn_quality": quality.op8_knn_quality,
+}
+ORACLE: dict[str, str] = {
+    "op3_license_scan": licences.ORACLE_SQL,
+    "op5_warc_round_trip": warc.ORACLE_SQL,
+}
