@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-LEAF = 48
+LEAF = 256
 
 
 def distances(block: np.ndarray, point: np.ndarray) -> np.ndarray:
@@ -60,6 +60,7 @@ def build(x: np.ndarray, rows: np.ndarray) -> Node:
 class Tree:
     def __init__(self, ids: np.ndarray, x: np.ndarray):
         self.ids, self.x = ids, x
+        self.squares = np.einsum("ij,ij->i", x, x)
         self.root = build(x, np.arange(len(ids))) if len(ids) else None
         self.compared = 0
 
@@ -67,24 +68,31 @@ class Tree:
         """(ids, distances), a row of k for each query, missing ones at infinity."""
         best_d = np.full((len(q), k), np.inf)
         best_i = np.full((len(q), k), np.iinfo(np.int64).max)
-        if self.root is None or not len(q):
-            return best_i, best_d
-
-        def offer(active: np.ndarray, rows: np.ndarray) -> np.ndarray:
-            d = distances(self.x[rows][None, :, :], q[active][:, None, :])
-            self.compared += d.size
-            own = self.ids[rows][None, :] == ids[active][:, None]
-            all_d = np.concatenate([best_d[active], np.where(own, np.inf, d)], 1)
-            all_i = np.concatenate([best_i[active], np.where(own, np.iinfo(np.int64).max, self.ids[rows][None, :])], 1)
-            order = np.lexsort((all_i, all_d), axis=1)[:, :k]
-            best_d[active], best_i[active] = np.take_along_axis(all_d, order, 1), np.take_along_axis(all_i, order, 1)
-            return d
+        squares = np.einsum("ij,ij->i", q, q)
+
+        def offer(active: np.ndarray, rows: np.ndarray) -> None:
+            """Products of blocks rule out what is surely farther than the k-th so far; the rest is measured exactly."""
+            self.compared += len(active) * len(rows)
+            rough = squares[active][:, None] + self.squares[rows][None, :] - 2 * (q[active] @ self.x[rows].T)
+            slack = 1e-9 * (squares[active][:, None] + self.squares[rows][None, :])
+            a, r = np.nonzero((rough <= best_d[active, k - 1][:, None] ** 2 + slack) & (ids[active][:, None] != self.ids[rows][None, :]))
+            if not len(a):
+                return
+            d = distances(self.x[rows[r]], q[active[a]])
+            hit = np.unique(a)
+            who = np.concatenate([np.repeat(hit, k), a])
+            far = np.concatenate([best_d[active[hit]].ravel(), d])
+            ident = np.concatenate([best_i[active[hit]].ravel(), self.ids[rows[r]]])
+            order = np.lexsort((ident, far, who))
+            first = np.searchsorted(who[order], hit)
+            take = order[first[:, None] + np.arange(k)]
+            best_d[active[hit]], best_i[active[hit]] = far[take], ident[take]
 
         def visit(node: Node, active: np.ndarray) -> None:
-            d = offer(active, node.rows)
+            offer(active, node.rows)
             if not node.halves:
                 return
-            d = d[:, 0]
+            d = distances(self.x[node.rows[0]], q[active])
             gaps = [np.maximum(0, np.maximum(lo - d, d - hi)) for lo, hi, _ in node.halves]
             near = gaps[0] <= gaps[1]
             # each query goes to its nearer half first
@@ -92,12 +100,13 @@ class Tree:
                 for h in (0, 1):
                     mine = near == (turn == (h == 0))
                     # a hair of slack for the rounding of distances; equal bounds are followed, for ties
-                    todo = mine & (gaps[h] * relax <= best_d[active, k - 1] * (1 + 1e-12))
+                    todo = mine & (gaps[h] * relax <= best_d[active, k - 1] + 1e-9)
                     if todo.any():
                         visit(node.halves[h][2], active[todo])
 
-        for at in range(0, len(q), 1024):
-            visit(self.root, np.arange(at, min(at + 1024, len(q))))
+        if self.root is not None:
+            for at in range(0, len(q), 1024):
+                visit(self.root, np.arange(at, min(at + 1024, len(q))))
         return best_i, best_d
 
 
