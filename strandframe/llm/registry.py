@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from strandframe.llm import bpe, licences, pii, ppm, quality, vantage, warc
+from strandframe.llm import bpe, decontaminate, licences, pii, ppm, quality, vantage, warc
 
 QUERIES = {
     "op1_bpe_round_trip": bpe.op1_bpe_round_trip,
     "op2_vp_tree_neighbours": vantage.op2_vp_tree_neighbours,
     "op3_license_scan": licences.op3_license_scan,
+    "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_warc_round_trip": warc.op5_warc_round_trip,
     "op6_ppm_scores": ppm.op6_ppm_scores,
     "op7_pii_spans": pii.op7_pii_spans,
