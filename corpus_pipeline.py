@@ -1,10 +1,70 @@
-"""The corpus pipeline: quality, near duplicates, decontamination, personal data, tokens."""
+"""The corpus pipeline: quality, near duplicates, benchmark passages, personal data, tokens.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that the one before kept. All but the last return the
+columns of ``documents``; the last returns each document's ids and the digest of its decoded bytes.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strandframe.llm import bpe, decontaminate, jaccard, pii, quality
+from strandframe.llm.filters import with_text
+from strandframe.session import stored
+
+#: No SQL expresses the stages; tests/llm hold them against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir: str):
-    raise NotImplementedError("no stages yet")
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop what the nearest-neighbour classifier rejects (score under 0.3)."""
+    return quality.accepted(docs, quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near duplicates keep the document of the smallest id; repeated rows of it once."""
+    classes = jaccard.join(docs.select("doc_id", "text"))
+    stays = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("stays")).distinct()
+    return docs.join(stays, docs["doc_id"].eqNullSafe(stays["stays"]), "left_semi").dropDuplicates(["doc_id", "text"])
+
+
+def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that hold a benchmark item within a fifth of its words."""
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Generalise personal data, remove terms that reveal it; every document stays."""
+    terms = stored(pii.revealing(docs), "pii-terms")
+    rest = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
+    found = pii.find(docs, terms, carry=rest)
+    return with_text(found, F.col("clean"), "text", "n_chars").select(*docs.columns)
+
+
+def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document's token ids, and the digest of the bytes that they decode to."""
+    import public_tokenizers as tokenizers
+
+    ranks = bpe.read_ranks(tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    both = bpe.decode(bpe.encode(docs, ranks, tokenizers.PATTERN), ranks, tokenizers.PATTERN, keep_ids=True)
+    return both.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2("bytes", 256).alias("decoded_sha256"))
+
+
+STAGES = [
+    ("quality", quality_stage),
+    ("near_duplicates", near_duplicate_stage),
+    ("decontaminate", decontaminate_stage),
+    ("pii", pii_stage),
+    ("bpe", bpe_stage),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in order, each written and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for n, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if n < len(STAGES) - 1:
+            docs = stored(docs, f"pipeline-{name}")
+    return docs

@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandframe.llm.filters import kept
 from strandframe.llm.words import mixed, slices, words
 
 SCHEMA = "item_id long, distance int, start_word long, end_word long"
@@ -214,22 +215,27 @@ def _index(key: str, *made_of) -> Index:
     return _INDEXES[key]
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", edits: float = 0.2, rounds: int = 32, sampled: int = 4, block_words: int = 1_000_000) -> DataFrame:
-    """``id_col, item_id, distance, start_word, end_word``: all stretches of documents near an item."""
-    spark = docs.sparkSession
-    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("text")).where("text is not null")
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, edits: float, rounds: int, sampled: int, block_words: int) -> list:
+    """(name, broadcast block) for blocks of the benchmark of bounded size; one block if there are no items."""
+    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(text_col).alias("text")).where("text is not null")
     # a word takes a byte or more and a separator, so characters bound the words of a block
     total = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    blocks = max(1, -(-total // (2 * block_words)))
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    found = None
+    blocks, out = max(1, -(-total // (2 * block_words))), []
     for b in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b).orderBy("item", "text").toArrow().to_pydict()
         block = (list(zip(part["item"], part["text"], strict=True)), edits, rounds, sampled)
-        shared = spark.sparkContext.broadcast(block)
+        out.append((hashlib.sha256(repr(block).encode()).hexdigest(), benchmark.sparkSession.sparkContext.broadcast(block)))
+    return out
+
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, name=hashlib.sha256(repr(block).encode()).hexdigest()) -> Iterator[pa.RecordBatch]:
+def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", edits: float = 0.2, rounds: int = 32, sampled: int = 4, block_words: int = 1_000_000) -> DataFrame:
+    """``id_col, item_id, distance, start_word, end_word``: all stretches of documents near an item."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    found = None
+    for name, shared in _blocks(benchmark, item_col, item_text_col, edits, rounds, sampled, block_words):
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, name=name) -> Iterator[pa.RecordBatch]:
             index = _index(name, *shared.value)
             for batch in slices(batches, "text", 4 << 20):
                 made = index.matches(batch.column(1).to_pylist())
@@ -243,6 +249,19 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     return found.withColumnRenamed("id", id_col)
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", edits: float = 0.2, rounds: int = 32, sampled: int = 4, block_words: int = 1_000_000) -> DataFrame:
+    """The rows of docs, with all their columns, that no item matches."""
+    for name, shared in _blocks(benchmark, item_col, item_text_col, edits, rounds, sampled, block_words):
+
+        def decide(texts: list[str | None], name=name, shared=shared) -> np.ndarray:
+            mask = np.ones(len(texts), bool)
+            mask[[m[0] for m in _index(name, *shared.value).matches(texts)]] = False
+            return mask
+
+        docs = kept(docs, decide, text_col)
+    return docs
+
+
 def op4_decontaminate(spark, sf_dir: str) -> DataFrame:
     """Every stretch of documents within a fifth of a benchmark item's words of it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")

@@ -27,6 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandframe.llm.filters import kept
 from strandframe.llm.words import WORD_TABLE, slices
 
 WORD_DIMS, SHAPE_DIMS, EXTRA = 1024, 480, 32
@@ -180,3 +181,13 @@ def op8_knn_quality(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return scores(docs, model).select("doc_id", (~training_id("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose score is threshold or more."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def decide(texts: list[str | None]) -> np.ndarray:
+        return np.concatenate([shared.value.score(np.stack([features(t) for t in texts[at : at + 512]])) >= threshold for at in range(0, len(texts), 512)])
+
+    return kept(docs, decide, text_col)
