@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandframe.llm import bpe, decontaminate, jaccard, licences, pii, ppm, quality, vantage, warc
+from strandframe.llm import bpe, decontaminate, jaccard, licences, pii, ppm, quality, suffixes, vantage, warc
 
 QUERIES = {
     "op1_bpe_round_trip": bpe.op1_bpe_round_trip,
@@ -12,8 +12,9 @@ QUERIES = {
     "op5_warc_round_trip": warc.op5_warc_round_trip,
     "op6_ppm_scores": ppm.op6_ppm_scores,
     "op7_pii_spans": pii.op7_pii_spans,
-    "op9_jaccard_join": jaccard.op9_jaccard_join,
     "op8_knn_quality": quality.op8_knn_quality,
+    "op9_jaccard_join": jaccard.op9_jaccard_join,
+    "op10_suffix_dedup": suffixes.op10_suffix_dedup,
 }
 ORACLE: dict[str, str] = {
     "op2_vp_tree_neighbours": vantage.ORACLE_SQL,
