@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from strandframe.plans import ranges, sequences
+
 QUERIES: dict = {}
 ORACLE: dict = {}
+for _part in (sequences, ranges):
+    QUERIES |= _part.Q
+    ORACLE |= _part.O
