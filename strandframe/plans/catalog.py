@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from strandframe.plans import ranges, sequences
+from strandframe.plans import ranges, sequences, variants
 
 QUERIES: dict = {}
 ORACLE: dict = {}
-for _part in (sequences, ranges):
+for _part in (sequences, ranges, variants):
     QUERIES |= _part.Q
     ORACLE |= _part.O
