@@ -33,16 +33,21 @@ from strandframe.llm.words import mixed, slices, words
 SCHEMA = "item_id long, distance int, start_word long, end_word long"
 
 
-def embedded(windows: np.ndarray, steps: int, seeds: np.ndarray) -> np.ndarray:
-    """The CGK walk of all windows (rows of word hashes) at once: out[:, j] is the word written at step j, 0 past the end."""
+def embedded(windows: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """The CGK walk of all windows (rows of word numbers) at once: out[:, j] is the word written at step j, 0 past the end.
+
+    bits[j, word] says whether step j goes on after writing the word.
+    """
     n, w = windows.shape
-    padded = np.concatenate([windows, np.zeros((n, 1), np.uint64)], 1)
-    at, rows = np.zeros(n, np.int64), np.arange(n)
-    out = np.zeros((n, steps), np.uint64)
-    for j in range(steps):
-        word = padded[rows, at]
+    flat = np.concatenate([windows, np.zeros((n, 1), windows.dtype)], 1).ravel()
+    base, last = np.arange(n) * (w + 1), np.arange(n) * (w + 1) + w
+    at = base.copy()
+    out = np.empty((n, len(bits)), windows.dtype)
+    for j in range(len(bits)):
+        word = flat[at]
         out[:, j] = word
-        at = np.minimum(at + (mixed(word ^ seeds[j]) >> np.uint64(63)).astype(np.int64), w)
+        at += bits[j][word]
+        np.minimum(at, last, out=at)
     return out
 
 
@@ -84,11 +89,16 @@ class Index:
         self.allowed = np.array([i[2] for i in self.items], np.int64)
         self.needed = self.widths - 1 - 2 * self.allowed  # word pairs of the item that any match still has
         # word pairs, each with its items; an item of one word has that word, paired with nothing
-        own = [np.unique(np.append(ids[:-1] * self.size + ids[1:], ids[0] * self.size if len(ids) == 1 else [])).astype(np.int64) for _, ids, _ in self.items]
+        both = [np.unique(np.append(ids[:-1] * self.size + ids[1:], ids[0] * self.size if len(ids) == 1 else []).astype(np.int64), return_counts=True) for _, ids, _ in self.items]
+        own, times = [p for p, _ in both], np.concatenate([*[t for _, t in both], np.zeros(0, np.int64)])
         pairs, of = np.concatenate([*own, np.zeros(0, np.int64)]), np.repeat(np.arange(len(own)), [len(o) for o in own])
         order = np.argsort(pairs, kind="stable")
         self.pairs, first = np.unique(pairs[order], return_index=True)
         self.pair_items, self.pair_at = of[order], np.append(first, len(pairs))
+        # how often an item has a word pair
+        owned = of * max(1, len(self.pairs)) + np.searchsorted(self.pairs, pairs)
+        order = np.argsort(owned)
+        self.owned, self.times = owned[order], times[order]
         self.single = bool((self.widths == 1).any())
         self.coarse = np.zeros(1 << 22, bool)
         self.coarse[self._slot(self.pairs)] = True
@@ -98,34 +108,44 @@ class Index:
         rng = np.random.default_rng(seed)
         self.tables = []
         widths = np.unique(self.widths)
-        padded = np.zeros((len(self.items), self.longest), np.uint64)
+        padded = np.zeros((len(self.items), self.longest), np.int32)
         for n, (_, ids, _) in enumerate(self.items):
-            padded[n, : len(ids)] = self.hashes[ids]
+            padded[n, : len(ids)] = ids
         for _ in range(rounds if len(self.items) else 0):
-            seeds = rng.integers(0, 2**63, 2 * self.longest, dtype=np.uint64)
+            seeds = rng.integers(0, 2**63, (2 * self.longest, 1), dtype=np.uint64)
+            bits = (mixed(self.hashes ^ seeds) >> np.uint64(63)).astype(np.int8)
             # by width; places of the walk's first two thirds: it mostly ends there, at one word in two steps
             places = np.zeros((self.longest + 1, sampled), np.int64)
             for w in widths:
                 places[w] = np.sort(rng.integers(0, 2 * w, sampled))
-            keys = self._keys(padded, self.widths, seeds, places)
+            keys = self._keys(padded, self.widths, bits, places)
             order = np.argsort(keys, kind="stable")
-            self.tables.append((seeds, places, keys[order], order))
+            self.tables.append((bits, places, keys[order], order))
 
     @staticmethod
     def _slot(pairs: np.ndarray) -> np.ndarray:
         return (mixed(pairs.astype(np.uint64)) >> np.uint64(42)).astype(np.int64)
 
-    @staticmethod
-    def _keys(windows: np.ndarray, widths: np.ndarray, seeds: np.ndarray, places: np.ndarray) -> np.ndarray:
+    def _keys(self, windows: np.ndarray, widths: np.ndarray, bits: np.ndarray, places: np.ndarray) -> np.ndarray:
         at = places[widths]
-        walk = embedded(windows, int(at.max(initial=0)) + 1, seeds)
-        sampled = np.take_along_axis(walk, at, 1)
+        walk = embedded(windows, bits[: int(at.max(initial=0)) + 1])
+        sampled = self.hashes[np.take_along_axis(walk, at, 1)]
         key = mixed(widths.astype(np.uint64))
         with np.errstate(over="ignore"):
             for j in range(sampled.shape[1]):
                 key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + sampled[:, j])
         return key
 
+    @staticmethod
+    def _distinct(block: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The different windows, their widths, and the number of each window's own among them."""
+        key = mixed(width.astype(np.uint64))
+        with np.errstate(over="ignore"):
+            for j in range(block.shape[1]):
+                key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + block[:, j].astype(np.uint64))
+        _, first, of = np.unique(key, return_index=True, return_inverse=True)
+        return block[first], width[first], of
+
     def windows(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(starts, widths) of all windows that hold enough word pairs of an item of their width."""
         known = np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0))
@@ -153,7 +173,22 @@ class Index:
         low = np.maximum(0, place[inside[good]] - np.maximum(w - 2, 0))
         count = place[good] - low + 1
         starts = np.repeat(low - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum()) if len(good) else good
-        both = np.unique(starts * (self.longest + 1) + np.repeat(w, count))
+        # of those, what still has enough when a pair counts no more often than the item has it
+        slots = np.full(len(ids) + self.longest, -1, np.int64)
+        slots[known] = slot
+        unique = np.unique(starts * len(self.items) + np.repeat(item[good], count))
+        enough = [np.zeros(0, np.int64)]
+        for at in range(0, len(unique), 4096):
+            start, it = unique[at : at + 4096] // len(self.items), unique[at : at + 4096] % len(self.items)
+            steps = np.arange(max(1, self.longest - 1))
+            here = np.where(steps < np.maximum(self.widths[it] - 1, 1)[:, None], slots[start[:, None] + steps], -1)
+            key = np.sort(np.where(here >= 0, it[:, None] * len(self.pairs) + here, -1), axis=1)
+            new = np.concatenate([np.ones((len(key), 1), bool), key[:, 1:] != key[:, :-1]], 1)
+            found = np.minimum(np.searchsorted(self.owned, key), len(self.owned) - 1)
+            have = np.where(new & (self.owned[found] == key), self.times[found], 0).sum(1)
+            enough.append(at + np.flatnonzero(have >= np.maximum(self.needed[it], 1)))
+        kept = unique[np.concatenate(enough)]
+        both = np.unique(kept // len(self.items) * (self.longest + 1) + self.widths[kept % len(self.items)])
         return both // (self.longest + 1), both % (self.longest + 1)
 
     def matches(self, texts: list[str | None]) -> list[tuple[int, int, int, int, int]]:
@@ -177,12 +212,13 @@ class Index:
         steps = np.arange(self.longest)
         for lo in range(0, len(here), 8192):
             place, width = here[lo : lo + 8192], widths[lo : lo + 8192]
-            block = np.where(steps < width[:, None], self.hashes[ids[place[:, None] + steps]], np.uint64(0))
-            for seeds, places, keys, members in self.tables:
-                found = self._keys(block, width, seeds, places)
+            block = np.where(steps < width[:, None], ids[place[:, None] + steps], 0).astype(np.int32)
+            block, width, first_of = self._distinct(block, width)
+            for bits, places, keys, members in self.tables:
+                found = self._keys(block, width, bits, places)
                 left, right = np.searchsorted(keys, found, "left"), np.searchsorted(keys, found, "right")
-                for row in np.flatnonzero(right > left):
-                    p = int(place[row])
+                for row in np.flatnonzero((right > left)[first_of]):
+                    p, row = int(place[row]), first_of[row]
                     doc = max(0, int(np.searchsorted(text_of, p, "right")) - 1)
                     if doc + 1 < len(starts) and p + width[row] > starts[doc + 1]:
                         doc += 1  # the window begins in the padding before a text
