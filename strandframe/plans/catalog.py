@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from strandframe.plans import models, ranges, sequences, variants
+from strandframe.plans import models, ranges, reads, sequences, variants
 
 QUERIES: dict = {}
 ORACLE: dict = {}
-for _part in (sequences, ranges, variants, models):
+for _part in (sequences, ranges, variants, models, reads):
     QUERIES |= _part.Q
     ORACLE |= _part.O
