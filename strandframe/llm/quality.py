@@ -116,15 +116,23 @@ class Model:
         return np.where(known, np.clip(out, 0, 1), self.prior)
 
 
+def _leading(square: np.ndarray, rank: int) -> np.ndarray:
+    """The leading eigenvectors of a symmetric matrix, by iterating a slightly larger subspace."""
+    basis = np.random.default_rng(11).normal(size=(len(square), min(len(square), rank + 16)))
+    for _ in range(10):
+        basis, _ = np.linalg.qr(square @ basis)
+    values, small = np.linalg.eigh(basis.T @ square @ basis)
+    return (basis @ small)[:, ::-1][:, :rank]
+
+
 def fit(x: np.ndarray, labels: np.ndarray, rank: int = 64, neighbours: int = 15, power: float = 8.0) -> Model:
     """x: a row of features per labelled text."""
     if not len(x):
         return Model(np.zeros((DIMS, rank), np.float32), np.zeros((0, rank), np.float32), labels, 0.5, neighbours, power)
     idf = np.log((1 + len(x)) / (1 + (x > 0).sum(0))).astype(np.float64) + 0.1
     scaled = x * idf
-    values, axes = np.linalg.eigh(scaled.T.astype(np.float64) @ scaled)
     rank = min(rank, len(x))
-    project = (idf[:, None] * axes[:, ::-1][:, :rank]).astype(np.float32)
+    project = (idf[:, None] * _leading(scaled.T.astype(np.float64) @ scaled, rank)).astype(np.float32)
     model = Model(project, np.zeros((0, rank), np.float32), labels.astype(np.float32), float(labels.mean()), neighbours, power)
     model.vectors = model.latent(x)
     return model
