@@ -9,7 +9,7 @@ With 32 bands of 5 rows a pair of similarity 0.8 is missed with probability 4e-6
 ``tolerance``.
 
 Buckets of up to ``small`` classes give pairs, made distinct. Larger buckets are cut into blocks of about ``block``
-classes; each pair of blocks is a task that compares its classes as matrices and returns sums for each class and a
+classes (fewer where the sets are large: about ``block_shingles`` shingles); each pair of blocks is a task that compares its classes as matrices and returns sums for each class and a
 spanning forest of the links, never the pairs themselves. A pair that meets in several large buckets counts in the
 first one only, and not among the pairs of small ones. So no link is lost and no group is gathered in one task.
 
@@ -95,14 +95,34 @@ def _matrix(column: pa.Array, kind=np.uint32, width: int = HASHES) -> np.ndarray
     return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, width)
 
 
+def intersections(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of sets[a] and sets[b]; each left set is marked once, its partners counted together."""
+    used = np.unique(np.concatenate([a, b]))
+    values, code = np.unique(np.concatenate([sets[u] for u in used]), return_inverse=True)
+    ends = np.cumsum([len(sets[u]) for u in used])
+    codes = np.split(code, ends[:-1])
+    left, right = np.searchsorted(used, a), np.searchsorted(used, b)
+    out, mark = np.zeros(len(a), np.int64), np.zeros(len(values), bool)
+    order = np.argsort(left, kind="stable")
+    cuts = np.flatnonzero(np.diff(left[order])) + 1
+    for group in np.split(order, cuts):
+        mine = codes[left[group[0]]]
+        mark[mine] = True
+        partners = [codes[r] for r in right[group]]
+        starts = np.concatenate([[0], np.cumsum([len(p) for p in partners])[:-1]])
+        out[group] = np.add.reduceat(mark[np.concatenate(partners)], starts, dtype=np.int64)
+        mark[mine] = False
+    return out
+
+
 def block_links(sig: np.ndarray, hot: np.ndarray, copies: np.ndarray, sets: list[np.ndarray], side: np.ndarray, same: bool, band: int, threshold: float, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
     """(sum of the copies of each row's links, root of each row) within one block (same) or between sides 0 and 1."""
     n = len(sig)
     left, right = (np.arange(n), np.arange(n)) if same else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
     links, root = np.zeros(n, np.int64), np.arange(n)
     edges_a, edges_b = [], []
-    for at in range(0, len(left), 64):
-        rows = left[at : at + 64]
+    for at in range(0, len(left), 256):
+        rows = left[at : at + 256]
         # the first step for all pairs as a matrix, the later ones for what is left
         first, least = least_matches(threshold, tolerance)[0]
         close = np.zeros((len(rows), len(right)), np.uint8)
@@ -120,18 +140,8 @@ def block_links(sig: np.ndarray, hot: np.ndarray, copies: np.ndarray, sets: list
     a, b = np.concatenate([*edges_a, np.zeros(0, np.int64)]).astype(np.int64), np.concatenate([*edges_b, np.zeros(0, np.int64)]).astype(np.int64)
     if not len(a):
         return links, root
-    used, sizes = np.unique(np.concatenate([a, b])), np.array([len(s) for s in sets])
-    values, code = np.unique(np.concatenate([sets[u] for u in used]), return_inverse=True)
-    inter = np.zeros(len(a), np.int64)
-    if len(used) * len(values) <= 32_000_000:
-        owner = np.repeat(np.arange(len(used)), sizes[used])
-        member = np.zeros((len(used), len(values)), np.float32)
-        member[owner, code] = 1
-        ua, ub = np.searchsorted(used, a), np.searchsorted(used, b)
-        product = member @ member.T
-        inter = product[ua, ub].astype(np.int64)
-    else:
-        inter = np.array([len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for x, y in zip(a, b, strict=True)])
+    sizes = np.array([len(s) for s in sets])
+    inter = intersections(sets, a, b)
     good = reaches(inter, sizes[a], sizes[b], threshold)
     a, b = a[good], b[good]
     np.add.at(links, a, copies[b])
@@ -163,7 +173,7 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: float = 0.8, tolerance: float = 1e-6, small: int = 24, block: int = 256) -> DataFrame:
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: float = 0.8, tolerance: float = 1e-6, small: int = 24, block: int = 1024, block_shingles: int = 1_000_000) -> DataFrame:
     """``id_col, class_id, n_links, exact_id`` for every row.
 
     class_id: the smallest id of the texts joined by a chain of links; n_links: other rows of similarity threshold or
@@ -179,15 +189,15 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
             full = [s for s in sets if len(s)]
             sig = iter(signatures(full) if full else [])
             keys = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-            yield pa.record_batch([batch.column(0), pa.array(keys, pa.binary()), pa.array([next(sig).tobytes() if len(s) else None for s in sets], pa.binary())], ["id", "cls", "sig"])
+            yield pa.record_batch([batch.column(0), pa.array(keys, pa.binary()), pa.array([next(sig).tobytes() if len(s) else None for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64())], ["id", "cls", "sig", "size"])
 
-    signed = stored(rows.mapInArrow(sign, f"id {kind}, cls binary, sig binary"), "nd-signed")
-    classes = stored(signed.where("cls is not null").groupBy("cls").agg(F.min("id").alias("exact_id"), F.count("*").alias("copies"), F.first("sig").alias("sig")), "nd-classes")
+    signed = stored(rows.mapInArrow(sign, f"id {kind}, cls binary, sig binary, size long"), "nd-signed")
+    classes = stored(signed.where("cls is not null").groupBy("cls").agg(F.min("id").alias("exact_id"), F.count("*").alias("copies"), F.first("sig").alias("sig"), F.first("size").alias("size")), "nd-classes")
     width = ROWS * 4
     bucket = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substr(F.col("sig"), i * width + 1, F.lit(width))))
-    bands = classes.select("cls", F.posexplode(bucket).alias("band", "bucket"))
-    shared = bands.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1")
-    met = stored(bands.join(shared, "bucket"), "nd-met")
+    bands = classes.select("cls", "size", F.posexplode(bucket).alias("band", "bucket"))
+    shared = bands.groupBy("bucket").agg(F.count("*").alias("m"), F.sum("size").alias("held")).where("m > 1")
+    met = stored(bands.drop("size").join(shared, "bucket"), "nd-met")
     large = met.where(F.col("m") > small)
     hot = large.groupBy("cls").agg(F.bit_or(F.expr("shiftleft(1L, band)")).alias("hot"))
     known = stored(met.select("cls").distinct().join(classes, "cls").join(hot, "cls", "left").select("cls", "exact_id", "copies", "sig", F.coalesce("hot", F.lit(0).cast("long")).alias("hot")), "nd-known")
@@ -235,7 +245,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
     links = stored(likely.join(of("a"), "a").join(of("b"), "b").select("a", "b", "copiesa", "copiesb", "seta", "setb").mapInArrow(verify, "a binary, b binary, copiesa long, copiesb long"), "nd-links")
 
     # large buckets: tasks of two blocks
-    blocks = F.ceil(F.col("m") / block).cast("int")
+    blocks = F.ceil(F.greatest(F.col("m") / block, F.least(F.col("held") / block_shingles, F.col("m") / 2))).cast("int")
     own = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
     dealt = large.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("bucket", "band", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "cls")
