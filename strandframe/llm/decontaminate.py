@@ -230,7 +230,8 @@ class Index:
             first, end = starts[doc], starts[doc] + counts[doc]
             covered = -1
             for p in sorted(places):
-                lo, hi = max(first, p - allowed), min(end, p + len(item) + allowed)
+                # a window with enough pairs may lie two edits' room off the stretch
+                lo, hi = max(first, p - 2 * allowed), min(end, p + len(item) + 2 * allowed)
                 if p < covered or hi <= lo:
                     continue
                 distance, a, b = best_stretch(item, ids[lo:hi])
