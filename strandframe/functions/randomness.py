@@ -45,7 +45,9 @@ def poisson(mean: Column, u: Column, most: int = 400) -> Column:
         go = u >= s["c"]
         return F.struct(F.when(go, p).otherwise(s["p"]).alias("p"), F.when(go, s["c"] + p).otherwise(s["c"]).alias("c"), F.when(go, i).otherwise(s["k"]).alias("k"))
 
-    small = F.aggregate(F.sequence(F.lit(1), F.lit(most)), start, step)["k"].cast("long")
+    # far enough for any u of 52 bits, and no farther
+    steps = F.least(F.lit(most), F.ceil(F.least(mean, F.lit(50.0)) + 9 * F.sqrt(F.greatest(mean, F.lit(0.0)) + 1) + 12).cast("int"))
+    small = F.aggregate(F.sequence(F.lit(1), steps), start, step)["k"].cast("long")
     # a logistic stands in for the normal's quantile, which SQL has not
     quantile = F.log(F.greatest(u, F.lit(1e-12)) / F.greatest(1 - u, F.lit(1e-12))) / 1.702
     return F.when(mean <= 0, F.lit(0).cast("long")).when(mean <= 50, small).otherwise(F.greatest(F.lit(0).cast("long"), F.rint(mean + F.sqrt(mean) * quantile).cast("long")))

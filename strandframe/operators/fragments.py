@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandframe.functions.sequence import gc_fraction, gc_index, gc_windows
+from strandframe.functions.sequence import gc_fraction, gc_index, gc_window_counts
 
 # Least mapping quality, median absolute deviations kept.
 MIN_MAPQ, DEVIATIONS = 10, 10
@@ -65,7 +65,7 @@ def gc_weights(contigs: DataFrame, depth: DataFrame, width: int) -> DataFrame:
 
 def genome_mean_weight(contigs: DataFrame, weights: DataFrame, width: int) -> DataFrame:
     """``mean``: the weights' mean over all whole windows of contigs longer than width, from the windows' histogram."""
-    counts = gc_windows(contigs.where(F.col("length") > width), width).groupBy("gc_pct").agg(F.count("*").alias("n"))
+    counts = gc_window_counts(contigs.where(F.col("length") > width), width)
     return counts.join(F.broadcast(weights), "gc_pct").agg((F.sum(F.col("n") * F.col("weight")) / F.sum("n")).alias("mean"))
 
 
