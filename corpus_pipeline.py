@@ -47,7 +47,7 @@ def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers as tokenizers
 
     ranks = bpe.read_ranks(tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    both = bpe.decode(bpe.encode(docs, ranks, tokenizers.PATTERN), ranks, tokenizers.PATTERN, keep_ids=True)
+    both = bpe.encode(docs, ranks, tokenizers.PATTERN, decoded=True)
     return both.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2("bytes", 256).alias("decoded_sha256"))
 
 

@@ -32,7 +32,7 @@ _CODECS: dict[str, "Codec"] = {}
 class Codec:
     """Pieces to ids and back, for one rank file and pattern."""
 
-    def __init__(self, ranks: bytes, pattern: str, cached: int = 200_000):
+    def __init__(self, ranks: bytes, pattern: str, cached: int = 100_000):
         import regex
         import tiktoken
 
@@ -126,8 +126,9 @@ def _lists(arrays: list[array]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()))
 
 
-def encode(df: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = 32_768, overlap: int = 512) -> DataFrame:
-    """``id_col, ids array<int>``: one row per input row, in no order.
+def encode(df: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = 32_768, overlap: int = 512, decoded: bool = False) -> DataFrame:
+    """``id_col, ids array<int>`` and, if decoded, ``bytes binary``: the ids decoded again by the same task, which saves
+    a second Python process a task. One row per input row, in no order.
 
     Texts of at most chunk_chars characters are encoded where they are read, without a shuffle. Longer ones are cut;
     their chunks are dealt out singly, so that one very long text keeps no task busy alone, and met again by text.
@@ -137,11 +138,18 @@ def encode(df: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id", te
     rows = df.select(F.col(id_col).cast("string").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     id_type = df.schema[id_col].dataType
 
+    names, kinds = ["id", "ids"] + ["bytes"] * decoded, "id string, ids array<int>" + ", bytes binary" * decoded
+
+    def made(coder: Codec, idents: pa.Array, ids: list[array]) -> pa.RecordBatch:
+        columns = [idents, _lists(ids)]
+        if decoded:
+            columns.append(pa.array([coder.decode(i) for i in ids], pa.binary()))
+        return pa.record_batch(columns, names)
+
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(shared.value, pattern)
-        for batch in slices(batches, "text"):
-            ids = [coder.encode(t) for t in batch.column(1).to_pylist()]
-            yield pa.record_batch([batch.column(0), _lists(ids)], ["id", "ids"])
+        for batch in slices(batches, "text", 1 << 20):
+            yield made(coder, batch.column(0), [coder.encode(t) for t in batch.column(1).to_pylist()])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -166,7 +174,7 @@ def encode(df: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id", te
             if work is not None:
                 ids = work.end()
                 for _ in range(copies):
-                    yield pa.record_batch([pa.array([ident], pa.string()), _lists([ids])], ["id", "ids"])
+                    yield made(coder, pa.array([ident], pa.string()), [ids])
 
         for batch in slices(batches, "part"):
             for k, i, s, text, lens in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -181,11 +189,11 @@ def encode(df: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id", te
         yield from done()
 
     is_long = F.length("text") > chunk_chars
-    short = rows.where(~is_long).mapInArrow(whole, "id string, ids array<int>")
+    short = rows.where(~is_long).mapInArrow(whole, kinds)
     pieces = rows.where(is_long).mapInArrow(cut, "key string, id string, start long, part string").repartition("key", "start")
     split = pieces.mapInArrow(presplit, "key string, id string, start long, part string, lens binary")
-    long = split.repartition("key").sortWithinPartitions("key", "start").mapInArrow(stitch, "id string, ids array<int>")
-    return short.unionByName(long).select(F.col("id").cast(id_type).alias(id_col), "ids")
+    long = split.repartition("key").sortWithinPartitions("key", "start").mapInArrow(stitch, kinds)
+    return short.unionByName(long).select(F.col("id").cast(id_type).alias(id_col), *names[1:])
 
 
 def decode(df: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id", ids_col: str = "ids", keep_ids: bool = False) -> DataFrame:
@@ -214,7 +222,7 @@ def op1_bpe_round_trip(spark, sf_dir: str) -> DataFrame:
 
     ranks = read_ranks(tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    both = decode(encode(docs, ranks, tokenizers.PATTERN), ranks, tokenizers.PATTERN, keep_ids=True)
+    both = encode(docs, ranks, tokenizers.PATTERN, decoded=True)
     return both.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
