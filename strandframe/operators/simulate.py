@@ -139,10 +139,12 @@ def variants(contigs: DataFrame, s: Settings, regions: DataFrame | None = None)
     areas = fill_gaps(regions, lengths, s.mutation_rate) if regions is not None else lengths.select("contig", F.lit(0).cast("long").alias("st"), F.col("length").alias("en"), F.lit(s.mutation_rate).alias("rate"))
     areas = areas.withColumn("rate", F.coalesce("rate", F.lit(s.mutation_rate)))
     key = [F.lit(s.seed), F.col("contig"), F.col("st")]
-    n = poisson((F.col("en") - F.col("st")) * F.col("rate"), uniform(*key, "n"))
-    each = areas.withColumn("n", n).where("n > 0").select("contig", "st", "en", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("i"))
+    # draws are columns of their own: inside a fold or a case they would be made again at each step
+    drawn = areas.withColumns({"_mean": (F.col("en") - F.col("st")) * F.col("rate"), "_u": uniform(*key, "n")})
+    each = drawn.withColumn("n", poisson(F.col("_mean"), F.col("_u"))).where("n > 0").select("contig", "st", "en", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("i"))
     u = lambda slot: uniform(*key, F.col("i"), slot)
-    rows = each.select("contig", "st", "i", (F.col("st") + F.floor(u("pos") * (F.col("en") - F.col("st")))).cast("long").alias("pos"), categorical(u("type"), TYPE_SHARES).alias("type"), categorical(u("len"), LENGTH_SHARES).alias("length"), u("alt").alias("u_alt"), u("hom").alias("u_hom"))
+    rows = each.select("contig", "st", "i", (F.col("st") + F.floor(u("pos") * (F.col("en") - F.col("st")))).cast("long").alias("pos"), u("type").alias("u_type"), u("len").alias("u_len"), u("alt").alias("u_alt"), u("hom").alias("u_hom"))
+    rows = rows.select("contig", "st", "i", "pos", categorical(F.col("u_type"), TYPE_SHARES).alias("type"), categorical(F.col("u_len"), LENGTH_SHARES).alias("length"), "u_alt", "u_hom")
     inserted = F.array_join(F.transform(F.sequence(F.lit(1), F.col("length")), lambda k: F.substr(F.lit(BASES), (F.floor(uniform(F.lit(s.seed), F.col("contig"), F.col("st"), F.col("i"), "ins", k) * 4) + 1).cast("int"), F.lit(1))), "")
     joined = rows.withColumn("inserted", inserted).join(contigs.select("contig", "length", "seq").withColumnRenamed("length", "total"), "contig")
     size = F.when(F.col("type") == DELETION, F.col("length") + 1).otherwise(1)
