@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from strandframe.operators import simulate as S
 from strandframe.plans.views import view
+from strandframe.session import stored
 
 Q: dict = {}
 O: dict[str, str] = {}
@@ -12,7 +13,8 @@ WEIGHTED = S.Settings(coverage=2.0, seed=17, gc_weights=tuple((i + 1) / 101 for
 
 
 def _contigs(spark, d):
-    return view(spark, d, "contigs").select("contig", "length", "seq")
+    # used by several branches of a plan, which would each make the sequences anew
+    return stored(view(spark, d, "contigs").select("contig", "length", "seq"), "contigs")
 
 
 Q["r1_placements"] = lambda spark, d: S.placements(_contigs(spark, d), SETTINGS)
