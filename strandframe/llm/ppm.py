@@ -1,14 +1,16 @@
 """Language-model scores by prediction by partial matching over bytes.
 
-Method: a trie of byte contexts holds, for contexts of two, one and no bytes, how often each symbol followed in the
-training texts. A symbol is coded in its longest known context; where it did not follow there, an escape (estimated by
-the number of different followers, method C) leads to the context one byte shorter, and the symbols that the longer one
-has are excluded from its counts; below the empty context all unseen bytes are alike. A text starts after two marks
-and ends with one (byte 0xFF, which UTF-8 never holds). The model is pretrained; a text's score is the sum of its
-symbols' log10 probabilities.
-
-The depth is fixed at two bytes, so the trie has at most 256 + 256**2 + 256**3 symbol counts whatever the corpus: that
-bounds what reaches the driver and what is broadcast. All training texts are counted, whole.
+Method: a trie of byte contexts holds, for contexts of ``depth``, ..., one and no bytes, how often each symbol followed
+in the training texts. A symbol is coded in its longest known context; where it did not follow there, an escape
+(estimated by the number of different followers, method C) leads to the context one byte shorter, and the symbols that
+the longer one has are excluded from its counts; below the empty context all unseen bytes are alike. A text starts
+after ``depth`` marks and ends with one (byte 0xFF, which UTF-8 never holds). The model is pretrained; a text's score
+is the sum of its symbols' log10 probabilities.
+
+The trie grows with the training texts and is nowhere whole. Texts are dealt into slices of bounded size; a slice asks
+for its different strings of depth + 1 bytes and tells how often each stood in its training texts. Requests are dealt
+into blocks by the last two bytes of the context, so that a block has all counts of its contexts of two and more bytes;
+only the 65,536 counts of byte pairs are broadcast. A block answers each slice, and the slice's texts meet its answers.
 
 The word baseline (add one half) counts all tokens of all training texts. The ``common_tokens`` most frequent ones are
 broadcast, a fixed number; the counts of the others are joined by token.
@@ -22,18 +24,19 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from strandframe.llm.words import slices
 from strandframe.session import stored
 
 MARK = b"\xff"
 SYMBOLS = 256
+SLICE_BYTES = 16 << 20
 
 
 def normal(text: str | None) -> bytes:
@@ -41,14 +44,18 @@ def normal(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass").lower()
 
 
-def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(keys of the two bytes before each symbol and the symbol; the offset of each text's first)."""
-    joined = np.frombuffer(b"".join(part for t in texts for part in (MARK * 2, t, MARK)), np.uint8).astype(np.int32)
-    starts = np.concatenate([[0], np.cumsum([len(t) + 3 for t in texts])])
-    keys = (joined[:-2] << 16) | (joined[1:-1] << 8) | joined[2:] if len(joined) > 2 else np.zeros(0, np.int32)
-    inner = np.ones(len(keys), bool)  # leave out what spans two texts
-    cut = starts[1:-1]
-    inner[cut - 1] = inner[cut - 2] = False
+def grams(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(keys of the ``depth`` bytes before each symbol and the symbol; the offset of each text's first)."""
+    joined = np.frombuffer(b"".join(part for t in texts for part in (MARK * depth, t, MARK)), np.uint8)
+    n = max(0, len(joined) - depth)
+    keys = np.zeros(n, np.int64)
+    for i in range(depth + 1):
+        keys <<= 8
+        keys |= joined[i : i + n]
+    inner = np.ones(n, bool)  # leave out what spans two texts
+    cut = np.cumsum([len(t) + depth + 1 for t in texts])[:-1]
+    for i in range(1, depth + 1):
+        inner[cut - i] = False
     return keys[inner], np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])[:-1]
 
 
@@ -59,93 +66,156 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
-@dataclass
-class Model:
-    keys: np.ndarray  # of the symbols seen after two bytes
-    seen: np.ndarray  # their log10 probabilities
-    escape2: np.ndarray  # by two bytes: log10 of the escape, 0 where the context is unknown
-    down1: np.ndarray  # by two bytes: log10 of what counts are divided by one byte shorter, after exclusion
-    escape1: np.ndarray  # by two bytes: log10 of the escape from there
-    count1: np.ndarray  # by byte and symbol: log10 of the count, -inf where unseen
-    down0: np.ndarray  # by byte: as down1, without any byte
-    escape0: np.ndarray
-    count0: np.ndarray  # by symbol
-    rest: float  # log10 probability of a symbol never seen, after all escapes
-
-    def table(self) -> np.ndarray:
-        """0 where unseen; pages of memory that hold no seen key are never touched."""
-        dense = np.zeros(1 << 24, np.float32)
-        dense[self.keys] = self.seen
-        return dense
-
-    def logs(self, keys: np.ndarray, table: np.ndarray) -> np.ndarray:
-        out = table[keys].astype(np.float64)
-        miss = np.flatnonzero(out == 0)
-        if len(miss):
-            k = keys[miss]
-            two, pair, symbol = k >> 8, k & 0xFFFF, k & 0xFF
-            one = pair >> 8
-            low = np.where(np.isfinite(self.count0[symbol]), self.count0[symbol] - self.down0[one], self.escape0[one] + self.rest)
-            mid = np.where(np.isfinite(self.count1[pair]), self.count1[pair] - self.down1[two], self.escape1[two] + low)
-            out[miss] = self.escape2[two] + mid
-        return out
-
-
-def _log(x: np.ndarray) -> np.ndarray:
-    with np.errstate(divide="ignore"):
-        return np.log10(x)
-
-
-def build(keys: np.ndarray, counts: np.ndarray) -> Model:
-    """From the counts of all three-byte keys; shorter contexts' counts are their sums."""
-    n2 = counts.astype(np.float64)
-    two, pair = keys >> 8, keys & 0xFFFF
-    n1 = np.bincount(pair, n2, 1 << 16)
-    n0 = n1.reshape(256, 256).sum(0)
-    total2, kinds2 = np.bincount(two, n2, 1 << 16), np.bincount(two, minlength=1 << 16).astype(np.float64)
-    total1, kinds1 = n1.reshape(256, 256).sum(1), (n1.reshape(256, 256) > 0).sum(1).astype(np.float64)
-    total0, kinds0 = n0.sum(), float((n0 > 0).sum())
-    # exclusion: symbols seen in the longer context leave the shorter one's counts
-    last = np.arange(1 << 16) & 0xFF
-    left1 = np.round(total1[last] - np.bincount(two, n1[pair], 1 << 16))
-    more1 = kinds1[last] - kinds2
-    known = n1.reshape(256, 256) > 0
-    left0 = np.round(total0 - known @ n0)
-    more0 = kinds0 - kinds1
-    known2 = kinds2 > 0
-    escape = lambda more, all_: np.where(more > 0, _log(np.where(more > 0, more, 1) / np.where(all_ > 0, all_, 1)), 0.0)
-    div = lambda x: _log(np.where(x > 0, x, 1))
-    return Model(
-        keys.astype(np.int32),
-        _log(n2 / (total2[two] + kinds2[two])).astype(np.float32),
-        np.where(known2, escape(kinds2, total2 + kinds2), 0.0),
-        div(left1 + more1),
-        escape(more1, left1 + more1),
-        _log(n1),
-        div(left0 + more0),
-        escape(more0, left0 + more0),
-        _log(n0),
-        -float(np.log10(max(1.0, SYMBOLS - kinds0))),
-    )
+def packed(values: np.ndarray) -> bytes:
+    return pa.compress(values.tobytes(), "zstd", asbytes=True)
+
+
+def unpacked(data: bytes, n: int, kind: type) -> np.ndarray:
+    return np.frombuffer(pa.decompress(data, n * np.dtype(kind).itemsize, "zstd", asbytes=True), kind)
+
+
+def unpacked_keys(data: bytes, n: int) -> np.ndarray:
+    return np.cumsum(unpacked(data, n, np.int64))
+
+
+def place(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(where each key is in the sorted table, whether it is there)."""
+    if not len(table):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+    return at, table[at] == keys
+
+
+def block_logs(keys: np.ndarray, counts: np.ndarray, depth: int, pairs: np.ndarray) -> np.ndarray:
+    """log10 probabilities of sorted keys, from the counts of all keys that share their last three bytes' contexts.
+
+    ``pairs`` has how often each symbol followed each byte. From the empty context upwards, the value of an order is
+    what a symbol costs once the next longer context has escaped to it: ``total`` and ``kinds`` of the context's
+    followers, less those that the longer one has.
+    """
+    known = pairs > 0
+    n0 = pairs.sum(0)
+    kinds0 = int((n0 > 0).sum())
+    symbol, one = keys & 0xFF, keys >> 8 & 0xFF
+    # by order: count of the symbol, total and kinds of the context, and the shorter context's total of its followers
+    orders = {0: (n0[symbol], n0.sum(), kinds0, 0), 1: (pairs[one, symbol], pairs.sum(1)[one], known.sum(1)[one], (known @ n0)[one])}
+    level = {}
+    found, n = keys[counts > 0], counts[counts > 0]
+    for k in range(depth, 1, -1):
+        found, n = summed(found & ((1 << 8 * (k + 1)) - 1), n)
+        level[k] = (found, n)
+    for k in range(2, depth + 1):
+        found, n = level[k]
+        contexts, of = np.unique(found >> 8, return_inverse=True)
+        shorter = pairs[found >> 8 & 0xFF, found & 0xFF] if k == 2 else level[k - 1][1][np.searchsorted(level[k - 1][0], found & ((1 << 8 * k) - 1))]
+        total, kinds, below = (np.bincount(of, x, len(contexts)) if len(of) else np.zeros(1) for x in (n, None, shorter))
+        mine = keys & ((1 << 8 * (k + 1)) - 1)
+        at, seen = place(found, mine)
+        where, there = place(contexts, mine >> 8)
+        orders[k] = (np.where(seen, n[at], 0) if len(n) else np.zeros(len(keys)), *(np.where(there, x[where], 0) for x in (total, kinds, below)))
+    orders[depth + 1] = (0, 0, 0, 0)
+    out = np.full(len(keys), -float(np.log10(max(1, SYMBOLS - kinds0))))
+    for k in range(depth + 1):
+        count, total, kinds, _ = orders[k]
+        more = kinds - orders[k + 1][2]
+        all_ = np.maximum(total - orders[k + 1][3] + more, 1)
+        escape = np.log10(np.where(more > 0, more / all_, 1.0))
+        out = np.where(count > 0, np.log10(np.maximum(count, 1) / all_), escape + out)
+    return out
+
+
+class Answers:
+    """Values by key: a table of hashes finds most keys at once, a search the ones that lost their slot."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.keys, self.values = keys, values
+        bits = len(keys).bit_length() + 2
+        self.shift = np.uint64(64 - bits)
+        self.slots = np.zeros(1 << bits, np.int32)
+        self.slots[self.slot(keys)] = np.arange(len(keys), dtype=np.int32)
+
+    def slot(self, keys: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift
+
+    def __getitem__(self, keys: np.ndarray) -> np.ndarray:
+        at = self.slots[self.slot(keys)]
+        lost = np.flatnonzero(self.keys[at] != keys)
+        at[lost] = np.searchsorted(self.keys, keys[lost])
+        return self.values[at].astype(np.float64)
 
 
 def trained_on(id_col: str) -> F.Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 != 1, F.lit(True))
 
 
-def gram_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``gram int, n long``: pre-summed in each task."""
+def pair_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
+    """How often each symbol followed each byte: 256 x 256."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = np.zeros(0, np.int32), np.zeros(0, np.int64)
+        counts = np.zeros(1 << 16, np.int64)
         for batch in slices(batches, "text", 2 << 20):
-            found = np.sort(grams([normal(t) for t in batch.column(0).to_pylist()])[0])
-            first = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]]))
-            part = np.diff(np.concatenate([first, [len(found)]]))
-            keys, counts = summed(np.concatenate([keys, found[first]]), np.concatenate([counts, part]))
-        yield pa.record_batch([pa.array(keys, pa.int32()), pa.array(counts, pa.int64())], ["gram", "n"])
-
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(count, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+            counts += np.bincount(grams([normal(t) for t in batch.column(0).to_pylist()], 1)[0], minlength=1 << 16)
+        seen = np.flatnonzero(counts)
+        yield pa.record_batch([pa.array(seen, pa.int32()), pa.array(counts[seen], pa.int64())], ["pair", "n"])
+
+    found = docs.select(F.col(text_col).alias("text")).mapInArrow(count, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(1 << 16, np.int64)
+    out[found.column(0).to_numpy()] = found.column(1).to_numpy()
+    return out.reshape(256, 256)
+
+
+def requests(dealt: DataFrame, depth: int, blocks: int) -> DataFrame:
+    """``block, slice, size, keys, counts`` of the different keys of each slice, counted in its training texts."""
+
+    def ask(group: pa.Table) -> pa.Table:
+        keys, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for batch in slices(iter(group.select(["text", "train"]).to_batches()), "text", 2 << 20):
+            train = batch.column(1).to_pylist()
+            for kind in (True, False):
+                texts = [normal(t) for t, k in zip(batch.column(0).to_pylist(), train, strict=True) if k == kind]
+                if texts:
+                    found = np.sort(grams(texts, depth)[0])
+                    first = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]]))
+                    keys.append(found[first])
+                    counts.append(np.diff(np.concatenate([first, [len(found)]])) * kind)
+        k, n = summed(np.concatenate(keys), np.concatenate(counts))
+        of = (k >> 8 & 0xFFFF) * 40_503 % 65_521 % blocks
+        order = np.argsort(of, kind="stable")
+        k, n, of = k[order], n[order], of[order]
+        ends = np.searchsorted(of, np.arange(blocks + 1))
+        parts = [(b, s, e) for b, (s, e) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)) if e > s]
+        return pa.table(
+            {
+                "block": pa.array([b for b, _, _ in parts], pa.int32()),
+                "slice": pa.array([group.column("slice")[0].as_py()] * len(parts), pa.int32()),
+                "size": pa.array([e - s for _, s, e in parts], pa.int32()),
+                "keys": pa.array([packed(np.diff(k[s:e], prepend=0)) for _, s, e in parts], pa.binary()),
+                "counts": pa.array([packed(n[s:e]) for _, s, e in parts], pa.binary()),
+            }
+        )
+
+    return dealt.groupBy("slice").applyInArrow(ask, "block int, slice int, size int, keys binary, counts binary")
+
+
+def answers(asked: DataFrame, depth: int, pairs) -> DataFrame:
+    """``slice, size, keys, logs``: a row a request. A block holds its requests packed and its different keys once."""
+
+    def answer(group: pa.Table) -> pa.Table:
+        sizes, packs = group.column("size").to_pylist(), group.column("keys").to_pylist()
+        keys, counts, new, more, held = np.zeros(0, np.int64), np.zeros(0, np.int64), [], [], 0
+        for i, (size, pack, count) in enumerate(zip(sizes, packs, group.column("counts").to_pylist(), strict=True)):
+            new.append(unpacked_keys(pack, size))
+            more.append(unpacked(count, size, np.int64))
+            held += size
+            if held > max(1 << 20, len(keys)) or i == len(sizes) - 1:
+                keys, counts = summed(np.concatenate([keys, *new]), np.concatenate([counts, *more]))
+                new, more, held = [], [], 0
+        logs = block_logs(keys, counts, depth, pairs.value).astype(np.float32)
+        found = [packed(logs[np.searchsorted(keys, unpacked_keys(pack, size))]) for size, pack in zip(sizes, packs, strict=True)]
+        return pa.table({"slice": group.column("slice"), "size": group.column("size"), "keys": group.column("keys"), "logs": pa.array(found, pa.binary())})
+
+    return asked.groupBy("block").applyInArrow(answer, "slice int, size int, keys binary, logs binary")
 
 
 def token_counts(docs: DataFrame, text_col: str = "text", held: int = 200_000) -> DataFrame:
@@ -168,11 +238,10 @@ def token_counts(docs: DataFrame, text_col: str = "text", held: int = 200_000) -
     return docs.select(F.col(text_col).alias("text")).mapInArrow(count, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
-_TABLES: dict[int, np.ndarray] = {}
-
-
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", common_tokens: int = 65_536) -> DataFrame:
-    """Train on the rows that are not held out, score all: see op6_ppm_scores for the columns."""
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", common_tokens: int = 65_536, depth: int = 2) -> DataFrame:
+    """Train on the rows that are not held out, score all: see op6_ppm_scores for the columns. Depth is 2 to 6 bytes."""
+    if not 2 <= depth <= 6:
+        raise ValueError("a depth of 2 to 6 bytes is needed")
     train = docs.where(trained_on(id_col))
     vocabulary = stored(token_counts(train, text_col), "ppm-tokens")
     # counts are taken from the table that was written, so that all uses agree
@@ -182,24 +251,43 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", commo
     bottom = float(total + 0.5 * (distinct + 1))
     log = lambda c: float(np.log10((c + 0.5) / bottom))
     common = vocabulary.orderBy(F.desc("n"), "token").limit(common_tokens).toArrow().to_pydict()
-    found = gram_counts(train, text_col).toArrow()
-    model = build(*summed(found.column(0).to_numpy(), found.column(1).to_numpy()))
-    shared = docs.sparkSession.sparkContext.broadcast((model, {t: log(c) for t, c in zip(common["token"], common["n"], strict=True)}))
+    context = docs.sparkSession.sparkContext
+    pairs = context.broadcast(pair_counts(train, text_col))
+    shared = context.broadcast({t: log(c) for t, c in zip(common["token"], common["n"], strict=True)})
     end, end_known = log(texts), int(texts > 0)
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, known = shared.value
-        mine = _TABLES.get(id(model))
-        if mine is None:
-            _TABLES.clear()
-            mine = _TABLES[id(model)] = model.table()
-        for batch in slices(batches, "text", 2 << 20):
-            texts = [normal(t) for t in batch.column(2).to_pylist()]
-            keys, starts = grams(texts)
-            logs = np.add.reduceat(model.logs(keys, mine), starts)
-            row_ids, tokens, of, n = batch.column(0).to_pylist(), [], [], []
+    names = ["row", "token", "times", "id", "n_tokens", "hits", "base", "score"]
+    schema = pa.schema(list(zip(names, [pa.int64(), pa.binary(), pa.int64(), to_arrow_type(docs.schema[id_col].dataType), pa.int64(), pa.int64(), pa.float64(), pa.float64()], strict=True)))
+    # the slice is a function of the row alone, so that it is the same when a lost task is done again
+    size = docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
+    n_slices = max(16, size // SLICE_BYTES)
+    dealt = docs.select(
+        F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)), F.lit(n_slices)).cast("int").alias("slice"),
+        F.col(id_col).alias("id"),
+        F.col(text_col).alias("text"),
+        trained_on(id_col).alias("train"),
+    ).repartition(2 * n_slices, "slice")
+    answered = answers(requests(dealt, depth, min(4096, 32 + n_slices // 4)), depth, pairs)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return schema.empty_table()
+        known = shared.value
+        sizes = right.column("size").to_pylist()
+        keys = np.concatenate([unpacked_keys(k, n) for k, n in zip(right.column("keys").to_pylist(), sizes, strict=True)])
+        order = np.argsort(keys)
+        found = Answers(keys[order], np.concatenate([unpacked(v, n, np.float32) for v, n in zip(right.column("logs").to_pylist(), sizes, strict=True)])[order])
+        return pa.Table.from_batches(list(scored(left, known, found)), schema)
+
+    def scored(left: pa.Table, known: dict, found: Answers) -> Iterator[pa.RecordBatch]:
+        first = left.column("slice")[0].as_py() << 32
+        for batch in slices(iter(left.select(["id", "text"]).to_batches()), "text", 2 << 20):
+            texts = [normal(t) for t in batch.column(1).to_pylist()]
+            keys, starts = grams(texts, depth)
+            logs = np.add.reduceat(found[keys], starts)
+            numbers = pa.array(range(first, first + len(texts)), pa.int64())
+            first += len(texts)
+            row_ids, tokens, of, n = numbers.to_pylist(), [], [], []
             lengths, hits, sums = [], [], []
             for r, t in zip(row_ids, texts, strict=True):
                 parts = t.split()
@@ -219,19 +307,19 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", commo
             null = lambda k: pa.nulls(more, k)
             yield pa.record_batch(
                 [
-                    pa.concat_arrays([batch.column(0), pa.array(of, pa.int64())]),
+                    pa.concat_arrays([numbers, pa.array(of, pa.int64())]),
                     pa.array(own + tokens, pa.binary()),
                     pa.array([0] * len(own) + n, pa.int64()),
-                    pa.concat_arrays([batch.column(1), null(batch.column(1).type)]),
+                    pa.concat_arrays([batch.column(0), null(batch.column(0).type)]),
                     pa.array(lengths + [None] * more, pa.int64()),
                     pa.array(hits + [0] * more, pa.int64()),
                     pa.array(sums + [0.0] * more, pa.float64()),
                     pa.array(logs.tolist() + [None] * more, pa.float64()),
                 ],
-                ["row", "token", "times", "id", "n_tokens", "hits", "base", "score"],
+                schema=schema,
             )
 
-    parts = rows.mapInArrow(run, f"row long, token binary, times long, id {kind}, n_tokens long, hits long, base double, score double")
+    parts = dealt.groupBy("slice").cogroup(answered.groupBy("slice")).applyInArrow(run, f"row long, token binary, times long, id {kind}, n_tokens long, hits long, base double, score double")
     joined = parts.join(vocabulary, "token", "left")
     count = F.coalesce(F.col("n"), F.lit(0))
     out = joined.groupBy("row").agg(
@@ -246,4 +334,4 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", commo
 
 def op6_ppm_scores(spark, sf_dir: str) -> DataFrame:
     """Scores of every whole text of documents: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    return score(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return score(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), depth=5)

@@ -59,3 +59,34 @@ def test_equals_the_definition(spark):
 def test_odd_rows_and_empty_table(odd, empty):
     assert ppm.score(odd.select("doc_id", "text", "row", "token")).count() == odd.count()
     assert ppm.score(empty).count() == 0
+
+
+def test_op6_counts_contexts_of_five_bytes(spark, tmp_path):
+    texts = [f"{w} {w}s {a}ring {w}{a}" for w in ("cat", "at", "owl", "scatter") for a in ("st", "b", "scat", "é")] + TEXTS
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    norm = [ppm.normal(t) for t in texts]
+    follow = {k: {} for k in range(6)}
+    for i, t in enumerate(norm):
+        if zlib.crc32(str(i).encode()) % 5 != 1:
+            seq = b"\xff" * 5 + t + b"\xff"
+            for j in range(5, len(seq)):
+                for k in range(6):
+                    follow[k].setdefault(seq[j - k : j], Counter())[seq[j]] += 1
+
+    def log(context, symbol):
+        out, excluded = 0.0, set()
+        for k in range(5, -1, -1):
+            left = {s: n for s, n in follow[k].get(context[5 - k :], {}).items() if s not in excluded}
+            if left:
+                total, kinds = sum(left.values()), len(left)
+                if symbol in left:
+                    return out + np.log10(left[symbol] / (total + kinds))
+                out += np.log10(kinds / (total + kinds))
+                excluded |= set(left)
+        return out - np.log10(256 - len(follow[0][b""]))
+
+    rows = ppm.op6_ppm_scores(spark, str(tmp_path)).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        seq = b"\xff" * 5 + norm[r["doc_id"]] + b"\xff"
+        assert r["score"] == pytest.approx(sum(log(seq[j - 5 : j], seq[j]) for j in range(5, len(seq))), rel=1e-5)
