@@ -3,8 +3,9 @@
 Method: for each length of an item, all windows of that many words are considered in every document. The CGK random
 walk embeds a window in three times its length: at step j the current word is written, and one random bit of (j, word)
 says whether to go on to the next; windows near in edit distance become near in Hamming distance. Each of ``rounds``
-repetitions samples ``sampled`` places of its own embedding; a window that agrees with an item in all of them is a
-candidate. Candidates are verified by the exact edit distance of the item to the best stretch of the text around them.
+repetitions samples up to ``sampled`` places of its own embedding; a window that agrees with an item in all of them is
+a candidate. Each width takes the most places at which windows with all allowed edits are found with a chance of TARGET
+in a simulation of the walk; where one place is too many, each window that is embedded is a candidate. Candidates are verified by the exact edit distance of the item to the best stretch of the text around them.
 
 A window that shares fewer word pairs with the benchmark than any window within the distance must (each edit destroys
 at most two of the item's pairs) cannot match and is not embedded: that is exact and loses nothing.
@@ -30,6 +31,8 @@ from pyspark.sql import functions as F
 from strandframe.llm.filters import kept
 from strandframe.llm.words import mixed, slices, words
 
+#: Chance to find a window that has as many edits as are allowed.
+TARGET = 0.99
 SCHEMA = "item_id long, distance int, start_word long, end_word long"
 
 
@@ -73,6 +76,49 @@ def best_stretch(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     return int(row[end]), int(origin[end]), end
 
 
+def stretches(item: np.ndarray, allowed: int, ids: np.ndarray, lo: int, hi: int) -> Iterator[tuple[int, int, int]]:
+    """(distance, start, end) of stretches apart from each other within ids[lo:hi], the nearest ones first."""
+    spans = [(lo, hi)]
+    while spans:
+        lo, hi = spans.pop()
+        if hi - lo < max(1, len(item) - allowed):
+            continue
+        distance, a, b = best_stretch(item, ids[lo:hi])
+        if distance <= allowed:
+            yield distance, lo + a, lo + b
+            if b > a:
+                spans += [(lo, lo + a), (lo + b, hi)]
+
+
+def edited(rng: np.random.Generator, item: np.ndarray, edits: int, fresh: int) -> np.ndarray:
+    """The item after so many words replaced, put in or left out, at places apart; new words count on from fresh."""
+    places, out = set(rng.choice(len(item), edits, replace=False).tolist()), []
+    for i, word in enumerate(item.tolist()):
+        kind = rng.integers(3) if i in places else 3
+        if kind in (0, 1):
+            out.append(fresh)
+            fresh += 1
+        if kind in (1, 3):
+            out.append(word)
+    return np.array(out, np.int64)
+
+
+def places_for(width: int, allowed: int, rounds: int, most: int, seed: int = 7, pairs: int = 48, walks: int = 8) -> int:
+    """The most places a round that still find a window at the bound with a chance of TARGET; 0 if even one does not."""
+    rng = np.random.default_rng([seed, width, allowed])
+    item = np.arange(1, width + 1)
+    size = 2 * (width + allowed) + 2
+    windows = np.stack([np.append(edited(rng, item, allowed, width + 1), np.arange(width + allowed + 1, size))[:width] for _ in range(pairs)])
+    same = np.empty((walks, pairs))
+    for k in range(walks):
+        bits = rng.integers(0, 2, (2 * width, size), np.int8)
+        same[k] = (embedded(windows, bits) == embedded(item[None], bits)).mean(1)
+    for n in range(most, 0, -1):
+        if (1 - (1 - (same**n).mean(0)) ** rounds).mean() >= TARGET:
+            return n
+    return 0
+
+
 class Index:
     """What one block of the benchmark is looked up by."""
 
@@ -108,6 +154,8 @@ class Index:
         rng = np.random.default_rng(seed)
         self.tables = []
         widths = np.unique(self.widths)
+        allowed = {w: int(self.allowed[self.widths == w].max()) for w in widths.tolist()}
+        used = {w: places_for(w, a, rounds, sampled, seed) for w, a in allowed.items()}
         padded = np.zeros((len(self.items), self.longest), np.int32)
         for n, (_, ids, _) in enumerate(self.items):
             padded[n, : len(ids)] = ids
@@ -118,6 +166,7 @@ class Index:
             places = np.zeros((self.longest + 1, sampled), np.int64)
             for w in widths:
                 places[w] = np.sort(rng.integers(0, 2 * w, sampled))
+                places[w, used[w] :] = -1
             keys = self._keys(padded, self.widths, bits, places)
             order = np.argsort(keys, kind="stable")
             self.tables.append((bits, places, keys[order], order))
@@ -129,7 +178,7 @@ class Index:
     def _keys(self, windows: np.ndarray, widths: np.ndarray, bits: np.ndarray, places: np.ndarray) -> np.ndarray:
         at = places[widths]
         walk = embedded(windows, bits[: int(at.max(initial=0)) + 1])
-        sampled = self.hashes[np.take_along_axis(walk, at, 1)]
+        sampled = np.where(at < 0, np.uint64(0), self.hashes[np.take_along_axis(walk, np.maximum(at, 0), 1)])
         key = mixed(widths.astype(np.uint64))
         with np.errstate(over="ignore"):
             for j in range(sampled.shape[1]):
@@ -228,16 +277,18 @@ class Index:
         for (doc, n), places in hits.items():
             item_id, item, allowed = self.items[n]
             first, end = starts[doc], starts[doc] + counts[doc]
-            covered = -1
+            reach, covered, spans = len(item) + 4 * allowed, first, []
             for p in sorted(places):
                 # a window with enough pairs may lie two edits' room off the stretch
                 lo, hi = max(first, p - 2 * allowed), min(end, p + len(item) + 2 * allowed)
-                if p < covered or hi <= lo:
-                    continue
-                distance, a, b = best_stretch(item, ids[lo:hi])
-                if distance <= allowed:
-                    out.add((doc, item_id, distance, lo + a - first, lo + b - first))
-                    covered = lo + b
+                if spans and lo <= spans[-1][1] and hi - spans[-1][0] <= 4 * reach:
+                    spans[-1][1] = hi
+                else:
+                    spans.append([lo, hi])
+            for lo, hi in spans:
+                for distance, a, b in stretches(item, allowed, ids, max(lo, covered), hi):
+                    out.add((doc, item_id, distance, a - first, b - first))
+                    covered = max(covered, b)
         return sorted(out)
 
 

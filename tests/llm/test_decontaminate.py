@@ -69,3 +69,19 @@ def test_operator_on_odd_rows(spark, odd, empty):
     left = D.clean(odd, bench)
     assert left.columns == odd.columns and left.count() == odd.count() - 4
     assert D.matches(empty, bench).count() == 0 and D.clean(odd, bench.limit(0)).count() == odd.count()
+
+
+def test_long_items_are_found_at_the_bound():
+    rnd = random.Random(9)
+    voc = [f"w{i}" for i in range(3000)]
+    for width in (59, 100, 200):
+        items = [(i, " ".join(rnd.choice(voc) for _ in range(width))) for i in range(8)]
+        docs = []
+        for n in range(60):
+            w = items[n % 8][1].split()
+            for k in sorted(rnd.sample(range(width), int(0.2 * width)), reverse=True):
+                op = rnd.randrange(3)
+                w[k : k + 1] = [[f"x{k}"], [f"x{k}", w[k]], []][op]
+            docs.append(" ".join([*rnd.choices(voc, k=30), *w, *rnd.choices(voc, k=30)]))
+        found = {(d, i) for d, i, *_ in D.Index(items, 0.2, 32, 4).matches(docs)}
+        assert sum((n, n % 8) in found for n in range(60)) >= 0.95 * 60, width
