@@ -51,34 +51,42 @@ class Settings:
             raise ValueError("read_length >= 10, coverage > 0, ploidy >= 1 and 0 <= mutation_rate <= 0.3 are needed")
 
 
+def _need(s: Settings) -> int:
+    """The least length of a fragment."""
+    return s.read_length + (MIN_MATE_EXTRA if s.paired else 0)
+
+
 def wanted_reads(contigs: DataFrame, s: Settings) -> DataFrame:
-    """contigs long enough for a read, with ``n``: reads (pairs) by coverage, rounded at random without bias."""
+    """contigs long enough for a fragment, with ``n``: reads (pairs) by coverage, rounded at random without bias."""
     per = s.read_length * (2 if s.paired else 1)
-    return contigs.where(F.col("length") >= s.read_length).withColumn("n", stochastic_round(F.col("length") * s.coverage / per, s.seed, F.col("contig"), "reads"))
+    return contigs.where(F.col("length") >= _need(s)).withColumn("n", stochastic_round(F.col("length") * s.coverage / per, s.seed, F.col("contig"), "reads"))
 
 
 def _fragment(start: Column, draw: Column, s: Settings) -> Column:
     return F.least(start + F.abs(F.rint(s.fragment_mean + s.fragment_sd * draw)).cast("long"), F.col("length"))
 
 
+def _tried(start: Column, s: Settings) -> Column:
+    """``s, e``: the first drawn length that is enough; after all attempts the least one, for which start leaves room."""
+    ends = [_fragment(start, normal(s.seed, F.col("contig"), F.col("read_no"), a, "len"), s) for a in range(s.attempts)]
+    tries = [F.when(e - start >= _need(s), F.struct(start.alias("s"), e.alias("e"))) for e in ends]
+    return F.coalesce(*tries, F.struct(start.alias("s"), (start + _need(s)).alias("e")))
+
+
 def placements(contigs: DataFrame, s: Settings) -> DataFrame:
     """``contig, length, read_no, s1, e1, s2, e2``: a row a fragment; no mate where reads are single.
 
-    A fragment tries ``attempts`` starts and lengths, all functions of its key, and takes the first that is long enough;
-    fragments of a contig too short for any are left out. With GC weights, starts fall by the weights of windows.
+    Starts leave room for the least fragment. A fragment tries ``attempts`` lengths, all functions of its key, takes the
+    first that is long enough, and else the least: all that are wanted are placed. Contigs too short for any fragment
+    have none. With GC weights, starts fall by the weights of windows.
     """
     wanted = wanted_reads(contigs, s)
     if s.gc_weights:
         return _weighted(wanted, s)
     each = wanted.where("n > 0").select("contig", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("read_no"))
-    span = F.col("length") - s.read_length + 1
-    need = s.read_length + (MIN_MATE_EXTRA if s.paired else 0)
-    tries = []
-    for a in range(s.attempts):
-        start = F.floor(uniform(s.seed, F.col("contig"), F.col("read_no"), a, "start") * span).cast("long")
-        end = _fragment(start, normal(s.seed, F.col("contig"), F.col("read_no"), a, "len"), s)
-        tries.append(F.when(end - start >= need, F.struct(start.alias("s"), end.alias("e"))))
-    return _ends(each.withColumn("f", F.coalesce(*tries)).where("f is not null"), s)
+    # a column of its own: inside the attempts it would be drawn again at each
+    start = F.floor(uniform(s.seed, F.col("contig"), F.col("read_no"), "start") * (F.col("length") - _need(s) + 1)).cast("long")
+    return _ends(each.withColumn("start", start).withColumn("f", _tried(F.col("start"), s)), s)
 
 
 def _ends(rows: DataFrame, s: Settings) -> DataFrame:
@@ -89,10 +97,13 @@ def _ends(rows: DataFrame, s: Settings) -> DataFrame:
 def _weighted(wanted: DataFrame, s: Settings) -> DataFrame:
     """Starts by inverse distribution: the running weight of a contig's windows, in pieces, joined with the draws.
 
-    Draws meet the piece that they fall in by range within the contig, then the window within the piece.
+    Draws meet the piece that they fall in by range within the contig, then the window within the piece. Windows that
+    begin where no fragment has room are left out, so that each draw is a valid start.
     """
     weights = F.array(*[F.lit(float(w)) for w in s.gc_weights])
-    w = gc_windows(wanted, s.gc_window).withColumn("weight", F.element_at(weights, F.col("gc_pct") + 1)).withColumn("piece", F.floor(F.col("pos") / PIECE))
+    tail = max(0, _need(s) - s.gc_window)
+    roomy = wanted.withColumn("seq", F.left("seq", F.col("length") - tail)).withColumn("length", F.col("length") - tail)
+    w = gc_windows(roomy, s.gc_window).withColumn("weight", F.element_at(weights, F.col("gc_pct") + 1)).withColumn("piece", F.floor(F.col("pos") / PIECE))
     order = Window.partitionBy("contig", "piece").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     w = w.withColumn("upto", F.sum("weight").over(order)).withColumn("from", F.col("upto") - F.col("weight"))
     piece = w.groupBy("contig", "piece").agg(F.sum("weight").alias("weight"), F.count("*").alias("windows"))
@@ -110,11 +121,7 @@ def _weighted(wanted: DataFrame, s: Settings) -> DataFrame:
     inner = w.select(F.col("contig").alias("wc"), F.col("piece").alias("wp"), "pos", "from", "upto")
     rest = F.col("at") - F.col("lo")
     placed = hit.join(inner, (F.col("contig") == F.col("wc")) & (F.col("pp") == F.col("wp")) & (rest >= F.col("from")) & (rest < F.col("upto")))
-    start = F.least(F.col("pos"), F.col("length") - s.read_length)
-    need = s.read_length + (MIN_MATE_EXTRA if s.paired else 0)
-    ends = [_fragment(start, normal(s.seed, F.col("contig"), F.col("read_no"), a, "len"), s) for a in range(s.attempts)]
-    tries = [F.when(e - start >= need, F.struct(start.alias("s"), e.alias("e"))) for e in ends]
-    return _ends(placed.withColumn("f", F.coalesce(*tries)).where("f is not null"), s)
+    return _ends(placed.withColumn("f", _tried(F.col("pos"), s)), s)
 
 
 def restricted(fragments: DataFrame, target: DataFrame | None = None, discard: DataFrame | None = None) -> DataFrame:

@@ -38,6 +38,17 @@ def test_gc_weights_draw_reads_to_gc(spark):
     assert sum(r["s1"] >= 2900 for r in rows) > 0.8 * len(rows)
 
 
+def test_all_wanted_fragments_are_placed(spark):
+    c = contigs(spark, ("a", "ACGT" * 27 + "AC"), ("b", "ACGT" * 28), ("c", "ACGT" * 50), ("d", "ACGT" * 27))
+    for weights in ((), tuple([1.0] * 101)):
+        s = S.Settings(coverage=200, fragment_mean=105, fragment_sd=10, seed=4, gc_weights=weights)
+        rows = S.placements(c, s).collect()
+        found = {k: sum(r["contig"] == k for r in rows) for k in "abcd"}
+        assert found == {"a": 110, "b": 112, "c": 200, "d": 0}, (weights, found)
+        assert all(0 <= r["s1"] and r["e1"] <= r["e2"] <= r["length"] and r["e2"] - r["s1"] >= 110 for r in rows)
+        assert {r["s1"] for r in rows if r["contig"] == "b"} == {0, 1, 2}
+
+
 def test_variants_match_the_reference_and_stand_apart(spark):
     seq = genome(20000)
     c = contigs(spark, ("a", seq), ("n", "N" * 3000))
