@@ -23,7 +23,7 @@ VIEWS["snvs"] = """SELECT contig, pos, substring(seq, CAST(pos + 1 AS INT), 1) A
     FROM (SELECT contig, seq, length, (contig_idx * 7919) % length AS pos FROM contigs UNION ALL SELECT contig, seq, length, (contig_idx * 104729 + 13) % length AS pos FROM contigs) p"""
 
 
-def _add(name, sources, make, sql):
+def _add(name, sources, make, sql=None):
     sources = sources.split()
 
     def run(spark, d):
@@ -32,6 +32,8 @@ def _add(name, sources, make, sql):
         return make(*[view(spark, d, s) for s in sources])
 
     Q[name] = run
+    if sql is None:  # whole tables, held to brute force in tests
+        return
     O[name] = with_views(sql, *sources, *(["contigs"] if "snvs" in sources else []))
 
 
@@ -131,3 +133,7 @@ _add(
 )
 _add("j13_weight_lookup", "contigs", lambda s: kmers(s.where("contig_idx < 20"), 3, "contig").groupBy("kmer").agg(F.count("*").alias("n")), "SELECT substr(seq, CAST(i AS INT), 3) AS kmer, count(*) AS n FROM (SELECT seq, unnest(range(1, length - 1)) AS i FROM contigs WHERE contig_idx < 20) x GROUP BY 1")
 _add("r16_uniform_weights", "chroms", lambda s: G.uniform_weights(s.sparkSession), "SELECT CAST(unnest(range(0, 101)) AS INTEGER) AS gc_pct, CAST(1.0 AS DOUBLE) AS weight")
+# the whole tables: the queries of these names without _whole, and their SQL, take a part of the contigs
+_add("j14_local_bias_whole", "snvs contigs", lambda v, s: M.local_bias(s, M.mutation_shares(v, s)).groupBy("contig").agg(F.count("*").alias("places"), F.round(F.max("p"), 9).alias("top")))
+_add("a25_genome_mean_weight_whole", "contigs", lambda s: G.genome_mean_weight(s, s.sparkSession.range(101).select(c("id").cast("int").alias("gc_pct"), ((c("id") % 7 + 1) / 7).alias("weight")), 100).select(r9("mean")))
+_add("j13_weight_lookup_whole", "contigs", lambda s: kmers(s, 3, "contig").groupBy("kmer").agg(F.count("*").alias("n")))

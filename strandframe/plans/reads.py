@@ -15,9 +15,11 @@ O: dict[str, str] = {}
 c = F.col
 
 
-def _add(name, sources, make, sql):
+def _add(name, sources, make, sql=None):
     sources = sources.split()
     Q[name] = lambda spark, d: make(*[view(spark, d, s) for s in sources])
+    if sql is None:  # whole tables, held to brute force in tests
+        return
     O[name] = with_views(sql, *sources)
 
 
@@ -87,3 +89,5 @@ def resolved(contigs, seed: int):
 _add("p2_resolved", "raw_contigs", lambda s: resolved(s.where("contig_idx % 50 = 0"), 11), f"SELECT contig, string_agg({_pick}, '' ORDER BY i) AS seq FROM (SELECT contig, i, code, {_u('11', 'contig', 'i')} AS u FROM (SELECT contig, unnest(range(0, length(seq))) AS i, unnest(string_split(seq, '')) AS code FROM raw_contigs WHERE contig_idx % 50 = 0) x) y GROUP BY contig")
 _add("r11_ploids", "typed", lambda v: v.where("line_no % 5 = 0").select("line_no", "contig", "pos", F.when(R.uniform(2, c("line_no")) < 0.1, "1/1").when(R.uniform(2, c("line_no"), "p") < 0.5, "1/0").otherwise("0/1").alias("gt")), f"SELECT line_no, contig, pos, CASE WHEN {_u('2', 'line_no')} < 0.1 THEN '1/1' WHEN {_u('2', 'line_no', chr(39) + 'p' + chr(39))} < 0.5 THEN '1/0' ELSE '0/1' END AS gt FROM typed WHERE line_no % 5 = 0")
 _add("r8_inserted_bases", "typed", lambda v: v.where("line_no % 5 = 0").select("line_no", "contig", "pos", F.concat(*[F.substr(F.lit(BASES), (F.floor(R.uniform(9, c("line_no"), k) * 4) + 1).cast("int"), F.lit(1)) for k in range(3)]).alias("bases")), "SELECT line_no, contig, pos, concat(" + ", ".join(f"substr('ACGT', CAST(floor({_u('9', 'line_no', str(k))} * 4) + 1 AS INT), 1)" for k in range(3)) + ") AS bases FROM typed WHERE line_no % 5 = 0")
+# the whole tables: the queries of these names without _whole, and their SQL, take a part of the contigs
+_add("p2_resolved_whole", "raw_contigs", lambda s: resolved(s, 11))
