@@ -11,9 +11,11 @@ Q: dict = {}
 O: dict[str, str] = {}
 
 
-def _add(name, sources, make, sql):
+def _add(name, sources, make, sql=None):
     sources = sources.split()
     Q[name] = lambda spark, d: make(*[view(spark, d, s) for s in sources])
+    if sql is None:  # whole tables, held to brute force in tests
+        return
     O[name] = with_views(sql, *sources)
 
 
@@ -69,3 +71,6 @@ _add(
 _add("d9_contigs_without_regions", "chroms regions", lambda c, r: c.join(r.where("st > 99000"), "contig", "left_anti").select("contig"), "SELECT contig FROM chroms c WHERE NOT EXISTS (SELECT 1 FROM regions r WHERE r.contig = c.contig AND r.st > 99000)")
 _add("f8_known_contigs", "typed chroms", lambda v, c: v.join(F.broadcast(c.where("length % 2 = 0")), "contig", "left_semi").groupBy("contig").agg(F.count("*").alias("n")), "SELECT contig, count(*) AS n FROM typed WHERE contig IN (SELECT contig FROM chroms WHERE length % 2 = 0) GROUP BY contig")
 _add("t1_sorted_fragments", "alignments", lambda a: _reads(a).select("event_id", F.expr("row_number() over (partition by contig order by st, event_id)").alias("place")), f"SELECT event_id, CAST(row_number() OVER (PARTITION BY contig ORDER BY st, event_id) AS INTEGER) AS place FROM {_R}")
+# the whole tables: the queries of these names without _whole, and their SQL, take a part of the rows
+_add("w3_fill_gaps_whole", "regions chroms", lambda r, c: I.fill_gaps(r, c).withColumn("rate", F.round("rate", 9)))
+_add("w3_gap_bases_whole", "regions chroms", lambda r, c: I.fill_gaps(r, c).groupBy("contig").agg(F.sum(F.col("en") - F.col("st")).alias("bases")))

@@ -91,3 +91,9 @@ _add("r11_ploids", "typed", lambda v: v.where("line_no % 5 = 0").select("line_no
 _add("r8_inserted_bases", "typed", lambda v: v.where("line_no % 5 = 0").select("line_no", "contig", "pos", F.concat(*[F.substr(F.lit(BASES), (F.floor(R.uniform(9, c("line_no"), k) * 4) + 1).cast("int"), F.lit(1)) for k in range(3)]).alias("bases")), "SELECT line_no, contig, pos, concat(" + ", ".join(f"substr('ACGT', CAST(floor({_u('9', 'line_no', str(k))} * 4) + 1 AS INT), 1)" for k in range(3)) + ") AS bases FROM typed WHERE line_no % 5 = 0")
 # the whole tables: the queries of these names without _whole, and their SQL, take a part of the contigs
 _add("p2_resolved_whole", "raw_contigs", lambda s: resolved(s, 11))
+_att_whole = lambda v, r, s: C.attributed(v.select("contig", "pos", "line_no"), s.where("length % 3 > 0"), r.where("line_no % 4 = 0"), r.where("line_no % 4 = 1"))
+_add("j10_attributed_whole", "typed regions chroms", lambda v, r, s: _att_whole(v, r, s).select("contig", "pos", "line_no", F.array_join("reasons", ",").alias("reasons")))
+_add("a29_reason_counts_whole", "typed regions chroms", lambda v, r, s: C.reason_counts(_att_whole(v, r, s)))
+_add("k9_annotated_whole", "typed regions chroms", lambda v, r, s: _att_whole(v, r, s).select("contig", "pos", "line_no", C.annotated(F.when(c("line_no") % 2 == 0, F.lit(".")).otherwise(F.lit("DP=3")), c("reasons")).alias("info")))
+_add("r11_ploids_whole", "typed", lambda v: v.select("line_no", "contig", "pos", F.when(R.uniform(2, c("line_no")) < 0.1, "1/1").when(R.uniform(2, c("line_no"), "p") < 0.5, "1/0").otherwise("0/1").alias("gt")))
+_add("r8_inserted_bases_whole", "typed", lambda v: v.select("line_no", "contig", "pos", F.concat(*[F.substr(F.lit(BASES), (F.floor(R.uniform(9, c("line_no"), k) * 4) + 1).cast("int"), F.lit(1)) for k in range(3)]).alias("bases")))

@@ -12,9 +12,11 @@ O: dict[str, str] = {}
 c = F.col
 
 
-def _add(name, sources, make, sql):
+def _add(name, sources, make, sql=None):
     sources = sources.split()
     Q[name] = lambda spark, d: make(*[view(spark, d, s) for s in sources])
+    if sql is None:  # whole tables, held to brute force in tests
+        return
     O[name] = with_views(sql, *sources)
 
 
@@ -78,3 +80,7 @@ _add(
     lambda v: V.exact_matches(_deep(v).where(_T), _deep(v).where(_C)).withColumn("bucket", V.bucket(c("truth_bd"), c("query_bd"))).groupBy("contig", "bucket").agg(F.count("*").alias("n")),
     f"SELECT contig, CASE WHEN truth_bd = 'TP' OR query_bd = 'TP' THEN 'TP' WHEN truth_bd = 'FN' THEN 'FN' ELSE 'FP' END AS bucket, count(*) AS n FROM {_MATCH} m GROUP BY 1, 2",
 )
+# the whole tables: the queries of these names without _whole, and their SQL, take a part of the rows
+for _kind in ("DEL", "INS"):
+    _add(f"j12_under_{_kind.lower()}_whole", "typed", lambda v, k=_kind: V.under(_deep(v), k).groupBy("line_no").agg(F.count("*").alias("n")))
+_add("t3_sorted_variants_whole", "typed", lambda v: v.select("contig", "pos", F.expr("row_number() over (partition by contig order by pos, line_no, ref, alt)").alias("place")))

@@ -38,3 +38,59 @@ def test_all_contigs_are_resolved(spark):
     codes = {"R": "AG", "Y": "CT", "K": "GT", "M": "AC"}
     assert got.keys() == raw.keys()
     assert all(len(got[k]) == len(s) and all(b in codes.get(a, a) for a, b in zip(s, got[k], strict=True)) for k, s in raw.items())
+
+
+def test_all_regions_are_folded(spark):
+    regions = defaultdict(list)
+    for r in view(spark, D, "regions").collect():
+        regions[r["contig"]].append((r["line_no"], r["st"], r["en"]))
+    lengths = {r["contig"]: r["length"] for r in view(spark, D, "chroms").collect()}
+    want = set()
+    for k, length in lengths.items():
+        at = 0
+        for _, st, en in sorted(regions[k]):
+            if st >= at:
+                want |= {(k, st, en)} | ({(k, at, st)} if st > at else set())
+                at = en
+        want |= {(k, at, length)} if at < length else set()
+    assert {(r["contig"], r["st"], r["en"]) for r in rows(spark, "w3_fill_gaps_whole")} == want
+    assert {r["contig"]: r["bases"] for r in rows(spark, "w3_gap_bases_whole")} == {k: sum(e - s for c, s, e in want if c == k) for k in lengths}
+
+
+def test_all_variants(spark):
+    typed = view(spark, D, "typed").collect()
+    by = defaultdict(list)
+    for r in typed:
+        by[r["contig"]].append((r["pos"], r["line_no"], r["ref"], r["alt"]))
+    want = Counter((k, v[0], n) for k, vs in by.items() for n, v in enumerate(sorted(vs), 1))
+    assert Counter((r["contig"], r["pos"], r["place"]) for r in rows(spark, "t3_sorted_variants_whole")) == want
+    kind = lambda r: "SNV" if len(r["ref"]) == len(r["alt"]) == 1 else "DEL" if r["ref"].startswith(r["alt"]) else "INS" if r["alt"].startswith(r["ref"]) else "UNK"
+    deep = [(r["contig"], r["pos"] % 500, r["gt"], r["line_no"], kind(r), r) for r in typed if r["ref"] != r["alt"]]
+    at = defaultdict(list)
+    for k, p, gt, line, *_ in deep:
+        at[k, p, gt].append(line)
+    for which, side in (("DEL", "ref"), ("INS", "alt")):
+        met = {(line, own) for k, p, gt, own, t, r in deep if t == which for q in range(p, p + len(r[side])) for line in at[k, q, gt] if line != own}
+        assert {r["line_no"]: r["n"] for r in rows(spark, f"j12_under_{which.lower()}_whole")} == Counter(line for line, _ in met)
+
+
+def test_all_misses_have_reasons_and_draws(spark):
+    typed = Counter((r["line_no"], r["contig"], r["pos"]) for r in view(spark, D, "typed").collect())
+    key = lambda found: Counter((r["line_no"], r["contig"], r["pos"]) for r in found)
+    known = {r["contig"] for r in view(spark, D, "chroms").collect() if r["length"] % 3 > 0}
+    spans = [defaultdict(list), defaultdict(list)]
+    for r in view(spark, D, "regions").collect():
+        if r["line_no"] % 4 < 2:
+            spans[r["line_no"] % 4][r["contig"]].append((r["st"], r["en"]))
+    inside = lambda i, k, p: any(a <= p < b for a, b in spans[i][k])
+    names = {(True, True): "unknown", (True, False): "outside_target_bed", (False, True): "outside_mutation_bed", (False, False): "outside_mutation_bed,outside_target_bed"}
+    reason = lambda k, p: names[inside(0, k, p), inside(1, k, p)] if k in known else "outside_simulated_contigs"
+    found = rows(spark, "j10_attributed_whole")
+    assert key(found) == typed and all(r["reasons"] == reason(r["contig"], r["pos"]) for r in found)
+    assert {r["reason"]: r["n"] for r in rows(spark, "a29_reason_counts_whole")} == Counter(x for r in found for x in r["reasons"].split(","))
+    for r in (noted := rows(spark, "k9_annotated_whole")):
+        assert r["info"] == ("" if r["line_no"] % 2 == 0 else "DP=3;") + "MISS_REASON=" + reason(r["contig"], r["pos"])
+    assert key(noted) == typed
+    for name, column, allowed in (("r11_ploids_whole", "gt", "1/1 1/0 0/1".split()), ("r8_inserted_bases_whole", "bases", None)):
+        found = rows(spark, name)
+        assert key(found) == typed and all(r[column] in allowed if allowed else len(r[column]) == 3 and set(r[column]) <= set("ACGT") for r in found)
