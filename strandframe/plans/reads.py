@@ -97,3 +97,4 @@ _add("a29_reason_counts_whole", "typed regions chroms", lambda v, r, s: C.reason
 _add("k9_annotated_whole", "typed regions chroms", lambda v, r, s: _att_whole(v, r, s).select("contig", "pos", "line_no", C.annotated(F.when(c("line_no") % 2 == 0, F.lit(".")).otherwise(F.lit("DP=3")), c("reasons")).alias("info")))
 _add("r11_ploids_whole", "typed", lambda v: v.select("line_no", "contig", "pos", F.when(R.uniform(2, c("line_no")) < 0.1, "1/1").when(R.uniform(2, c("line_no"), "p") < 0.5, "1/0").otherwise("0/1").alias("gt")))
 _add("r8_inserted_bases_whole", "typed", lambda v: v.select("line_no", "contig", "pos", F.concat(*[F.substr(F.lit(BASES), (F.floor(R.uniform(9, c("line_no"), k) * 4) + 1).cast("int"), F.lit(1)) for k in range(3)]).alias("bases")))
+_add("p23_run_lengths_whole", "contigs", lambda s: s.select("contig", D.run_lengths(c("seq")).alias("runs")))

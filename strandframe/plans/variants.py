@@ -84,3 +84,4 @@ _add(
 for _kind in ("DEL", "INS"):
     _add(f"j12_under_{_kind.lower()}_whole", "typed", lambda v, k=_kind: V.under(_deep(v), k).groupBy("line_no").agg(F.count("*").alias("n")))
 _add("t3_sorted_variants_whole", "typed", lambda v: v.select("contig", "pos", F.expr("row_number() over (partition by contig order by pos, line_no, ref, alt)").alias("place")))
+_add("f7_reference_matches_whole", "contigs", lambda s: V.matching_reference(s.select("contig", F.explode(F.sequence(F.lit(0).cast("long"), c("length").cast("long") - 1)).alias("pos")).withColumn("ref", F.when(c("pos") % 3 == 0, "A").otherwise("CG")), s))

@@ -94,3 +94,9 @@ def test_all_misses_have_reasons_and_draws(spark):
     for name, column, allowed in (("r11_ploids_whole", "gt", "1/1 1/0 0/1".split()), ("r8_inserted_bases_whole", "bases", None)):
         found = rows(spark, name)
         assert key(found) == typed and all(r[column] in allowed if allowed else len(r[column]) == 3 and set(r[column]) <= set("ACGT") for r in found)
+
+
+def test_whole_sequences_are_looked_at(spark, seqs):
+    assert {r["contig"]: r["runs"] for r in rows(spark, "p23_run_lengths_whole")} == {k: "".join(f"{len(list(g))}{b}" for b, g in groupby(s)) for k, s in seqs.items()}
+    want = {(k, i) for k, s in seqs.items() for i in range(len(s)) if s.startswith("A" if i % 3 == 0 else "CG", i)}
+    assert {(r["contig"], r["pos"]) for r in rows(spark, "f7_reference_matches_whole")} == want
