@@ -1,15 +1,19 @@
 """Removal of repeated byte strings by suffix arrays.
 
-Method: every window of ``length`` bytes has an anchor, the k bytes of least hash in it; equal windows have equal
+Method: every window of ``length`` bytes has an anchor, the ANCHOR bytes of least hash in it; equal windows have equal
 anchors, at the same place. Windows of a text with one anchor are neighbours and make a stretch. Stretches are met by
-their anchor's hash: an anchor seen once has no repeated window; one whose stretches are all alike has nothing but
-repeated windows. Only different stretches of a shared anchor are sorted: shards of whole anchor groups are
-concatenated, their suffix array is built by two-stage sorting (suffixes smaller than their successors are sorted
-directly, the others induced by scans of the buckets), and adjacent common prefixes of ``length`` bytes or more show the
-repeated windows. The order matters to that depth only, so direct sorting stops there.
-
-A group of more than ``max_stretches`` different stretches is not gathered: its windows are counted by a 128-bit
-digest, with partial sums before the shuffle, which gives the same windows.
+their anchor's hash; an anchor that occurs once has no repeated window. All others go through the suffix sort: of each
+distinct stretch one copy, or the bytes of two of its copies where there are more, shards of whole anchor groups
+concatenated. The suffix array of a shard is built by two-stage sorting (suffixes smaller than their successors are
+sorted directly, the others induced by scans of the buckets), for the places that begin windows and what they are
+induced from; adjacent common prefixes of ``length`` bytes show the repeated windows. The order matters to that depth
+only, so direct sorting stops there. What is found for a distinct stretch holds for all its copies, which are told by a
+digest of 128 bits.
+
+A group whose bytes exceed ``shard_bytes`` is split before it is gathered: its stretches are cut into runs of 16 windows
+at the same distance from the anchor, which are met by all the bytes that those windows have in common. Groups that are
+still too large are cut into runs of 2 windows; of these a group has at most 65,536 distinct members, as they differ in
+two bytes only. So a shard is bounded whatever the corpus, and every window goes through the same sort.
 
 Defined results: null texts count as empty; texts shorter than ``length`` keep everything; repeated rows are texts of
 their own, so a repeated long text is removed whole; other columns are ignored; rows are told apart by id and text,
@@ -18,11 +22,11 @@ and equal rows get equal results.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,8 +35,10 @@ from strandframe.session import stored
 
 ANCHOR = 24
 PIECE = 1 << 20
+#: Windows in a run, each time that a group is too large to be sorted at once.
+RUNS = (16, 2)
 _RNG = np.random.default_rng(97)
-_TABLE = _RNG.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_TABLES = [_RNG.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2)]
 _BASE = int(_RNG.integers(0, 2**62)) * 2 + 1
 _POWERS: list[np.ndarray] = []
 
@@ -45,18 +51,18 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
             out = np.ones(1, np.uint64)
             with np.errstate(over="ignore"):
                 while len(out) < n:
-                    out = np.concatenate([out, out * np.uint64(pow(base, len(out), 1 << 64))])
-            _POWERS.append(out[:n])
+                    out = np.concatenate([out, out[: n - len(out)] * np.uint64(pow(base, len(out), 1 << 64))])
+            _POWERS.append(out)
     return _POWERS[0][:n], _POWERS[1][:n]
 
 
 class Hashes:
-    """Hashes of all substrings of some bytes, by prefix sums."""
+    """Hashes of all substrings of some bytes, by prefix sums; two tables make two independent ones."""
 
-    def __init__(self, data: np.ndarray):
+    def __init__(self, data: np.ndarray, table: int = 0):
         up, self.down = _powers(len(data) + 1)
         with np.errstate(over="ignore"):
-            self.sums = np.concatenate([[np.uint64(0)], np.cumsum(_TABLE[data] * up[:-1], dtype=np.uint64)])
+            self.sums = np.concatenate([[np.uint64(0)], np.cumsum(_TABLES[table][data] * up[:-1], dtype=np.uint64)])
 
     def of(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
@@ -74,30 +80,46 @@ def least_in_windows(values: np.ndarray, width: int) -> np.ndarray:
     return (np.minimum(behind[:n], ahead[width - 1 : width - 1 + n]) & np.uint64((1 << 24) - 1)).astype(np.int64)
 
 
-def stretches(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor hash, content hash, first start, last start) of the stretches of windows of some bytes."""
+def _contents(data: np.ndarray, hashes: Hashes, first: np.ndarray, stop: np.ndarray, ref: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of the bytes from first to stop, their number and the place of ref among them."""
+    with np.errstate(over="ignore"):
+        shape = mixed(((stop - first) * 4096 + (ref - first)).astype(np.uint64))
+        return mixed(hashes.of(first, stop) + shape).view(np.int64), mixed(Hashes(data, 1).of(first, stop) ^ shape).view(np.int64)
+
+
+def stretches(data: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """(anchor hash, two content hashes, first start, last start, anchor's place) of the stretches of windows of some bytes."""
     n = len(data) - length + 1
     if n <= 0:
-        none = np.zeros(0, np.int64)
-        return none, none, none, none
+        return (np.zeros(0, np.int64),) * 6
     hashes = Hashes(data)
     at = np.arange(len(data) - ANCHOR + 1)
     grams = hashes.of(at, at + ANCHOR)
     anchor = least_in_windows(grams, length - ANCHOR + 1)
     first = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
     last = np.concatenate([first[1:], [n]]) - 1
+    place = anchor[first]
+    return grams[place].view(np.int64), *_contents(data, hashes, first, last + length, place), first, last, place
+
+
+def runs_of_windows(data: np.ndarray, ref: int, length: int, width: int) -> tuple[np.ndarray, ...]:
+    """(hash of the common bytes, two content hashes, first start, last start, where the common bytes begin) of the runs of
+    width windows, counted from ref, that a stretch is cut into."""
+    hashes = Hashes(data)
+    first = np.arange(len(data) - length + 1)
+    run = (ref - first) // width
+    heads = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
+    first, last = heads, np.concatenate([heads[1:], [len(first)]]) - 1
+    core = ref - run[heads] * width
     with np.errstate(over="ignore"):
-        content = mixed(hashes.of(first, last + length) + mixed(((last - first) * 1024 + (anchor[first] - first)).astype(np.uint64)))
-    return grams[anchor[first]].view(np.int64), content.view(np.int64), first, last
+        key = mixed(hashes.of(core, core - width + 1 + length) + mixed((run[heads] + (1 << 20)).astype(np.uint64))).view(np.int64)
+    return key, *_contents(data, hashes, first, last + length, core), first, last, core
 
 
 def _words8(data: np.ndarray) -> np.ndarray:
     """The eight bytes from each place as a number that sorts as they do; zeros past the end."""
-    padded = np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.uint64)
-    out = np.zeros(len(data), np.uint64)
-    for j in range(8):
-        out = (out << np.uint64(8)) | padded[j : j + len(data)]
-    return out
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray(len(data), ">u8", padded, strides=(1,)).astype(np.uint64)
 
 
 def smaller_than_successor(data: np.ndarray) -> np.ndarray:
@@ -114,37 +136,65 @@ def smaller_than_successor(data: np.ndarray) -> np.ndarray:
     return out
 
 
+def _eight_from(eight: np.ndarray, places: np.ndarray) -> np.ndarray:
+    return np.where(places < len(eight), eight[np.minimum(places, len(eight) - 1)], np.uint64(0))
+
+
 def _sorted_directly(where: np.ndarray, eight: np.ndarray, depth: int) -> np.ndarray:
-    """The places ordered by the ``depth`` bytes from them; eight bytes a round, of what is still tied."""
+    """The places ordered by the ``depth`` bytes from them; eight bytes a round, of what is still tied. Of places with one
+    hash of those bytes the first is sorted for all of them."""
     order = where[np.argsort(eight[where], kind="stable")]
     key = eight[order]
     head = np.concatenate([[True], key[1:] != key[:-1]])  # of each group of equal ones
+    tied = np.flatnonzero(~(head & np.append(head[1:], True)))
+    if not len(tied):
+        return order
+    group, places = np.cumsum(head[tied]), order[tied]
+    whole = np.zeros(len(places), np.uint64)
+    with np.errstate(over="ignore"):
+        for at in range(8, depth, 8):
+            whole = mixed(whole + _eight_from(eight, places + at))
+    by = np.lexsort((whole, group))
+    order[tied], whole = places[by], whole[by]
+    lead = np.ones(len(order), bool)
+    lead[tied[1:]] = (whole[1:] != whole[:-1]) | (group[1:] != group[:-1])
+    leads = np.flatnonzero(lead)
+    picked, head = leads.copy(), head[leads]
     for at in range(8, depth, 8):
         tied = np.flatnonzero(~(head & np.append(head[1:], True)))
         if not len(tied):
             break
         group = np.cumsum(head[tied])
-        places = order[tied]
-        value = np.where(places + at < len(eight), eight[np.minimum(places + at, len(eight) - 1)], np.uint64(0))
+        value = _eight_from(eight, order[picked[tied]] + at)
         again = np.lexsort((value, group))
-        order[tied], value = places[again], value[again]
+        picked[tied], value = picked[tied][again], value[again]
         head[tied[1:]] |= value[1:] != value[:-1]
-    return order
+    size = np.diff(np.append(leads, len(order)))[np.searchsorted(leads, picked)]
+    ends = np.cumsum(size)
+    return order[np.repeat(picked - ends + size, size) + np.arange(len(order))]
 
 
-def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
-    """All suffixes by their first ``depth`` bytes. data ends with a byte 0 that counts as the sentinel."""
+def suffix_array(data: np.ndarray, depth: int, wanted: np.ndarray | None = None, eight: np.ndarray | None = None) -> np.ndarray:
+    """The suffixes by their first ``depth`` bytes: all, or those at the sorted places wanted and the ones they are induced
+    from. data ends with a byte 0 that counts as the sentinel."""
     small = smaller_than_successor(data)
-    direct = _sorted_directly(np.flatnonzero(small), _words8(data), depth)
+    need = np.ones(len(data), bool)
+    if wanted is not None:
+        # a greater suffix is induced from its successor, and so on up to the next smaller one
+        ends = np.flatnonzero(small)
+        ends = ends[np.searchsorted(ends, wanted)]
+        need = np.cumsum(np.bincount(wanted, minlength=len(data) + 1) - np.bincount(ends + 1, minlength=len(data) + 1))[:-1] > 0
+    direct = _sorted_directly(np.flatnonzero(small & need), _words8(data) if eight is None else eight, depth)
     heads = data[direct]
     bounds = np.searchsorted(heads, np.arange(257))
+    greater = ~small & need
     waiting: list[list[np.ndarray]] = [[] for _ in range(256)]
     out = []
 
     def induce(places: np.ndarray, c: int) -> np.ndarray:
         """Hand the greater predecessors of sorted suffixes to their buckets; give those of this bucket."""
         before = places[places > 0] - 1
-        before = before[~small[before]]
+        before = before[greater[before]]
         if not len(before):
             return before
         first = data[before]
@@ -172,12 +222,12 @@ def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
 
 
 def repeated(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
-    """Which of the places, all with length bytes from them, begin a string that another of them begins too."""
+    """Which of the sorted places, all with length bytes from them, begin a string that another of them begins too."""
     wanted = np.zeros(len(data), bool)
     wanted[starts] = True
-    order = suffix_array(data, length)
-    order = order[wanted[order]]
     eight = _words8(data)
+    order = suffix_array(data, length, starts, eight)
+    order = order[wanted[order]]
     a, b = order[:-1], order[1:]
     alike = np.arange(len(a))
     for at in [*range(0, length - 7, 8), length - 8]:
@@ -187,17 +237,98 @@ def repeated(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
     return out
 
 
-def _runs(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
-    """The bytes that windows at the sorted starts cover."""
-    cut = np.flatnonzero(np.diff(starts) > length)
-    return [(int(starts[i]), int(starts[j]) + length) for i, j in zip(np.concatenate([[0], cut + 1]), np.concatenate([cut, [len(starts) - 1]]), strict=True)]
-
-
 def _raw(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
-def repeats(docs: DataFrame, length: int = 200, max_stretches: int = 8192, shard_bytes: int = 2 << 20) -> DataFrame:
+HITS = "gid long, c1 long, c2 long, lo long, hi long"
+
+
+def _sorter(length: int, shard_bytes: int):
+    """Rows ``gid, c1, c2, times, data``, sorted by the first three, to HITS: the bytes of data that repeated windows cover."""
+
+    def flush(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(parts).combine_chunks()
+        gid, c1, c2, times = (table.column(i).to_numpy() for i in range(4))
+        of = np.repeat(np.arange(len(gid)), times)
+        raw = table.column(4).to_pylist()
+        data = np.frombuffer(b"\0".join([raw[i] for i in of]) + b"\0", np.uint8)
+        size = np.array([len(r) for r in raw])[of]
+        begins = np.cumsum(size + 1) - size - 1
+        count = size - length + 1
+        starts = np.repeat(begins - np.cumsum(count) + count, count) + np.arange(count.sum())
+        hit = np.flatnonzero(repeated(data, starts, length))
+        # the first copy of each content speaks for it
+        new = (np.diff(gid, prepend=gid[:1]) != 0) | (np.diff(c1, prepend=c1[:1]) != 0) | (np.diff(c2, prepend=c2[:1]) != 0)
+        new[0] = True
+        speaks = new[of] & np.concatenate([[True], of[1:] != of[:-1]])
+        row = np.searchsorted(begins, hit, "right") - 1
+        hit, row = hit[speaks[row]], row[speaks[row]]
+        cut = np.flatnonzero((np.diff(hit) > length) | (np.diff(row) != 0))
+        head, tail = np.append(0, cut + 1)[: len(hit)], np.append(cut, len(hit) - 1)[: len(hit)]
+        at = of[row[head]]
+        return pa.record_batch([pa.array(x) for x in (gid[at], c1[at], c2[at], hit[head] - begins[row[head]], hit[tail] - begins[row[head]] + length)], ["gid", "c1", "c2", "lo", "hi"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size, last = 0, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            gid = batch.column(0).to_numpy()
+            weight = np.append(0, np.cumsum(pc.binary_length(batch.column(4)).to_numpy().astype(np.int64) * batch.column(3).to_numpy()))
+            new_group = np.concatenate([[last is not None and gid[0] != last], gid[1:] != gid[:-1]])
+            start, last = 0, gid[-1]
+            for at in np.flatnonzero(new_group).tolist():
+                if size + weight[at] - weight[start] >= shard_bytes:
+                    yield flush([*held, batch.slice(start, at - start)])
+                    held, size, start = [], 0, at
+            held.append(batch.slice(start))
+            size += weight[-1] - weight[start]
+        if held:
+            yield flush(held)
+
+    return run
+
+
+def _hits(pieces: DataFrame, length: int, shard_bytes: int, runs: tuple[int, ...]) -> DataFrame:
+    """HITS of rows ``gid, c1, c2, times, ref, crowd, data``; crowded groups are cut into runs and sorted as groups of those."""
+    small = pieces if not runs else pieces.where(~F.col("crowd"))
+    shards = small.select("gid", "c1", "c2", "times", "data").repartition("gid").sortWithinPartitions("gid", "c1", "c2")
+    found = shards.mapInArrow(_sorter(length, shard_bytes), HITS)
+    if not runs or not pieces.where("crowd").limit(1).count():
+        return found
+    width = runs[0]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "data", 1 << 20):
+            of, columns, pieces_of = [], [], []
+            for n, (ref, raw) in enumerate(zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)):
+                *found, first, last, core = runs_of_windows(np.frombuffer(raw, np.uint8), ref, length, width)
+                of.append(np.full(len(first), n))
+                columns.append((*found, first, core - first))
+                pieces_of += [raw[a : b + length] for a, b in zip(first.tolist(), last.tolist(), strict=True)]
+            at = pa.array(np.concatenate(of))
+            k, c1, c2, first, ref = (pa.array(np.concatenate([c[i] for c in columns])) for i in range(5))
+            yield pa.record_batch([*[batch.column(i).take(at) for i in range(4)], k, c1, c2, first, ref.cast(pa.int32()), pa.array(pieces_of, pa.binary())], ["pgid", "p1", "p2", "times", "gid", "c1", "c2", "off", "ref", "data"])
+
+    crowded = pieces.where("crowd").select("gid", "c1", "c2", "times", "ref", "data").repartition("gid", "c1", "c2")
+    parts = stored(crowded.mapInArrow(cut, "pgid long, p1 long, p2 long, times int, gid long, c1 long, c2 long, off long, ref int, data binary"), "sa-runs")
+    met = parts.groupBy("gid").agg(F.sum("times").alias("met")).where("met > 1").select("gid")
+    distinct = parts.join(met, "gid", "left_semi").groupBy("gid", "c1", "c2").agg(F.least(F.sum("times"), F.lit(2)).cast("int").alias("times"), F.first("ref").alias("ref"), F.first("data").alias("data"))
+    inner = _hits(_weighed(stored(distinct, "sa-distinct"), shard_bytes, "times * length(data)"), length, shard_bytes, runs[1:])
+    links = parts.select("pgid", "p1", "p2", "gid", "c1", "c2", "off").distinct()
+    of_runs = links.join(inner, ["gid", "c1", "c2"]).select(F.col("pgid").alias("gid"), F.col("p1").alias("c1"), F.col("p2").alias("c2"), (F.col("off") + F.col("lo")).alias("lo"), (F.col("off") + F.col("hi")).alias("hi"))
+    return found.unionByName(of_runs)
+
+
+def _weighed(rows: DataFrame, shard_bytes: int, weight: str) -> DataFrame:
+    """rows with ``crowd``: whether the bytes of their group exceed a shard."""
+    over = rows.groupBy("gid").agg(F.sum(F.expr(weight)).alias("held")).where(F.col("held") > shard_bytes).select("gid", F.lit(True).alias("over"))
+    return rows.join(over, "gid", "left").withColumn("crowd", F.coalesce("over", F.lit(False))).drop("over")
+
+
+def repeats(docs: DataFrame, length: int = 200, shard_bytes: int = 1 << 20) -> DataFrame:
     """``id, h, lo, hi``: byte ranges of texts that repeated windows cover, from rows ``id, h, text``; they may overlap."""
     if length < ANCHOR + 8:
         raise ValueError(f"length must be {ANCHOR + 8} or more")
@@ -209,94 +340,42 @@ def repeats(docs: DataFrame, length: int = 200, max_stretches: int = 8192, shard
             for n, text in enumerate(batch.column(2).to_pylist()):
                 data = np.frombuffer(_raw(text), np.uint8)
                 for s in range(0, max(1, len(data) - length + 1), PIECE):
-                    f, c, a, b = stretches(data[s : s + PIECE + length - 1], length)
-                    of.append(np.full(len(f), n))
-                    found.append((f, c, a + s, b + s))
+                    *keys, first, last, place = stretches(data[s : s + PIECE + length - 1], length)
+                    of.append(np.full(len(first), n))
+                    found.append((*keys, first + s, last + s, place - first))
             if found:
                 at = pa.array(np.concatenate(of))
-                columns = [np.concatenate([x[i] for x in found]) for i in range(4)]
-                yield pa.record_batch([batch.column(0).take(at), batch.column(1).take(at), *[pa.array(c, pa.int64()) for c in columns]], ["id", "h", "anchor", "content", "first", "last"])
-
-    all_ = stored(docs.where(F.octet_length("text") >= length).select("id", "h", "text").mapInArrow(cut, f"id {kind}, h long, anchor long, content long, first long, last long"), "sa-stretches")
-    groups = all_.groupBy("anchor").agg(F.count("*").alias("n"), (F.min("content") != F.max("content")).alias("mixed")).where("n > 1").select("anchor", "mixed")
-    met = stored(all_.join(groups, "anchor"), "sa-shared")
-    whole = lambda df: df.select("id", "h", F.col("first").alias("lo"), (F.col("last") + length).alias("hi"))
-    found = whole(met.where(~F.col("mixed")))
-
-    # different stretches of one anchor: each content once
-    differing = met.where("mixed")
-    contents = stored(differing.groupBy("anchor", "content").agg(F.count("*").alias("n"), F.min_by(F.struct("id", "h", "first", "last"), F.struct("h", "first")).alias("one")), "sa-contents")
-    found = found.unionByName(whole(differing.join(contents.where("n > 1").select("anchor", "content"), ["anchor", "content"], "left_semi")))
-    crowded = contents.groupBy("anchor").agg(F.count("*").alias("stretches"))
-    listed = contents.join(crowded, "anchor").select("one.*", "anchor", "n", (F.col("stretches") > max_stretches).alias("crowd"))
-    by_text = listed.groupBy("id", "h").agg(F.collect_list(F.struct("anchor", "n", "first", "last", "crowd")).alias("parts"))
-    same = (docs["id"].eqNullSafe(F.col("i2"))) & (docs["h"] == F.col("h2"))
-    with_text = by_text.select(F.col("id").alias("i2"), F.col("h").alias("h2"), "parts").join(docs, same).select("id", "h", "text", "parts")
+                columns = [pa.array(np.concatenate([x[i] for x in found])) for i in range(6)]
+                yield pa.record_batch([batch.column(0).take(at), batch.column(1).take(at), *columns[:5], columns[5].cast(pa.int32())], ["id", "h", "gid", "c1", "c2", "first", "last", "ref"])
+
+    all_ = stored(docs.where(F.octet_length("text") >= length).select("id", "h", "text").mapInArrow(cut, f"id {kind}, h long, gid long, c1 long, c2 long, first long, last long, ref int"), "sa-stretches")
+    shared = all_.groupBy("gid").agg(F.count("*").alias("n")).where("n > 1").select("gid")
+    met = stored(all_.join(shared, "gid", "left_semi"), "sa-shared")
+
+    # of each content one member, or two where there are more
+    one = F.struct("id", "h", "first", "last", "ref")
+    contents = stored(met.groupBy("gid", "c1", "c2").agg(F.count("*").alias("n"), F.min(one).alias("one"), F.max(one).alias("two")), "sa-contents")
+    listed = _weighed(contents, shard_bytes, "least(n, 2) * (one.last - one.first + %d)" % length)
+    picked = listed.select("gid", "c1", "c2", "crowd", F.explode(F.when(F.col("n") > 1, F.array("one", "two")).otherwise(F.array("one"))).alias("m"))
+    by_text = picked.groupBy(F.col("m.id").alias("i2"), F.col("m.h").alias("h2")).agg(F.collect_list(F.struct("gid", "c1", "c2", "m.ref", "crowd", "m.first", "m.last")).alias("parts"))
+    with_text = by_text.join(docs, docs["id"].eqNullSafe(F.col("i2")) & (docs["h"] == F.col("h2"))).select("text", "parts")
 
     def bytes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 2 << 20):
-            rows = []
-            for n, (text, parts) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-                data = _raw(text)
-                for p in parts:
-                    rows.append((n, p["anchor"], p["n"], p["first"], p["last"], p["crowd"], data[p["first"] : p["last"] + length]))
+            rows, data = [], []
+            for text, parts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                raw = _raw(text)
+                flat = pa.RecordBatch.from_struct_array(parts.values)
+                rows.append(flat)
+                data += [raw[a : b + length] for a, b in zip(flat.column("first").to_pylist(), flat.column("last").to_pylist(), strict=True)]
             if rows:
-                c = list(zip(*rows, strict=True))
-                at = pa.array(c[0], pa.int64())
-                yield pa.record_batch([batch.column(0).take(at), batch.column(1).take(at), *[pa.array(x, pa.int64()) for x in c[1:5]], pa.array(c[5], pa.bool_()), pa.array(c[6], pa.binary())], ["id", "h", "anchor", "n", "first", "last", "crowd", "data"])
-
-    # a repeated row is in the texts twice, but its contents were counted; one copy is enough
-    sources = stored(with_text.dropDuplicates(["id", "h"]).mapInArrow(bytes_of, f"id {kind}, h long, anchor long, n long, first long, last long, crowd boolean, data binary"), "sa-sources")
-
-    def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        size = 0
-
-        def flush(rows: list[tuple]) -> pa.RecordBatch:
-            data = np.frombuffer(b"".join(r[6] + b"\0" for r in rows), np.uint8)
-            ends = np.cumsum([len(r[6]) + 1 for r in rows])
-            begins = np.concatenate([[0], ends[:-1]])
-            count = np.array([r[5] - r[4] + 1 for r in rows])
-            starts = np.repeat(begins - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-            hit = repeated(data, starts, length)
-            out = []
-            for r, b, n in zip(rows, begins, count, strict=True):
-                if r[3] == 1:
-                    mine = np.flatnonzero(hit[b : b + n])
-                    if len(mine):
-                        out += [(r[0], r[1], r[4] + lo, r[4] + hi) for lo, hi in _runs(mine, length)]
-            c = list(zip(*out, strict=True)) if out else [[], [], [], []]
-            return pa.record_batch([pa.array(c[0], id_type), *[pa.array(x, pa.int64()) for x in c[1:]]], ["id", "h", "lo", "hi"])
-
-        id_type = None
-        for batch in batches:
-            id_type = batch.schema.field("id").type
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if size >= shard_bytes and row[2] != held[-1][2]:
-                    yield flush(held)
-                    held, size = [], 0
-                held.append(row)
-                size += len(row[6])
-        if held:
-            yield flush(held)
-
-    columns = ["id", "h", "anchor", "n", "first", "last", "data"]
-    shards = sources.where("not crowd").select(*columns).repartition("anchor").sortWithinPartitions("anchor")
-    sorted_ = shards.mapInArrow(sort, f"id {kind}, h long, lo long, hi long")
+                table = pa.Table.from_batches(rows).combine_chunks()
+                columns = {c: table.column(c).chunk(0) for c in ("gid", "c1", "c2", "ref", "crowd")}
+                yield pa.record_batch([columns["gid"], columns["c1"], columns["c2"], pa.array(np.ones(len(data), np.int32)), columns["ref"], columns["crowd"], pa.array(data, pa.binary())], ["gid", "c1", "c2", "times", "ref", "crowd", "data"])
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for n, (first, last, data) in enumerate(zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), batch.column(6).to_pylist(), strict=True)):
-                rows += [(n, first + j, hashlib.blake2b(data[j : j + length], digest_size=16).digest()) for j in range(last - first + 1)]
-            c = list(zip(*rows, strict=True)) if rows else [[], [], []]
-            at = pa.array(c[0], pa.int64())
-            yield pa.record_batch([batch.column(0).take(at), batch.column(1).take(at), batch.column(3).take(at), pa.array(c[1], pa.int64()), pa.array(c[2], pa.binary())], ["id", "h", "n", "start", "digest"])
-
-    each = sources.where("crowd").select(*columns).mapInArrow(windows, f"id {kind}, h long, n long, start long, digest binary")
-    counted = each.groupBy("digest").agg(F.count("*").alias("times")).where("times > 1")
-    crowded_hits = each.where("n = 1").join(counted, "digest", "left_semi").select("id", "h", F.col("start").alias("lo"), (F.col("start") + length).alias("hi"))
-    return found.unionByName(sorted_).unionByName(crowded_hits)
+    sources = stored(with_text.mapInArrow(bytes_of, "gid long, c1 long, c2 long, times int, ref int, crowd boolean, data binary"), "sa-sources")
+    hits = stored(_hits(sources, length, shard_bytes, RUNS), "sa-hits")
+    return met.join(hits, ["gid", "c1", "c2"]).select("id", "h", (F.col("first") + F.col("lo")).alias("lo"), (F.col("first") + F.col("hi")).alias("hi"))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, **options) -> DataFrame:
