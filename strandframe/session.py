@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 LOCAL_CONF = {
@@ -29,9 +30,12 @@ def local_session(app: str = "strandframe", cpus: str | int = "*", memory: str =
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``); a temporary one only where that is unset."""
+    """The folder that driver and executors share (``spark.checkpoint.dir``); a temporary one where that is unset and the
+    master is local, so that there is one machine only."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = os.environ.setdefault("STRANDFRAME_SHARED", tempfile.mkdtemp(prefix="strandframe-"))
         spark.conf.set("spark.checkpoint.dir", f"file://{folder}")
         folder = f"file://{folder}"
@@ -53,4 +57,24 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     """Cut the lineage: write to the shared folder as Parquet and read back, so that a lost executor costs no recomputation."""
     path = scratch(df.sparkSession, tag) + "/data"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def held(df: DataFrame) -> DataFrame:
+    """df, computed once and kept on the executors' disks until released; what is lost with an executor is made again."""
+    return df.persist(StorageLevel.DISK_ONLY)
+
+
+def released(*tables: DataFrame) -> None:
+    for table in tables:
+        table.unpersist()
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Remove stored tables that nothing reads any more."""
+    for table in tables:
+        spark = table.sparkSession
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table.stored_at)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
