@@ -154,7 +154,7 @@ def encode(df: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id", te
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                key = f"{i}/{hashlib.sha256(t.encode('utf-8', 'surrogatepass')).hexdigest()}"
+                key = f"{'null' if i is None else f'id {i}'}/{hashlib.sha256(t.encode('utf-8', 'surrogatepass')).hexdigest()}"
                 starts = list(range(0, len(t), chunk_chars))
                 for lo in range(0, len(starts), 64):
                     part = starts[lo : lo + 64]

@@ -8,10 +8,12 @@ a candidate. Each width takes the most places at which windows with all allowed
 in a simulation of the walk; where one place is too many, each window that is embedded is a candidate. Candidates are verified by the exact edit distance of the item to the best stretch of the text around them.
 
 A window that shares fewer word pairs with the benchmark than any window within the distance must (each edit destroys
-at most two of the item's pairs) cannot match and is not embedded: that is exact and loses nothing.
+at most two of the item's pairs) cannot match and is not embedded: that is exact and loses nothing, as edits of under a
+third of an item's words leave a pair or more.
 
 The benchmark is small against the documents; it is broadcast in blocks of at most ``block_words`` words, one pass over
-the texts for each block. Nothing is shuffled.
+the texts for each block. The walks' bits are tabled where they fit into 64 MB, else worked out, so that an index takes
+memory in proportion to its words and items. Nothing is shuffled.
 
 Defined results: a match is a stretch within ``floor(edits * words)`` word edits of the item; null and empty texts and
 items match nothing; items with equal words match alike, each under its own id; repeated rows each give their matches;
@@ -36,20 +38,35 @@ TARGET = 0.99
 SCHEMA = "item_id long, distance int, start_word long, end_word long"
 
 
-def embedded(windows: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    """The CGK walk of all windows (rows of word numbers) at once: out[:, j] is the word written at step j, 0 past the end.
+class Bits:
+    """bits[j][word]: whether step j of a walk goes on after writing the word; a table where all rounds' tables have room
+    in table_bytes, else worked out from the word's hash each time."""
 
-    bits[j, word] says whether step j goes on after writing the word.
-    """
+    def __init__(self, hashes: np.ndarray, seeds: np.ndarray, rounds: int, table_bytes: int):
+        self.hashes, self.seeds = hashes, seeds
+        self.table = (mixed(hashes ^ seeds) >> np.uint64(63)).astype(np.int8) if len(hashes) * len(seeds) * rounds <= table_bytes else None
+
+    def __len__(self) -> int:
+        return len(self.seeds)
+
+    def of(self, step: int, word: np.ndarray) -> np.ndarray:
+        if self.table is not None:
+            return self.table[step][word]
+        return (mixed(self.hashes[word] ^ self.seeds[step]) >> np.uint64(63)).astype(np.int8)
+
+
+def embedded(windows: np.ndarray, bits: Bits, steps: int | None = None) -> np.ndarray:
+    """The CGK walk of all windows (rows of word numbers) at once: out[:, j] is the word written at step j, 0 past the end."""
+    steps = len(bits) if steps is None else steps
     n, w = windows.shape
     flat = np.concatenate([windows, np.zeros((n, 1), windows.dtype)], 1).ravel()
     base, last = np.arange(n) * (w + 1), np.arange(n) * (w + 1) + w
     at = base.copy()
-    out = np.empty((n, len(bits)), windows.dtype)
-    for j in range(len(bits)):
+    out = np.empty((n, steps), windows.dtype)
+    for j in range(steps):
         word = flat[at]
         out[:, j] = word
-        at += bits[j][word]
+        at += bits.of(j, word)
         np.minimum(at, last, out=at)
     return out
 
@@ -111,7 +128,7 @@ def places_for(width: int, allowed: int, rounds: int, most: int, seed: int = 7,
     windows = np.stack([np.append(edited(rng, item, allowed, width + 1), np.arange(width + allowed + 1, size))[:width] for _ in range(pairs)])
     same = np.empty((walks, pairs))
     for k in range(walks):
-        bits = rng.integers(0, 2, (2 * width, size), np.int8)
+        bits = Bits(rng.integers(0, 2**63, size, np.uint64), rng.integers(0, 2**63, (2 * width, 1), np.uint64), 1, 1 << 21)
         same[k] = (embedded(windows, bits) == embedded(item[None], bits)).mean(1)
     for n in range(most, 0, -1):
         if (1 - (1 - (same**n).mean(0)) ** rounds).mean() >= TARGET:
@@ -122,7 +139,9 @@ def places_for(width: int, allowed: int, rounds: int, most: int, seed: int = 7,
 class Index:
     """What one block of the benchmark is looked up by."""
 
-    def __init__(self, items: list[tuple[int, str]], edits: float, rounds: int, sampled: int, seed: int = 7):
+    def __init__(self, items: list[tuple[int, str]], edits: float, rounds: int, sampled: int, seed: int = 7, table_bytes: int = 1 << 26):
+        if not 0 <= edits < 1 / 3:
+            raise ValueError("edits must be under a third, so that a match has a word pair of its item")
         self.vocabulary: dict[bytes, int] = {}
         self.items: list[tuple[int, np.ndarray, int]] = []
         for item_id, text in items:
@@ -156,28 +175,40 @@ class Index:
         widths = np.unique(self.widths)
         allowed = {w: int(self.allowed[self.widths == w].max()) for w in widths.tolist()}
         used = {w: places_for(w, a, rounds, sampled, seed) for w, a in allowed.items()}
-        padded = np.zeros((len(self.items), self.longest), np.int32)
-        for n, (_, ids, _) in enumerate(self.items):
-            padded[n, : len(ids)] = ids
         for _ in range(rounds if len(self.items) else 0):
             seeds = rng.integers(0, 2**63, (2 * self.longest, 1), dtype=np.uint64)
-            bits = (mixed(self.hashes ^ seeds) >> np.uint64(63)).astype(np.int8)
+            bits = Bits(self.hashes, seeds, rounds, table_bytes)
             # by width; places of the walk's first two thirds: it mostly ends there, at one word in two steps
             places = np.zeros((self.longest + 1, sampled), np.int64)
             for w in widths:
                 places[w] = np.sort(rng.integers(0, 2 * w, sampled))
                 places[w, used[w] :] = -1
-            keys = self._keys(padded, self.widths, bits, places)
+            keys = np.empty(len(self.items), np.uint64)
+            for some in self._by_width(self.widths):
+                padded = np.zeros((len(some), int(self.widths[some].max())), np.int32)
+                for row, n in enumerate(some):
+                    padded[row, : self.widths[n]] = self.items[n][1]
+                keys[some] = self._keys(padded, self.widths[some], bits, places)
             order = np.argsort(keys, kind="stable")
             self.tables.append((bits, places, keys[order], order))
 
+    @staticmethod
+    def _by_width(widths: np.ndarray, most: int = 8192, cells: int = 1 << 20) -> Iterator[np.ndarray]:
+        """Numbers of windows of about the same width, as many as have room in so many cells."""
+        order, at = np.argsort(widths, kind="stable"), 0
+        while at < len(order):
+            widest = int(widths[order[min(at + most, len(order)) - 1]])
+            n = max(1, min(most, cells // max(1, widest)))
+            yield order[at : at + n]
+            at += n
+
     @staticmethod
     def _slot(pairs: np.ndarray) -> np.ndarray:
         return (mixed(pairs.astype(np.uint64)) >> np.uint64(42)).astype(np.int64)
 
     def _keys(self, windows: np.ndarray, widths: np.ndarray, bits: np.ndarray, places: np.ndarray) -> np.ndarray:
         at = places[widths]
-        walk = embedded(windows, bits[: int(at.max(initial=0)) + 1])
+        walk = embedded(windows, bits, int(at.max(initial=0)) + 1)
         sampled = np.where(at < 0, np.uint64(0), self.hashes[np.take_along_axis(walk, np.maximum(at, 0), 1)])
         key = mixed(widths.astype(np.uint64))
         with np.errstate(over="ignore"):
@@ -227,8 +258,9 @@ class Index:
         slots[known] = slot
         unique = np.unique(starts * len(self.items) + np.repeat(item[good], count))
         enough = [np.zeros(0, np.int64)]
-        for at in range(0, len(unique), 4096):
-            start, it = unique[at : at + 4096] // len(self.items), unique[at : at + 4096] % len(self.items)
+        step = max(1, min(4096, (1 << 19) // max(1, self.longest)))
+        for at in range(0, len(unique), step):
+            start, it = unique[at : at + step] // len(self.items), unique[at : at + step] % len(self.items)
             steps = np.arange(max(1, self.longest - 1))
             here = np.where(steps < np.maximum(self.widths[it] - 1, 1)[:, None], slots[start[:, None] + steps], -1)
             key = np.sort(np.where(here >= 0, it[:, None] * len(self.pairs) + here, -1), axis=1)
@@ -258,9 +290,9 @@ class Index:
         here, widths = self.windows(ids)
         text_of = np.array(starts)
         hits: dict[tuple[int, int], set[int]] = {}
-        steps = np.arange(self.longest)
-        for lo in range(0, len(here), 8192):
-            place, width = here[lo : lo + 8192], widths[lo : lo + 8192]
+        for some in self._by_width(widths):
+            place, width = here[some], widths[some]
+            steps = np.arange(int(width.max()))
             block = np.where(steps < width[:, None], ids[place[:, None] + steps], 0).astype(np.int32)
             block, width, first_of = self._distinct(block, width)
             for bits, places, keys, members in self.tables:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandframe.llm.words import HashCache, shingle_hashes, slices, word_hashes, words
-from strandframe.session import stored
+from strandframe.session import dropped, held, released, stored
 
 BANDS, ROWS, STEP = 32, 5, 16
 HASHES = BANDS * ROWS
@@ -158,19 +158,21 @@ def block_links(sig: np.ndarray, hot: np.ndarray, copies: np.ndarray, sets: list
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """``node, root`` from edges ``a, b``: the least node of each component, by passing the least label on and jumping to
+    """``node, root``, stored, from edges ``a, b``: the least node of each component, by passing the least label on and jumping to
     the label's own label; each round is written, and rounds grow with the logarithm of a component's width."""
-    both = stored(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where(F.col("a") != F.col("b")).distinct(), "cc-edges")
-    labels = stored(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")), "cc-labels")
+    both = held(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where(F.col("a") != F.col("b")).distinct())
+    before = labels = stored(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")), "cc-labels")
     while True:
         near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("root").alias("m"))
         passed = labels.join(near, F.col("node") == F.col("a")).select("node", F.least("root", "m").alias("root"), F.col("root").alias("was"))
         jump = labels.select(F.col("node").alias("n2"), F.col("root").alias("r2"))
         jumped = passed.join(jump, F.col("root") == F.col("n2"), "left").select("node", F.least("root", F.coalesce("r2", "root")).alias("root"), "was")
         done = stored(jumped, "cc-labels")
-        labels = done.select("node", "root")
+        dropped(before)
+        before, labels = done, done.select("node", "root")
         if not done.where(F.col("root") != F.col("was")).limit(1).count():
-            return labels
+            released(both)
+            return done
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: float = 0.8, tolerance: float = 1e-6, small: int = 24, block: int = 1024, block_shingles: int = 1_000_000) -> DataFrame:
@@ -192,12 +194,12 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
             yield pa.record_batch([batch.column(0), pa.array(keys, pa.binary()), pa.array([next(sig).tobytes() if len(s) else None for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64())], ["id", "cls", "sig", "size"])
 
     signed = stored(rows.mapInArrow(sign, f"id {kind}, cls binary, sig binary, size long"), "nd-signed")
-    classes = stored(signed.where("cls is not null").groupBy("cls").agg(F.min("id").alias("exact_id"), F.count("*").alias("copies"), F.first("sig").alias("sig"), F.first("size").alias("size")), "nd-classes")
+    classes = held(signed.where("cls is not null").groupBy("cls").agg(F.min("id").alias("exact_id"), F.count("*").alias("copies"), F.first("sig").alias("sig"), F.first("size").alias("size")))
     width = ROWS * 4
     bucket = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substr(F.col("sig"), i * width + 1, F.lit(width))))
     bands = classes.select("cls", "size", F.posexplode(bucket).alias("band", "bucket"))
     shared = bands.groupBy("bucket").agg(F.count("*").alias("m"), F.sum("size").alias("held")).where("m > 1")
-    met = stored(bands.drop("size").join(shared, "bucket"), "nd-met")
+    met = held(bands.drop("size").join(shared, "bucket"))
     large = met.where(F.col("m") > small)
     hot = large.groupBy("cls").agg(F.bit_or(F.expr("shiftleft(1L, band)")).alias("hot"))
     known = stored(met.select("cls").distinct().join(classes, "cls").join(hot, "cls", "left").select("cls", "exact_id", "copies", "sig", F.coalesce("hot", F.lit(0).cast("long")).alias("hot")), "nd-known")
@@ -221,7 +223,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
 
     # whole sets of the classes that are still to be verified, made again from one text each
     wanted = likely.select(F.col("a").alias("cls")).unionByName(likely.select(F.col("b").alias("cls"))).unionByName(large.select("cls")).distinct()
-    wanted = stored(wanted.join(known.select("cls", "exact_id"), "cls"), "nd-wanted")
+    wanted = held(wanted.join(known.select("cls", "exact_id"), "cls"))
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = HashCache()
@@ -270,7 +272,9 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
     least = named.groupBy("root").agg(F.min("exact_id").alias("class_id"))
     joined = named.join(least, "root").join(counts, "cls", "left").select("cls", "class_id", "links")
     each_class = classes.select("cls", "exact_id", "copies").join(joined, "cls", "left")
-    result = each_class.select("cls", "exact_id", F.coalesce("class_id", "exact_id").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    result = stored(each_class.select("cls", "exact_id", F.coalesce("class_id", "exact_id").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "nd-result")
+    released(classes, met, wanted)
+    dropped(known, likely, sets, links, dense, roots)
     has = signed.select("id", "cls").where("cls is not null").join(result, "cls").select("id", "class_id", "n_links", "exact_id")
     none = signed.where("cls is null").select("id", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("exact_id"))
     return has.unionByName(none).withColumnRenamed("id", id_col)

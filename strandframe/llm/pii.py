@@ -9,17 +9,18 @@ occurrences are sensitive spans of kind ``term``. Sanitising replaces pattern sp
 removes revealing terms.
 
 Counts are pre-summed in each task and again by the aggregation, so that an entity or a term that a third of all
-documents hold is one row a task. The candidate terms are broadcast only while their number is at most
-``broadcast_terms``; beyond it they are counted, and looked up, in blocks of that many, a pass over the texts each.
+documents hold is a few rows a task; the candidates are joined with the counts of all words. The revealing terms are
+broadcast while they are at most ``broadcast_terms`` of 16 bytes on average; beyond that each text's distinct words are joined with them, and
+the terms of each text come to it by the digest of the text. Both ways find the same spans.
 
 Defined results: null texts count as empty and have no spans; positions are code points, ends exclusive; a term that
-overlaps a pattern span gives no span of its own; repeated rows each give a row and count as documents of their own;
+overlaps a pattern span gives no span of its own; of the entities that a term reveals alike the one seen with it more
+often is named, then the last by name; repeated rows each give a row and count as documents of their own;
 other columns of the input are ignored.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -35,6 +36,8 @@ from strandframe.session import stored
 KINDS = ("email", "ip", "card", "phone")
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+#: Matches as IP does, since no match begins within a run of digits; so a long run costs one look.
+IP_ONCE = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 ADDRESS_END = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -43,7 +46,7 @@ TOKEN = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 DIGITS = re.compile(r"[^0-9]")
 #: ASCII digit bytes and whatever may join them, for the quick look whether a text can hold a number at all.
 LONG_NUMBER = re.compile(r"[0-9](?:[\x20-]?[0-9]){13}")
-DOTTED = re.compile(r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]")
+DOTTED = re.compile(r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]")
 
 
 def luhn(digits: str) -> bool:
@@ -74,7 +77,7 @@ def pattern_spans(text: str) -> list[tuple[int, int, int]]:
     if "@" in text:
         found += [(a, b, 0) for a, b in _emails(text)]
     if DOTTED.search(text):
-        for m in IP.finditer(text):
+        for m in IP_ONCE.finditer(text):
             if all(len(p) <= 3 and int(p or 0) <= 255 for p in (x.lstrip("0") for x in m.group().split("."))):
                 found.append((m.start(), m.end(), 1))
     if LONG_NUMBER.search(text):
@@ -102,16 +105,29 @@ def _term(word: bytes) -> bool:
 
 
 def _near(text: str, span: tuple[int, int, int], window: int) -> set[bytes]:
-    """The terms among the window words on either side; at most 40 bytes a word are looked through."""
-    reach = window * 40
-    left = text[max(0, span[0] - reach) : span[0]].encode("utf-8", "surrogatepass").translate(WORD_TABLE)
-    right = text[span[1] : span[1] + reach].encode("utf-8", "surrogatepass").translate(WORD_TABLE)
-    before, after = left.split(), right.split()
-    if before and span[0] > reach and left[:1] != b" ":
-        before = before[1:]  # perhaps cut
-    if after and len(text) > span[1] + reach and right[-1:] != b" ":
-        after = after[:-1]
-    return {w for w in [*before[-window:], *after[:window]] if _term(w)}
+    """The terms among the window words on either side, however long they are."""
+    before, after = _words_before(text, span[0], window), _words_after(text, span[1], window)
+    return {w for w in [*before, *after] if _term(w)}
+
+
+def _words_before(text: str, end: int, window: int) -> list[bytes]:
+    """The last words before a place; as much is looked through as holds one more, as the first may be cut."""
+    reach = window * 16
+    while True:
+        start = max(0, end - reach)
+        found = text[start:end].encode("utf-8", "surrogatepass").translate(WORD_TABLE).split()
+        if start == 0 or len(found) > window:
+            return found[-window:]
+        reach *= 4
+
+
+def _words_after(text: str, start: int, window: int) -> list[bytes]:
+    reach = window * 16
+    while True:
+        found = text[start : start + reach].encode("utf-8", "surrogatepass").translate(WORD_TABLE).split()
+        if start + reach >= len(text) or len(found) > window:
+            return found[:window]
+        reach *= 4
 
 
 def pairs(docs: DataFrame, text_col: str = "text", window: int = 5) -> DataFrame:
@@ -140,35 +156,32 @@ def pairs(docs: DataFrame, text_col: str = "text", window: int = 5) -> DataFrame
     return rows.groupBy("term", "entity").agg(F.sum("both").alias("both"))
 
 
-def _document_counts(docs: DataFrame, text_col: str, terms: frozenset[bytes]) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(terms)
+def document_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``term, seen``: in how many documents each word that can be a term occurs."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, wanted = Counter(), shared.value
+        counts: Counter = Counter()
+
+        def out() -> pa.RecordBatch:
+            terms = [(t, n) for t, n in counts.items() if _term(t)]
+            return pa.record_batch([pa.array([t for t, _ in terms], pa.binary()), pa.array([n for _, n in terms], pa.int64())], ["term", "seen"])
+
         for batch in slices(batches, "text"):
             for text in batch.column(0).to_pylist():
                 if text:
-                    counts.update(wanted.intersection(text.encode("utf-8", "surrogatepass").translate(WORD_TABLE).split()))
-        yield pa.record_batch([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["term", "seen"])
+                    counts.update(set(text.encode("utf-8", "surrogatepass").translate(WORD_TABLE).split()))
+                if len(counts) > 200_000:
+                    yield out()
+                    counts.clear()
+        yield out()
 
     return docs.select(F.col(text_col).alias("text")).mapInArrow(count, "term binary, seen long").groupBy("term").agg(F.sum("seen").alias("seen"))
 
 
-def _blocks(terms: DataFrame, broadcast_terms: int) -> list[frozenset[bytes]]:
-    """The terms in blocks that are small enough to broadcast; one block in the usual case."""
-    blocks = max(1, -(-terms.count() // broadcast_terms))
-    block = F.pmod(F.xxhash64("term"), F.lit(blocks))
-    return [frozenset(map(bytes, terms.where(block == b).select("term").toArrow().column(0).to_pylist())) for b in range(blocks)]
-
-
-def revealing(docs: DataFrame, text_col: str = "text", window: int = 5, support: int = 3, disclosure: float = 0.5, broadcast_terms: int = 200_000) -> DataFrame:
+def revealing(docs: DataFrame, text_col: str = "text", window: int = 5, support: int = 3, disclosure: float = 0.5) -> DataFrame:
     """``term, entity, both, seen, share``: the terms that reveal an entity, each with the entity that it reveals most."""
-    candidates = stored(pairs(docs, text_col, window).where(F.col("both") >= support), "pii-pairs")
-    counted = [_document_counts(docs, text_col, block) for block in _blocks(candidates.select("term").distinct(), broadcast_terms)]
-    seen = counted[0]
-    for more in counted[1:]:
-        seen = seen.unionByName(more)
-    found = candidates.join(seen, "term").withColumn("share", F.col("both") / F.col("seen")).where(F.col("share") >= disclosure)
+    candidates = pairs(docs, text_col, window).where(F.col("both") >= support)
+    found = candidates.join(document_counts(docs, text_col), "term").withColumn("share", F.col("both") / F.col("seen")).where(F.col("share") >= disclosure)
     best = F.max(F.struct("share", "both", "entity", "seen")).alias("best")
     return found.groupBy("term").agg(best).select("term", "best.entity", "best.both", "best.seen", "best.share")
 
@@ -189,30 +202,55 @@ def _spans(text: str, terms: frozenset[bytes]) -> tuple[list[tuple[int, int, int
     return base, extra
 
 
+def _with_terms(rows: DataFrame, terms: DataFrame) -> DataFrame:
+    """rows ``_id, _text, ...`` with ``_terms``: the terms that occur in the text."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "_text", 1 << 20):
+            of, found = [], []
+            for n, text in enumerate(batch.column(1).to_pylist()):
+                words = [w for w in set((text or "").encode("utf-8", "surrogatepass").translate(WORD_TABLE).split()) if _term(w)]
+                of += [n] * len(words)
+                found += words
+            yield pa.record_batch([batch.column(0).take(pa.array(of, pa.int64())), pa.array(found, pa.binary())], ["_key", "term"])
+
+    keyed = rows.withColumn("_key", F.unhex(F.sha2("_text", 256)))
+    words = keyed.select("_key", "_text").mapInArrow(split, "_key binary, term binary")
+    listed = words.join(terms, "term").groupBy("_key").agg(F.collect_set("term").alias("_terms"))
+    return keyed.join(listed, "_key", "left").select(*rows.columns, "_terms")
+
+
 def find(docs: DataFrame, terms: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), broadcast_terms: int = 200_000) -> DataFrame:
     """``id_col, *carry, spans array<struct<kind, start, end>>, clean string`` for every row.
 
     ``clean`` is the text with pattern spans replaced by their kind in angle brackets and revealing terms removed.
     """
-    blocks = _blocks(terms, broadcast_terms) if terms is not None else [frozenset()]
-    shared = [docs.sparkSession.sparkContext.broadcast(b) for b in blocks]
+    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)])
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     span_type = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
+    known: list[bytes] = []
+    joined = False
+    if terms is not None:
+        terms = terms.select(F.col("term").cast("binary").alias("term")).distinct()
+        number, size = terms.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("term")), F.lit(0))).first()
+        joined = number > broadcast_terms or size > 16 * broadcast_terms
+        known = [] if joined else terms.toArrow().column(0).to_pylist()
+    shared = spark.sparkContext.broadcast(frozenset(known))
+    if joined:
+        rows = _with_terms(rows, terms)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_text"):
             spans, clean = [], []
-            for text in batch.column(1).to_pylist():
-                found = []
-                for block in shared:
-                    base, extra = _spans(text or "", block.value)
-                    found += [(a, b, 4) for a, b in extra]
-                found = sorted([*base, *found], key=lambda s: (s[0], s[2]))
+            own = batch.column(batch.schema.get_field_index("_terms")).to_pylist() if joined else None
+            for n, text in enumerate(batch.column(1).to_pylist()):
+                base, extra = _spans(text or "", shared.value if own is None else frozenset(own[n] or []))
+                found = sorted([*base, *((a, b, 4) for a, b in extra)], key=lambda s: (s[0], s[2]))
                 spans.append([{"kind": (*KINDS, "term")[k], "start": a, "end": b} for a, b, k in found])
                 clean.append(redacted(text, found))
-            kept = [batch.column(0), *batch.columns[2:]]
-            yield pa.record_batch([*kept, pa.array(spans, span_type), pa.array(clean, pa.string())], ["_id", *batch.schema.names[2:], "spans", "clean"])
+            kept = [batch.column(0), *batch.columns[2 : 2 + len(carry)]]
+            yield pa.record_batch([*kept, pa.array(spans, span_type), pa.array(clean, pa.string())], ["_id", *batch.schema.names[2 : 2 + len(carry)], "spans", "clean"])
 
     carried = [f"_c{i} {kinds[f'_c{i}']}" for i in range(len(carry))]
     out = rows.mapInArrow(search, ", ".join([f"_id {kinds['_id']}", *carried, "spans array<struct<kind string, start long, end long>>, clean string"]))
@@ -232,10 +270,6 @@ def redacted(text: str | None, spans: list[tuple[int, int, int]]) -> str | None:
     return "".join([*out, text[at:]])
 
 
-def digest(spans: list[tuple[int, int, int]]) -> str:
-    return hashlib.sha256(",".join(f"{KINDS[k]}:{a}:{b}" for a, b, k in spans).encode()).hexdigest()
-
-
 def op7_pii_spans(spark, sf_dir: str) -> DataFrame:
     """All spans of every whole text of documents, with the terms that the corpus shows to reveal an entity."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")

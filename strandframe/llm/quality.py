@@ -10,13 +10,15 @@ The classifier is fitted on a bounded sample of the labelled training rows: the
 hashed id is smallest. Every document is scored on its whole text.
 
 Defined results: a null or empty text has no terms and gets the training rows' share of label 1; rows with a null
-document id are scored, never learnt from; labels that are null or other than 0 or 1 are not used; with no labelled rows
-every score is 0.5; ties between neighbours go to the row that comes first by id; repeated rows each give a row; other
+document id are scored, never learnt from; labels that are null or other than 0 or 1 are not used; of several labels of
+one id the greatest holds; of several texts of one id one is learnt from, chosen by hash; with no labelled rows every
+score is 0.5; ties between neighbours go to the row that comes first by id as text; repeated rows each give a row; other
 columns of the input are ignored.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -36,11 +38,16 @@ DIMS = WORD_DIMS + SHAPE_DIMS + EXTRA
 SHAPE_TABLE = bytes(65 if 65 <= c <= 90 else 97 if 97 <= c <= 122 or c >= 128 else 57 if 48 <= c <= 57 else 32 if c <= 32 or c == 127 else c for c in range(256))
 
 
+RUN = re.compile(rb"(.)\1+", re.DOTALL)
+
+
 class _Words(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) > 200_000:
             self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word) % WORD_DIMS
+        value = xxhash.xxh3_64_intdigest(word) % WORD_DIMS
+        if len(word) <= 256:
+            self[word] = value
         return value
 
 
@@ -50,16 +57,9 @@ class _Shapes(dict):
     def __missing__(self, shape: bytes) -> int:
         if len(self) > 200_000:
             self.clear()
-        runs, last, n = [], -1, 0
-        for c in shape[:64]:
-            if c == last:
-                n += 1
-                if n == 2:
-                    runs.append(43)
-            else:
-                runs.append(c)
-                last, n = c, 1
-        value = self[shape] = WORD_DIMS + xxhash.xxh3_64_intdigest(bytes(runs)) % SHAPE_DIMS
+        value = WORD_DIMS + xxhash.xxh3_64_intdigest(RUN.sub(rb"\1+", shape)) % SHAPE_DIMS
+        if len(shape) <= 256:  # longer ones are worked out each time, so that what is kept is bounded
+            self[shape] = value
         return value
 
 
@@ -89,6 +89,16 @@ def features(text: str | None) -> np.ndarray:
     return out
 
 
+def nearest(near: np.ndarray, k: int) -> np.ndarray:
+    """The columns of the k greatest values of each row; of equal ones at the bound the first."""
+    top = np.argpartition(-near, k - 1, axis=1)[:, :k]
+    least = np.take_along_axis(near, top, 1).min(1)
+    for row in np.flatnonzero((near >= least[:, None]).sum(1) > k):
+        above, level = np.flatnonzero(near[row] > least[row]), np.flatnonzero(near[row] == least[row])
+        top[row] = np.concatenate([above, level[: k - len(above)]])
+    return top
+
+
 @dataclass
 class Model:
     project: np.ndarray  # DIMS x rank
@@ -110,7 +120,7 @@ class Model:
         known = x.any(axis=1)
         for at in range(0, len(x), 256):
             near = self.latent(x[at : at + 256]) @ self.vectors.T
-            top = np.argpartition(-near, k - 1, axis=1)[:, :k]
+            top = nearest(near, k)
             weight = np.maximum(np.take_along_axis(near, top, 1), 1e-6) ** self.power
             out[at : at + 256] = (weight * self.labels[top]).sum(1) / weight.sum(1)
         return np.where(known, np.clip(out, 0, 1), self.prior)
@@ -148,7 +158,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label in (0, 1)")
     known = known.where(training_id("id")).groupBy("id").agg(F.max("label").alias("label"))
     chosen = known.orderBy(F.xxhash64("id"), "id").limit(sample)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select(F.col("id").cast("string"), "text", "label")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
+    # an id may stand in many rows; partial aggregation leaves one a task before the shuffle
+    one = F.min_by("text", F.struct(F.xxhash64("text"), F.length("text"))).alias("text")
+    rows = rows.groupBy("id", "label").agg(one).select(F.col("id").cast("string"), "text", "label")
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):

@@ -11,6 +11,7 @@ rank, not by value, so that equal vectors, however many, do not unbalance a tree
 
 Defined results: vectors that are null, empty, zero, of another length than most, or that hold null or non-finite
 numbers take no part; ties go to the smaller id; repeated ids are candidates each, other than for the query's own id;
+query rows of equal id and vector are one query, those of one id and different vectors a query each, ranked apart;
 fewer candidates than k are all returned; other columns are ignored.
 """
 
@@ -124,16 +125,16 @@ def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vecto
         v = F.col(vector_col).cast("array<double>")
         return df.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).where(F.col("id").isNotNull() & usable(F.col("v")))
 
-    rows, asked = clean(vectors), clean(queries)
+    rows, asked = clean(vectors), clean(queries).withColumn("key", F.xxhash64("v")).dropDuplicates(["id", "key"])
     top = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    schema = "query_id long, id long, score double"
+    schema = "query_id long, key long, id long, score double"
     if top is None:
         found = spark.createDataFrame([], schema)
     else:
         width, total = top
         shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // shard_rows))
-        index = rows.where(F.size("v") == width).select(F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("kind"), "id", "v")
-        blocks = asked.where(F.size("v") == width).select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"), "id", "v")
+        index = rows.where(F.size("v") == width).select(F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("kind"), "id", F.lit(0).cast("long").alias("key"), "v")
+        blocks = asked.where(F.size("v") == width).select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"), "id", "key", "v")
 
         def matrix(column: pa.ListArray) -> np.ndarray:
             return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
@@ -149,7 +150,7 @@ def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vecto
                     if group[a] != shard:
                         shard, ids, xs, tree = group[a], [], [], None
                     part = batch.slice(a, b - a)
-                    own, x = part.column(2).to_numpy(), matrix(part.column(3))
+                    own, keys, x = part.column(2).to_numpy(), part.column(3).to_numpy(), matrix(part.column(4))
                     if kind[a] == 0:
                         ids.append(own.copy())
                         xs.append(x.copy())
@@ -157,12 +158,11 @@ def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vecto
                     tree = tree or Tree(np.concatenate(ids or [np.zeros(0, np.int64)]), np.concatenate(xs or [np.zeros((0, width))]))
                     near, far = tree.search(own, x, k, relax)
                     good = np.isfinite(far)
-                    yield pa.record_batch([pa.array(np.repeat(own, k)[good.ravel()]), pa.array(near[good]), pa.array(far[good])], ["query_id", "id", "score"])
+                    yield pa.record_batch([pa.array(np.repeat(c, k)[good.ravel()]) for c in (own, keys)] + [pa.array(near[good]), pa.array(far[good])], ["query_id", "key", "id", "score"])
 
         both = index.unionByName(blocks).repartition(shards, "shard").sortWithinPartitions("shard", "kind", "id")
         found = both.mapInArrow(run, schema)
-    # queries are distinct by id; a repeated query row would find everything twice
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "id")))
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "key").orderBy("score", "id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
 

@@ -5,7 +5,7 @@ id is a ``response``; the others are ``revisit`` records without payload that re
 members one after another as the bytes arrive, frames the block by Content-Length, and verifies block and payload
 digests. Files hold many records, but reading holds one record at a time.
 
-Defined results: a null payload counts as empty; a null id is written as ``null`` and never refers; among records with
+Defined results: a null payload counts as empty; a null id has a name of its own and never refers; among records with
 equal payloads whose ids are all null, all are responses; repeated rows with the group's largest id are all responses;
 other columns of the input are ignored.
 """
@@ -40,7 +40,7 @@ def sha1_base32(data: bytes) -> str:
 
 
 def _urn(page_id: str | None) -> str:
-    return f"<urn:x-page:{'null' if page_id is None else quote(page_id, safe='')}>"
+    return "<urn:x-no-page>" if page_id is None else f"<urn:x-page:{quote(page_id, safe='')}>"
 
 
 def record(page_id: str | None, url: str | None, payload: bytes, refers_to: str | None) -> bytes:
@@ -87,8 +87,9 @@ def _headers(head: bytes) -> tuple[str, dict[str, str]]:
 
 
 def _page(urn: str | None) -> str | None:
-    name = (urn or "").removeprefix("<urn:x-page:").removesuffix(">")
-    return None if name in ("", "null") else unquote(name)
+    if urn is None or not urn.startswith("<urn:x-page:"):
+        return None
+    return unquote(urn.removeprefix("<urn:x-page:").removesuffix(">"))
 
 
 def parse(member: bytes) -> dict:
@@ -97,6 +98,10 @@ def parse(member: bytes) -> dict:
     version, fields = _headers(head)
     if not gap or not version.startswith("WARC/1."):
         raise WarcError("no WARC header")
+    if missing := {"content-length", "warc-type", "warc-payload-digest", "warc-record-id"} - fields.keys():
+        raise WarcError(f"no header {min(missing)}")
+    if not fields["content-length"].isdecimal():
+        raise WarcError("Content-Length is no number")
     size = int(fields["content-length"])
     block, tail = rest[:size], rest[size:]
     if len(block) != size or tail != CRLF * 2:
@@ -110,7 +115,10 @@ def parse(member: bytes) -> dict:
             raise WarcError("the payload's digest differs")
         length = len(payload)
     else:
-        payload, length = None, int(_headers(http)[1]["content-length"])
+        length = _headers(http)[1].get("content-length", "")
+        if not length.isdecimal():
+            raise WarcError("a revisit without its payload's length")
+        payload, length = None, int(length)
     return {"page_id": _page(fields["warc-record-id"]), "url": fields.get("warc-target-uri"), "record_type": kind, "refers_to": _page(fields.get("warc-refers-to")), "payload_bytes": length, "payload_digest": digest, "payload": payload}
 
 

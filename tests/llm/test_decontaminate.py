@@ -1,6 +1,8 @@
 import random
+import tracemalloc
 
 import numpy as np
+import pytest
 
 from strandframe.llm import decontaminate as D
 
@@ -85,3 +87,39 @@ def test_long_items_are_found_at_the_bound():
             docs.append(" ".join([*rnd.choices(voc, k=30), *w, *rnd.choices(voc, k=30)]))
         found = {(d, i) for d, i, *_ in D.Index(items, 0.2, 32, 4).matches(docs)}
         assert sum((n, n % 8) in found for n in range(60)) >= 0.95 * 60, width
+
+
+def test_whole_result_against_all_windows():
+    """Matches are found where any window of the item's width lies within the distance, and nowhere else."""
+    items, docs, _, clean = planted(random.Random(12), 60)
+    index = D.Index(items, 0.2, 32, 4)
+    found = {(d, i) for d, i, *_ in index.matches(docs + clean[:20])}
+    want = set()
+    for d, text in enumerate(docs + clean[:20]):
+        w = text.split()
+        numbers = np.array([index.vocabulary.get(x.encode(), 0) for x in w], np.int64)
+        for item_id, item, allowed in index.items:
+            if D.best_stretch(item, numbers)[0] <= allowed:
+                want.add((d, item_id))
+    assert found <= want and len(found) >= 0.99 * len(want)
+
+
+def test_the_walks_bits_tabled_or_worked_out_are_the_same():
+    items, docs, _, _ = planted(random.Random(13), 60)
+    assert D.Index(items, 0.2, 32, 4).matches(docs) == D.Index(items, 0.2, 32, 4, table_bytes=0).matches(docs)
+
+
+def test_a_long_item_among_many_words_takes_memory_in_proportion():
+    rnd = random.Random(14)
+    items = [(i, " ".join(f"v{rnd.randrange(100_000)}" for _ in range(20))) for i in range(3000)] + [(-1, " ".join(f"l{i}" for i in range(1500)))]
+    tracemalloc.start()
+    index = D.Index(items, 0.2, 4, 4)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200e6, peak
+    assert [m[1] for m in index.matches([items[-1][1], items[5][1]])] == [-1, 5]
+
+
+def test_edits_that_leave_no_pair_are_refused():
+    with pytest.raises(ValueError, match="third"):
+        D.Index([(1, "a b c d e")], 0.4, 32, 4)

@@ -47,3 +47,23 @@ def test_unusable_vectors_take_no_part(spark):
     assert [tuple(r) for r in got] == [(0, 1, 100, 0.5), (100, 1, 0, 0.5)]
     none = df.where("vec_id < 0")
     assert V.search(none, none).count() == 0
+
+
+def test_repeated_queries(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(60, 4)).astype(np.float32)
+    df = table(spark, x)
+    df = df.unionByName(df.where("vec_id = 0"))
+    got = V.search(df, df.where("vec_id = 0")).orderBy("rank").collect()
+    assert [(r["id"], r["score"]) for r in got] == brute(np.arange(60), x.astype(np.float64), 0, 10)
+    # one id, two vectors: each ranked apart
+    two = df.where("vec_id = 0").limit(1).unionByName(df.where("vec_id = 1").withColumn("vec_id", F.lit(0).cast("long")))
+    ranks = [r["rank"] for r in V.search(df.where("vec_id > 1"), two).collect()]
+    assert sorted(ranks) == sorted([*range(1, 11)] * 2)
+
+
+def test_a_query_that_a_candidate_repeats(spark):
+    x = np.ones((5, 2), np.float32)
+    df = table(spark, x)
+    got = V.search(df.unionByName(df.where("vec_id = 3")), df.where("vec_id = 0")).orderBy("rank").collect()
+    assert [r["id"] for r in got] == [1, 2, 3, 3, 4]

@@ -24,6 +24,17 @@ def test_damage_is_found():
         W.parse(plain.replace(b"payload\r\n\r\n", b"pAyload\r\n\r\n"))
     with pytest.raises(W.WarcError, match="length"):
         W.parse(plain[:-1])
+    for header in (b"WARC-Type: response\r\n", b"WARC-Payload-Digest", b"WARC-Record-ID"):
+        with pytest.raises(W.WarcError, match="no header"):
+            W.parse(plain.replace(header, b"" if header.endswith(b"\n") else b"X-Other"))
+    with pytest.raises(W.WarcError, match="no number"):
+        W.parse(plain.replace(b"Content-Length: 88", b"Content-Length: x") if b"Content-Length: 88" in plain else plain.replace(b"\r\nContent-Length: ", b"\r\nContent-Length: x", 1))
+
+
+def test_ids_that_look_like_no_id():
+    for name in ("null", "", "<x>", "a b", None):
+        assert W.parse(gzip.decompress(W.record(name, None, b"p", None)))["page_id"] == name
+        assert W.parse(gzip.decompress(W.record("1", None, b"p", name)))["refers_to"] == name
 
 
 def test_round_trip_of_odd_rows(spark):
