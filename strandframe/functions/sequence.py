@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandframe.functions.randomness import uniform_of
+
 # Base order, IUPAC codes, the repeat that masks what is no base.
 BASES = "ACGT"
 IUPAC = {"R": "AG", "Y": "CT", "S": "CG", "W": "AT", "K": "GT", "M": "AC", "B": "CGT", "D": "AGT", "H": "ACT", "V": "ACG"}
@@ -53,6 +55,30 @@ def trinucleotide_index(tri: Column) -> Column:
     return F.when(tri.rlike("^[ACGT]{3}$"), 16 * at(1) + 4 * at(2) + at(3))
 
 
+def resolved(contigs: DataFrame, seed: int) -> DataFrame:
+    """Ambiguity codes in ``seq`` replaced by one of their bases, drawn by seed, contig and place; other letters stay."""
+    at, name = contigs.columns.index("seq"), contigs.columns.index("contig")
+    codes = np.zeros(256, bool)
+    codes[list("".join(IUPAC).encode())] = True
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for contig, seq in zip(batch.column(name).to_pylist(), batch.column(at).to_pylist(), strict=True):
+                letters = np.frombuffer((seq or "").encode("latin-1", "replace"), np.uint8)
+                places = np.flatnonzero(codes[letters])
+                if len(places):
+                    letters = letters.copy()
+                    for i in places.tolist():
+                        bases = IUPAC[chr(letters[i])]
+                        letters[i] = ord(bases[int(uniform_of(seed, contig, i) * len(bases))])
+                    seq = letters.tobytes().decode("latin-1")
+                out.append(seq)
+            yield pa.record_batch([pa.array(out, pa.string()) if n == at else batch.column(n) for n in range(batch.num_columns)], batch.schema.names)
+
+    return contigs.mapInArrow(run, contigs.schema)
+
+
 def masked(seq: Column) -> Column:
     """Letters that are no base become those of the repeat at their place."""
     return F.array_join(F.transform(F.split(seq, ""), lambda c, i: F.when(c.isin(*BASES), c).otherwise(F.substr(F.lit(MASK_REPEAT), i % len(MASK_REPEAT) + 1, F.lit(1)))), "")
@@ -72,11 +98,29 @@ def wrapped(seq: Column, width: int = 80) -> Column:
     return F.regexp_replace(F.regexp_replace(seq, f"(.{{{width}}})", "$1\n"), "\n$", "")
 
 
-def pieces(contigs: DataFrame, overlap: int, *carry: str, size: int = PIECE) -> DataFrame:
+def pieces(contigs: DataFrame, overlap: int, *carry: str | Column, size: int = PIECE) -> DataFrame:
     """``*carry, base, piece``: sequences cut so that each start within ``size`` has overlap letters after it."""
     starts = F.sequence(F.lit(0), F.floor((F.length("seq") - 1) / size).cast("int"))
     cut = contigs.where(F.length("seq") > 0).select(*carry, "seq", F.explode(starts).alias("k"))
-    return cut.select(*carry, (F.col("k").cast("long") * size).alias("base"), F.substr("seq", F.col("k") * size + 1, F.lit(size + overlap)).alias("piece"))
+    return cut.select(*cut.columns[: len(carry)], (F.col("k").cast("long") * size).alias("base"), F.substr("seq", F.col("k") * size + 1, F.lit(size + overlap)).alias("piece"))
+
+
+def bases_at(rows: DataFrame, contigs: DataFrame, start: Column, n: Column, name: str, most: int = 256, size: int = 4096) -> DataFrame:
+    """rows ``contig, ...`` with ``name``: the n letters of their contig from a place; rows of other contigs are left out.
+
+    Up to most letters are cut from the one piece that holds them all, met by contig and piece, so that nothing walks a
+    contig from its start; the few longer ones meet the whole contig.
+    """
+    rows = rows.withColumns({"_start": start.cast("long"), "_n": n.cast("long")})
+    few = F.coalesce((F.col("_n") <= most) & (F.col("_start") >= 0), F.lit(False))
+    cut = pieces(contigs, most, F.col("contig").alias("_contig"), size=size).withColumn("_k", F.floor(F.col("base") / size)).drop("base")
+    near = rows.where(few).withColumn("_at", F.floor(F.col("_start") / size))
+    short = near.join(cut, (F.col("contig") == F.col("_contig")) & (F.col("_at") == F.col("_k")))
+    short = short.withColumn(name, F.substr("piece", (F.col("_start") - F.col("_k") * size + 1).cast("int"), F.col("_n").cast("int")))
+    whole = rows.where(~few).join(contigs.select(F.col("contig").alias("_contig"), F.col("seq").alias("piece")), F.col("contig") == F.col("_contig"))
+    whole = whole.withColumn(name, F.substr("piece", (F.col("_start") + 1).cast("int"), F.col("_n").cast("int")))
+    keep = [c for c in rows.columns if c not in ("_start", "_n")]
+    return short.select(*keep, name).unionByName(whole.select(*keep, name))
 
 
 def kmers(contigs: DataFrame, k: int, *carry: str) -> DataFrame:
@@ -92,7 +136,7 @@ for _i, _b in enumerate(b"ACGT"):
     _CODE[_b] = _CODE[_b + 32] = _i
 
 
-def _codes(seq: str | None) -> np.ndarray:
+def letter_codes(seq: str | None) -> np.ndarray:
     """0 to 3 for bases of either case, 255 for other letters (one each, also where UTF-8 takes more bytes)."""
     return _CODE[np.frombuffer((seq or "").encode("latin-1", "replace"), np.uint8)]
 
@@ -107,7 +151,7 @@ def trinucleotide_counts(contigs: DataFrame) -> DataFrame:
         total = np.zeros(64, np.int64)
         for batch in batches:
             for seq in batch.column(0).to_pylist():
-                c = _codes(seq)
+                c = letter_codes(seq)
                 if len(c) >= 3:
                     good = (c[:-2] < 4) & (c[1:-1] < 4) & (c[2:] < 4)
                     total += np.bincount((c[:-2][good] << 4) | (c[1:-1][good] << 2) | c[2:][good], minlength=64)
@@ -125,11 +169,7 @@ def gc_window_counts(contigs: DataFrame, width: int) -> DataFrame:
         total = np.zeros(101, np.int64)
         for batch in batches:
             for seq in batch.column(0).to_pylist():
-                c = _codes(seq)
-                if len(c) >= width:
-                    sums = [np.concatenate([[0], np.cumsum(x)]) for x in ((c == 1) | (c == 2), c < 4)]
-                    gc, acgt = (x[width:] - x[:-width] for x in sums)
-                    total += np.bincount(np.clip(np.rint(np.where(acgt > 0, gc / np.maximum(acgt, 1), 0.0) * 100).astype(np.int64), 0, 100), minlength=101)
+                total += np.bincount(window_percents(letter_codes(seq), width), minlength=101)
         seen = np.flatnonzero(total)
         yield pa.record_batch([pa.array(seen, pa.int32()), pa.array(total[seen], pa.int64())], ["gc_pct", "n"])
 
@@ -152,14 +192,24 @@ def chunks(contigs: DataFrame, size: int, overlap: int) -> DataFrame:
 def gc_windows(contigs: DataFrame, width: int) -> DataFrame:
     """``contig, pos, gc_pct`` for every whole window of width letters, by differences of running counts.
 
-    The running count restarts in each contig; a contig's letters are one window partition of narrow rows that spills.
+    Counts run within pieces that overlap by a window, so nothing is shuffled and no task needs a whole contig.
     """
-    from pyspark.sql.window import Window
-
-    letters = kmers(contigs.where(F.length("seq") >= width), 1, "contig", "length")
-    frame = Window.partitionBy("contig").orderBy("pos").rowsBetween(0, width - 1)
-    gc = F.sum(F.col("kmer").isin("G", "C").cast("int")).over(frame)
-    acgt = F.sum(F.col("kmer").isin(*BASES).cast("int")).over(frame)
-    rows = letters.select("contig", "length", "pos", gc.alias("gc"), acgt.alias("acgt")).where(F.col("pos") <= F.col("length") - width)
-    share = F.when(F.col("acgt") == 0, 0.0).otherwise(F.col("gc") / F.col("acgt"))
-    return rows.select("contig", "pos", gc_index(share).alias("gc_pct"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for contig, base, piece in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                pct = window_percents(letter_codes(piece), width)
+                if len(pct):
+                    yield pa.record_batch([pa.array([contig] * len(pct), batch.schema.field(0).type), pa.array(base + np.arange(len(pct))), pa.array(pct, pa.int32())], ["contig", "pos", "gc_pct"])
+
+    kind = contigs.schema["contig"].dataType.simpleString()
+    return pieces(contigs, width - 1, "contig", size=1 << 16).mapInArrow(count, f"contig {kind}, pos long, gc_pct int")
+
+
+def window_percents(codes: np.ndarray, width: int) -> np.ndarray:
+    """The percent of G and C among the bases of each whole window of coded letters, half to even; 0 without bases."""
+    if len(codes) < width:
+        return np.zeros(0, np.int64)
+    sums = [np.concatenate([[0], np.cumsum(x)]) for x in ((codes == 1) | (codes == 2), codes < 4)]
+    gc, acgt = (x[width:] - x[:-width] for x in sums)
+    return np.clip(np.rint(np.where(acgt > 0, gc / np.maximum(acgt, 1), 0.0) * 100).astype(np.int64), 0, 100)

@@ -30,7 +30,7 @@ def found_aliases(source: DataFrame, target: DataFrame) -> DataFrame:
 def with_aliases(df: DataFrame, aliases: DataFrame) -> DataFrame:
     """The rows with contig renamed where aliases ``source, canonical`` has it."""
     rest = [c for c in df.columns if c != "contig"]
-    joined = df.join(F.broadcast(aliases), df["contig"] == aliases["source"], "left")
+    joined = df.join(aliases, df["contig"] == aliases["source"], "left")
     return joined.select(F.coalesce("canonical", "contig").alias("contig"), *rest)
 
 
@@ -45,14 +45,14 @@ def mismatched(source: DataFrame, target: DataFrame) -> DataFrame:
 def attributed(misses: DataFrame, contigs: DataFrame, mutation: DataFrame | None = None, target: DataFrame | None = None) -> DataFrame:
     """misses ``contig, pos`` (zero-based) with ``reasons``: a contig not simulated stands alone, else each region set
     without the place, else unknown."""
-    rows = misses.withColumn("_n", F.monotonically_increasing_id())
+    rows, places = misses, misses.select("contig", "pos").distinct()
     checks = [F.when(F.lit(False), F.lit(""))]
     for reason, regions in ((OUTSIDE_MUTATIONS, mutation), (OUTSIDE_TARGETS, target)):
         if regions is not None:
-            inside = point_join(rows, regions.select("contig", "st", "en"), "left_semi").select("_n", F.lit(True).alias(reason))
-            rows = rows.join(inside, "_n", "left")
+            inside = point_join(places, regions.select("contig", "st", "en"), "left_semi").select("contig", "pos", F.lit(True).alias(reason))
+            rows = rows.join(inside, ["contig", "pos"], "left")
             checks.append(F.when(F.col(reason).isNull(), F.lit(reason)))
-    rows = rows.join(F.broadcast(contigs.select("contig", F.lit(True).alias("_known")).distinct()), "contig", "left")
+    rows = rows.join(contigs.select("contig", F.lit(True).alias("_known")).distinct(), "contig", "left")
     reasons = F.array_compact(F.array(*checks))
     reasons = F.when(F.col("_known").isNull(), F.array(F.lit(OUTSIDE_CONTIGS))).when(F.size(reasons) == 0, F.array(F.lit(UNKNOWN))).otherwise(reasons)
     return rows.select(*misses.columns, reasons.alias("reasons"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandframe.functions.sequence import gc_fraction, gc_index, gc_window_counts
+from strandframe.operators.intervals import overlap_join
 
 # Least mapping quality, median absolute deviations kept.
 MIN_MAPQ, DEVIATIONS = 10, 10
@@ -51,10 +52,12 @@ def gc_weights(contigs: DataFrame, depth: DataFrame, width: int) -> DataFrame:
     from pyspark.sql.window import Window
 
     runs = depth.withColumn("until", F.lead("pos").over(Window.partitionBy("contig").orderBy("pos"))).where("until is not null and depth > 0")
-    runs = runs.select(F.col("contig").alias("r_contig"), F.col("pos").alias("lo"), F.col("until").alias("hi"), "depth")
-    hit = (F.col("contig") == F.col("r_contig")) & (F.col("lo") < F.col("w") + width) & (F.col("w") < F.col("hi"))
-    part = (F.least("hi", F.col("w") + width) - F.greatest("lo", "w")) * F.col("depth")
-    sums = windows.join(runs, hit, "left").groupBy("contig", "w", "gc_pct").agg(F.coalesce(F.sum(part), F.lit(0)).alias("bases"))
+    runs = runs.select("contig", F.col("pos").alias("r_st"), F.col("until").alias("r_en"), "depth")
+    spans = windows.select("contig", F.col("w").alias("st"), (F.col("w") + width).alias("en"), "gc_pct")
+    part = (F.least("r_en", "en") - F.greatest("r_st", "st")) * F.col("depth")
+    covered = overlap_join(spans, runs).select("contig", "st", "gc_pct", part.alias("part"))
+    every = covered.unionByName(spans.select("contig", "st", "gc_pct", F.lit(0).cast("long").alias("part")))
+    sums = every.groupBy("contig", "st", "gc_pct").agg(F.sum("part").alias("bases"))
     mean = sums.groupBy("gc_pct").agg((F.avg("bases") / width).alias("depth"))
     dense = contigs.sparkSession.range(101).select(F.col("id").cast("int").alias("gc_pct")).join(mean, "gc_pct", "left").select("gc_pct", F.coalesce("depth", F.lit(0.0)).alias("depth"))
     means = dense.agg(F.max("depth").alias("top"), F.avg(F.when(F.col("depth") > 0, F.col("depth"))).alias("middle"))
@@ -63,6 +66,11 @@ def gc_weights(contigs: DataFrame, depth: DataFrame, width: int) -> DataFrame:
     return rows.select("gc_pct", (filled / F.coalesce(F.nullif("top", F.lit(0.0)), F.lit(1.0))).alias("weight"))
 
 
+def weighted_windows(windows: DataFrame, weights: DataFrame) -> DataFrame:
+    """Windows ``gc_pct, ...`` with the ``weight`` of their percent; a percent without one has none."""
+    return windows.join(F.broadcast(weights.select("gc_pct", "weight").limit(101)), "gc_pct", "left")
+
+
 def genome_mean_weight(contigs: DataFrame, weights: DataFrame, width: int) -> DataFrame:
     """``mean``: the weights' mean over all whole windows of contigs longer than width, from the windows' histogram."""
     counts = gc_window_counts(contigs.where(F.col("length") > width), width)

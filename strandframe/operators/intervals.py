@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: Places in a bin of the joins by range.
+BIN = 1 << 14
+
 
 def overlaps(a_st: Column, a_en: Column, b_st: Column, b_en: Column) -> Column:
     return (a_st < b_en) & (b_st < a_en)
@@ -20,26 +26,39 @@ def binned(df: DataFrame, start: Column, end: Column, width: int) -> DataFrame:
     return df.withColumn("bin", F.explode(F.sequence(F.floor(start / width).cast("long"), F.floor((F.greatest(end, start + 1) - 1) / width).cast("long"))))
 
 
-def point_join(points: DataFrame, regions: DataFrame, how: str = "inner", bin_width: int | None = None) -> DataFrame:
+def point_join(points: DataFrame, regions: DataFrame, how: str = "inner", bin_width: int = BIN) -> DataFrame:
     """Points ``contig, pos`` with regions ``contig, st, en`` that hold them; how: inner, left, left_semi or left_anti.
 
-    By contig with the range as a residual; with bin_width also by bin, which keeps a long contig with many regions from
-    being one key: a point has one bin, so no pair is found twice.
+    By contig and bin, the range a residual, so that a long contig with many regions is many keys. A point has one bin, so
+    no pair is found twice.
     """
-    r = regions.select(F.col("contig").alias("r_contig"), *[c for c in regions.columns if c != "contig"])
-    held = (F.col("pos") >= F.col("st")) & (F.col("pos") < F.col("en")) & (points["contig"] == F.col("r_contig"))
-    if bin_width:
-        r = binned(r, F.col("st"), F.col("en"), bin_width)
-        points = points.withColumn("p_bin", F.floor(F.col("pos") / bin_width).cast("long"))
-        held = (F.col("pos") >= F.col("st")) & (F.col("pos") < F.col("en")) & (points["contig"] == F.col("r_contig")) & (F.col("p_bin") == F.col("bin"))
+    r = binned(regions.select(F.col("contig").alias("r_contig"), *[c for c in regions.columns if c != "contig"]), F.col("st"), F.col("en"), bin_width)
+    points = points.withColumn("p_bin", F.floor(F.col("pos") / bin_width).cast("long"))
+    held = (F.col("pos") >= F.col("st")) & (F.col("pos") < F.col("en")) & (points["contig"] == F.col("r_contig")) & (F.col("p_bin") == F.col("bin"))
     return points.join(r, held, how).drop("r_contig", "bin", "p_bin")
 
 
-def interval_filter(reads: DataFrame, regions: DataFrame, keep: bool) -> DataFrame:
-    """Reads ``contig, st, en`` that overlap a region (keep) or none."""
-    r = regions.select(F.col("contig").alias("r_contig"), F.col("st").alias("r_st"), F.col("en").alias("r_en"))
-    hit = (reads["contig"] == F.col("r_contig")) & overlaps(reads["st"], reads["en"], F.col("r_st"), F.col("r_en"))
-    return reads.join(r, hit, "left_semi" if keep else "left_anti")
+def overlap_join(left: DataFrame, right: DataFrame, bin_width: int = BIN) -> DataFrame:
+    """All pairs of left ``contig, st, en`` and right ``contig, r_st, r_en`` that overlap, with the other columns of both.
+
+    Both are dealt to the bins that they touch; a pair counts in the first bin that they share.
+    """
+    r = binned(right.withColumnRenamed("contig", "r_contig"), F.col("r_st"), F.col("r_en"), bin_width).withColumnRenamed("bin", "r_bin")
+    both = binned(left, F.col("st"), F.col("en"), bin_width).join(r, (F.col("contig") == F.col("r_contig")) & (F.col("bin") == F.col("r_bin")) & overlaps(F.col("st"), F.col("en"), F.col("r_st"), F.col("r_en")))
+    first = F.floor(F.greatest("st", "r_st") / bin_width).cast("long")
+    return both.where(F.col("bin") == first).drop("r_contig", "bin", "r_bin")
+
+
+def interval_filter(reads: DataFrame, regions: DataFrame, keep: bool, bin_width: int = BIN) -> DataFrame:
+    """Reads ``contig, st, en`` that overlap a region (keep) or none.
+
+    Whether one does depends on these three only, so each distinct span is tested once, by bins, and reads meet the spans
+    that overlap by equality.
+    """
+    spans = reads.select("contig", "st", "en").distinct()
+    r = regions.select("contig", F.col("st").alias("r_st"), F.col("en").alias("r_en"))
+    met = overlap_join(spans, r, bin_width).select("contig", "st", "en").distinct()
+    return reads.join(met, ["contig", "st", "en"], "left_semi" if keep else "left_anti").select(*reads.columns)
 
 
 def clip(regions: DataFrame, start: int, end: int) -> DataFrame:
@@ -48,37 +67,67 @@ def clip(regions: DataFrame, start: int, end: int) -> DataFrame:
     return out.where(F.col("st") < F.col("en"))
 
 
+def covering(regions: DataFrame, start: int, end: int, default: float = 0.0) -> DataFrame:
+    """A block as its clipped regions ``contig, st, en, rate`` and the tail after the last of them at the default rate;
+    contigs without a region in the block have all of it at the default."""
+    parts = clip(regions, start, end).select("contig", "st", "en", F.col("rate").cast("double").alias("rate"))
+    last = regions.select("contig").distinct().join(parts.groupBy("contig").agg(F.max("en").alias("last")), "contig", "left")
+    tail = last.where(F.coalesce("last", F.lit(start)) < end)
+    return parts.unionByName(tail.select("contig", F.coalesce("last", F.lit(start)).cast("long").alias("st"), F.lit(end).cast("long").alias("en"), F.lit(default).alias("rate")))
+
+
 def fill_gaps(regions: DataFrame, lengths: DataFrame, default: float = 0.0) -> DataFrame:
     """``contig, st, en, rate`` that cover each contig from 0 to its length.
 
     Regions are taken in file order (``line_no``); one that starts before the end of the last one taken is left out. The
-    regions of one contig are folded in order, which is what the operator means; a contig's list is one row.
+    operator is a fold in that order, so a contig's regions stream through one task, which holds one row of them.
     """
-    empty = F.array().cast("array<struct<st:bigint,en:bigint,rate:double>>")
-    start = F.struct(F.lit(0).cast("long").alias("at"), empty.alias("out"))
-
-    def one(st, en, rate):
-        return F.array(F.struct(st.alias("st"), en.alias("en"), rate.cast("double").alias("rate")))
-
-    def step(acc, r):
-        region = one(r["st"], r["en"], r["rate"])
-        gap = one(acc["at"], r["st"], F.lit(default))
-        more = F.when(r["st"] > acc["at"], F.concat(acc["out"], gap, region)).otherwise(F.concat(acc["out"], region))
-        taken = r["st"] >= acc["at"]
-        return F.struct(F.when(taken, r["en"]).otherwise(acc["at"]).alias("at"), F.when(taken, more).otherwise(acc["out"]).alias("out"))
-
-    listed = regions.groupBy("contig").agg(F.array_sort(F.collect_list(F.struct("line_no", "st", "en", "rate"))).alias("rs"))
-    every = lengths.join(listed, "contig", "left")
-    folded = every.select("contig", "length", F.aggregate(F.coalesce("rs", F.array().cast(listed.schema["rs"].dataType)), start, step).alias("f"))
-    tail = F.when(F.col("f.at") < F.col("length"), one(F.col("f.at"), F.col("length"), F.lit(default))).otherwise(empty)
-    return folded.select("contig", F.explode(F.concat("f.out", tail)).alias("r")).select("contig", "r.st", "r.en", "r.rate")
-
-
-def first_match(points: DataFrame, regions: DataFrame) -> DataFrame:
-    """Each point with the region of least ``line_no`` that holds it; points in none are left out."""
+    kind = regions.schema["contig"].dataType.simpleString()
+    rows = regions.select("contig", F.col("line_no").cast("long").alias("line_no"), F.col("st").cast("long").alias("st"), F.col("en").cast("long").alias("en"), F.col("rate").cast("double").alias("rate"))
+    ends = lengths.select("contig", F.lit(None).cast("long").alias("line_no"), F.col("length").cast("long").alias("st"), F.lit(None).cast("long").alias("en"), F.lit(None).cast("double").alias("rate"))
+    every = rows.join(lengths.select("contig"), "contig", "left_semi").withColumn("last", F.lit(False)).unionByName(ends.withColumn("last", F.lit(True)))
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        contig, at = None, 0
+        for batch in batches:
+            out = []
+            for name, _, st, en, rate, last in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                if name != contig:
+                    contig, at = name, 0
+                if st > at:
+                    out.append((name, at, st, default))
+                if not last and st >= at:
+                    out.append((name, st, en, rate))
+                    at = en
+            columns = list(zip(*out, strict=True)) or [(), (), (), ()]
+            yield pa.record_batch([pa.array(columns[0], batch.schema.field(0).type), *[pa.array(x, pa.int64()) for x in columns[1:3]], pa.array(columns[3], pa.float64())], ["contig", "st", "en", "rate"])
+
+    # dealt by a function of the key: a partitioning that the join and the union have already is not kept to by all plans
+    ordered = every.select("contig", "line_no", "st", "en", "rate", "last").repartition(F.xxhash64("contig")).sortWithinPartitions("contig", "last", "line_no", "st", "en")
+    return ordered.mapInArrow(fold, f"contig {kind}, st long, en long, rate double")
+
+
+def recalibrated(regions: DataFrame, start: int, end: int, run_rate: float) -> DataFrame:
+    """``contig, st, en, rate`` that cover a block of each contig of regions: parts within the block, a null rate as the
+    run's, and gaps filled with the run's rate; places count from the contig's start."""
+    parts = clip(regions, start, end).withColumn("rate", F.coalesce(F.col("rate").cast("double"), F.lit(run_rate)))
+    moved = parts.withColumns({"st": F.col("st") - start, "en": F.col("en") - start})
+    blocks = regions.select("contig").distinct().withColumn("length", F.lit(end - start).cast("long"))
+    return fill_gaps(moved, blocks, run_rate).withColumns({"st": F.col("st") + start, "en": F.col("en") + start})
+
+
+def only_in(a: DataFrame, b: DataFrame) -> DataFrame:
+    """``contig``: the names in a that b has not."""
+    return a.select("contig").distinct().join(b.select("contig"), "contig", "left_anti")
+
+
+def first_match(points: DataFrame, regions: DataFrame, bin_width: int = BIN) -> DataFrame:
+    """Each point, 1-based, with the region of least ``line_no`` that has it between its start and its end, both
+    included; points in none are left out."""
     least = F.min_by(F.struct("st", "en"), "r_line").alias("r")
-    met = point_join(points, regions.withColumnRenamed("line_no", "r_line"))
-    return met.groupBy(*points.columns).agg(least, F.min("r_line").alias("r_line")).select(*points.columns, "r.st", "r.en", "r_line")
+    closed = regions.withColumnRenamed("line_no", "r_line").withColumn("en", F.col("en") + 1)
+    met = point_join(points, closed, bin_width=bin_width)
+    return met.groupBy(*points.columns).agg(least, F.min("r_line").alias("r_line")).select(*points.columns, "r.st", (F.col("r.en") - 1).alias("en"), "r_line")
 
 
 def clusters(values: DataFrame, by: str, value: str, delta: int) -> DataFrame:
@@ -88,9 +137,16 @@ def clusters(values: DataFrame, by: str, value: str, delta: int) -> DataFrame:
     return values.withColumn("cluster", F.sum(F.coalesce(new, F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
 
 
-def coverage(spans: DataFrame) -> DataFrame:
-    """``contig, pos, depth`` where the depth changes: running sum of starts and ends, which are pre-summed by place."""
+def coverage(spans: DataFrame, bin_width: int = 1 << 20) -> DataFrame:
+    """``contig, pos, depth`` where the depth changes: running sum of starts and ends, which are pre-summed by place.
+
+    The sum runs within bins; each bin starts from the sum of the bins before it, a row a bin, so that no task has a whole
+    contig's places.
+    """
     ends = spans.select("contig", F.explode(F.array(F.struct(F.col("st").alias("pos"), F.lit(1).alias("d")), F.struct(F.col("en").alias("pos"), F.lit(-1).alias("d")))).alias("e"))
-    events = ends.select("contig", "e.pos", "e.d").groupBy("contig", "pos").agg(F.sum("d").alias("d"))
-    w = Window.partitionBy("contig").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    return events.select("contig", "pos", F.sum("d").over(w).alias("depth"))
+    events = ends.select("contig", "e.pos", "e.d").groupBy("contig", "pos").agg(F.sum("d").alias("d")).withColumn("bin", F.floor(F.col("pos") / bin_width).cast("long"))
+    sums = events.groupBy("contig", "bin").agg(F.sum("d").alias("d"))
+    earlier = Window.partitionBy("contig").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    base = sums.select("contig", "bin", F.coalesce(F.sum("d").over(earlier), F.lit(0)).alias("base"))
+    within = Window.partitionBy("contig", "bin").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    return events.join(base, ["contig", "bin"]).select("contig", "pos", (F.col("base") + F.sum("d").over(within)).alias("depth"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strandframe.functions.sequence import BASES, trinucleotide_counts, trinucleotide_index
+from strandframe.functions.sequence import BASES, bases_at, trinucleotide_counts, trinucleotide_index
 from strandframe.operators.variants import DELETION, INSERTION, SNV, homozygous
 
 # Shares where there is nothing to count.
@@ -20,9 +20,9 @@ def share(df: DataFrame, *within: str, n: str = "n") -> DataFrame:
 
 def contexts(snvs: DataFrame, contigs: DataFrame) -> DataFrame:
     """``ref_tri, alt_tri`` of variants with a base on either side, upper-cased."""
-    joined = snvs.join(contigs.select("contig", "seq", "length"), "contig").where("pos > 0 and pos < length - 1")
-    tri = F.upper(F.substr("seq", F.col("pos").cast("int"), F.lit(3)))
-    found = joined.select(tri.alias("ref_tri"), F.concat(F.substr(tri, F.lit(1), F.lit(1)), F.col("alt"), F.substr(tri, F.lit(3), F.lit(1))).alias("alt_tri"))
+    cut = bases_at(snvs.where("pos > 0"), contigs, F.col("pos") - 1, F.lit(3), "_tri")
+    tri = F.upper("_tri")
+    found = cut.select(tri.alias("ref_tri"), F.concat(F.substr(tri, F.lit(1), F.lit(1)), F.col("alt"), F.substr(tri, F.lit(3), F.lit(1))).alias("alt_tri"))
     return found.where(F.col("ref_tri").rlike("^[ACGT]{3}$"))
 
 
@@ -50,10 +50,10 @@ def type_shares(variants: DataFrame) -> DataFrame:
     return share(variants.groupBy("type").agg(F.count("*").alias("n"))).select("type", "p")
 
 
-def mutation_shares(snvs: DataFrame, contigs: DataFrame) -> DataFrame:
-    """``tri, p``: mutated places by places there are; 0 where none was mutated."""
+def mutation_shares(snvs: DataFrame, contigs: DataFrame, regions: DataFrame | None = None) -> DataFrame:
+    """``tri, p``: mutated places by places there are, in the regions where there are any; 0 where none was mutated."""
     mutated = trinucleotide_transitions(snvs, contigs).groupBy(F.col("ref_tri").alias("tri")).agg(F.sum("n").alias("mutated"))
-    return trinucleotide_counts(contigs).join(mutated, "tri", "left").select("tri", (F.coalesce("mutated", F.lit(0)) / F.col("n")).alias("p"))
+    return trinucleotide_counts(contigs if regions is None else region_sequences(contigs, regions)).join(mutated, "tri", "left").select("tri", (F.coalesce("mutated", F.lit(0)) / F.col("n")).alias("p"))
 
 
 def transition_shares(snvs: DataFrame, contigs: DataFrame) -> DataFrame:
@@ -73,8 +73,11 @@ def snp_matrix(variants: DataFrame) -> DataFrame:
     return shares.groupBy("ref").pivot("alt", list(BASES)).agg(F.first("p")).select("ref", *[F.coalesce(b, F.lit(0.0)).alias(b) for b in BASES])
 
 
-def mutation_rate(variants: DataFrame, contigs: DataFrame) -> DataFrame:
-    """``rate``: variants by bases other than N."""
+def mutation_rate(variants: DataFrame, contigs: DataFrame, regions: DataFrame | None = None) -> DataFrame:
+    """``rate``: variants by bases other than N; by the regions' length, both ends included, where there are regions."""
+    if regions is not None:
+        length = regions.join(contigs.select("contig"), "contig", "left_semi").agg(F.sum(F.col("en") - F.col("st") + 1).alias("bases"))
+        return variants.agg(F.count("*").alias("n")).crossJoin(length).select(F.try_divide(F.col("n"), F.col("bases")).alias("rate"))
     bases = contigs.agg(F.sum(F.length(F.replace("seq", F.lit("N"), F.lit("")))).alias("bases"))
     return variants.agg(F.count("*").alias("n")).crossJoin(bases).select(F.try_divide(F.col("n"), F.col("bases")).alias("rate"))
 
@@ -97,16 +100,34 @@ def indexed(shares: DataFrame) -> DataFrame:
     return shares.select(trinucleotide_index(F.col("tri")).alias("i"), "p")
 
 
-def fit(variants: DataFrame, contigs: DataFrame) -> dict[str, DataFrame]:
-    """The model's tables by name, from typed variants ``contig, pos, ref, alt, type``."""
+def region_sequences(contigs: DataFrame, regions: DataFrame, size: int = 1 << 14) -> DataFrame:
+    """``seq``: the letters of the regions, cut to parts of size that overlap by two, so that each trinucleotide of a
+    region is in one part; a region's end is included."""
+    spans = regions.join(contigs.select("contig", "length"), "contig").select("contig", F.greatest("st", F.lit(0)).alias("st"), F.least(F.col("en") + 1, F.col("length")).alias("en")).where("st < en")
+    part = spans.select("contig", "en", F.explode(F.sequence(F.col("st"), F.col("en") - 1, F.lit(size).cast("long"))).alias("at"))
+    return bases_at(part, contigs, F.col("at"), F.least(F.col("en") - F.col("at"), F.lit(size + 2)), "seq", most=size + 2, size=size).select("seq")
+
+
+#: Names of human contigs.
+HUMAN = (*(str(i) for i in range(1, 23)), "X", "Y", "M", "MT")
+
+
+def of_human_names(contigs: DataFrame) -> DataFrame:
+    """Contigs named as human ones, with or without chr."""
+    return contigs.where(F.regexp_replace("contig", "^chr", "").isin(*HUMAN))
+
+
+def fit(variants: DataFrame, contigs: DataFrame, regions: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The model's tables by name, from typed variants ``contig, pos, ref, alt, type`` and, for genotypes, ``sample``."""
     snvs = variants.where(F.col("type") == SNV)
     return {
         "types": type_shares(variants),
         "snp": share(snp_transitions(variants), "ref").select("ref", "alt", "p"),
         "trinucleotides": dense_transitions(snvs, contigs),
-        "bias": mutation_shares(snvs, contigs),
+        "bias": mutation_shares(snvs, contigs, regions),
         "lengths": length_shares(variants),
-        "rate": mutation_rate(variants, contigs),
+        "rate": mutation_rate(variants, contigs, regions),
+        "homozygous": homozygous_share(variants, F.col("sample") if "sample" in variants.columns else F.lit(None).cast("string")),
     }
 
 
@@ -117,4 +138,4 @@ def save(model: dict[str, DataFrame], folder: str) -> None:
 
 
 def load(spark, folder: str) -> dict[str, DataFrame]:
-    return {name: spark.read.parquet(f"{folder}/{name}") for name in ("types", "snp", "trinucleotides", "bias", "lengths", "rate")}
+    return {name: spark.read.parquet(f"{folder}/{name}") for name in ("types", "snp", "trinucleotides", "bias", "lengths", "rate", "homozygous")}

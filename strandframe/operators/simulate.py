@@ -1,13 +1,12 @@
 """Simulate reads and variants with known truth.
 
 Every draw is a function of (seed, contig, entity, slot): results do not depend on partitions, retries or the number of
-executors. Placement, filters, joins and truth are DataFrame plans; only what is sequential within a read (its
-qualities and errors) runs in an Arrow function, batch by batch.
+executors. Placement, filters, joins and truth are DataFrame plans; places drawn by weights and the letters of reads are
+made in Arrow functions, batch by batch.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -15,18 +14,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from strandframe.functions.randomness import categorical, normal, poisson, stochastic_round, uniform
-from strandframe.functions.sequence import BASES, PIECE, gc_windows, reverse_complement
+from strandframe.functions.sequence import BASES, PIECE, bases_at, gc_windows, letter_codes, reverse_complement
+from strandframe.operators import synthesis
 from strandframe.operators.intervals import fill_gaps, interval_filter, point_join
 from strandframe.operators.reads import padding
-from strandframe.operators.variants import DELETION, INSERTION, SNV
+from strandframe.operators.sim_models import Errors, MarkovQualities, Mutations, Qualities, snv_alternative
+from strandframe.operators.variants import DELETION, INSERTION, SNV, only_bases
 
-# Shares of variant classes and lengths, and of sequencing errors, where no model is given.
-TYPE_SHARES = [(INSERTION, 0.03), (DELETION, 0.02), (SNV, 0.95)]
-LENGTH_SHARES = [(1, 0.4), (2, 0.2), (3, 0.1), (4, 0.05), (5, 0.05), (6, 0.05), (7, 0.05), (8, 0.05), (9, 0.05)]
-ERROR_SHARES = [(INSERTION, 0.004), (DELETION, 0.006), (SNV, 0.99)]
+#: Places in which a candidate's own place is drawn by its weights.
+WINDOW = 1000
 MIN_MATE_EXTRA = 10
 
 
@@ -37,18 +37,19 @@ class Settings:
     paired: bool = True
     fragment_mean: float = 300.0
     fragment_sd: float = 50.0
-    mutation_rate: float = 0.001
-    homozygous: float = 0.001
     ploidy: int = 2
-    error_rate: float = 0.009
     seed: int = 0
+    min_mutations: int = 0
     attempts: int = 8
     gc_window: int = 100
     gc_weights: tuple[float, ...] = field(default=())
+    mutations: Mutations = field(default_factory=Mutations)
+    errors: Errors = field(default_factory=Errors)
+    qualities: Qualities | MarkovQualities = field(default_factory=Qualities)
 
     def __post_init__(self):
-        if self.read_length < 10 or self.coverage <= 0 or self.ploidy < 1 or not 0 <= self.mutation_rate <= 0.3:
-            raise ValueError("read_length >= 10, coverage > 0, ploidy >= 1 and 0 <= mutation_rate <= 0.3 are needed")
+        if self.read_length < 10 or self.coverage <= 0 or self.ploidy < 1 or not 0 <= self.mutations.rate <= 0.3:
+            raise ValueError("read_length >= 10, coverage > 0, ploidy >= 1 and a mutation rate of 0 to 0.3 are needed")
 
 
 def _need(s: Settings) -> int:
@@ -135,141 +136,109 @@ def restricted(fragments: DataFrame, target: DataFrame | None = None, discard: D
     return fragments
 
 
-def variants(contigs: DataFrame, s: Settings, regions: DataFrame | None = None) -> DataFrame:
-    """``contig, pos, line_no, type, length, ref, alt, gt``: new variants, apart from each other.
+def drawn_places(windows: DataFrame, weights: np.ndarray) -> DataFrame:
+    """Rows ``letters, n, u, biased, ...`` with ``offset``: which of the n places is drawn by u.
 
-    Each region of one rate (the run's where none is given) has a Poisson number of candidates; a candidate's place,
-    class, alleles and genotype are functions of its key. Candidates on N, or without room, are left out. In order of
-    place, one that begins before the end of an earlier one is left out, as are later ones of equal place.
+    letters are the n places' and one on either side. Biased rows weigh a place by its trinucleotide, others weigh all
+    bases alike; letters that are no base are never drawn, and rows without a place that can be are left out.
     """
-    lengths = contigs.select("contig", "length")
-    areas = fill_gaps(regions, lengths, s.mutation_rate) if regions is not None else lengths.select("contig", F.lit(0).cast("long").alias("st"), F.col("length").alias("en"), F.lit(s.mutation_rate).alias("rate"))
-    areas = areas.withColumn("rate", F.coalesce("rate", F.lit(s.mutation_rate)))
+    keep = [c for c in windows.columns if c not in ("letters", "n", "u", "biased")]
+    schema = StructType([*[windows.schema[c] for c in keep], windows.schema["letters"], StructField("offset", LongType())])
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = {c: batch.schema.get_field_index(c) for c in batch.schema.names}
+            rows, offsets = [], []
+            for i, (text, n, u, biased) in enumerate(zip(*(batch.column(at[c]).to_pylist() for c in ("letters", "n", "u", "biased")), strict=True)):
+                code = letter_codes(text).astype(np.int64)[: n + 2]
+                middle = code[1:-1]
+                weight = (middle < 4).astype(float)
+                if biased:
+                    known = (middle < 4) & (code[:-2] < 4) & (code[2:] < 4)
+                    weight = np.where(known, weights[np.where(known, 16 * code[:-2] + 4 * middle + code[2:], 0)], 0.0)
+                upto = np.cumsum(weight)
+                if len(upto) and upto[-1] > 0:
+                    rows.append(i)
+                    offsets.append(min(int(np.searchsorted(upto, u * upto[-1], "right")), int(np.flatnonzero(weight)[-1])))
+            picked = batch.take(pa.array(rows, pa.int64()))
+            yield pa.record_batch([*[picked.column(at[c]) for c in [*keep, "letters"]], pa.array(offsets, pa.int64())], [*keep, "letters", "offset"])
+
+    return windows.mapInArrow(draw, schema)
+
+
+def genotype(u_hom: Column, u_copy, ploidy: int, homozygous: float) -> Column:
+    """Which copies have the allele: all with the probability homozygous, else half of them, one at least; u_copy(p) ranks
+    the copies."""
+    copies = F.when(u_hom < homozygous, ploidy).otherwise(max(1, ploidy // 2))
+    ranks = F.array_sort(F.array(*[F.struct(u_copy(p).alias("u"), F.lit(p).alias("p")) for p in range(ploidy)]))
+    chosen = F.transform(F.slice(ranks, F.lit(1), copies), lambda r: r["p"])
+    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(ploidy - 1)), lambda p: F.when(F.array_contains(chosen, p), "1").otherwise("0")), "/")
+
+
+def random_bases(n: Column, u) -> Column:
+    """n bases, the k-th by u(k), k from 1; none for n under 1."""
+    one = lambda k: F.substr(F.lit(BASES), (F.floor(u(k) * 4) + 1).cast("int"), F.lit(1))
+    return F.when(n < 1, "").otherwise(F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), one), ""))
+
+
+def candidate_counts(areas: DataFrame, s: Settings) -> DataFrame:
+    """areas ``contig, st, en, rate`` with ``n``: a Poisson number each, together within the least number of the run and
+    twice the expected one of the contig; what exceeds it is left out from the last areas, what lacks is put in the
+    first."""
     key = [F.lit(s.seed), F.col("contig"), F.col("st")]
     # draws are columns of their own: inside a fold or a case they would be made again at each step
     drawn = areas.withColumns({"_mean": (F.col("en") - F.col("st")) * F.col("rate"), "_u": uniform(*key, "n")})
-    each = drawn.withColumn("n", poisson(F.col("_mean"), F.col("_u"))).where("n > 0").select("contig", "st", "en", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("i"))
-    u = lambda slot: uniform(*key, F.col("i"), slot)
-    rows = each.select("contig", "st", "i", (F.col("st") + F.floor(u("pos") * (F.col("en") - F.col("st")))).cast("long").alias("pos"), u("type").alias("u_type"), u("len").alias("u_len"), u("alt").alias("u_alt"), u("hom").alias("u_hom"))
-    rows = rows.select("contig", "st", "i", "pos", categorical(F.col("u_type"), TYPE_SHARES).alias("type"), categorical(F.col("u_len"), LENGTH_SHARES).alias("length"), "u_alt", "u_hom")
-    inserted = F.array_join(F.transform(F.sequence(F.lit(1), F.col("length")), lambda k: F.substr(F.lit(BASES), (F.floor(uniform(F.lit(s.seed), F.col("contig"), F.col("st"), F.col("i"), "ins", k) * 4) + 1).cast("int"), F.lit(1))), "")
-    joined = rows.withColumn("inserted", inserted).join(contigs.select("contig", "length", "seq").withColumnRenamed("length", "total"), "contig")
-    size = F.when(F.col("type") == DELETION, F.col("length") + 1).otherwise(1)
-    ref = F.substr("seq", (F.col("pos") + 1).cast("int"), size)
-    rows = joined.where((F.col("pos") > 0) & (F.col("pos") + size < F.col("total") - 1)).select("contig", "st", "i", "pos", "type", "u_alt", "u_hom", "inserted", ref.alias("ref")).where(F.col("ref").rlike("^[ACGT]+$"))
-    others = F.replace(F.lit(BASES), F.col("ref"), F.lit(""))
-    snv = F.substr(others, (F.floor(F.col("u_alt") * 3) + 1).cast("int"), F.lit(1))
+    counted = drawn.withColumn("n", poisson(F.col("_mean"), F.col("_u")))
+    order = Window.partitionBy("contig").orderBy("st")
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    most = F.greatest(F.rint(2 * F.sum("_mean").over(whole)), F.lit(s.min_mutations)).cast("long")
+    before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    capped = F.greatest(F.lit(0).cast("long"), F.least(F.col("n"), most - before))
+    lacking = F.greatest(F.lit(0).cast("long"), F.lit(s.min_mutations) - F.sum("n").over(whole))
+    return counted.withColumn("_capped", capped + F.when(F.row_number().over(order) == 1, lacking).otherwise(0)).select(*areas.columns, F.col("_capped").alias("n"))
+
+
+def variants(contigs: DataFrame, s: Settings, regions: DataFrame | None = None) -> DataFrame:
+    """``contig, pos, line_no, type, shrink, ref, alt, gt``: new variants, apart from each other.
+
+    Each region of one rate (the model's where none is given) has a Poisson number of candidates. A candidate's window,
+    class, place in the window, alleles and genotype are functions of its key and of the letters there: SNVs fall by the
+    model's bias, others on any base. In order of place, one that begins before the end of an earlier one is left out, as
+    are later ones of equal place.
+    """
+    model = s.mutations
+    lengths = contigs.select("contig", "length")
+    areas = fill_gaps(regions, lengths, model.rate) if regions is not None else lengths.select("contig", F.lit(0).cast("long").alias("st"), F.col("length").alias("en"), F.lit(model.rate).alias("rate"))
+    areas = candidate_counts(areas.withColumn("rate", F.coalesce("rate", F.lit(model.rate))), s)
+    each = areas.where("n > 0").select("contig", "st", "en", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("i"))
+    u = lambda slot: uniform(F.lit(s.seed), F.col("contig"), F.col("st"), F.col("i"), slot)
+    rows = each.select("contig", "st", "en", "i", categorical(u("type"), list(model.types)).alias("type"), u("window").alias("u_window"), u("pos").alias("u"), u("len").alias("u_len"), u("alt").alias("u_alt"), u("hom").alias("u_hom"))
+    size = F.when(F.col("type") == INSERTION, categorical(F.col("u_len"), list(model.insertions))).when(F.col("type") == DELETION, categorical(F.col("u_len"), list(model.deletions))).otherwise(0).cast("int")
+    longest = max(n for n, _ in model.deletions) + 1
+    rows = rows.withColumn("size", size).join(lengths.withColumnRenamed("length", "total"), "contig").where("total > 2")
+    low, high = F.greatest("st", F.lit(1)), F.least(F.col("en"), F.col("total") - 1)
+    rows = rows.withColumns({"low": low, "high": high}).where("low < high")
+    rows = rows.withColumn("from", (F.col("low") + F.floor(F.col("u_window") * (F.col("high") - F.col("low")))).cast("long"))
+    rows = rows.withColumn("n", F.least(F.lit(WINDOW).cast("long"), F.col("high") - F.col("from")).cast("int"))
+    windows = bases_at(rows, contigs, F.col("from") - 1, F.col("n") + 1 + longest, "letters", most=WINDOW + 1 + longest, size=1 << 14)
+    biased = (F.col("type") == SNV) if model.bias else F.lit(False)
+    placed = drawn_places(windows.select("contig", "st", "i", "type", "size", "total", "from", "u_alt", "u_hom", "letters", "n", "u", biased.alias("biased")), model.place_weights())
+    at = F.col("offset").cast("int")
+    pos = F.col("from") + F.col("offset")
+    ref = F.substr("letters", at + 2, F.when(F.col("type") == DELETION, F.col("size") + 1).otherwise(1))
+    cut = placed.select("contig", "st", "i", "type", "size", "total", "u_alt", "u_hom", pos.alias("pos"), ref.alias("ref"), F.substr("letters", at + 1, F.lit(3)).alias("tri"))
+    cut = cut.where((F.col("pos") + F.length("ref") < F.col("total")) & only_bases(F.col("ref")) & ((F.col("type") != DELETION) | (F.length("ref") == F.col("size") + 1)))
+    cut = cut.withColumn("inserted", random_bases(F.when(F.col("type") == INSERTION, F.col("size")).otherwise(0), lambda k: uniform(F.lit(s.seed), F.col("contig"), F.col("st"), F.col("i"), "ins", k)))
     base = F.substr("ref", F.lit(1), F.lit(1))
-    alt = F.when(F.col("type") == SNV, snv).when(F.col("type") == INSERTION, F.concat(base, "inserted")).otherwise(base)
-    copies = F.when(F.col("u_hom") < s.homozygous, s.ploidy).otherwise(max(1, s.ploidy // 2))
-    ranks = F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(s.ploidy - 1)), lambda p: F.struct(uniform(F.lit(s.seed), F.col("contig"), F.col("st"), F.col("i"), "ploid", p).alias("u"), p.alias("p"))))
-    chosen = F.transform(F.slice(ranks, F.lit(1), copies), lambda r: r["p"])
-    gt = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(s.ploidy - 1)), lambda p: F.when(F.array_contains(chosen, p), "1").otherwise("0")), "/")
-    made = rows.select("contig", "pos", "type", "ref", alt.alias("alt"), gt.alias("gt"), (F.col("pos") + F.length("ref")).alias("end"), "st", "i")
+    alt = F.when(F.col("type") == SNV, snv_alternative(F.col("u_alt"), F.col("tri"), model)).when(F.col("type") == INSERTION, F.concat(base, "inserted")).otherwise(base)
+    gt = genotype(F.col("u_hom"), lambda p: uniform(F.lit(s.seed), F.col("contig"), F.col("st"), F.col("i"), "ploid", p), s.ploidy, model.homozygous)
+    made = cut.select("contig", "pos", "type", "ref", alt.alias("alt"), gt.alias("gt"), (F.col("pos") + F.length("ref")).alias("end"), "st", "i").where("alt is not null")
     order = Window.partitionBy("contig").orderBy("pos", "st", "i").rowsBetween(Window.unboundedPreceding, -1)
     apart = made.withColumn("before", F.max("end").over(order)).where("before is null or pos >= before")
     return apart.select("contig", "pos", F.col("pos").alias("line_no"), "type", (F.length("ref") - F.length("alt")).alias("shrink"), "ref", "alt", "gt")
 
 
-def _seed(*key) -> int:
-    return int.from_bytes(hashlib.md5("|".join(map(str, key)).encode()).digest()[:8], "little")
-
-
-def draw_qualities(rng: np.random.Generator, n: int, mean: np.ndarray, sd: np.ndarray, top: int = 42) -> np.ndarray:
-    """Normal by position, rounded, within 1 and top."""
-    at = np.arange(n) * len(mean) // max(1, n)
-    return np.clip(np.rint(rng.normal(mean[at], sd[at])), 1, top).astype(np.int64)
-
-
-def draw_markov(rng: np.random.Generator, n: int, initial: dict[int, float], marginal: list[dict[int, float]], transitions: list[dict[int, dict[int, float]]], top: int = 42) -> np.ndarray:
-    """A chain over positions: the transition's row where there is one, else the position's shares."""
-    pick = lambda d: int(rng.choice(list(d), p=np.array(list(d.values())) / sum(d.values())))
-    out, length = np.zeros(n, np.int64), len(marginal)
-    for i in range(n):
-        at = min(length - 1, int(np.rint(i / max(1, n - 1) * (length - 1))))
-        row = initial if i == 0 else transitions[at - 1].get(int(out[i - 1])) if 0 < at <= len(transitions) else None
-        out[i] = pick(row or marginal[at])
-    return np.clip(out, 0, top)
-
-
-def draw_errors(rng: np.random.Generator, segment: str, q: np.ndarray, n: int, room: int) -> list[tuple[int, str, str, str]]:
-    """(place, type, ref, alt) ascending: n places by their qualities, apart, deletions within the room."""
-    if n <= 0:
-        return []
-    places = rng.integers(len(q), size=len(q))
-    chosen = list(dict.fromkeys(int(p) for p in places[rng.random(len(q)) < 10.0 ** (-q[places] / 10.0)]))[:n]
-    if len(chosen) < n:
-        low = np.flatnonzero(q <= np.median(q))
-        chosen = list(dict.fromkeys(chosen + [int(p) for p in rng.choice(low, size=n - len(chosen))]))
-    kinds = rng.choice(3, size=len(chosen), p=[p for _, p in ERROR_SHARES])
-    out, at = [], -1
-    for p, k in sorted(zip(chosen, kinds, strict=True)):
-        base, kind = segment[p], ERROR_SHARES[k][0]
-        if p <= at or base not in BASES:
-            continue
-        if kind == DELETION and 0 < p < len(q) - 2 and room > 0 and p + 1 < len(segment):
-            out.append((p, kind, segment[p : p + 2], base))
-            room, at = room - 1, p + 1
-        elif kind == INSERTION and 0 < p < len(q) - 2:
-            out.append((p, kind, base, base + str(rng.choice(list(BASES)))))
-            at = p
-        else:
-            out.append((p, SNV, base, str(rng.choice([b for b in BASES if b != base]))))
-            at = p
-    return out
-
-
-def build_read(rng: np.random.Generator, segment: str, found: list[dict], s: Settings, mean: np.ndarray, sd: np.ndarray) -> tuple[str, str, str]:
-    """(sequence, qualities, CIGAR) of one forward read from its segment and variants ``at, ref, alt, gt`` within it.
-
-    A variant is in the read if a copy drawn at random has it. Variants and errors are spliced in one pass, and the
-    CIGAR is written as they are, so that it always describes the sequence.
-    """
-    n, room = s.read_length, len(segment) - s.read_length
-    q = draw_qualities(rng, n, mean, sd)
-    edits = []
-    for v in sorted(found, key=lambda v: v["at"]):
-        copies = v["gt"].replace("|", "/").split("/")
-        lost = max(0, len(v["ref"]) - len(v["alt"]))
-        if copies[rng.integers(len(copies))] != "0" and lost <= room and segment[v["at"] : v["at"] + len(v["ref"])] == v["ref"]:
-            edits.append((v["at"], v["ref"], v["alt"], False))
-            room -= lost
-    held = {p for at, ref, _, _ in edits for p in range(at, at + len(ref))}
-    count = int(np.floor(s.error_rate * n) + (rng.random() < s.error_rate * n - np.floor(s.error_rate * n)))
-    for at, _, ref, alt in draw_errors(rng, segment, q, count, room):
-        if held.isdisjoint(range(at, at + len(ref))):
-            edits.append((at, ref, alt, True))
-            held.update(range(at, at + len(ref)))
-    seq, quals, ops, at = [], [], [], 0
-    for place, ref, alt, wrong in sorted(edits):
-        seq.append(segment[at:place] + alt)
-        ops.append("M" * (place - at + 1) + "I" * (len(alt) - 1) + "D" * (len(ref) - 1))
-        quals += [None] * (place - at) + [1 if wrong and (len(alt) > 1 or ref != alt) and len(ref) == 1 else None] + [1 if wrong else None] * (len(alt) - 1)
-        at = place + len(ref)
-    seq.append(segment[at:])
-    text = "".join(seq)[:n]
-    quals += [None] * n
-    last = int(q[-1])
-    values = [x if x is not None else int(q[i]) if i < n else last for i, x in enumerate(quals[: len(text)])]
-    masked = [i for i, c in enumerate(text) if c not in BASES]
-    letters = list(text)
-    for i in masked:
-        letters[i], values[i] = "TTAGGG"[i % 6], 1
-    walk, used = [], 0
-    for op in "".join(ops) + "M" * n:
-        if used == len(text):
-            break
-        used += op != "D"
-        walk.append(op)
-    runs, cigar = [], "".join(walk)
-    while cigar:
-        rest = cigar.lstrip(cigar[0])
-        runs.append(f"{len(cigar) - len(rest)}{cigar[0]}")
-        cigar = rest
-    return "".join(letters), "".join(chr(v + 33) for v in values), "".join(runs)
-
-
-def reads(contigs: DataFrame, fragments: DataFrame, found: DataFrame, s: Settings, mean: list[float] | None = None, sd: list[float] | None = None) -> DataFrame:
+def reads(contigs: DataFrame, fragments: DataFrame, found: DataFrame, s: Settings) -> DataFrame:
     """Alignments ``name, flag, contig, pos, mapq, cigar, mate_contig, mate_pos, tlen, seq, qual, reverse``.
 
     seq and qual are as aligned (forward); FASTQ turns reverse reads around.
@@ -288,22 +257,22 @@ def reads(contigs: DataFrame, fragments: DataFrame, found: DataFrame, s: Setting
     piece = piece.select("contig", "k", F.substr("seq", F.col("k") * size + 1, F.lit(size + s.read_length + pad)).alias("piece"))
     cut = rows.withColumn("k", F.floor(F.col("st") / size).cast("int")).join(piece, ["contig", "k"])
     segment = F.substr("piece", (F.col("st") - F.col("k") * size + 1).cast("int"), F.lit(s.read_length + pad))
-    ready = cut.select("contig", "read_no", "s1", "s2", "e2", "st", "reverse", segment.alias("segment")).join(listed, ["contig", "read_no", "reverse"], "left")
-    m, d = np.array(mean or [37.0]), np.array(sd or [2.0])
+    key = F.xxhash64(F.lit(s.seed), F.col("contig"), F.col("read_no"), F.col("reverse"))
+    ready = cut.select("contig", "read_no", "s1", "s2", "e2", "st", "reverse", segment.alias("segment")).join(listed, ["contig", "read_no", "reverse"], "left").withColumn("key", key)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = []
-            for row in batch.select(["contig", "read_no", "reverse", "segment", "found"]).to_pylist():
-                rng = np.random.default_rng(_seed(s.seed, row["contig"], row["read_no"], row["reverse"]))
-                made.append(build_read(rng, row["segment"], row["found"] or [], s, m, d))
-            seq, qual, cigar = (list(x) for x in zip(*made, strict=True)) if made else ([], [], [])
-            keep = ["contig", "read_no", "s1", "s2", "e2", "st", "reverse"]
-            yield pa.record_batch([batch.column(c) for c in map(batch.schema.get_field_index, keep)] + [pa.array(x, pa.string()) for x in (seq, qual, cigar)], [*keep, "seq", "qual", "cigar"])
+        keep = ["contig", "read_no", "s1", "s2", "e2", "st", "reverse"]
+        step = max(1, (1 << 19) // s.read_length)
+        for whole in batches:
+            for at in range(0, whole.num_rows, step):
+                batch = whole.slice(at, step)
+                get = lambda c: batch.column(batch.schema.get_field_index(c))  # noqa: B023, E731
+                made = synthesis.build(get("key").to_numpy(), get("segment").to_pylist(), get("found").to_pylist(), s.read_length, s.errors, s.qualities)
+                yield pa.record_batch([get(c) for c in keep] + [pa.array(x, pa.string()) for x in made], [*keep, "seq", "qual", "cigar"])
 
     from strandframe.operators.reads import flags, mate_position, name, template_length
 
-    done = ready.select("contig", "read_no", "s1", "s2", "e2", "st", "reverse", "segment", "found").mapInArrow(build, "contig string, read_no long, s1 long, s2 long, e2 long, st long, reverse boolean, seq string, qual string, cigar string")
+    done = ready.select("contig", "read_no", "s1", "s2", "e2", "st", "reverse", "segment", "found", "key").mapInArrow(build, "contig string, read_no long, s1 long, s2 long, e2 long, st long, reverse boolean, seq string, qual string, cigar string")
     paired = F.col("s2").isNotNull()
     end = F.coalesce("e2", F.col("s1") + s.read_length)
     return done.select(
@@ -322,9 +291,13 @@ def reads(contigs: DataFrame, fragments: DataFrame, found: DataFrame, s: Setting
     )
 
 
-def fastq(alignments: DataFrame, reverse: bool) -> DataFrame:
+def fastq(alignments: DataFrame, reverse: bool, offset: int = 33) -> DataFrame:
     """``name, seq, qual`` of the first or second reads; second ones with their strand's sequence and qualities."""
     rows = alignments.where(F.col("reverse") == reverse)
+    if offset != 33:
+        plain = "".join(chr(33 + i) for i in range(94))
+        moved = "".join(chr(min(126, offset + i)) for i in range(94))
+        rows = rows.withColumn("qual", F.translate("qual", plain, moved))
     return rows.select(F.concat("name", F.lit("/2" if reverse else "/1")).alias("name"), (reverse_complement(F.col("seq")) if reverse else F.col("seq")).alias("seq"), (F.reverse("qual") if reverse else F.col("qual")).alias("qual"))
 
 

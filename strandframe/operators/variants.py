@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from strandframe.functions.sequence import bases_at
+
 # Classes, and the quality that stands in for a missing one.
 SNV, INSERTION, DELETION, UNKNOWN = "SNV", "INS", "DEL", "UNK"
 MISSING_QUALITY = "42"
@@ -72,17 +74,15 @@ def model_variants(records: DataFrame) -> DataFrame:
 
 def matching_reference(variants: DataFrame, contigs: DataFrame) -> DataFrame:
     """Variants whose REF is what the contig has there."""
-    joined = variants.join(contigs.select("contig", "seq"), "contig")
-    return joined.where(F.substr("seq", (F.col("pos") + 1).cast("int"), F.length("ref").cast("int")) == F.upper("ref")).drop("seq")
+    return bases_at(variants, contigs, F.col("pos"), F.length("ref"), "_ref").where(F.col("_ref") == F.upper("ref")).drop("_ref")
 
 
 def rendered(variants: DataFrame, contigs: DataFrame) -> DataFrame:
     """``ref, alt`` of typed variants ``contig, pos, type, length, inserted`` from the contig: a deletion's first base stays."""
-    joined = variants.join(contigs.select("contig", "seq"), "contig")
-    base = F.substr("seq", (F.col("pos") + 1).cast("int"), F.lit(1))
-    whole = F.substr("seq", (F.col("pos") + 1).cast("int"), F.col("length").cast("int"))
     deletion = F.col("type") == DELETION
-    return joined.select(*variants.columns, F.when(deletion, whole).otherwise(base).alias("ref"), F.when(deletion, base).otherwise(F.col("inserted")).alias("alt"))
+    cut = bases_at(variants, contigs, F.col("pos"), F.when(deletion, F.col("length")).otherwise(1), "_cut")
+    base = F.substr("_cut", F.lit(1), F.lit(1))
+    return cut.select(*variants.columns, F.col("_cut").alias("ref"), F.when(deletion, base).otherwise(F.col("inserted")).alias("alt"))
 
 
 def distinct_variants(variants: DataFrame) -> DataFrame:
@@ -125,3 +125,14 @@ def exact_matches(truth: DataFrame, called: DataFrame) -> DataFrame:
 def bucket(truth_bd: Column, query_bd: Column) -> Column:
     """TP before FN before FP; null for none."""
     return F.when((truth_bd == "TP") | (query_bd == "TP"), "TP").when(truth_bd == "FN", "FN").when(query_bd == "FP", "FP")
+
+
+def renamed_by_reference(variants: DataFrame, contigs: DataFrame, accessions: DataFrame) -> DataFrame:
+    """Variants of the reference's contigs, by name, else by the name that ``accession, name`` gives, or the accession."""
+    names = contigs.select(F.col("contig").alias("known")).distinct()
+    turned = accessions.select(F.col("accession").alias("a"), F.col("name").alias("b"))
+    either = turned.unionByName(turned.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    second = either.join(names, F.col("b") == F.col("known")).groupBy("a").agg(F.min("b").alias("other"))
+    rest = [c for c in variants.columns if c != "contig"]
+    joined = variants.join(names, F.col("contig") == F.col("known"), "left").join(second, F.col("contig") == F.col("a"), "left")
+    return joined.select(F.coalesce("known", "other").alias("contig"), *rest).where("contig is not null")

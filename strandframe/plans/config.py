@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import json
-import os
 import secrets
 from dataclasses import asdict, dataclass, fields
 from datetime import datetime, timezone
-from pathlib import Path
+
+from strandframe.session import exists, write_file
 
 SCHEMA_VERSION = 1
 
@@ -38,7 +38,14 @@ class RunConfig:
     discard_bed: str | None = None
     mutation_bed: str | None = None
     include_vcf: str | None = None
+    mutation_model: str | None = None
+    error_model: str | None = None
+    fragment_model: str | None = None
+    gc_model: str | None = None
+    quality_bins: list | None = None
+    uniform_quality: bool = False
     quality_offset: int = 33
+    min_mutations: int = 0
     produce_fastq: bool = True
     produce_bam: bool = False
     produce_vcf: bool = False
@@ -46,7 +53,7 @@ class RunConfig:
     overwrite: bool = False
 
 
-RANGES = {"read_length": (10, 10**6), "coverage": (0.0001, 10**6), "fragment_mean": (10, 10**7), "fragment_sd": (0, 10**6), "ploidy": (1, 100), "mutation_rate": (0, 0.3), "error_rate": (0, 0.3), "quality_offset": (33, 64)}
+RANGES = {"read_length": (10, 10**6), "coverage": (0.0001, 10**6), "fragment_mean": (10, 10**7), "fragment_sd": (0, 10**6), "ploidy": (1, 100), "mutation_rate": (0, 0.3), "error_rate": (0, 0.3), "quality_offset": (33, 64), "min_mutations": (0, 10**9)}
 
 
 def from_dict(values: dict) -> RunConfig:
@@ -64,9 +71,11 @@ def from_dict(values: dict) -> RunConfig:
             raise ConfigError(f"{name} must be a {kind}")
         if name in RANGES and not RANGES[name][0] <= value <= RANGES[name][1]:
             raise ConfigError(f"{name} must be within {RANGES[name][0]} and {RANGES[name][1]}")
+        if kind == "list" and not (isinstance(value, list) and value and all(isinstance(v, int) and 0 <= v <= 93 for v in value)):
+            raise ConfigError(f"{name} must be a list of whole numbers of 0 to 93")
         out[name] = float(value) if kind == "float" else str(value) if kind == "str" else value
-    if out.get("paired") and not {"fragment_mean", "fragment_sd"} <= set(out):
-        raise ConfigError("paired runs need fragment_mean and fragment_sd")
+    if out.get("paired") and "fragment_model" not in out and not {"fragment_mean", "fragment_sd"} <= set(out):
+        raise ConfigError("paired runs need fragment_mean and fragment_sd, or a fragment_model")
     out.setdefault("seed", 2**52 + secrets.randbelow(2**52))
     return RunConfig(**out)
 
@@ -82,23 +91,20 @@ def iso_utc(moment: datetime | None = None) -> str:
     return (moment or datetime.now(timezone.utc)).astimezone(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
 
 
-def write_summary(folder: str, config: RunConfig, outputs: dict, delivered: dict) -> Path:
-    """The summary as JSON, under another name until it is whole."""
-    path = Path(folder) / "run_summary.json"
-    path.parent.mkdir(parents=True, exist_ok=True)
+def write_summary(spark, folder: str, config: RunConfig, outputs: dict, delivered: dict) -> str:
+    """The summary as JSON, in whatever store the folder is, under another name until it is whole."""
+    path = f"{folder.rstrip('/')}/run_summary.json"
     body = {"schema_version": SCHEMA_VERSION, "run": {"finished": iso_utc(), "seed": config.seed}, "config": asdict(config), "outputs": outputs, "delivered": delivered}
-    part = path.with_suffix(".part")
-    part.write_text(json.dumps(body, indent=2, sort_keys=True))
-    os.replace(part, path)
+    write_file(spark, path, json.dumps(body, indent=2, sort_keys=True))
     return path
 
 
-def read_summary(folder: str) -> dict:
-    path = Path(folder) / "run_summary.json"
-    if not path.exists():
+def read_summary(spark, folder: str) -> dict:
+    path = f"{folder.rstrip('/')}/run_summary.json"
+    if not exists(spark, path):
         raise SummaryError(f"{path} does not exist")
     try:
-        body = json.loads(path.read_text())
+        body = json.loads("\n".join(r["value"] for r in spark.read.option("wholetext", True).text(path).collect()))
     except ValueError as e:
         raise SummaryError(f"{path} is no JSON: {e}") from e
     if not isinstance(body, dict) or body.get("schema_version") != SCHEMA_VERSION:

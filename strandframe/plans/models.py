@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strandframe.functions.sequence import kmers
+from strandframe.functions.sequence import gc_windows
 from strandframe.operators import fragments as G
 from strandframe.operators import intervals as I
 from strandframe.operators import mutation_model as M
@@ -23,7 +23,7 @@ VIEWS["snvs"] = """SELECT contig, pos, substring(seq, CAST(pos + 1 AS INT), 1) A
     FROM (SELECT contig, seq, length, (contig_idx * 7919) % length AS pos FROM contigs UNION ALL SELECT contig, seq, length, (contig_idx * 104729 + 13) % length AS pos FROM contigs) p"""
 
 
-def _add(name, sources, make, sql=None):
+def _add(name, sources, make, sql):
     sources = sources.split()
 
     def run(spark, d):
@@ -32,8 +32,6 @@ def _add(name, sources, make, sql=None):
         return make(*[view(spark, d, s) for s in sources])
 
     Q[name] = run
-    if sql is None:  # whole tables, held to brute force in tests
-        return
     O[name] = with_views(sql, *sources, *(["contigs"] if "snvs" in sources else []))
 
 
@@ -73,8 +71,8 @@ _add(
 _add(
     "j14_local_bias",
     "snvs contigs",
-    lambda v, s: M.local_bias(s.where("contig_idx % 25 = 0"), M.mutation_shares(v, s)).groupBy("contig").agg(F.count("*").alias("places"), F.round(F.max("p"), 9).alias("top")),
-    f"SELECT contig, count(*) AS places, round(max(p), 9) AS top FROM (SELECT t.contig, b.p / sum(b.p) OVER (PARTITION BY t.contig) AS p FROM (SELECT contig, substr(seq, CAST(i AS INT), 3) AS tri FROM (SELECT contig, seq, unnest(range(1, length - 1)) AS i FROM contigs WHERE contig_idx % 25 = 0) y) t JOIN (SELECT c.tri, coalesce(m.n, 0)::DOUBLE / c.n AS p FROM {_COUNTS} c LEFT JOIN (SELECT ref_tri, count(*) AS n FROM {_CTX} x GROUP BY 1) m ON m.ref_tri = c.tri) b ON b.tri = t.tri) z GROUP BY contig",
+    lambda v, s: M.local_bias(s, M.mutation_shares(v, s)).groupBy("contig").agg(F.count("*").alias("places"), F.round(F.max("p"), 9).alias("top")),
+    f"SELECT contig, count(*) AS places, round(max(p), 9) AS top FROM (SELECT t.contig, b.p / sum(b.p) OVER (PARTITION BY t.contig) AS p FROM (SELECT contig, substr(seq, CAST(i AS INT), 3) AS tri FROM (SELECT contig, seq, unnest(range(1, length - 1)) AS i FROM contigs) y) t JOIN (SELECT c.tri, coalesce(m.n, 0)::DOUBLE / c.n AS p FROM {_COUNTS} c LEFT JOIN (SELECT ref_tri, count(*) AS n FROM {_CTX} x GROUP BY 1) m ON m.ref_tri = c.tri) b ON b.tri = t.tri) z GROUP BY contig",
 )
 # qualities
 _QL = "(SELECT record_no, list_transform(embedding, lambda x: CAST(floor(abs(CAST(x AS DOUBLE)) * 100) AS INTEGER) % 42) AS q FROM quals)"
@@ -128,12 +126,14 @@ SELECT CAST(g.i""",
 _add(
     "a25_genome_mean_weight",
     "contigs",
-    lambda s: G.genome_mean_weight(s.where("contig_idx % 10 = 0"), s.sparkSession.range(101).select(c("id").cast("int").alias("gc_pct"), ((c("id") % 7 + 1) / 7).alias("weight")), 100).select(r9("mean")),
-    "SELECT round(avg((gc % 7 + 1) / 7.0::DOUBLE), 9) AS mean FROM (SELECT length, pos, CAST(sum(CASE WHEN b IN ('G','C') THEN 1 ELSE 0 END) OVER (PARTITION BY contig ORDER BY pos ROWS BETWEEN CURRENT ROW AND 99 FOLLOWING) AS INTEGER) AS gc FROM (SELECT contig, length, unnest(range(0, length)) AS pos, unnest(string_split(seq, '')) AS b FROM contigs WHERE contig_idx % 10 = 0 AND length > 100) x) y WHERE pos <= length - 100",
+    lambda s: G.genome_mean_weight(s, s.sparkSession.range(101).select(c("id").cast("int").alias("gc_pct"), ((c("id") % 7 + 1) / 7).alias("weight")), 100).select(r9("mean")),
+    "SELECT round(avg((gc % 7 + 1) / 7.0::DOUBLE), 9) AS mean FROM (SELECT length, pos, CAST(sum(CASE WHEN b IN ('G','C') THEN 1 ELSE 0 END) OVER (PARTITION BY contig ORDER BY pos ROWS BETWEEN CURRENT ROW AND 99 FOLLOWING) AS INTEGER) AS gc FROM (SELECT contig, length, unnest(range(0, length)) AS pos, unnest(string_split(seq, '')) AS b FROM contigs WHERE length > 100) x) y WHERE pos <= length - 100",
+)
+_WEIGHTS = lambda s: s.sparkSession.range(101).select(c("id").cast("int").alias("gc_pct"), ((c("id") % 7 + 1) / 7).alias("weight"))
+_add(
+    "j13_weight_lookup",
+    "contigs",
+    lambda s: G.weighted_windows(gc_windows(s, 100), _WEIGHTS(s)).groupBy("contig").agg(F.count("*").alias("windows"), F.round(F.sum("weight"), 6).alias("weight")),
+    "SELECT contig, count(*) AS windows, round(sum((gc % 7 + 1) / 7.0::DOUBLE), 6) AS weight FROM (SELECT contig, length, pos, CAST(sum(CASE WHEN b IN ('G','C') THEN 1 ELSE 0 END) OVER (PARTITION BY contig ORDER BY pos ROWS BETWEEN CURRENT ROW AND 99 FOLLOWING) AS INTEGER) AS gc FROM (SELECT contig, length, unnest(range(0, length)) AS pos, unnest(string_split(seq, '')) AS b FROM contigs WHERE length >= 100) x) y WHERE pos <= length - 100 GROUP BY contig",
 )
-_add("j13_weight_lookup", "contigs", lambda s: kmers(s.where("contig_idx < 20"), 3, "contig").groupBy("kmer").agg(F.count("*").alias("n")), "SELECT substr(seq, CAST(i AS INT), 3) AS kmer, count(*) AS n FROM (SELECT seq, unnest(range(1, length - 1)) AS i FROM contigs WHERE contig_idx < 20) x GROUP BY 1")
 _add("r16_uniform_weights", "chroms", lambda s: G.uniform_weights(s.sparkSession), "SELECT CAST(unnest(range(0, 101)) AS INTEGER) AS gc_pct, CAST(1.0 AS DOUBLE) AS weight")
-# the whole tables: the queries of these names without _whole, and their SQL, take a part of the contigs
-_add("j14_local_bias_whole", "snvs contigs", lambda v, s: M.local_bias(s, M.mutation_shares(v, s)).groupBy("contig").agg(F.count("*").alias("places"), F.round(F.max("p"), 9).alias("top")))
-_add("a25_genome_mean_weight_whole", "contigs", lambda s: G.genome_mean_weight(s, s.sparkSession.range(101).select(c("id").cast("int").alias("gc_pct"), ((c("id") % 7 + 1) / 7).alias("weight")), 100).select(r9("mean")))
-_add("j13_weight_lookup_whole", "contigs", lambda s: kmers(s, 3, "contig").groupBy("kmer").agg(F.count("*").alias("n")))

@@ -11,10 +11,8 @@ Q: dict = {}
 O: dict[str, str] = {}
 
 
-def _add(name, source, make, sql=None):
+def _add(name, source, make, sql):
     Q[name] = lambda spark, d: make(view(spark, d, source))
-    if sql is None:  # whole tables, held to brute force in tests
-        return
     O[name] = with_views(sql, source)
 
 
@@ -69,8 +67,6 @@ FROM (SELECT contig, length, unnest(range(0, CAST(ceil(greatest(length - 1000, 0
 _add(
     "w8_cumulative_weights",
     "contigs",
-    lambda c: S.gc_window_counts(c.where("contig_idx % 20 = 0"), 100).select("gc_pct", F.expr("sum(n) over (order by gc_pct)").alias("running"), F.expr("sum(n) over ()").alias("total")),
-    f"SELECT gc_pct, CAST(sum(n) OVER (ORDER BY gc_pct) AS BIGINT) AS running, CAST(sum(n) OVER () AS BIGINT) AS total FROM (SELECT gc_pct, count(*) AS n FROM (SELECT {_pct.format('gc::DOUBLE / 100')} AS gc_pct FROM (SELECT length, pos, sum(CASE WHEN b IN ('G','C') THEN 1 ELSE 0 END) OVER (PARTITION BY contig ORDER BY pos ROWS BETWEEN CURRENT ROW AND 99 FOLLOWING) AS gc FROM (SELECT contig, length, unnest(range(0, length)) AS pos, unnest(string_split(seq, '')) AS b FROM contigs WHERE contig_idx % 20 = 0) x) y WHERE pos <= length - 100) z GROUP BY gc_pct) t",
+    lambda c: S.gc_window_counts(c, 100).select("gc_pct", F.expr("sum(n) over (order by gc_pct)").alias("running"), F.expr("sum(n) over ()").alias("total")),
+    f"SELECT gc_pct, CAST(sum(n) OVER (ORDER BY gc_pct) AS BIGINT) AS running, CAST(sum(n) OVER () AS BIGINT) AS total FROM (SELECT gc_pct, count(*) AS n FROM (SELECT {_pct.format('gc::DOUBLE / 100')} AS gc_pct FROM (SELECT length, pos, sum(CASE WHEN b IN ('G','C') THEN 1 ELSE 0 END) OVER (PARTITION BY contig ORDER BY pos ROWS BETWEEN CURRENT ROW AND 99 FOLLOWING) AS gc FROM (SELECT contig, length, unnest(range(0, length)) AS pos, unnest(string_split(seq, '')) AS b FROM contigs) x) y WHERE pos <= length - 100) z GROUP BY gc_pct) t",
 )
-# the whole tables: the queries of these names without _whole, and their SQL, take a part of the contigs
-_add("w8_cumulative_weights_whole", "contigs", lambda c: S.gc_window_counts(c, 100).select("gc_pct", F.expr("sum(n) over (order by gc_pct)").alias("running"), F.expr("sum(n) over ()").alias("total")))

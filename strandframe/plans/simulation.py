@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from strandframe.operators import simulate as S
+from strandframe.operators.sim_models import Mutations
 from strandframe.plans.views import view
 from strandframe.session import stored
 
 Q: dict = {}
 O: dict[str, str] = {}
-SETTINGS = S.Settings(coverage=2.0, mutation_rate=0.002, seed=17)
+SETTINGS = S.Settings(coverage=2.0, seed=17, mutations=Mutations(rate=0.002))
 WEIGHTED = S.Settings(coverage=2.0, seed=17, gc_weights=tuple((i + 1) / 101 for i in range(101)))
 
 

@@ -42,21 +42,74 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def path_and_fs(spark: SparkSession, path: str):
+    """Hadoop's path and file system of a path, whatever store it is in."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    target, fs = path_and_fs(spark, path)
+    return fs.exists(target)
+
+
+def files(spark: SparkSession, path: str) -> list[str]:
+    """The data files that a path, a folder or a pattern names; hidden ones and markers are none."""
+    target, fs = path_and_fs(spark, path)
+    out = []
+    for status in fs.globStatus(target) or []:
+        inside = fs.listStatus(status.getPath()) if status.isDirectory() else [status]
+        out += [f.getPath().toString() for f in inside if not f.isDirectory() and f.getPath().getName()[0] not in "._"]
+    return out
+
+
+def first_bytes(spark: SparkSession, path: str, n: int) -> bytes:
+    """The first n bytes of a file; nothing more of it is read."""
+    target, fs = path_and_fs(spark, path)
+    stream = fs.open(target)
+    try:
+        found = []
+        while len(found) < n and (b := stream.read()) >= 0:
+            found.append(b)
+        return bytes(found)
+    finally:
+        stream.close()
+
+
+def write_file(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, under another name until it is whole."""
+    target, fs = path_and_fs(spark, path)
+    part = target.suffix(".part")
+    stream = fs.create(part, True)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+    fs.delete(target, False)
+    if not fs.rename(part, target):
+        raise OSError(f"{path} could not be written")
+
+
 def scratch(spark: SparkSession, tag: str) -> str:
     """A new path in the shared folder that the JVM removes when it ends."""
     path = f"{shared_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    target, fs = path_and_fs(spark, path)
     fs.mkdirs(target)
     fs.deleteOnExit(target)
     return path
 
 
+def few_files(df: DataFrame, per_core: int = 2) -> DataFrame:
+    """df in at most so many partitions a core, without a shuffle: a task takes several of them one after the other, each
+    with its own memory. Small tables of many partitions else become many small files, each of which costs the
+    executor a process where the shared folder is a plain disk."""
+    return df.coalesce(max(8, per_core * df.sparkSession.sparkContext.defaultParallelism))
+
+
 def stored(df: DataFrame, tag: str) -> DataFrame:
     """Cut the lineage: write to the shared folder as Parquet and read back, so that a lost executor costs no recomputation."""
     path = scratch(df.sparkSession, tag) + "/data"
-    df.write.parquet(path)
+    few_files(df).write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out
@@ -75,6 +128,5 @@ def released(*tables: DataFrame) -> None:
 def dropped(*tables: DataFrame) -> None:
     """Remove stored tables that nothing reads any more."""
     for table in tables:
-        spark = table.sparkSession
-        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table.stored_at)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        target, fs = path_and_fs(table.sparkSession, table.stored_at)
+        fs.delete(target, True)

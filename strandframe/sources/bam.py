@@ -142,3 +142,13 @@ def read_bam(spark: SparkSession, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_pylist(held, schema)
 
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(load, COLUMNS)
+
+
+def spans(alignments: DataFrame) -> DataFrame:
+    """``contig, st, en`` of mapped alignments, ends by their CIGARs; those without one are left out."""
+    from pyspark.sql import functions as F
+
+    taken = F.regexp_extract_all("cigar", F.lit(r"(\d+)[MDN=X]"), F.lit(1))
+    width = F.aggregate(taken, F.lit(0).cast("long"), lambda a, n: a + n.cast("long"))
+    rows = alignments.where((F.col("flag").bitwiseAND(4) == 0) & F.col("contig").isNotNull() & (F.col("contig") != "*"))
+    return rows.select("contig", F.col("pos").alias("st"), (F.col("pos") + width).alias("en")).where("en > st")

@@ -6,11 +6,15 @@ import gzip
 import io
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from strandframe.functions.sequence import resolved
+from strandframe.session import files, first_bytes
+
 GZIP_MAGIC = b"\x1f\x8b"
 
 
@@ -19,9 +23,17 @@ class FormatError(ValueError):
 
 
 def is_compressed(spark: SparkSession, path: str) -> bool:
-    """By the first two bytes, whatever the name."""
-    head = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, 2).alias("h")).first()
-    return head is not None and bytes(head["h"]) == GZIP_MAGIC
+    """By the first two bytes of the file, whatever its name; nothing more of it is read."""
+    return first_bytes(spark, path, 2) == GZIP_MAGIC
+
+
+def _split_paths(spark: SparkSession, path: str) -> tuple[list[str], list[str]]:
+    """(files that the text reader can read, gzip files under names that it does not take for such)."""
+    found = files(spark, path)
+    if not found:
+        raise FormatError(f"{path} names no file")
+    misnamed = [p for p in found if not p.endswith((".gz", ".bgz")) and is_compressed(spark, p)]
+    return [p for p in found if p not in set(misnamed)], misnamed
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
@@ -29,41 +41,64 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
 
     A split knows where in its file it starts; the lines of a split are numbered where they are read, and the counts of
     the splits before it, a small table, are added. Files whose name ends in .gz are inflated by the reader; a gzip file
-    of another name is inflated whole by one task.
+    of another name, told by its first bytes, is inflated whole by one task.
     """
-    if not path.endswith((".gz", ".bgz")) and is_compressed(spark, path):
-        return _inflated(spark, path)
-    rows = spark.read.text(path).select(F.input_file_name().alias("file"), F.input_file_block_start().alias("block"), F.monotonically_increasing_id().alias("i"), "value")
-    blocks = rows.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("i").alias("first"))
-    w = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    before = blocks.select(F.col("file").alias("f"), F.col("block").alias("b"), "first", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("before"))
-    joined = rows.join(F.broadcast(before), (F.col("file") == F.col("f")) & (F.col("block") == F.col("b")))
-    return joined.select("file", (F.col("before") + F.col("i") - F.col("first")).alias("line_no"), "value")
-
+    plain, misnamed = _split_paths(spark, path)
+    out = None
+    if plain:
+        rows = spark.read.text(plain).select(F.input_file_name().alias("file"), F.input_file_block_start().alias("block"), F.monotonically_increasing_id().alias("i"), "value")
+        blocks = rows.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("i").alias("first"))
+        w = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+        before = blocks.select(F.col("file").alias("f"), F.col("block").alias("b"), "first", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("before"))
+        joined = rows.join(before, (F.col("file") == F.col("f")) & (F.col("block") == F.col("b")))
+        out = joined.select("file", (F.col("before") + F.col("i") - F.col("first")).alias("line_no"), "value")
+    if misnamed:
+        more = _inflated(spark, misnamed, "\n")
+        out = more if out is None else out.unionByName(more)
+    return out
+
+
+def texts(spark: SparkSession, path: str, separator: str = "\n") -> DataFrame:
+    """``value``: what stands between separators in text files, gzip files of any name among them."""
+    plain, misnamed = _split_paths(spark, path)
+    out = spark.read.option("lineSep", separator).text(plain).select("value") if plain else None
+    if misnamed:
+        more = _inflated(spark, misnamed, separator).select("value")
+        out = more if out is None else out.unionByName(more)
+    return out
+
+
+def _inflated(spark: SparkSession, paths: list[str], separator: str) -> DataFrame:
+    mark = separator.encode()
 
-def _inflated(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                with gzip.open(io.BytesIO(content), "rt", encoding="utf-8") as f:
-                    held, at = [], 0
-                    for line in f:
-                        held.append(line.rstrip("\r\n"))
-                        if len(held) == 10_000:
-                            yield pa.record_batch([pa.array([name] * len(held)), pa.array(range(at, at + len(held)), pa.int64()), pa.array(held)], ["file", "line_no", "value"])
-                            at, held = at + len(held), []
-                    yield pa.record_batch([pa.array([name] * len(held), pa.string()), pa.array(range(at, at + len(held)), pa.int64()), pa.array(held, pa.string())], ["file", "line_no", "value"])
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "file string, line_no long, value string")
-
-
-def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """``contig, description, seq, length``: upper-cased sequences; a row each, so a contig of up to 2 GB."""
-    rows = spark.read.option("lineSep", "\n>").text(path).where(F.trim("value") != "")
+                with gzip.open(io.BytesIO(content), "rb") as f:
+                    rest, at, ended = b"", 0, False
+                    while not ended:
+                        data = f.read(1 << 20)
+                        ended = not data
+                        *held, rest = (rest + data).split(mark)
+                        if ended and rest:
+                            held.append(rest)
+                        values = [x.rstrip(b"\r").decode("utf-8", "replace") if mark == b"\n" else x.decode("utf-8", "replace") for x in held]
+                        yield pa.record_batch([pa.array([name] * len(held), pa.string()), pa.array(np.arange(at, at + len(held))), pa.array(values, pa.string())], ["file", "line_no", "value"])
+                        at += len(held)
+
+    return spark.read.format("binaryFile").load(paths).select("path", "content").mapInArrow(run, "file string, line_no long, value string")
+
+
+def read_fasta(spark: SparkSession, path: str, seed: int | None = None) -> DataFrame:
+    """``contig, description, seq, length``: upper-cased sequences; a row each, so a contig of up to 2 GB. With a seed,
+    ambiguity codes become one of their bases, by contig and place."""
+    rows = texts(spark, path, "\n>").where(F.trim("value") != "")
     body = F.regexp_replace("value", "^>", "")
     head = F.regexp_extract(body, r"^([^\r\n]*)", 1)
     seq = F.upper(F.regexp_replace(F.regexp_replace(body, r"^[^\r\n]*", ""), r"\s", ""))
     out = rows.select(F.regexp_extract(head, r"^(\S*)", 1).alias("contig"), head.alias("description"), seq.alias("seq"))
+    if seed is not None:
+        out = resolved(out, seed)
     return out.withColumn("length", F.length("seq").cast("long"))
 
 
@@ -78,10 +113,10 @@ def read_fastq(spark: SparkSession, path: str) -> DataFrame:
     return out.select("file", "record_no", F.when(F.coalesce(good, F.lit(False)), F.substr("name", F.lit(2))).otherwise(bad).alias("name"), "seq", "qual")
 
 
-def write_fastq(reads: DataFrame, path: str, codec: str = "gzip") -> None:
+def write_fastq(reads: DataFrame, path: str, codec: str = "gzip", mode: str = "errorifexists") -> None:
     """Reads ``name, seq, qual`` as text parts, in the rows' order."""
     record = F.concat(F.lit("@"), F.col("name"), F.lit("\n"), F.col("seq"), F.lit("\n+\n"), F.col("qual"))
-    reads.select(record.alias("value")).write.mode("overwrite").option("compression", codec).text(path)
+    reads.select(record.alias("value")).write.mode(mode).option("compression", codec).text(path)
 
 
 def read_bed(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
@@ -105,7 +140,7 @@ def read_bed(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
 
 def read_names(spark: SparkSession, path: str) -> DataFrame:
     """``source, canonical``: two fields apart by a tab, else by white space; shorter lines are left out."""
-    rows = spark.read.text(path).where(~F.col("value").rlike(r"^\s*(#|$)"))
+    rows = texts(spark, path).where(~F.col("value").rlike(r"^\s*(#|$)"))
     fields = F.when(F.contains("value", F.lit("\t")), F.split("value", "\t")).otherwise(F.split(F.trim("value"), r"\s+"))
     return rows.select(fields.alias("f")).where("size(f) >= 2").select(F.trim(F.col("f")[0]).alias("source"), F.trim(F.col("f")[1]).alias("canonical"))
 
@@ -139,7 +174,7 @@ def contig_accessions(header: list[str]) -> dict[str, str]:
     return {m[2]: m[1] for m in pairs if m}
 
 
-def write_vcf(records: DataFrame, path: str, contigs: list[tuple[str, int]], source: str = "strandframe") -> None:
+def write_vcf(records: DataFrame, path: str, contigs: list[tuple[str, int]], source: str = "strandframe", mode: str = "errorifexists") -> None:
     """VCF text: header parts sort before the records, which are sorted by contig order and place.
 
     records: ``contig, contig_idx, pos, id, ref, alt, qual, filter, info, format, sample``.
@@ -149,12 +184,12 @@ def write_vcf(records: DataFrame, path: str, contigs: list[tuple[str, int]], sou
     body = F.concat_ws("\t", "contig", (F.col("pos") + 1).cast("string"), *[F.coalesce(c, F.lit(".")) for c in ("id", "ref", "alt", "qual", "filter", "info", "format", "sample")])
     rows = records.select(F.lit(1).alias("k"), F.col("contig_idx").cast("long").alias("c"), "pos", body.alias("value"))
     first = spark.createDataFrame([(0, 0, n, line) for n, line in enumerate(head)], "k int, c long, pos long, value string")
-    first.unionByName(rows).orderBy("k", "c", "pos", "value").select("value").write.mode("overwrite").text(path)
+    first.unionByName(rows).orderBy("k", "c", "pos", "value").select("value").write.mode(mode).text(path)
 
 
 def read_sam(spark: SparkSession, path: str) -> DataFrame:
     """``name, flag, contig, pos, mapq, cigar, mate_contig, mate_pos, tlen, seq, qual`` (places zero-based, = resolved)."""
-    rows = spark.read.text(path).where(~F.col("value").rlike(r"^(@[A-Z]{2}\t|\s*$)"))
+    rows = texts(spark, path).where(~F.col("value").rlike(r"^(@[A-Z]{2}\t|\s*$)"))
     f = F.split("value", "\t")
     mate = F.when(f[6] == "=", f[2]).otherwise(f[6])
     return rows.select(f[0].alias("name"), f[1].cast("int").alias("flag"), f[2].alias("contig"), (f[3].cast("long") - 1).alias("pos"), f[4].cast("int").alias("mapq"), f[5].alias("cigar"), mate.alias("mate_contig"), (f[7].cast("long") - 1).alias("mate_pos"), f[8].cast("int").alias("tlen"), f[9].alias("seq"), f[10].alias("qual"))
@@ -167,20 +202,20 @@ def sam_line() -> Column:
     return F.concat_ws("\t", "name", text("flag"), "contig", text("pos"), text("mapq"), "cigar", mate, text("mate_pos"), text("tlen"), "seq", "qual")
 
 
-def write_sam(alignments: DataFrame, path: str, contigs: list[tuple[str, int]]) -> None:
+def write_sam(alignments: DataFrame, path: str, contigs: list[tuple[str, int]], mode: str = "errorifexists") -> None:
     spark = alignments.sparkSession
     head = ["@HD\tVN:1.6\tSO:coordinate", *[f"@SQ\tSN:{c}\tLN:{n}" for c, n in contigs]]
     order = {c: i for i, (c, _) in enumerate(contigs)}
     place = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in order.items() for x in p]), F.col("contig")), F.lit(len(order)))
     rows = alignments.select(F.lit(1).alias("k"), place.cast("long").alias("c"), "pos", sam_line().alias("value"))
     first = spark.createDataFrame([(0, 0, n, line) for n, line in enumerate(head)], "k int, c long, pos long, value string")
-    first.unionByName(rows).orderBy("k", "c", "pos", "value").select("value").write.mode("overwrite").text(path)
+    first.unionByName(rows).orderBy("k", "c", "pos", "value").select("value").write.mode(mode).text(path)
 
 
-def write_fasta(contigs: DataFrame, path: str, width: int = 80) -> None:
+def write_fasta(contigs: DataFrame, path: str, width: int = 80, mode: str = "errorifexists") -> None:
     from strandframe.functions.sequence import wrapped
 
-    contigs.select(F.concat(F.lit(">"), F.col("contig"), F.lit("\n"), wrapped(F.col("seq"), width)).alias("value")).write.mode("overwrite").text(path)
+    contigs.select(F.concat(F.lit(">"), F.col("contig"), F.lit("\n"), wrapped(F.col("seq"), width)).alias("value")).write.mode(mode).text(path)
 
 
 def truth_status(records: DataFrame) -> DataFrame:
