@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -272,6 +273,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", commo
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return schema.empty_table()
+        # a fixed order, so that the numbers of rows are the same when a lost task is done again
+        marks = [(str(i), xxhash.xxh3_128_digest((t or "").encode("utf-8", "surrogatepass"))) for i, t in zip(left.column("id").to_pylist(), left.column("text").to_pylist(), strict=True)]
+        left = left.take(pa.array(sorted(range(len(marks)), key=marks.__getitem__)))
         known = shared.value
         sizes = right.column("size").to_pylist()
         keys = np.concatenate([unpacked_keys(k, n) for k, n in zip(right.column("keys").to_pylist(), sizes, strict=True)])

@@ -294,7 +294,8 @@ def _sorter(length: int, shard_bytes: int):
 def _hits(pieces: DataFrame, length: int, shard_bytes: int, runs: tuple[int, ...]) -> DataFrame:
     """HITS of rows ``gid, c1, c2, times, ref, crowd, data``; crowded groups are cut into runs and sorted as groups of those."""
     small = pieces if not runs else pieces.where(~F.col("crowd"))
-    shards = small.select("gid", "c1", "c2", "times", "data").repartition("gid").sortWithinPartitions("gid", "c1", "c2")
+    # dealt by a function of the key: a partitioning that is there already, of a join, may be split by adaptive execution
+    shards = small.select("gid", "c1", "c2", "times", "data").repartition(F.xxhash64("gid")).sortWithinPartitions("gid", "c1", "c2")
     found = shards.mapInArrow(_sorter(length, shard_bytes), HITS)
     if not runs or not pieces.where("crowd").limit(1).count():
         return found
