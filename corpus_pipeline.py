@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from strandframe.llm import bpe, decontaminate, jaccard, pii, quality
 from strandframe.llm.filters import with_text
-from strandframe.session import stored
+from strandframe.session import few_files, stored
 
 #: No SQL expresses the stages; tests/llm hold them against brute force.
 ORACLE_SQL = None
@@ -19,19 +19,19 @@ ORACLE_SQL = None
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop what the nearest-neighbour classifier rejects (score under 0.3)."""
-    return quality.accepted(docs, quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return few_files(quality.accepted(docs, quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))), 4)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near duplicates keep the document of the smallest id; repeated rows of it once."""
     classes = jaccard.join(docs.select("doc_id", "text"))
     stays = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("stays")).distinct()
-    return docs.join(stays, docs["doc_id"].eqNullSafe(stays["stays"]), "left_semi").dropDuplicates(["doc_id", "text"])
+    return few_files(docs.join(stays, docs["doc_id"].eqNullSafe(stays["stays"]), "left_semi").dropDuplicates(["doc_id", "text"]), 4)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a benchmark item within a fifth of its words."""
-    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return few_files(decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")), 4)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +39,7 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     terms = stored(pii.revealing(docs), "pii-terms")
     rest = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
     found = pii.find(docs, terms, carry=rest)
-    return with_text(found, F.col("clean"), "text", "n_chars").select(*docs.columns)
+    return few_files(with_text(found, F.col("clean"), "text", "n_chars").select(*docs.columns), 4)
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
