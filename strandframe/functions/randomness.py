@@ -81,6 +81,21 @@ def poisson(mean: Column, u: Column, most: int = 400) -> Column:
     return F.when(mean <= 0, F.lit(0).cast("long")).when(mean <= 50, small).otherwise(F.greatest(F.lit(0).cast("long"), F.rint(mean + F.sqrt(mean) * quantile).cast("long")))
 
 
+def duck_normal_quantile(u: str) -> str:
+    """The SQL text of normal_quantile for DuckDB, within 1e-15 of 0 and 1."""
+
+    def along(x, coefficients):
+        out = "0.0"
+        for k in coefficients:
+            out = f"({out} * {x} + ({k!r}))"
+        return out
+
+    middle, low = f"({u} - 0.5)", f"sqrt(-2 * ln(least({u}, 1 - {u})))"
+    r = f"({middle} * {middle})"
+    tail = f"({along(low, _C)} / ({along(low, _D)} * {low} + 1))"
+    return f"CASE WHEN abs({middle}) <= 0.47575 THEN {middle} * {along(r, _A)} / ({along(r, _B)} * {r} + 1) WHEN {middle} < 0 THEN {tail} ELSE -{tail} END"
+
+
 def duck_uniform(*key: str) -> str:
     """The SQL text of uniform for DuckDB; parts are SQL expressions."""
     joined = ", '|', ".join(f"CAST({k} AS VARCHAR)" for k in key)

@@ -162,6 +162,16 @@ def trinucleotide_counts(contigs: DataFrame) -> DataFrame:
     return contigs.select("seq").mapInArrow(count, "tri string, n long").groupBy("tri").agg(F.sum("n").alias("n"))
 
 
+def kept_trinucleotide_counts(contigs: DataFrame, path: str) -> DataFrame:
+    """The counts of a table that an earlier run kept at the path; counted and kept there if there is none."""
+    from strandframe.session import exists
+
+    spark = contigs.sparkSession
+    if not exists(spark, f"{path}/_SUCCESS"):
+        trinucleotide_counts(contigs).coalesce(1).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def gc_window_counts(contigs: DataFrame, width: int) -> DataFrame:
     """``gc_pct, n``: how many whole windows of width letters have each percent, as gc_windows gives them one by one."""
 
@@ -176,6 +186,11 @@ def gc_window_counts(contigs: DataFrame, width: int) -> DataFrame:
     return contigs.select("seq").mapInArrow(count, "gc_pct int, n long").groupBy("gc_pct").agg(F.sum("n").alias("n"))
 
 
+def chunk_size(total: int, cores: int, least: int = 100_000, most: int = 50_000_000, per_core: int = 8) -> int:
+    """Bases in a chunk, so that each core gets about as many chunks as wanted, within bounds."""
+    return max(least, min(most, total // max(1, cores * per_core)))
+
+
 def chunks(contigs: DataFrame, size: int, overlap: int) -> DataFrame:
     """``contig, chunk, st, en, own_end``: overlapping slices that end with the contig; own_end is the next one's start."""
     if size <= overlap:

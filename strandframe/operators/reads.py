@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Iterator
+from itertools import groupby
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 
 def name(prefix: str, contig: Column, start: Column, end: Column) -> Column:
@@ -90,6 +96,43 @@ def cigar(length: Column | int, indels: Column) -> Column:
     return F.aggregate(indels, start, step, close)
 
 
+def global_alignment(template: str, query: str) -> str:
+    """CIGAR of the query against the template, both from end to end, with the fewest edits; of equal ones matches go
+    before deletions, and these before insertions, from the end."""
+    a, b = np.frombuffer(template.encode(), np.uint8), np.frombuffer(query.encode(), np.uint8)
+    n, m = len(a), len(b)
+    step, row = np.arange(m + 1), np.arange(m + 1)
+    came = np.zeros((n + 1, m + 1), np.uint8)  # 0 match or mismatch, 1 deletion, 2 insertion
+    came[0, 1:] = 2
+    for i in range(1, n + 1):
+        best, down = np.append(i, row[:-1] + (b != a[i - 1])), row + 1
+        kind = np.where(down < best, 1, 0).astype(np.uint8)
+        kind[0] = 1
+        best = np.minimum(best, down)
+        best[0] = i
+        low = np.minimum.accumulate(best - step) + step
+        came[i] = np.where(low < best, 2, kind)
+        row = low
+    ops, i, j = [], n, m
+    while i or j:
+        k = came[i, j]
+        ops.append("MDI"[k])
+        i, j = i - (k != 2), j - (k != 1)
+    return "".join(f"{len(list(g))}{op}" for op, g in groupby(reversed(ops)))
+
+
+def aligned_cigars(rows: DataFrame, template: str = "template", query: str = "query") -> DataFrame:
+    """rows with ``cigar``: the query aligned with its template; null where either is."""
+    at = [rows.columns.index(c) for c in (template, query)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [None if x is None or y is None else global_alignment(x, y) for x, y in zip(*(batch.column(i).to_pylist() for i in at), strict=True)]
+            yield pa.record_batch([*batch.columns, pa.array(made, pa.string())], [*batch.schema.names, "cigar"])
+
+    return rows.mapInArrow(run, StructType([*rows.schema, StructField("cigar", StringType())]))
+
+
 def run_lengths(ops: Column) -> Column:
     """MMMIMM as 3M1I2M."""
     start = F.struct(F.lit("").alias("c"), F.lit(0).alias("n"), F.lit("").alias("out"))

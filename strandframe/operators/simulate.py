@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
-from strandframe.functions.randomness import categorical, normal, poisson, stochastic_round, uniform
-from strandframe.functions.sequence import BASES, PIECE, bases_at, gc_windows, letter_codes, reverse_complement
+from strandframe.functions.randomness import categorical, normal, poisson, stochastic_round, uniform, uniform_of
+from strandframe.functions.sequence import BASES, bases_at, letter_codes, pieces, reverse_complement, window_percents
 from strandframe.operators import synthesis
 from strandframe.operators.intervals import fill_gaps, interval_filter, point_join
 from strandframe.operators.reads import padding
@@ -95,33 +95,58 @@ def _ends(rows: DataFrame, s: Settings) -> DataFrame:
     return rows.select("contig", "length", "read_no", F.col("f.s").alias("s1"), (F.col("f.s") + s.read_length).alias("e1"), mate[0].alias("s2"), mate[1].alias("e2"))
 
 
+#: Bases in a piece of a contig whose windows are weighed by one task at a time, and draws made at a time.
+GC_PIECE, GC_DRAWS = 1 << 16, 1 << 16
+
+
 def _weighted(wanted: DataFrame, s: Settings) -> DataFrame:
-    """Starts by inverse distribution: the running weight of a contig's windows, in pieces, joined with the draws.
+    """Starts by inverse distribution over the weights of a contig's windows.
 
-    Draws meet the piece that they fall in by range within the contig, then the window within the piece. Windows that
-    begin where no fragment has room are left out, so that each draw is a valid start.
+    Each piece's windows are weighed in an array; a contig's row holds its pieces' sums, by which its draws, a range of
+    their numbers a task, are dealt to pieces; a piece's draws meet its letters and are looked up in its running weights.
+    Windows that begin where no fragment has room are left out, so that each draw is a valid start.
     """
-    weights = F.array(*[F.lit(float(w)) for w in s.gc_weights])
+    weights = np.array(s.gc_weights, float)
+    kind = wanted.schema["contig"].dataType.simpleString()
     tail = max(0, _need(s) - s.gc_window)
-    roomy = wanted.withColumn("seq", F.left("seq", F.col("length") - tail)).withColumn("length", F.col("length") - tail)
-    w = gc_windows(roomy, s.gc_window).withColumn("weight", F.element_at(weights, F.col("gc_pct") + 1)).withColumn("piece", F.floor(F.col("pos") / PIECE))
-    order = Window.partitionBy("contig", "piece").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    w = w.withColumn("upto", F.sum("weight").over(order)).withColumn("from", F.col("upto") - F.col("weight"))
-    piece = w.groupBy("contig", "piece").agg(F.sum("weight").alias("weight"), F.count("*").alias("windows"))
-    by = Window.partitionBy("contig").orderBy("piece").rowsBetween(Window.unboundedPreceding, 0)
-    piece = piece.withColumn("hi", F.sum("weight").over(by)).withColumn("lo", F.col("hi") - F.col("weight"))
-    total = piece.groupBy("contig").agg(F.max("hi").alias("total"), F.sum("windows").alias("windows"))
+    roomy = wanted.withColumn("seq", F.left("seq", F.col("length") - tail))
+    parts = pieces(roomy.where(F.length("seq") >= s.gc_window), s.gc_window - 1, "contig", size=GC_PIECE)
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [weights[window_percents(letter_codes(p), s.gc_window)] for p in batch.column(2).to_pylist()]
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array([float(w.sum()) for w in found], pa.float64()), pa.array([len(w) for w in found], pa.int64())], ["contig", "base", "weight", "windows"])
+
+    sums = parts.mapInArrow(weigh, f"contig {kind}, base long, weight double, windows long")
+    total = sums.groupBy("contig").agg(F.array_sort(F.collect_list(F.struct("base", "weight"))).alias("pieces"), F.sum("weight").alias("total"), F.sum("windows").alias("windows"))
     overall = total.agg((F.sum("total") / F.sum("windows")).alias("mean"))
     per = s.read_length * (2 if s.paired else 1)
-    scaled = wanted.join(total, "contig").crossJoin(F.broadcast(overall))
     n = stochastic_round(F.col("length") * s.coverage / per * F.col("total") / F.col("windows") / F.col("mean"), s.seed, F.col("contig"), "gc")
-    each = scaled.withColumn("n", n).where("n > 0 and total > 0").select("contig", "length", "total", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("read_no"))
-    drawn = each.withColumn("at", uniform(s.seed, F.col("contig"), F.col("read_no"), "gc") * F.col("total"))
-    p = piece.select(F.col("contig").alias("pc"), F.col("piece").alias("pp"), "lo", "hi")
-    hit = drawn.join(p, (F.col("contig") == F.col("pc")) & (F.col("at") >= F.col("lo")) & (F.col("at") < F.col("hi")))
-    inner = w.select(F.col("contig").alias("wc"), F.col("piece").alias("wp"), "pos", "from", "upto")
-    rest = F.col("at") - F.col("lo")
-    placed = hit.join(inner, (F.col("contig") == F.col("wc")) & (F.col("pp") == F.col("wp")) & (rest >= F.col("from")) & (rest < F.col("upto")))
+    scaled = wanted.select("contig", "length").join(total, "contig").crossJoin(F.broadcast(overall)).where("total > 0").withColumn("n", n).where("n > 0")
+    ranges = scaled.select("contig", "length", "n", "pieces", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(GC_DRAWS).cast("long"))).alias("first"))
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for contig, length, count, listed, first in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                numbers = np.arange(first, min(count, first + GC_DRAWS))
+                upto = np.cumsum([p["weight"] for p in listed])
+                at = np.array([uniform_of(s.seed, contig, i, "gc") for i in numbers.tolist()]) * upto[-1]
+                last = int(np.flatnonzero([p["weight"] for p in listed])[-1])
+                hit = np.minimum(np.searchsorted(upto, at, "right"), last)
+                bases = np.array([p["base"] for p in listed])[hit]
+                yield pa.record_batch([pa.array([contig] * len(numbers), batch.schema.field(0).type), pa.array([length] * len(numbers), pa.int64()), pa.array(numbers), pa.array(bases, pa.int64()), pa.array(at - (upto[hit] - np.array([p["weight"] for p in listed])[hit]))], ["contig", "length", "read_no", "base", "rest"])
+
+    drawn = ranges.repartition("contig", "first").select("contig", "length", "n", "pieces", "first").mapInArrow(draw, f"contig {kind}, length long, read_no long, base long, rest double")
+
+    def place(letters: pa.Table, draws: pa.Table) -> pa.Table:
+        if not letters.num_rows or not draws.num_rows:
+            return draws.select(["contig", "length", "read_no"]).slice(0, 0).append_column("pos", pa.array([], pa.int64()))
+        found = weights[window_percents(letter_codes(letters.column("piece")[0].as_py()), s.gc_window)]
+        last = int(np.flatnonzero(found)[-1])
+        pos = np.minimum(np.searchsorted(np.cumsum(found), draws.column("rest").to_numpy(), "right"), last) + letters.column("base")[0].as_py()
+        return draws.select(["contig", "length", "read_no"]).append_column("pos", pa.array(pos, pa.int64()))
+
+    placed = parts.groupBy("contig", "base").cogroup(drawn.groupBy("contig", "base")).applyInArrow(place, f"contig {kind}, length long, read_no long, pos long")
     return _ends(placed.withColumn("f", _tried(F.col("pos"), s)), s)
 
 

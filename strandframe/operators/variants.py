@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from strandframe.functions.randomness import uniform
 from strandframe.functions.sequence import bases_at
 
 # Classes, and the quality that stands in for a missing one.
@@ -104,6 +105,42 @@ def under(variants: DataFrame, kind: str) -> DataFrame:
     return variants.join(covered(variants, kind), ["contig", "pos", "gt"]).where(F.col("line_no") != F.col("covers")).select("line_no", "covers").distinct()
 
 
+def contains(start: Column, length: Column, pos: Column) -> Column:
+    """Whether a variant that begins at start and spans length has the place in it."""
+    return (start <= pos) & (pos < start + length)
+
+
+def deletion_contains(start: Column, length: Column, pos: Column, genotype: Column, other: Column) -> Column:
+    """The same for a deletion, which another variant meets only if their genotypes are equal."""
+    return contains(start, length, pos) & genotype.eqNullSafe(other)
+
+
+def five_prime(start: Column, pos: Column, or_at: bool = False) -> Column:
+    """Whether a place lies before a variant (or at its start)."""
+    return pos <= start if or_at else pos < start
+
+
+def three_prime(start: Column, length: Column, pos: Column, or_at: bool = False) -> Column:
+    """Whether a place lies after a variant's end (or at it)."""
+    return pos >= start + length if or_at else pos > start + length
+
+
+def free_copy(taken: Column, u: Column) -> Column:
+    """A genotype text that has one of the copies that ``taken`` (0 and 1) leaves free, by u; null if none is."""
+    free = F.filter(F.sequence(F.lit(0), F.size(taken) - 1), lambda i: F.get(taken, i) == 0)
+    chosen = F.get(free, F.floor(u * F.size(free)).cast("int"))
+    return F.when(F.size(free) > 0, F.array_join(F.transform(taken, lambda _, i: F.when(i == chosen, "1").otherwise("0")), "/"))
+
+
+def on_free_copies(added: DataFrame, present: DataFrame, seed: int) -> DataFrame:
+    """Variants ``contig, pos, line_no, ...`` with ``gt`` on a copy that those present at their place leave free; where
+    there are none at the place the genotype stays, and where no copy is free the variant is left out."""
+    taken = composite_genotypes(present).withColumnRenamed("genotype", "_taken")
+    joined = added.join(taken, ["contig", "pos"], "left")
+    gt = F.when(F.col("_taken").isNull(), F.col("gt")).otherwise(free_copy(F.col("_taken"), uniform(F.lit(seed), F.col("contig"), F.col("pos"), F.col("line_no"), "free")))
+    return joined.withColumn("gt", gt).where("gt is not null").select(*added.columns)
+
+
 def composite_genotypes(variants: DataFrame) -> DataFrame:
     """``contig, pos, genotype``: for each copy whether any variant at the place has it."""
     rows = variants.select("contig", "pos", F.posexplode(genotype_of(F.col("gt"), 1)).alias("i", "g"))

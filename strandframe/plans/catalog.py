@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from strandframe.plans import models, ranges, reads, sequences, simulation, variants
+from strandframe.plans import files, models, ranges, reads, sequences, simulation, variants
 
 QUERIES: dict = {}
 ORACLE: dict = {}
-for _part in (sequences, ranges, variants, models, reads, simulation):
+for _part in (sequences, ranges, variants, models, reads, simulation, files):
     QUERIES |= _part.Q
     ORACLE |= _part.O

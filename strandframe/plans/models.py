@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strandframe.functions.sequence import gc_windows
+from strandframe.functions.sequence import gc_windows, trinucleotide_counts
 from strandframe.operators import fragments as G
 from strandframe.operators import intervals as I
 from strandframe.operators import mutation_model as M
@@ -137,3 +137,11 @@ _add(
     "SELECT contig, count(*) AS windows, round(sum((gc % 7 + 1) / 7.0::DOUBLE), 6) AS weight FROM (SELECT contig, length, pos, CAST(sum(CASE WHEN b IN ('G','C') THEN 1 ELSE 0 END) OVER (PARTITION BY contig ORDER BY pos ROWS BETWEEN CURRENT ROW AND 99 FOLLOWING) AS INTEGER) AS gc FROM (SELECT contig, length, unnest(range(0, length)) AS pos, unnest(string_split(seq, '')) AS b FROM contigs WHERE length >= 100) x) y WHERE pos <= length - 100 GROUP BY contig",
 )
 _add("r16_uniform_weights", "chroms", lambda s: G.uniform_weights(s.sparkSession), "SELECT CAST(unnest(range(0, 101)) AS INTEGER) AS gc_pct, CAST(1.0 AS DOUBLE) AS weight")
+_add(
+    "a1_region_counts",
+    "contigs spans",
+    lambda s, a: trinucleotide_counts(M.region_sequences(s, a)),
+    "SELECT substr(seq, CAST(i + 1 AS INT), 3) AS tri, count(*) AS n FROM (SELECT c.seq, unnest(range(greatest(s.st, 0), least(s.en + 1, c.length) - 2)) AS i FROM spans s JOIN contigs c ON c.contig = s.contig) x GROUP BY 1",
+)
+_add("a9_region_rate", "snvs contigs spans", lambda v, s, a: M.mutation_rate(v, s, a).select(r9("rate")), "SELECT round((SELECT count(*) FROM snvs)::DOUBLE / (SELECT sum(en - st + 1) FROM spans WHERE contig IN (SELECT contig FROM contigs)), 9) AS rate")
+_add("f9_human_names", "chroms", lambda s: M.of_human_names(s.unionByName(s.select(F.concat(F.lit("un_"), "contig").alias("contig"), "length"))).select("contig"), "SELECT contig FROM chroms")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strandframe.operators import intervals as I
+from strandframe.operators import variants as V
 from strandframe.plans.views import view, with_views
 
 Q: dict = {}
@@ -25,7 +26,7 @@ _R = "(SELECT event_id, contig, pos AS st, pos + span AS en FROM alignments)"
 _add("f1_overlap", "regions", lambda r: r.where(I.overlaps(F.col("st"), F.col("en"), F.lit(2000), F.lit(9000))).select("contig", "st", "en"), "SELECT contig, st, en FROM regions WHERE st < 9000 AND 2000 < en")
 _add("f2_block_variants", "typed", lambda v: v.where(I.in_block(F.col("pos"), 1000, 50000)).groupBy("contig").agg(F.count("*").alias("n")), "SELECT contig, count(*) AS n FROM typed WHERE pos >= 1000 AND pos < 50000 GROUP BY contig")
 _add("f3_block_regions", "regions", lambda r: r.where(I.overlaps(F.col("st"), F.col("en"), F.lit(500), F.lit(600))).groupBy("contig").agg(F.count("*").alias("n")), "SELECT contig, count(*) AS n FROM regions WHERE st < 600 AND 500 < en GROUP BY contig")
-_add("f4_contains", "regions", lambda r: r.where((F.col("st") <= 5000) & (F.lit(5000) < F.col("en"))).select("contig", "line_no"), "SELECT contig, line_no FROM regions WHERE st <= 5000 AND 5000 < en")
+_add("f4_contains", "regions", lambda r: r.where(V.contains(F.col("st"), F.col("en") - F.col("st"), F.lit(5000))).select("contig", "line_no"), "SELECT contig, line_no FROM regions WHERE st <= 5000 AND 5000 < en")
 _add(
     "j1_reads_variants",
     "alignments typed",

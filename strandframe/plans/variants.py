@@ -78,3 +78,17 @@ _add(
     lambda v: V.exact_matches(_deep(v).where(_T), _deep(v).where(_C)).withColumn("bucket", V.bucket(c("truth_bd"), c("query_bd"))).groupBy("contig", "bucket").agg(F.count("*").alias("n")),
     f"SELECT contig, CASE WHEN truth_bd = 'TP' OR query_bd = 'TP' THEN 'TP' WHEN truth_bd = 'FN' THEN 'FN' ELSE 'FP' END AS bucket, count(*) AS n FROM {_MATCH} m GROUP BY 1, 2",
 )
+_add("f5_sides", "typed", lambda v: _typed(v).groupBy(V.five_prime(c("pos"), F.lit(50_000)).alias("before"), V.three_prime(c("pos"), F.length("ref"), F.lit(50_000)).alias("after"), V.deletion_contains(c("pos"), F.length("ref"), F.lit(50_000), c("gt"), F.lit("0/1")).alias("inside")).agg(F.count("*").alias("n")), f"SELECT 50000 < pos AS before, 50000 > pos + length(ref) AS after, pos <= 50000 AND 50000 < pos + length(ref) AND gt = '0/1' AS inside, count(*) AS n FROM {KINDS} k WHERE type IS NOT NULL GROUP BY 1, 2, 3")
+_add(
+    "j7_renamed",
+    "typed chroms",
+    lambda v, s: V.renamed_by_reference(v.withColumn("contig", F.when(c("flag") == "A", c("contig")).when(c("flag") == "N", F.concat(F.lit("NC_"), "contig")).otherwise(F.lit("nowhere"))), s, s.select(F.concat(F.lit("NC_"), "contig").alias("accession"), c("contig").alias("name"))).groupBy("contig").agg(F.count("*").alias("n")),
+    "SELECT contig, count(*) AS n FROM typed WHERE flag IN ('A', 'N') GROUP BY contig",
+)
+_PRESENT = f"(SELECT contig, pos, bool_or(gt[1] = '1') AS a, bool_or(gt[3] = '1') AS b FROM {DEEP} d WHERE line_no % 10 = 1 GROUP BY contig, pos)"
+_add(
+    "r12_free_copies",
+    "typed",
+    lambda v: V.on_free_copies(_deep(v).where("line_no % 10 > 1").select("contig", "pos", "line_no", "gt"), _deep(v).where("line_no % 10 = 1"), 5),
+    f"SELECT d.contig, d.pos, d.line_no, CASE WHEN p.contig IS NULL THEN d.gt WHEN p.a THEN '0/1' ELSE '1/0' END AS gt FROM {DEEP} d LEFT JOIN {_PRESENT} p ON p.contig = d.contig AND p.pos = d.pos WHERE d.line_no % 10 > 1 AND NOT (coalesce(p.a, false) AND coalesce(p.b, false))",
+)

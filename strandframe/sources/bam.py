@@ -7,9 +7,12 @@ import struct
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from strandframe.session import files
+
 # Fixed values of the format: 4-bit bases, CIGAR letters, the block that ends a file.
 BASE_CODES = "=ACMGRSVTWYHKDBN"
 CIGAR_CODES = "MIDNSHP=X"
@@ -43,17 +46,69 @@ def bin_of(beg: int, end: int) -> int:
     return 0
 
 
-def packed(row: dict, index: dict[str, int]) -> bytes:
-    """One alignment; a null mate has index and place -1."""
-    cigar = [(int(n) << 4) | CIGAR_CODES.index(op) for n, op in re.findall(r"(\d+)([MIDNSHP=X])", row["cigar"] or "")]
-    span = sum(c >> 4 for c in cigar if CIGAR_CODES[c & 15] in "MDN=X") or 1
-    name, seq = row["name"].encode() + b"\0", row["seq"]
-    nibbles = [_NIBBLE.get(c, 15) for c in seq] + [0] * (len(seq) % 2)
-    bases = bytes((a << 4) | b for a, b in zip(nibbles[::2], nibbles[1::2], strict=True))
-    mate = row["mate_contig"]
-    body = struct.pack("<iiBBHHHiiii", index[row["contig"]], row["pos"], len(name), row["mapq"], bin_of(row["pos"], row["pos"] + span), len(cigar), row["flag"], len(seq), -1 if mate is None else index[mate], -1 if row["mate_pos"] is None else row["mate_pos"], row["tlen"] or 0)
-    body += name + struct.pack(f"<{len(cigar)}I", *cigar) + bases + bytes(ord(q) - 33 for q in row["qual"])
-    return struct.pack("<i", len(body)) + body
+_CIGARS: dict[str, tuple[bytes, int, int]] = {}
+
+
+def _cigar(text: str | None) -> tuple[bytes, int, int]:
+    """(packed operations, their number, places they span); kept, as few different ones make most of a file."""
+    found = _CIGARS.get(text or "")
+    if found is None:
+        ops = [(int(n) << 4) | CIGAR_CODES.index(op) for n, op in re.findall(r"(\d+)([MIDNSHP=X])", text or "")]
+        if len(_CIGARS) > 50_000:
+            _CIGARS.clear()
+        found = _CIGARS[text or ""] = struct.pack(f"<{len(ops)}I", *ops), len(ops), sum(c >> 4 for c in ops if CIGAR_CODES[c & 15] in "MDN=X") or 1
+    return found
+
+
+_TO_NIBBLE = bytes(_NIBBLE.get(chr(c), 15) for c in range(256))
+_TO_QUALITY = bytes(max(0, c - 33) for c in range(256))
+
+
+def packed(batch: pa.RecordBatch, index: dict[str, int]) -> Iterator[tuple[int, int, int, bytes]]:
+    """(contig, start, end, record) of a batch of alignments; letters and qualities of all of them are coded at once."""
+    get = lambda c: batch.column(batch.schema.get_field_index(c)).to_pylist()
+    seqs, quals = get("seq"), get("qual")
+    even = "".join(s + "=" * (len(s) % 2) for s in seqs).encode().translate(_TO_NIBBLE)
+    pairs = np.frombuffer(even, np.uint8).reshape(-1, 2)
+    bases, scores, at, to = ((pairs[:, 0] << 4) | pairs[:, 1]).tobytes(), "".join(quals).encode().translate(_TO_QUALITY), 0, 0
+    for name, flag, contig, pos, mapq, cigar, mate, mate_pos, tlen, seq in zip(*map(get, ("name", "flag", "contig", "pos", "mapq", "cigar", "mate_contig", "mate_pos", "tlen")), seqs, strict=True):
+        ops, n_ops, span = _cigar(cigar)
+        label, half = name.encode() + b"\0", (len(seq) + 1) // 2
+        fixed = struct.pack("<iiBBHHHiiii", index[contig], pos, len(label), mapq, bin_of(pos, pos + span), n_ops, flag, len(seq), -1 if mate is None else index[mate], -1 if mate_pos is None else mate_pos, tlen or 0)
+        body = b"".join((fixed, label, ops, bases[at : at + half], scores[to : to + len(seq)]))
+        at, to = at + half, to + len(seq)
+        yield index[contig], pos, pos + span, struct.pack("<i", len(body)) + body
+
+
+class Index:
+    """A BAI index: for each contig its bins' chunks and the first record that reaches each 16,384 places; places of
+    records are kept as numbers of inflated bytes until the blocks' places in the file are known."""
+
+    def __init__(self, contigs: int):
+        self.bins: list[dict[int, list[list[int]]]] = [{} for _ in range(contigs)]
+        self.linear: list[list[int]] = [[] for _ in range(contigs)]
+
+    def add(self, contig: int, start: int, end: int, at: int, until: int) -> None:
+        chunks = self.bins[contig].setdefault(bin_of(start, end), [])
+        if chunks and chunks[-1][1] == at:
+            chunks[-1][1] = until
+        else:
+            chunks.append([at, until])
+        rows = self.linear[contig]
+        for window in range(len(rows), ((end - 1) >> 14) + 1):
+            rows.append(at if window >= start >> 14 else -1)
+
+    def packed(self, blocks: list[int]) -> bytes:
+        """The index's bytes; blocks are the places in the file at which each BLOCK inflated bytes begin."""
+        where = lambda u: 0 if u < 0 else (blocks[u // BLOCK] << 16) | (u % BLOCK)
+        out = [b"BAI\1", struct.pack("<i", len(self.bins))]
+        for bins, linear in zip(self.bins, self.linear, strict=True):
+            out.append(struct.pack("<i", len(bins)))
+            for number, chunks in sorted(bins.items()):
+                out.append(struct.pack("<Ii", number, len(chunks)))
+                out += [struct.pack("<QQ", where(a), where(b)) for a, b in chunks]
+            out.append(struct.pack(f"<i{len(linear)}Q", len(linear), *map(where, linear)))
+        return b"".join(out)
 
 
 def unpacked(data: bytes) -> Iterator[dict]:
@@ -90,7 +145,8 @@ def inflated(data: bytes) -> bytes:
 
 
 def write_bam(alignments: DataFrame, folder: str, contigs: list[tuple[str, int]]) -> DataFrame:
-    """One BAM file a range of places, each sorted; in name order the files are sorted as a whole. Gives ``path, records``.
+    """One BAM file a range of places, each sorted and with a BAI index; in name order the files are sorted as a whole.
+    Gives ``path, records``.
 
     ``folder`` is a URI that all executors share. A task writes under its attempt's name and renames at the end.
     """
@@ -108,19 +164,34 @@ def write_bam(alignments: DataFrame, folder: str, contigs: list[tuple[str, int]]
         store.create_dir(root, recursive=True)
         index = {c: i for i, (c, _) in enumerate(contigs)}
         final = f"{root}/part-{context.partitionId():06d}.bam"
-        part, held, n = f"{final}.{context.taskAttemptId()}", bytearray(header(contigs)), 0
+        part, held, n, found = f"{final}.{context.taskAttemptId()}", bytearray(header(contigs)), 0, Index(len(contigs))
+        blocks, gone, written = [], 0, 0  # places of blocks, inflated bytes in them, bytes of the file
+
+        def flush(out, size: int) -> None:
+            nonlocal gone, written
+            data = bgzf_block(bytes(held[:size]))
+            blocks.append(written)
+            out.write(data)
+            gone, written = gone + size, written + len(data)
+            del held[:size]
+
         with store.open_output_stream(part, compression=None) as out:
             for batch in batches:
-                for row in batch.to_pylist():
-                    held += packed(row, index)
+                for contig, start, end, record in packed(batch, index):
+                    at = gone + len(held)
+                    held += record
                     n += 1
+                    found.add(contig, start, end, at, at + len(record))
                     while len(held) >= BLOCK:
-                        out.write(bgzf_block(bytes(held[:BLOCK])))
-                        del held[:BLOCK]
+                        flush(out, BLOCK)
             if held:
-                out.write(bgzf_block(bytes(held)))
+                flush(out, len(held))
+            blocks.append(written)
             out.write(END_OF_FILE)
+        with store.open_output_stream(f"{part}.bai", compression=None) as out:
+            out.write(found.packed(blocks))
         store.move(part, final)
+        store.move(f"{part}.bai", f"{final}.bai")
         yield pa.record_batch([pa.array([final]), pa.array([n], pa.int64())], ["path", "records"])
 
     return rows.mapInArrow(save, "path string, records long")
@@ -141,7 +212,8 @@ def read_bam(spark: SparkSession, path: str) -> DataFrame:
                         held = []
                 yield pa.RecordBatch.from_pylist(held, schema)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(load, COLUMNS)
+    found = [p for p in files(spark, path) if not p.endswith(".bai")]
+    return spark.read.format("binaryFile").load(found).select("content").mapInArrow(load, COLUMNS)
 
 
 def spans(alignments: DataFrame) -> DataFrame:
@@ -152,3 +224,32 @@ def spans(alignments: DataFrame) -> DataFrame:
     width = F.aggregate(taken, F.lit(0).cast("long"), lambda a, n: a + n.cast("long"))
     rows = alignments.where((F.col("flag").bitwiseAND(4) == 0) & F.col("contig").isNotNull() & (F.col("contig") != "*"))
     return rows.select("contig", F.col("pos").alias("st"), (F.col("pos") + width).alias("en")).where("en > st")
+
+
+def write_bgzf(lines: DataFrame, folder: str, head: str = "") -> DataFrame:
+    """Lines ``value`` as files of BGZF blocks, which gzip readers read too; the first begins with head. Gives
+    ``path, lines``."""
+
+    def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+        from pyspark import TaskContext
+
+        context, (store, root) = TaskContext.get(), fs.FileSystem.from_uri(folder)
+        store.create_dir(root, recursive=True)
+        final, n = f"{root}/part-{context.partitionId():06d}.gz", 0
+        part, held = f"{final}.{context.taskAttemptId()}", bytearray(head.encode() if context.partitionId() == 0 else b"")
+        with store.open_output_stream(part, compression=None) as out:
+            for batch in batches:
+                for line in batch.column(0).to_pylist():
+                    held += line.encode() + b"\n"
+                    n += 1
+                    while len(held) >= BLOCK:
+                        out.write(bgzf_block(bytes(held[:BLOCK])))
+                        del held[:BLOCK]
+            if held:
+                out.write(bgzf_block(bytes(held)))
+            out.write(END_OF_FILE)
+        store.move(part, final)
+        yield pa.record_batch([pa.array([final]), pa.array([n], pa.int64())], ["path", "lines"])
+
+    return lines.select("value").mapInArrow(save, "path string, lines long")

@@ -61,7 +61,9 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
 def texts(spark: SparkSession, path: str, separator: str = "\n") -> DataFrame:
     """``value``: what stands between separators in text files, gzip files of any name among them."""
     plain, misnamed = _split_paths(spark, path)
-    out = spark.read.option("lineSep", separator).text(plain).select("value") if plain else None
+    # without a separator of its own the reader takes line ends of all kinds
+    reader = spark.read if separator == "\n" else spark.read.option("lineSep", separator)
+    out = reader.text(plain).select("value") if plain else None
     if misnamed:
         more = _inflated(spark, misnamed, separator).select("value")
         out = more if out is None else out.unionByName(more)

@@ -1,8 +1,10 @@
 import gzip
+import struct
 
 import pytest
 from pyspark.sql import functions as F
 
+from strandframe.session import first_bytes
 from strandframe.sources import bam
 from strandframe.sources import text as T
 
@@ -94,3 +96,68 @@ def test_bam_and_sam_round_trip(spark, tmp_path):
 def test_names(spark, tmp_path):
     (tmp_path / "n.tsv").write_text("1\tchr1\nX chrX\nlone\n# c\n")
     assert sorted(map(tuple, T.read_names(spark, str(tmp_path / "n.tsv")).collect())) == [("1", "chr1"), ("X", "chrX")]
+
+
+def test_the_first_bytes_of_a_very_long_file(spark, tmp_path):
+    """2.2 GB of holes after one line: no more than its first bytes is read to tell what it is."""
+    path = tmp_path / "long.bed"
+    with open(path, "wb") as f:
+        f.write(b"c\t1\t2\n")
+        f.truncate(2_200_000_000)
+    assert not T.is_compressed(spark, str(path))
+    assert first_bytes(spark, str(path), 5) == b"c\t1\t2" and first_bytes(spark, str(path), 0) == b""
+
+
+def test_gzip_under_other_names_in_all_readers(spark, tmp_path):
+    def put(name, text):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "a").write_bytes(gzip.compress(text.encode()))
+        (tmp_path / name / "b").write_text(text)
+        return str(tmp_path / name)
+
+    assert sorted(r["contig"] for r in T.read_fasta(spark, put("fa", ">x d\nAC\nGT\n>y\nNN\n")).collect()) == ["x", "x", "y", "y"]
+    assert T.read_sam(spark, put("sam", "r\t0\tc\t5\t60\t4M\t=\t9\t0\tACGT\tFFFF\n")).count() == 2
+    assert T.read_names(spark, put("names", "a\tb\r\n")).distinct().collect() == [("a", "b")]
+    assert T.read_bed(spark, put("bed", "c\t1\t2\nc\t3\t4\n")).groupBy("line_no").count().orderBy("line_no").collect() == [(0, 2), (1, 2)]
+    with pytest.raises(T.FormatError):
+        T.lines(spark, str(tmp_path / "nothing"))
+
+
+def test_ambiguity_codes_are_resolved_on_reading(spark, tmp_path):
+    (tmp_path / "x.fa").write_text(">x\nACRYNACGTSWKMBDHV\n")
+    one, two = (T.read_fasta(spark, str(tmp_path / "x.fa"), 7).first()["seq"] for _ in range(2))
+    assert one == two and len(one) == 17 and set(one) <= set("ACGTN") and one[:2] == "AC" and one[4] == "N"
+
+
+def test_bgzf_text_is_gzip(spark, tmp_path):
+    rows = spark.createDataFrame([(f"line {i} " + "x" * 50,) for i in range(5000)], "value string").coalesce(1)
+    made = bam.write_bgzf(rows, f"file://{tmp_path}/z", "head\n").collect()
+    data = open(made[0]["path"], "rb").read()
+    assert gzip.decompress(data).decode().split("\n")[:2] == ["head", "line 0 " + "x" * 50] and data.endswith(bam.END_OF_FILE)
+    assert T.texts(spark, f"file://{tmp_path}/z").count() == 5001
+
+
+def test_bam_index_leads_to_the_records(spark, tmp_path):
+    rows = [(f"r{i}", 0, "c1" if i < 3000 else "c2", i * 37 % 90_000, 60, "50M", None, None, 0, "ACGTN" * 10, "F" * 50) for i in range(4000)]
+    made = bam.write_bam(spark.createDataFrame(rows, bam.COLUMNS).coalesce(1), f"file://{tmp_path}/bam", [("c1", 90_100), ("c2", 90_100)]).collect()
+    seen = 0
+    for part in made:
+        data, index = open(part["path"], "rb").read(), open(part["path"] + ".bai", "rb").read()
+        assert index[:4] == b"BAI\1"
+        at = 8
+        for contig in ("c1", "c2"):
+            (n,), at = struct.unpack_from("<i", index, at), at + 4
+            for _ in range(n):
+                (number, chunks), at = struct.unpack_from("<Ii", index, at), at + 8
+                for _ in range(chunks):
+                    (a, b), at = struct.unpack_from("<QQ", index, at), at + 16
+                    raw = bam.inflated(data[a >> 16 :])[a & 0xFFFF :]
+                    (size,) = struct.unpack_from("<i", raw)
+                    ref, pos = struct.unpack_from("<ii", raw, 4)
+                    assert ("c1", "c2")[ref] == contig and bam.bin_of(pos, pos + 50) == number and a < b
+                    seen += 1
+            (n,), at = struct.unpack_from("<i", index, at), at + 4
+            at += 8 * n
+        assert at == len(index)
+    assert seen >= 10
+    assert sorted(map(tuple, bam.read_bam(spark, f"file://{tmp_path}/bam").collect())) == sorted((*r[:6], None, None, *r[8:]) for r in rows)
