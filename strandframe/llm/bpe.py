@@ -37,7 +37,8 @@ class Codec:
         import tiktoken
 
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines()) if a}
-        self._merge = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={})._encode_single_piece
+        # one piece at a time: to this pattern whatever it gets is one
+        self._merge = tiktoken.Encoding("ranks", pat_str=r"(?s:.+)", mergeable_ranks=table, special_tokens={}).encode_ordinary
         # \s of the tokenizer's engine is Unicode White_Space
         self.split = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
         self._bytes = [b""] * (max(table.values()) + 1)
@@ -51,7 +52,7 @@ class Codec:
         for piece in pieces:
             ids = get(piece)
             if ids is None:
-                ids = array("i", self._merge(piece.encode("utf-8", "surrogatepass")))
+                ids = array("i", self._merge(piece))
                 if len(piece) <= 64:
                     if len(cache) >= self._cached:
                         cache.clear()
