@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import json
+import logging
 import secrets
 from dataclasses import asdict, dataclass, fields
 from datetime import datetime, timezone
 
 from strandframe.session import exists, write_file
 
+log = logging.getLogger("strandframe")
+
 SCHEMA_VERSION = 1
 
 
@@ -56,8 +59,19 @@ class RunConfig:
 RANGES = {"read_length": (10, 10**6), "coverage": (0.0001, 10**6), "fragment_mean": (10, 10**7), "fragment_sd": (0, 10**6), "ploidy": (1, 100), "mutation_rate": (0, 0.3), "error_rate": (0, 0.3), "quality_offset": (33, 64), "min_mutations": (0, 10**9)}
 
 
+#: Other names of keys, and keys that ask for what Spark decides or what has no effect here.
+OTHER_NAMES = {"read_len": "read_length", "avg_seq_error": "error_rate", "paired_ended": "paired", "fragment_st_dev": "fragment_sd", "rng_seed": "seed", "overwrite_output": "overwrite", "output_dir": "output"}
+WITHOUT_EFFECT = ("threads", "parallel_block_size", "no_coverage_bias", "rescale_qualities")
+
+
 def from_dict(values: dict) -> RunConfig:
     known = {f.name: f for f in fields(RunConfig)}
+    if twice := [k for k, v in OTHER_NAMES.items() if k in values and v in values]:
+        raise ConfigError(f"given under two names: {', '.join(twice)}")
+    values = {OTHER_NAMES.get(k, k): v for k, v in values.items()}
+    for name in WITHOUT_EFFECT:
+        if values.pop(name, ".") not in (".", None):
+            log.warning("%s has no effect", name)
     if unknown := sorted(set(values) - set(known)):
         raise ConfigError(f"unknown keys: {', '.join(unknown)}")
     given = {k: v for k, v in values.items() if v not in (".", None)}

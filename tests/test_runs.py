@@ -50,6 +50,10 @@ def test_config_is_checked(spark, tmp_path):
     with pytest.raises(config.ConfigError):
         config.from_dict({"output": "o"})
     assert 2**52 <= config.from_dict(base).seed < 2**53 and config.from_dict(base | {"coverage": "."}).coverage == 10
+    same = config.from_dict({"reference": "r", "output_dir": "o", "read_len": 80, "paired_ended": True, "fragment_mean": 300, "fragment_st_dev": 20, "rng_seed": 5, "threads": 4, "avg_seq_error": 0.01})
+    assert (same.read_length, same.paired, same.fragment_sd, same.seed, same.error_rate) == (80, True, 20, 5, 0.01)
+    with pytest.raises(config.ConfigError, match="two names"):
+        config.from_dict(base | {"read_len": 80, "read_length": 90})
     with pytest.raises(config.SummaryError):
         config.read_summary(spark, str(tmp_path))
     (tmp_path / "run_summary.json").write_text('{"schema_version": 99}')
