@@ -130,6 +130,23 @@ def first_match(points: DataFrame, regions: DataFrame, bin_width: int = BIN) ->
     return met.groupBy(*points.columns).agg(least, F.min("r_line").alias("r_line")).select(*points.columns, "r.st", (F.col("r.en") - 1).alias("en"), "r_line")
 
 
+def in_order(rows: DataFrame, *order: str, number: str = "place") -> DataFrame:
+    """rows numbered from 1 within their contig by the order; narrow rows, one sort a contig."""
+    return rows.withColumn(number, F.row_number().over(Window.partitionBy("contig").orderBy(*order)))
+
+
+def next_starts(regions: DataFrame, end: Column) -> DataFrame:
+    """regions with ``own``: how far it is to the next region's start in the contig, to end after the last one."""
+    following = F.lead("st").over(Window.partitionBy("contig").orderBy("st", "line_no"))
+    return regions.withColumn("own", F.coalesce(following, end) - F.col("st"))
+
+
+def contig_numbers(rows: DataFrame) -> DataFrame:
+    """``contig, contig_idx``: contigs numbered from 0 by their first line; one row a contig."""
+    first = rows.groupBy("contig").agg(F.min("line_no").alias("first"))
+    return first.select("contig", (F.row_number().over(Window.orderBy("first")) - 1).alias("contig_idx"))
+
+
 def clusters(values: DataFrame, by: str, value: str, delta: int) -> DataFrame:
     """Adjacent values at most delta apart share a cluster, numbered from 0 within ``by``."""
     w = Window.partitionBy(by).orderBy(value)

@@ -58,6 +58,20 @@ def mean_error(counts: DataFrame) -> DataFrame:
     return counts.agg((F.sum(error_probability(F.col("q")) * F.col("n")) / F.sum("n")).alias("error"))
 
 
+def mean_error_of_files(*counts: DataFrame) -> DataFrame:
+    """The mean of the files' mean errors, each file counted alike."""
+    each = mean_error(counts[0])
+    for more in counts[1:]:
+        each = each.unionByName(mean_error(more))
+    return each.agg(F.avg("error").alias("error"))
+
+
+def greatest_quality(counts: DataFrame, allowed: list[int] | None = None) -> DataFrame:
+    """``top``: the greatest quality seen, at most the greatest that is allowed."""
+    top = F.max("q")
+    return counts.agg((F.least(top, F.lit(max(allowed))) if allowed else top).alias("top"))
+
+
 def initial(reads: DataFrame, q: str = "q") -> DataFrame:
     return reads.where(F.size(q) > 0).groupBy(F.col(q)[0].alias("q")).agg(F.count("*").alias("n"))
 

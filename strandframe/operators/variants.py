@@ -173,3 +173,22 @@ def renamed_by_reference(variants: DataFrame, contigs: DataFrame, accessions: Da
     rest = [c for c in variants.columns if c != "contig"]
     joined = variants.join(names, F.col("contig") == F.col("known"), "left").join(second, F.col("contig") == F.col("a"), "left")
     return joined.select(F.coalesce("known", "other").alias("contig"), *rest).where("contig is not null")
+
+
+def distinct_records(records: DataFrame) -> DataFrame:
+    return records.select("contig", "pos", "ref", "alt").distinct()
+
+
+def without(variants: DataFrame, removed: DataFrame) -> DataFrame:
+    """The variants that are not among those removed, told by line, contig and place."""
+    return variants.join(removed.select("line_no", "contig", "pos"), ["line_no", "contig", "pos"], "left_anti").select(*variants.columns)
+
+
+def per_contig(variants: DataFrame) -> DataFrame:
+    return variants.groupBy("contig").agg(F.count("*").alias("n"))
+
+
+def counters(variants: DataFrame, contigs: DataFrame) -> DataFrame:
+    """``found, skipped, same``: variants of the contigs, of others, and without a change."""
+    known = contigs.select("contig", F.lit(True).alias("known")).distinct()
+    return variants.join(known, "contig", "left").agg(F.count_if("known").alias("found"), F.count_if(F.col("known").isNull()).alias("skipped"), F.count_if(F.col("ref") == F.col("alt")).alias("same"))

@@ -89,11 +89,11 @@ _add("t6_limited", "quals", lambda e: P.limited(_q(e), 100).select("record_no"),
 _add("a13_quality_histogram", "quals", lambda e: P.by_position(_q(e)), f"SELECT * FROM {_HIST} h")
 _add("a14_quality_moments", "quals", lambda e: P.moments(P.by_position(_q(e))).select("pos", F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd")), f"SELECT CAST(pos AS INTEGER) AS pos, round(avg(q), 6) AS mean, round(stddev_pop(q), 6) AS sd FROM {_QP} p GROUP BY 1")
 _add("a15_mean_error", "quals", lambda e: P.mean_error(P.by_position(_q(e))).select(r9("error")), f"SELECT round(avg(pow(10, -q / 10.0)), 9) AS error FROM {_QP} p")
-_add("a16_mean_of_files", "quals", lambda e: P.mean_error(P.by_position(_q(e.where("record_no % 2 = 0")))).unionByName(P.mean_error(P.by_position(_q(e.where("record_no % 2 = 1"))))).agg(F.round(F.avg("error"), 9).alias("error")), f"SELECT round((a.e + b.e) / 2, 9) AS error FROM (SELECT avg(pow(10, -q / 10.0)) AS e FROM {_QP} p WHERE record_no % 2 = 0) a, (SELECT avg(pow(10, -q / 10.0)) AS e FROM {_QP} p WHERE record_no % 2 = 1) b")
+_add("a16_mean_of_files", "quals", lambda e: P.mean_error_of_files(*(P.by_position(_q(e.where(c("record_no") % 2 == k))) for k in (0, 1))).select(r9("error")), f"SELECT round((a.e + b.e) / 2, 9) AS error FROM (SELECT avg(pow(10, -q / 10.0)) AS e FROM {_QP} p WHERE record_no % 2 = 0) a, (SELECT avg(pow(10, -q / 10.0)) AS e FROM {_QP} p WHERE record_no % 2 = 1) b")
 _add("a17_initial", "quals", lambda e: P.initial(_q(e)), f"SELECT q, n FROM {_HIST} h WHERE pos = 0")
 _add("a18_position_shares", "quals", lambda e: P.shares(P.by_position(_q(e)), "pos").select("pos", "q", r9("p")), f"SELECT pos, q, round(n::DOUBLE / sum(n) OVER (PARTITION BY pos), 9) AS p FROM {_HIST} h")
 _add("a19_transitions", "quals", lambda e: P.transitions(_q(e)), f"SELECT * FROM {_TRANS} t")
-_add("a20_greatest_quality", "quals", lambda e: P.by_position(_q(e)).agg(F.least(F.max("q"), F.lit(37)).alias("top")), f"SELECT least(max(q), 37) AS top FROM {_HIST} h")
+_add("a20_greatest_quality", "quals", lambda e: P.greatest_quality(P.by_position(_q(e)), [2, 12, 23, 37]), f"SELECT least(max(q), 37) AS top FROM {_HIST} h")
 _add("a21_transition_shares", "quals", lambda e: P.markov_model(_q(e), 64)["transitions"].select("pos", "q", "q_next", r9("p")), f"SELECT pos, q, q_next, round(n::DOUBLE / sum(n) OVER (PARTITION BY pos, q), 9) AS p FROM {_TRANS} t")
 _add("w7_successors", "quals", lambda e: P.transitions(_q(e)).groupBy("q", "q_next").agg(F.sum("n").alias("n")), f"SELECT q, q_next, CAST(sum(n) AS BIGINT) AS n FROM {_TRANS} t GROUP BY 1, 2")
 _add("p42_position_for_length", "quals", lambda e: e.sparkSession.range(150).select(c("id").cast("int").alias("pos"), P.position_for_length(c("id"), 150, 64).alias("at")), "SELECT CAST(i AS INTEGER) AS pos, CAST(greatest(0, least(63, round_even(i / 149.0 * 63, 0))) AS INTEGER) AS at FROM (SELECT unnest(range(0, 150)) AS i) x")

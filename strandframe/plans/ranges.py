@@ -68,9 +68,9 @@ UNION ALL SELECT c.contig, m.cur, c.length, 0.0 FROM chroms c JOIN (SELECT conti
 Q["w3_fill_gaps"] = lambda spark, d: I.fill_gaps(view(spark, d, "regions"), view(spark, d, "chroms")).withColumn("rate", F.round("rate", 9))
 O["w3_fill_gaps"] = with_views("", "regions", "chroms").rstrip() + _FOLD
 _add("w3_gap_bases", "regions chroms", lambda r, c: I.fill_gaps(r, c).groupBy("contig").agg(F.sum(F.col("en") - F.col("st")).alias("bases")), "SELECT contig, length AS bases FROM chroms")
-_add("w4_next_start", "regions", lambda r: r.select("contig", "line_no", F.expr("lead(st, 1, 100000) over (partition by contig order by st, line_no) - st").alias("own")), "SELECT contig, line_no, lead(st, 1, 100000) OVER (PARTITION BY contig ORDER BY st, line_no) - st AS own FROM regions")
+_add("w4_next_start", "regions", lambda r: I.next_starts(r, F.lit(100_000)).select("contig", "line_no", "own"), "SELECT contig, line_no, lead(st, 1, 100000) OVER (PARTITION BY contig ORDER BY st, line_no) - st AS own FROM regions")
 _add("w6_clusters", "regions", lambda r: I.clusters(r.select("contig", "st").distinct(), "contig", "st", 100).groupBy("contig").agg((F.max("cluster") + 1).alias("clusters")), "SELECT contig, CAST(sum(new) AS BIGINT) AS clusters FROM (SELECT contig, CASE WHEN st - lag(st) OVER (PARTITION BY contig ORDER BY st) <= 100 THEN 0 ELSE 1 END AS new FROM (SELECT DISTINCT contig, st FROM regions) x) y GROUP BY contig")
-_add("w9_contig_index", "regions", lambda r: r.groupBy("contig").agg(F.min("line_no").alias("first")).select("contig", (F.expr("row_number() over (order by first)") - 1).alias("contig_idx")), "SELECT contig, CAST(row_number() OVER (ORDER BY min(line_no)) - 1 AS INTEGER) AS contig_idx FROM regions GROUP BY contig")
+_add("w9_contig_index", "regions", I.contig_numbers, "SELECT contig, CAST(row_number() OVER (ORDER BY min(line_no)) - 1 AS INTEGER) AS contig_idx FROM regions GROUP BY contig")
 _add(
     "a23_coverage",
     "alignments",
@@ -80,4 +80,4 @@ _add(
 _add("d9_contigs_without_regions", "chroms regions", lambda c, r: I.only_in(c, r.where("st > 99900")), "SELECT contig FROM chroms c WHERE NOT EXISTS (SELECT 1 FROM regions r WHERE r.contig = c.contig AND r.st > 99900)")
 _add("d9_regions_without_contig", "regions chroms", lambda r, c: I.only_in(r, c.where("length % 2 = 0")), "SELECT DISTINCT contig FROM regions WHERE contig NOT IN (SELECT contig FROM chroms WHERE length % 2 = 0)")
 _add("f8_known_contigs", "typed chroms", lambda v, c: v.join(c.where("length % 2 = 0"), "contig", "left_semi").groupBy("contig").agg(F.count("*").alias("n")), "SELECT contig, count(*) AS n FROM typed WHERE contig IN (SELECT contig FROM chroms WHERE length % 2 = 0) GROUP BY contig")
-_add("t1_sorted_fragments", "alignments", lambda a: _reads(a).select("event_id", F.expr("row_number() over (partition by contig order by st, event_id)").alias("place")), f"SELECT event_id, CAST(row_number() OVER (PARTITION BY contig ORDER BY st, event_id) AS INTEGER) AS place FROM {_R}")
+_add("t1_sorted_fragments", "alignments", lambda a: I.in_order(_reads(a), "st", "event_id").select("event_id", "place"), f"SELECT event_id, CAST(row_number() OVER (PARTITION BY contig ORDER BY st, event_id) AS INTEGER) AS place FROM {_R}")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from strandframe.operators import intervals as I
 from strandframe.operators import variants as V
 from strandframe.plans.views import view, with_views
 
@@ -45,11 +46,11 @@ _add("f7_reference_matches", "contigs", lambda s: V.matching_reference(s.select(
 _add("f9_whitelisted", "typed", lambda v: v.where(c("contig").isin(*[f"chr{i}" for i in range(1, 11)])).groupBy("contig").agg(F.count("*").alias("n")), "SELECT contig, count(*) AS n FROM typed WHERE contig IN ('chr1','chr2','chr3','chr4','chr5','chr6','chr7','chr8','chr9','chr10') GROUP BY contig")
 _add("s11_model_variants", "typed", lambda v: V.model_variants(v.select("contig", "pos", "ref", F.concat("alt", F.lit(",T")).alias("alt"))).groupBy("contig", "type").agg(F.count("*").alias("n")), f"SELECT contig, type, count(*) AS n FROM {KINDS} k WHERE type IS NOT NULL AND (length(ref) = 1 OR length(alt) = 1) GROUP BY contig, type")
 _add("p29_rendered", "contigs", lambda s: V.rendered(s.where("length > 40").select("contig", (c("length") % 30).alias("pos"), F.when(c("contig_idx") % 2 == 0, "DEL").otherwise("INS").alias("type"), F.lit(4).alias("length"), F.lit("ACC").alias("inserted")), s), "SELECT contig, pos, type, 4 AS length, 'ACC' AS inserted, CASE WHEN type = 'DEL' THEN substr(seq, CAST(pos + 1 AS INT), 4) ELSE substr(seq, CAST(pos + 1 AS INT), 1) END AS ref, CASE WHEN type = 'DEL' THEN substr(seq, CAST(pos + 1 AS INT), 1) ELSE 'ACC' END AS alt FROM (SELECT contig, seq, length % 30 AS pos, CASE WHEN contig_idx % 2 = 0 THEN 'DEL' ELSE 'INS' END AS type FROM contigs WHERE length > 40) x")
-_add("d1_distinct_records", "typed", lambda v: _deep(v).select("contig", "pos", "ref", "alt").distinct(), f"SELECT DISTINCT contig, pos, ref, alt FROM {DEEP} d")
+_add("d1_distinct_records", "typed", lambda v: V.distinct_records(_deep(v)), f"SELECT DISTINCT contig, pos, ref, alt FROM {DEEP} d")
 _add("d2_first_of_equal", "typed", lambda v: V.distinct_variants(_deep(v).withColumn("line_no", F.struct("line_no", "ref", "gt", "qual"))).groupBy("contig", "type").agg(F.count("*").alias("n"), F.sum("pos").alias("places")), f"SELECT contig, type, count(*) AS n, CAST(sum(pos) AS BIGINT) AS places FROM (SELECT DISTINCT contig, type, pos, CASE WHEN type = 'DEL' THEN '' ELSE alt END AS a FROM {DEEP} d) x GROUP BY contig, type")
-_add("d3_set_difference", "typed chroms", lambda v, s: s.select("contig").subtract(v.where("contig rlike '[1-5]$'").select("contig")), "SELECT contig FROM chroms EXCEPT SELECT contig FROM typed WHERE regexp_matches(contig, '[1-5]$')")
+_add("d3_set_difference", "typed chroms", lambda v, s: I.only_in(s, v.where("contig rlike '[1-5]$'")), "SELECT contig FROM chroms EXCEPT SELECT contig FROM typed WHERE regexp_matches(contig, '[1-5]$')")
 _add("d4_union_all", "typed", lambda v: v.where("flag = 'A'").unionByName(v.where("flag = 'N'")).groupBy("flag").agg(F.count("*").alias("n")), "SELECT flag, count(*) AS n FROM (SELECT * FROM typed WHERE flag = 'A' UNION ALL SELECT * FROM typed WHERE flag = 'N') x GROUP BY flag")
-_add("d8_removed", "typed", lambda v: v.join(v.where("flag = 'A'").select("line_no", "contig", "pos"), ["line_no", "contig", "pos"], "left_anti").groupBy("contig").agg(F.count("*").alias("n")), "SELECT contig, count(*) AS n FROM typed v WHERE NOT EXISTS (SELECT 1 FROM typed x WHERE x.flag = 'A' AND x.line_no = v.line_no AND x.contig = v.contig AND x.pos = v.pos) GROUP BY contig")
+_add("d8_removed", "typed", lambda v: V.per_contig(V.without(v, v.where("flag = 'A'"))), "SELECT contig, count(*) AS n FROM typed v WHERE NOT EXISTS (SELECT 1 FROM typed x WHERE x.flag = 'A' AND x.line_no = v.line_no AND x.contig = v.contig AND x.pos = v.pos) GROUP BY contig")
 _COVER = "(SELECT contig, line_no AS covers, gt, unnest(range(pos, pos + {len})) AS pos FROM {deep} d WHERE type = '{kind}')"
 for _kind, _len in (("DEL", "length(ref)"), ("INS", "length(alt)")):
     _add(
@@ -64,9 +65,9 @@ _add(
     lambda v: V.composite_genotypes(_deep(v)).groupBy(V.genotype_text(c("genotype")).alias("genotype")).agg(F.count("*").alias("n")),
     f"SELECT concat(CASE WHEN bool_or(gt[1] = '1') THEN 1 ELSE 0 END, '/', CASE WHEN bool_or(gt[3] = '1') THEN 1 ELSE 0 END) AS genotype, 1 AS one FROM {DEEP} d GROUP BY contig, pos".join(["SELECT genotype, count(*) AS n FROM (", ") x GROUP BY genotype"]),
 )
-_add("a31_counters", "typed chroms", lambda v, s: v.join(s.where("length % 2 = 0").select("contig", F.lit(True).alias("known")), "contig", "left").agg(F.count_if(c("known")).alias("found"), F.count_if(c("known").isNull()).alias("skipped"), F.count_if(c("ref") == c("alt")).alias("same")), "SELECT count(CASE WHEN s.contig IS NOT NULL THEN 1 END) AS found, count(CASE WHEN s.contig IS NULL THEN 1 END) AS skipped, count(CASE WHEN ref = alt THEN 1 END) AS same FROM typed v LEFT JOIN (SELECT contig FROM chroms WHERE length % 2 = 0) s ON v.contig = s.contig")
-_add("t3_sorted_variants", "typed", lambda v: v.select("contig", "pos", F.expr("row_number() over (partition by contig order by pos, line_no, ref, alt)").alias("place")), "SELECT contig, pos, CAST(row_number() OVER (PARTITION BY contig ORDER BY pos, line_no, ref, alt) AS INTEGER) AS place FROM typed")
-_add("k7_variants_per_contig", "typed", lambda v: v.groupBy("contig").agg(F.count("*").alias("n")), "SELECT contig, count(*) AS n FROM typed GROUP BY contig")
+_add("a31_counters", "typed chroms", lambda v, s: V.counters(v, s.where("length % 2 = 0")), "SELECT count(CASE WHEN s.contig IS NOT NULL THEN 1 END) AS found, count(CASE WHEN s.contig IS NULL THEN 1 END) AS skipped, count(CASE WHEN ref = alt THEN 1 END) AS same FROM typed v LEFT JOIN (SELECT contig FROM chroms WHERE length % 2 = 0) s ON v.contig = s.contig")
+_add("t3_sorted_variants", "typed", lambda v: I.in_order(v, "pos", "line_no", "ref", "alt").select("contig", "pos", "place"), "SELECT contig, pos, CAST(row_number() OVER (PARTITION BY contig ORDER BY pos, line_no, ref, alt) AS INTEGER) AS place FROM typed")
+_add("k7_variants_per_contig", "typed", V.per_contig, "SELECT contig, count(*) AS n FROM typed GROUP BY contig")
 _T, _C = "pos % 10 < 8", "pos % 10 > 1"
 _MATCH = f"""(SELECT coalesce(t.contig, q.contig) AS contig, coalesce(t.pos, q.pos) AS pos, CASE WHEN t.pos IS NOT NULL AND q.pos IS NOT NULL THEN 'TP' WHEN t.pos IS NOT NULL THEN 'FN' ELSE '.' END AS truth_bd,
 CASE WHEN t.pos IS NOT NULL AND q.pos IS NOT NULL THEN 'TP' WHEN q.pos IS NOT NULL THEN 'FP' ELSE '.' END AS query_bd
