@@ -100,10 +100,13 @@ def scratch(spark: SparkSession, tag: str) -> str:
 
 
 def few_files(df: DataFrame, per_core: int = 2) -> DataFrame:
-    """df in at most so many partitions a core, without a shuffle: a task takes several of them one after the other, each
-    with its own memory. Small tables of many partitions else become many small files, each of which costs the
-    executor a process where the shared folder is a plain disk."""
-    return df.coalesce(max(8, per_core * df.sparkSession.sparkContext.defaultParallelism))
+    """df in at most so many partitions a core, or an eighth of the shuffle partitions that the data were given, whichever
+    is more, without a shuffle: a task takes several of them one after the other, each with its own memory. Small tables
+    of many partitions else become many small files, each of which costs the executor a process where the shared folder
+    is a plain disk."""
+    spark = df.sparkSession
+    given = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return df.coalesce(max(8, per_core * spark.sparkContext.defaultParallelism, -(-given // 8)))
 
 
 def stored(df: DataFrame, tag: str) -> DataFrame:
