@@ -21,4 +21,5 @@ ORACLE: dict[str, str] = {
     "op3_license_scan": licences.ORACLE_SQL,
     "op5_warc_round_trip": warc.ORACLE_SQL,
     "op9_jaccard_join": jaccard.ORACLE_SQL,
+    "op10_suffix_dedup": suffixes.ORACLE_SQL,
 }
