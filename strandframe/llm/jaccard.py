@@ -35,6 +35,8 @@ from strandframe.session import dropped, held, released, stored
 
 BANDS, ROWS, STEP = 32, 5, 16
 HASHES = BANDS * ROWS
+#: Pairs whose signatures a task compares at a time.
+PAIRS = 8192
 _RNG = np.random.default_rng(20240229)
 _A = _RNG.integers(0, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 2**63, HASHES, dtype=np.uint64)
@@ -132,11 +134,14 @@ def block_links(sig: np.ndarray, hot: np.ndarray, copies: np.ndarray, sets: list
         a, b = rows[i], right[j]
         if same:
             a, b = a[a < b], b[a < b]
-        keep = survivors(sig[a], sig[b], threshold, tolerance)
-        a, b = a[keep], b[keep]
-        keep = _first_hot_band(sig[a], sig[b], hot[a]) == band
-        edges_a.append(a[keep])
-        edges_b.append(b[keep])
+        # in a group of near copies all pairs are left: some signatures at a time, not all pairs' at once
+        for at_pair in range(0, len(a), PAIRS):
+            some_a, some_b = a[at_pair : at_pair + PAIRS], b[at_pair : at_pair + PAIRS]
+            keep = survivors(sig[some_a], sig[some_b], threshold, tolerance)
+            some_a, some_b = some_a[keep], some_b[keep]
+            keep = _first_hot_band(sig[some_a], sig[some_b], hot[some_a]) == band
+            edges_a.append(some_a[keep].astype(np.int32))
+            edges_b.append(some_b[keep].astype(np.int32))
     a, b = np.concatenate([*edges_a, np.zeros(0, np.int64)]).astype(np.int64), np.concatenate([*edges_b, np.zeros(0, np.int64)]).astype(np.int64)
     if not len(a):
         return links, root
@@ -235,7 +240,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
     sets = stored(texts.mapInArrow(again, "cls binary, shingles binary").join(wanted.select("cls"), "cls", "left_semi").groupBy("cls").agg(F.first("shingles").alias("shingles")), "nd-sets")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "seta", 4 << 20):
             keep = []
             for n, (x, y) in enumerate(zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)):
                 p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
