@@ -31,10 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandframe.llm.words import mixed, slices
-from strandframe.session import stored
+from strandframe.session import dropped, held, released, stored
 
 ANCHOR = 24
 PIECE = 1 << 20
+#: A key with this part of the rows is hot; so there are at most as many hot keys.
+HOT = 1000
 #: Windows in a run, each time that a group is too large to be sorted at once.
 RUNS = (16, 2)
 _RNG = np.random.default_rng(97)
@@ -350,8 +352,14 @@ def repeats(docs: DataFrame, length: int = 200, shard_bytes: int = 1 << 20) -> D
                 yield pa.record_batch([batch.column(0).take(at), batch.column(1).take(at), *columns[:5], columns[5].cast(pa.int32())], ["id", "h", "gid", "c1", "c2", "first", "last", "ref"])
 
     all_ = stored(docs.where(F.octet_length("text") >= length).select("id", "h", "text").mapInArrow(cut, f"id {kind}, h long, gid long, c1 long, c2 long, first long, last long, ref int"), "sa-stretches")
-    shared = all_.groupBy("gid").agg(F.count("*").alias("n")).where("n > 1").select("gid")
-    met = stored(all_.join(shared, "gid", "left_semi"), "sa-shared")
+    # keys that hold a thousandth of the rows or more, a thousand at most, are met by broadcast; no other is hot
+    often = max(2, all_.count() // HOT)
+    shared = held(all_.groupBy("gid").agg(F.count("*").alias("n")).where("n > 1"))
+    hot = [r["gid"] for r in shared.where(F.col("n") >= often).select("gid").collect()]
+    is_hot = F.col("gid").isin(hot) if hot else F.lit(False)
+    met = stored(all_.where(is_hot).unionByName(all_.where(~is_hot).join(shared.select("gid"), "gid", "left_semi")), "sa-shared")
+    released(shared)
+    dropped(all_)
 
     # of each content one member, or two where there are more
     one = F.struct("id", "h", "first", "last", "ref")
@@ -376,7 +384,11 @@ def repeats(docs: DataFrame, length: int = 200, shard_bytes: int = 1 << 20) -> D
 
     sources = stored(with_text.mapInArrow(bytes_of, "gid long, c1 long, c2 long, times int, ref int, crowd boolean, data binary"), "sa-sources")
     hits = stored(_hits(sources, length, shard_bytes, RUNS), "sa-hits")
-    return met.join(hits, ["gid", "c1", "c2"]).select("id", "h", (F.col("first") + F.col("lo")).alias("lo"), (F.col("first") + F.col("hi")).alias("hi"))
+    key = ["gid", "c1", "c2"]
+    common = F.broadcast(contents.where(F.col("n") >= often).select(*key))
+    few = met.join(F.broadcast(hits.join(common, key, "left_semi")), key)
+    many = met.join(common, key, "left_anti").join(hits, key)
+    return few.unionByName(many).select("id", "h", (F.col("first") + F.col("lo")).alias("lo"), (F.col("first") + F.col("hi")).alias("hi"))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, **options) -> DataFrame:
@@ -416,3 +428,18 @@ def op10_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     """Remove what is covered by strings of 200 bytes that stand elsewhere too, from every whole text of documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return deduplicate(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: By definition: all windows of 200 bytes, as hexadecimal digits, that occur twice.
+ORACLE_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, i, md5_number(substr(x, 2 * i + 1, 400)) AS k FROM (SELECT doc_id, x, unnest(range(0, n - 199)) AS i FROM d WHERE n >= 200) a),
+r AS (SELECT w.doc_id, w.i FROM w JOIN (SELECT k FROM w GROUP BY k HAVING count(*) > 1) t ON t.k = w.k),
+g AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 200 THEN 0 ELSE 1 END AS new FROM r),
+s AS (SELECT doc_id, min(i) AS lo, max(i) + 200 AS hi FROM (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM g) a GROUP BY doc_id, run),
+p AS (SELECT doc_id, lo, hi, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS was FROM s),
+m AS (SELECT p.doc_id, sum(hi - lo) AS removed, count(*) AS spans, max(hi) AS last, string_agg(substr(d.x, 2 * was + 1, 2 * (lo - was)), '' ORDER BY lo) AS kept FROM p JOIN d ON d.doc_id = p.doc_id GROUP BY p.doc_id)
+SELECT d.doc_id, CAST(d.n AS BIGINT) AS n_bytes, CAST(coalesce(m.removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(m.spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(concat(coalesce(m.kept, ''), substr(d.x, 2 * coalesce(m.last, 0) + 1)))) AS kept_sha256
+FROM d LEFT JOIN m ON m.doc_id = d.doc_id
+"""
