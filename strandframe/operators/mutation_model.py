@@ -108,8 +108,8 @@ def region_sequences(contigs: DataFrame, regions: DataFrame, size: int = 1 << 14
     return bases_at(part, contigs, F.col("at"), F.least(F.col("en") - F.col("at"), F.lit(size + 2)), "seq", most=size + 2, size=size).select("seq")
 
 
-#: Names of human contigs.
-HUMAN = (*(str(i) for i in range(1, 23)), "X", "Y", "M", "MT")
+#: Names of human contigs, which may have chr before them.
+HUMAN = (*(str(i) for i in range(1, 30)), "x", "y", "X", "Y", "mt", "Mt", "MT")
 
 
 def of_human_names(contigs: DataFrame) -> DataFrame:

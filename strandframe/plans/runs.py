@@ -27,7 +27,7 @@ from strandframe.sources import text as T
 log = logging.getLogger("strandframe")
 
 #: Names of quality bins of common machines.
-QUALITY_PRESETS = {"novaseq": [2, 12, 23, 37], "nextseq": [2, 14, 21, 27, 32, 36], "hiseq-x": [2, 8, 13, 22, 27, 32, 37]}
+QUALITY_PRESETS = {"novaseq": [2, 12, 23, 37], "nextseq2000": [2, 12, 26, 37], "nextseq500": [2, 12, 23, 27, 37]}
 
 
 class OutputExists(FileExistsError):

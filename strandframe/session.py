@@ -99,7 +99,7 @@ def scratch(spark: SparkSession, tag: str) -> str:
     return path
 
 
-def few_files(df: DataFrame, per_core: int = 2) -> DataFrame:
+def few_files(df: DataFrame, per_core: int = 4) -> DataFrame:
     """df in at most so many partitions a core, or an eighth of the shuffle partitions that the data were given, whichever
     is more, without a shuffle: a task takes several of them one after the other, each with its own memory. Small tables
     of many partitions else become many small files, each of which costs the executor a process where the shared folder
