@@ -1,13 +1,15 @@
 """Nearest neighbours by vantage-point trees, one a shard.
 
-Method: vectors are dealt to shards by their id. In each shard a vantage-point tree is built: a node's vantage point is a
-vector of its own, the rest are halved by their distance to it, and each half keeps its least and greatest distance. A
-branch is skipped where the triangle inequality shows that all its vectors are farther than the k-th found so far, that
-bound multiplied by ``relax``: with relax = 1 the search is exact; above 1 more is skipped and recall falls.
+Method: the rows that a task reads make shards of ``shard_rows``; vectors are not shuffled. In each shard a vantage-point
+tree is built: a node's vantage point is a vector of its own, the rest are halved by their distance to it, and each half
+keeps its least and greatest distance. A branch is skipped where the triangle inequality shows that all its vectors are
+farther than the k-th found so far, that bound multiplied by ``relax``: with relax = 1 the search is exact; above 1 more
+is skipped, recall falls, and what is found depends on how rows are dealt to files.
 
-Queries go to all shards in blocks; each shard gives its k nearest, and these are merged. A shard's size is fixed by
-``shard_rows``, so that a task holds one tree and one block of queries whatever the size of the table. Halving goes by
-rank, not by value, so that equal vectors, however many, do not unbalance a tree.
+Queries are broadcast in blocks of about ``query_bytes``, a pass over the vectors each. A task goes on from shard to shard
+with the k nearest so far, and gives k rows a query; these are merged. So a task holds one tree and one block of queries
+whatever the size of the table. Halving goes by rank, not by value, so that equal vectors, however many, do not
+unbalance a tree.
 
 Defined results: vectors that are null, empty, zero, of another length than most, or that hold null or non-finite
 numbers take no part; ties go to the smaller id; repeated ids are candidates each, other than for the query's own id;
@@ -26,6 +28,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from strandframe.session import stored
+
 LEAF = 256
 
 
@@ -65,10 +69,9 @@ class Tree:
         self.root = build(x, np.arange(len(ids))) if len(ids) else None
         self.compared = 0
 
-    def search(self, ids: np.ndarray, q: np.ndarray, k: int, relax: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, distances), a row of k for each query, missing ones at infinity."""
-        best_d = np.full((len(q), k), np.inf)
-        best_i = np.full((len(q), k), np.iinfo(np.int64).max)
+    def search(self, ids: np.ndarray, q: np.ndarray, k: int, relax: float = 1.0, best: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, distances), a row of k for each query, missing ones at infinity; best: those of other trees, to go on from."""
+        best_i, best_d = best or (np.full((len(q), k), np.iinfo(np.int64).max), np.full((len(q), k), np.inf))
         squares = np.einsum("ij,ij->i", q, q)
 
         def offer(active: np.ndarray, rows: np.ndarray) -> None:
@@ -117,7 +120,7 @@ def usable(vector: Column) -> Column:
     return F.coalesce(finite & F.exists(vector, lambda v: v != 0), F.lit(False))
 
 
-def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, relax: float = 1.0, shard_rows: int = 8192) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, relax: float = 1.0, shard_rows: int = 8192, query_bytes: int = 16 << 20) -> DataFrame:
     """``query_id, rank, id, score``: the k nearest rows of vectors for each row of queries, its own id excluded."""
     spark = vectors.sparkSession
 
@@ -125,47 +128,53 @@ def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vecto
         v = F.col(vector_col).cast("array<double>")
         return df.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).where(F.col("id").isNotNull() & usable(F.col("v")))
 
-    rows, asked = clean(vectors), clean(queries).withColumn("key", F.xxhash64("v")).dropDuplicates(["id", "key"])
+    rows = clean(vectors)
     top = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
     schema = "query_id long, key long, id long, score double"
-    if top is None:
-        found = spark.createDataFrame([], schema)
-    else:
-        width, total = top
-        shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // shard_rows))
-        index = rows.where(F.size("v") == width).select(F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("kind"), "id", F.lit(0).cast("long").alias("key"), "v")
-        blocks = asked.where(F.size("v") == width).select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"), "id", "key", "v")
-
-        def matrix(column: pa.ListArray) -> np.ndarray:
-            return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            shard, ids, xs, tree = None, [], [], None
-            for batch in batches:
-                group, kind = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-                cuts = np.flatnonzero((np.diff(group) != 0) | (np.diff(kind) != 0)) + 1
-                for a, b in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
-                    if b <= a:
-                        continue
-                    if group[a] != shard:
-                        shard, ids, xs, tree = group[a], [], [], None
-                    part = batch.slice(a, b - a)
-                    own, keys, x = part.column(2).to_numpy(), part.column(3).to_numpy(), matrix(part.column(4))
-                    if kind[a] == 0:
-                        ids.append(own.copy())
-                        xs.append(x.copy())
-                        continue
-                    tree = tree or Tree(np.concatenate(ids or [np.zeros(0, np.int64)]), np.concatenate(xs or [np.zeros((0, width))]))
-                    near, far = tree.search(own, x, k, relax)
-                    good = np.isfinite(far)
-                    yield pa.record_batch([pa.array(np.repeat(c, k)[good.ravel()]) for c in (own, keys)] + [pa.array(near[good]), pa.array(far[good])], ["query_id", "key", "id", "score"])
-
-        both = index.unionByName(blocks).repartition(shards, "shard").sortWithinPartitions("shard", "kind", "id")
-        found = both.mapInArrow(run, schema)
+    found = spark.createDataFrame([], schema)
+    if top is not None:
+        width = top["n"]
+        asked = stored(clean(queries).where(F.size("v") == width).withColumn("key", F.xxhash64("v")).dropDuplicates(["id", "key"]), "vp-queries")
+        blocks = -(-asked.count() * width * 8 // query_bytes)
+        for block in range(blocks):
+            part = asked.where(F.pmod(F.xxhash64("id", "key"), F.lit(blocks)) == block).select("id", "key", "v").toArrow().combine_chunks()
+            if part.num_rows:
+                x = part.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+                shared = spark.sparkContext.broadcast((part.column("id").to_numpy(), part.column("key").to_numpy(), x))
+                found = found.unionByName(rows.where(F.size("v") == width).mapInArrow(_nearest(shared, width, k, relax, shard_rows), schema))
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "key").orderBy("score", "id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
 
+def _nearest(shared, width: int, k: int, relax: float, shard_rows: int):
+    """Rows ``id, v`` to the k nearest of them for each query of a broadcast block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, keys, q = shared.value
+        best, ids, xs, held = None, [], [], 0
+
+        def look() -> None:
+            nonlocal best, ids, xs, held
+            if held:
+                best = Tree(np.concatenate(ids), np.concatenate(xs)).search(own, q, k, relax, best)
+                ids, xs, held = [], [], 0
+
+        for batch in batches:
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+            for at in range(0, batch.num_rows, shard_rows):
+                ids.append(batch.column(0).to_numpy()[at : at + shard_rows].copy())
+                xs.append(x[at : at + shard_rows].copy())
+                held += len(ids[-1])
+                if held >= shard_rows:
+                    look()
+        look()
+        if best is not None:
+            good = np.isfinite(best[1])
+            yield pa.record_batch([pa.array(np.repeat(c, k)[good.ravel()]) for c in (own, keys)] + [pa.array(best[0][good]), pa.array(best[1][good])], ["query_id", "key", "id", "score"])
+
+    return run
+
+
 def op2_vp_tree_neighbours(spark, sf_dir: str) -> DataFrame:
     """The 10 nearest of all embeddings for each whose id is divisible by 100; exact (relax = 1)."""
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")

@@ -20,10 +20,11 @@ def test_exact_with_many_equal_vectors(spark):
     x = rng.normal(size=(1500, 3)).astype(np.float32)
     x[::3] = x[0]
     df = table(spark, x)
-    found = V.search(df, df.where("vec_id % 100 = 0"), shard_rows=400).orderBy("query_id", "rank").collect()
     ids, wide = np.arange(len(x)), x.astype(np.float64)
-    for q in range(0, len(x), 100):
-        assert [(r["id"], r["score"]) for r in found if r["query_id"] == q] == brute(ids, wide, q, 10)
+    for query_bytes in (16 << 20, 100):  # in one block, in several
+        found = V.search(df, df.where("vec_id % 100 = 0"), shard_rows=200, query_bytes=query_bytes).orderBy("query_id", "rank").collect()
+        for q in range(0, len(x), 100):
+            assert [(r["id"], r["score"]) for r in found if r["query_id"] == q] == brute(ids, wide, q, 10)
 
 
 def test_pruning_and_its_relaxation():
@@ -40,6 +41,13 @@ def test_pruning_and_its_relaxation():
     assert recall[0] == 1 and recall[1] >= 0.6 and counts[1] < counts[0] < 0.5 * 50 * 6000
 
 
+def test_recall_of_a_mild_relaxation():
+    x = np.random.default_rng(7).normal(size=(20_000, 4))
+    ids, q = np.arange(len(x)), np.arange(0, 20_000, 200)
+    near = [V.Tree(ids, x).search(q, x[q], 10, relax)[0] for relax in (1.0, 1.5)]
+    assert np.mean([len(set(a) & set(b)) / 10 for a, b in zip(*(n.tolist() for n in near), strict=True)]) >= 0.95
+
+
 def test_unusable_vectors_take_no_part(spark):
     rows = [(0, [1.0, 0.0]), (100, [1.0, 0.5]), (1, None), (2, []), (3, [0.0, 0.0]), (4, [float("nan"), 1.0]), (5, [float("inf"), 1.0]), (6, [1.0, None]), (7, [1.0, 2.0, 3.0]), (None, [1.0, 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("id", F.lit("x"))
