@@ -68,10 +68,7 @@ def first_bytes(spark: SparkSession, path: str, n: int) -> bytes:
     target, fs = path_and_fs(spark, path)
     stream = fs.open(target)
     try:
-        found = []
-        while len(found) < n and (b := stream.read()) >= 0:
-            found.append(b)
-        return bytes(found)
+        return bytes(stream.readNBytes(n))
     finally:
         stream.close()
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gzip
 import io
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -161,13 +162,40 @@ def read_vcf(spark: SparkSession, path: str) -> DataFrame:
 
 
 def vcf_header(spark: SparkSession, path: str) -> list[str]:
-    """The lines from the top that begin with #; an error if the column line is missing."""
-    found = [r["value"] for r in lines(spark, path).where("value like '#%'").orderBy("line_no").collect()]
+    """The lines from the top that begin with #; an error if the column line is missing. Of files in a folder the first by
+    name has them; no more than its head is read."""
+    found = head(spark, min(files(spark, path), default=path), "#")
     if not any(line.startswith("#CHROM") for line in found):
         raise FormatError(f"{path} has no #CHROM line")
     return found
 
 
+def head(spark: SparkSession, path: str, mark: str) -> list[str]:
+    """The lines from the top of a file that begin with the mark."""
+    size = 1 << 16
+    while True:
+        raw = first_bytes(spark, path, size)
+        whole = len(raw) < size
+        data = zlib.decompressobj(31).decompress(raw) if raw[:2] == GZIP_MAGIC else raw
+        if raw[:2] == GZIP_MAGIC and raw[3:4] == b"\x04":  # BGZF: one member after the other
+            data = b"".join(_members(raw))
+        rows = data.decode("utf-8", "replace").splitlines()
+        if not whole and rows and not data.endswith(b"\n"):
+            rows.pop()
+        other = next((i for i, r in enumerate(rows) if not r.startswith(mark)), None)
+        if other is not None or whole:
+            return rows[:other]
+        size *= 4
+
+
+def _members(raw: bytes) -> Iterator[bytes]:
+    """What the gzip members of some bytes inflate to; the last may be cut."""
+    while raw:
+        inflate = zlib.decompressobj(31)
+        yield inflate.decompress(raw)
+        raw = inflate.unused_data
+
+
 def contig_accessions(header: list[str]) -> dict[str, str]:
     """Accession to name, of the header's contig lines that have both."""
     import re

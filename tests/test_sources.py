@@ -161,3 +161,17 @@ def test_bam_index_leads_to_the_records(spark, tmp_path):
         assert at == len(index)
     assert seen >= 10
     assert sorted(map(tuple, bam.read_bam(spark, f"file://{tmp_path}/bam").collect())) == sorted((*r[:6], None, None, *r[8:]) for r in rows)
+
+
+def test_the_head_of_a_file_is_all_that_a_header_takes(spark, tmp_path):
+    top = [f"##contig=<ID=c{i},accession=\"a{i}\">" for i in range(5000)] + ["#CHROM\tPOS"]
+    text = "\n".join([*top, *(f"c1\t{i}\t.\tA\tC" for i in range(20_000))]) + "\n"
+    (tmp_path / "plain.vcf").write_text(text)
+    (tmp_path / "packed.vcf").write_bytes(gzip.compress(text.encode()))
+    (tmp_path / "blocks.vcf.gz").write_bytes(b"".join(bam.bgzf_block(text.encode()[i : i + 60_000]) for i in range(0, len(text), 60_000)) + bam.END_OF_FILE)
+    for name in ("plain.vcf", "packed.vcf", "blocks.vcf.gz"):
+        assert T.vcf_header(spark, str(tmp_path / name)) == top, name
+    assert T.contig_accessions(top)["a7"] == "c7"
+    (tmp_path / "none.vcf").write_text("c1\t5\n")
+    with pytest.raises(T.FormatError):
+        T.vcf_header(spark, str(tmp_path / "none.vcf"))
