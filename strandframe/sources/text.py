@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -47,18 +48,22 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     plain, misnamed = _split_paths(spark, path)
     out = None
     if plain:
-        rows = spark.read.text(plain).select(F.input_file_name().alias("file"), F.input_file_block_start().alias("block"), F.monotonically_increasing_id().alias("i"), "value")
-        blocks = rows.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("i").alias("first"))
-        w = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-        before = blocks.select(F.col("file").alias("f"), F.col("block").alias("b"), "first", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("before"))
-        joined = rows.join(before, (F.col("file") == F.col("f")) & (F.col("block") == F.col("b")))
-        out = joined.select("file", (F.col("before") + F.col("i") - F.col("first")).alias("line_no"), "value")
+        out = _numbered(spark, plain)
     if misnamed:
         more = _inflated(spark, misnamed, "\n")
         out = more if out is None else out.unionByName(more)
     return out
 
 
+def _numbered(spark: SparkSession, paths: list[str]) -> DataFrame:
+    rows = spark.read.text(paths).select(F.input_file_name().alias("file"), F.input_file_block_start().alias("block"), F.monotonically_increasing_id().alias("i"), "value")
+    blocks = rows.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("i").alias("first"))
+    w = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    before = blocks.select(F.col("file").alias("f"), F.col("block").alias("b"), "first", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("before"))
+    joined = rows.join(before, (F.col("file") == F.col("f")) & (F.col("block") == F.col("b")))
+    return joined.select("file", (F.col("before") + F.col("i") - F.col("first")).alias("line_no"), "value")
+
+
 def texts(spark: SparkSession, path: str, separator: str = "\n") -> DataFrame:
     """``value``: what stands between separators in text files, gzip files of any name among them."""
     plain, misnamed = _split_paths(spark, path)
@@ -106,14 +111,74 @@ def read_fasta(spark: SparkSession, path: str, seed: int | None = None) -> DataF
 
 
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """``file, record_no, name, seq, qual``; a last record that is cut, or lines out of place, are an error."""
-    numbered = lines(spark, path).where("value != '' or line_no % 4 in (1, 3)")
-    rows = numbered.withColumn("record_no", F.floor(F.col("line_no") / 4)).withColumn("part", F.col("line_no") % 4)
-    pick = lambda p: F.max(F.when(F.col("part") == p, F.col("value")))
-    out = rows.groupBy("file", "record_no").agg(pick(0).alias("name"), pick(1).alias("seq"), pick(2).alias("plus"), pick(3).alias("qual"))
-    good = F.startswith(F.col("name"), F.lit("@")) & F.startswith(F.col("plus"), F.lit("+")) & (F.length("seq") == F.length("qual"))
-    bad = F.raise_error(F.concat(F.lit("bad FASTQ record "), F.col("record_no").cast("string"))).cast("string")
-    return out.select("file", "record_no", F.when(F.coalesce(good, F.lit(False)), F.substr("name", F.lit(2))).otherwise(bad).alias("name"), "seq", "qual")
+    """``file, record_no, name, seq, qual``; a last record that is cut, or lines out of place, are an error.
+
+    The lines of a gzip file come to one task in order, which puts its records together without a shuffle; those of a
+    plain file, which many tasks read, are met by their numbers.
+    """
+    plain, misnamed = _split_paths(spark, path)
+    packed = [p for p in plain if p.endswith((".gz", ".bgz"))]
+    loose = [p for p in plain if p not in set(packed)]
+    parts = []
+    if packed:
+        parts.append(spark.read.text(packed).select(F.input_file_name().alias("file"), "value").mapInArrow(_records, FASTQ))
+    if misnamed:
+        parts.append(_inflated(spark, misnamed, "\n").select("file", "value").mapInArrow(_records, FASTQ))
+    if loose:
+        numbered = _numbered(spark, loose).where("value != '' or line_no % 4 in (1, 3)")
+        rows = numbered.withColumn("record_no", F.floor(F.col("line_no") / 4)).withColumn("part", F.col("line_no") % 4)
+        pick = lambda p: F.max(F.when(F.col("part") == p, F.col("value")))
+        out = rows.groupBy("file", "record_no").agg(pick(0).alias("name"), pick(1).alias("seq"), pick(2).alias("plus"), pick(3).alias("qual"))
+        good = F.startswith(F.col("name"), F.lit("@")) & F.startswith(F.col("plus"), F.lit("+")) & (F.length("seq") == F.length("qual"))
+        bad = F.raise_error(F.concat(F.lit("bad FASTQ record "), F.col("record_no").cast("string"))).cast("string")
+        parts.append(out.select("file", "record_no", F.when(F.coalesce(good, F.lit(False)), F.substr("name", F.lit(2))).otherwise(bad).alias("name"), "seq", "qual"))
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+FASTQ = "file string, record_no long, name string, seq string, qual string"
+
+
+def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines ``file, value`` in order to FASTQ records; a file's lines follow each other, blank ones may end it."""
+    file, rest, number = None, [], 0
+
+    def checked(held: list[str]) -> pa.RecordBatch:
+        nonlocal number
+        name, seq, plus, qual = held[0::4], held[1::4], held[2::4], held[3::4]
+        for i, (n, s, p, q) in enumerate(zip(name, seq, plus, qual, strict=True)):
+            if n[:1] != "@" or p[:1] != "+" or len(s) != len(q):
+                raise FormatError(f"bad FASTQ record {number + i} of {file}")
+        out = pa.record_batch([pa.array([file] * len(name), pa.string()), pa.array(np.arange(number, number + len(name))), pa.array([n[1:] for n in name], pa.string()), pa.array(seq, pa.string()), pa.array(qual, pa.string())], ["file", "record_no", "name", "seq", "qual"])
+        number += len(name)
+        return out
+
+    def ended() -> Iterator[pa.RecordBatch]:
+        while rest and not rest[-1]:
+            rest.pop()
+        if len(rest) % 4 == 3 and not rest[-2]:  # a read without letters
+            rest.append("")
+        if len(rest) % 4:
+            raise FormatError(f"bad FASTQ record {number + len(rest) // 4} of {file}")
+        if rest:
+            yield checked(rest)
+
+    for batch in batches:
+        names, values = batch.column(0), batch.column(1).to_pylist()
+        cuts = [0, *(np.flatnonzero(pc.not_equal(names.slice(1), names.slice(0, len(names) - 1)).to_numpy(zero_copy_only=False)) + 1).tolist(), len(names)] if len(names) else []
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if (name := names[a].as_py()) != file:
+                yield from ended()
+                file, rest, number = name, [], 0
+            rest += values[a:b]
+            # some lines are kept back: blank ones at the end are no records
+            full = max(0, (len(rest) - 8) // 4 * 4)
+            if full and rest[full - 4]:
+                yield checked(rest[:full])
+                del rest[:full]
+    yield from ended()
 
 
 def write_fastq(reads: DataFrame, path: str, codec: str = "gzip", mode: str = "errorifexists") -> None:

@@ -1,4 +1,5 @@
 import gzip
+import random
 import struct
 
 import pytest
@@ -175,3 +176,22 @@ def test_the_head_of_a_file_is_all_that_a_header_takes(spark, tmp_path):
     (tmp_path / "none.vcf").write_text("c1\t5\n")
     with pytest.raises(T.FormatError):
         T.vcf_header(spark, str(tmp_path / "none.vcf"))
+
+
+def test_fastq_of_all_kinds_of_files(spark, tmp_path):
+    rnd = random.Random(4)
+    reads = [(f"r{i}", "".join(rnd.choice("ACGT") for _ in range(n)), "".join(rnd.choice("@+IJ") for _ in range(n))) for i, n in enumerate([*(rnd.randint(1, 40) for _ in range(25_000)), 0])]
+    text = "".join(f"@{n}\n{s}\n+\n{q}\n" for n, s, q in reads)
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a/x.fq.gz").write_bytes(gzip.compress((text + "\n\n").encode()))
+    (tmp_path / "a/y.fq.gz").write_bytes(gzip.compress(text.encode()))
+    (tmp_path / "a/z.fq").write_bytes(gzip.compress(text.encode()))
+    (tmp_path / "a/w.fq").write_text(text)
+    found = T.read_fastq(spark, str(tmp_path / "a")).collect()
+    want = [(i, *r) for i, r in enumerate(reads)]
+    for name in ("x.fq.gz", "y.fq.gz", "z.fq", "w.fq"):
+        assert sorted((r["record_no"], r["name"], r["seq"], r["qual"]) for r in found if r["file"].endswith(name)) == want, name
+    for cut in (text[:-30], text.replace("\n+\n", "\n-\n", 1), text.replace("@r7\n", "r7\n")):
+        (tmp_path / "bad.fq.gz").write_bytes(gzip.compress(cut.encode()))
+        with pytest.raises(Exception, match="bad FASTQ record"):
+            T.read_fastq(spark, str(tmp_path / "bad.fq.gz")).collect()
