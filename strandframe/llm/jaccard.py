@@ -228,7 +228,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
 
     # whole sets of the classes that are still to be verified, made again from one text each
     wanted = likely.select(F.col("a").alias("cls")).unionByName(likely.select(F.col("b").alias("cls"))).unionByName(large.select("cls")).distinct()
-    wanted = held(wanted.join(known.select("cls", "exact_id"), "cls"))
+    # a table, whose size the plan knows: the texts that it picks are then not shuffled
+    wanted = stored(wanted.join(known.select("cls", "exact_id"), "cls"), "nd-wanted")
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = HashCache()
@@ -278,8 +279,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
     joined = named.join(least, "root").join(counts, "cls", "left").select("cls", "class_id", "links")
     each_class = classes.select("cls", "exact_id", "copies").join(joined, "cls", "left")
     result = stored(each_class.select("cls", "exact_id", F.coalesce("class_id", "exact_id").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "nd-result")
-    released(classes, met, wanted)
-    dropped(known, likely, sets, links, dense, roots)
+    released(classes, met)
+    dropped(known, likely, wanted, sets, links, dense, roots)
     has = signed.select("id", "cls").where("cls is not null").join(result, "cls").select("id", "class_id", "n_links", "exact_id")
     none = signed.where("cls is null").select("id", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("exact_id"))
     return has.unionByName(none).withColumnRenamed("id", id_col)
