@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import re
 import struct
 import zlib
@@ -111,28 +112,69 @@ class Index:
         return b"".join(out)
 
 
-def unpacked(data: bytes) -> Iterator[dict]:
-    """The alignments of inflated BAM bytes."""
-    if data[:4] != b"BAM\1":
+class _Bytes:
+    """Inflated bytes of a stream of gzip members, taken as they are asked for; what was taken is let go."""
+
+    def __init__(self, read, step: int = 1 << 20):
+        self.read, self.step, self.held, self.at, self.rest, self.inflate = read, step, bytearray(), 0, b"", None
+
+    def more(self) -> bool:
+        if not self.rest:
+            self.rest = self.read(self.step)
+            if not self.rest:
+                if self.inflate is not None and not self.inflate.eof:
+                    raise ValueError("a BAM file that is cut")
+                return False
+        if self.inflate is None or self.inflate.eof:
+            self.inflate = zlib.decompressobj(31)
+        self.held += self.inflate.decompress(self.rest)
+        self.rest = self.inflate.unused_data if self.inflate.eof else b""
+        return True
+
+    def take(self, n: int) -> bytes:
+        while len(self.held) - self.at < n:
+            if self.at > 1 << 20:
+                del self.held[: self.at]
+                self.at = 0
+            if not self.more():
+                raise ValueError("a BAM file that is cut")
+        self.at += n
+        return bytes(self.held[self.at - n : self.at])
+
+    def ended(self) -> bool:
+        while self.at == len(self.held):
+            if not self.more():
+                return True
+        return False
+
+
+def unpacked(read) -> Iterator[dict]:
+    """The alignments of a BAM file, whose bytes ``read(n)`` gives one after the other."""
+    data = _Bytes(read)
+    number = lambda: struct.unpack("<i", data.take(4))[0]
+    if data.take(4) != b"BAM\1":
         raise ValueError("no BAM")
-    at = 8 + struct.unpack_from("<i", data, 4)[0]
-    (count,), at, names = struct.unpack_from("<i", data, at), at + 4, []
-    for _ in range(count):
-        (n,) = struct.unpack_from("<i", data, at)
-        names.append(data[at + 4 : at + 3 + n].decode())
-        at += 8 + n
+    data.take(number())
+    names = []
+    for _ in range(number()):
+        names.append(data.take(number())[:-1].decode())
+        number()
     pick = lambda i: None if i < 0 else names[i]
-    while at < len(data):
-        (size,) = struct.unpack_from("<i", data, at)
-        ref, pos, n_name, mapq, _, n_cigar, flag, n_seq, mate, mate_pos, tlen = struct.unpack_from("<iiBBHHHiiii", data, at + 4)
-        p = at + 36
-        name, p = data[p : p + n_name - 1].decode(), p + n_name
-        cigar, p = struct.unpack_from(f"<{n_cigar}I", data, p), p + 4 * n_cigar
-        raw, p = data[p : p + (n_seq + 1) // 2], p + (n_seq + 1) // 2
-        seq = "".join(BASE_CODES[b >> 4] + BASE_CODES[b & 15] for b in raw)[:n_seq]
-        qual = "".join(chr(q + 33) for q in data[p : p + n_seq])
+    while not data.ended():
+        row = data.take(number())
+        ref, pos, n_name, mapq, _, n_cigar, flag, n_seq, mate, mate_pos, tlen = struct.unpack_from("<iiBBHHHiiii", row)
+        p = 32
+        name, p = row[p : p + n_name - 1].decode(), p + n_name
+        cigar, p = struct.unpack_from(f"<{n_cigar}I", row, p), p + 4 * n_cigar
+        raw, p = row[p : p + (n_seq + 1) // 2], p + (n_seq + 1) // 2
+        seq = raw.hex().translate(_FROM_NIBBLE)[:n_seq]
+        qual = row[p : p + n_seq].translate(_FROM_QUALITY).decode()
         yield {"name": name, "flag": flag, "contig": pick(ref), "pos": pos, "mapq": mapq, "cigar": "".join(f"{c >> 4}{CIGAR_CODES[c & 15]}" for c in cigar), "mate_contig": pick(mate), "mate_pos": None if mate_pos < 0 else mate_pos, "tlen": tlen, "seq": seq, "qual": qual}
-        at += 4 + size
+
+
+#: Hexadecimal digits to the bases that they stand for; qualities to letters.
+_FROM_NIBBLE = {ord(f"{i:x}"): b for i, b in enumerate(BASE_CODES)}
+_FROM_QUALITY = bytes(min(126, q + 33) for q in range(256))
 
 
 def inflated(data: bytes) -> bytes:
@@ -197,23 +239,50 @@ def write_bam(alignments: DataFrame, folder: str, contigs: list[tuple[str, int]]
     return rows.mapInArrow(save, "path string, records long")
 
 
+def _opened(paths: list[str]) -> bool:
+    """Whether the executors' Arrow can open files in the store of the paths."""
+    from pyarrow import ArrowException, fs
+
+    try:
+        fs.FileSystem.from_uri(paths[0])
+        return True
+    except (ArrowException, ValueError, OSError):
+        return False
+
+
 def read_bam(spark: SparkSession, path: str) -> DataFrame:
-    """Alignments of BAM files, one task or more for each file; a file is inflated in memory."""
+    """Alignments of BAM files, a task a file, read block by block; in stores that only Spark can open, a file is held."""
+    schema = pa.schema([(n, {"string": pa.string(), "int": pa.int32(), "long": pa.int64()}[t]) for n, t in (c.split() for c in COLUMNS.split(", "))])
+
+    def rows(read) -> Iterator[pa.RecordBatch]:
+        held = []
+        for row in unpacked(read):
+            held.append(row)
+            if len(held) == 10_000:
+                yield pa.RecordBatch.from_pylist(held, schema)
+                held = []
+        yield pa.RecordBatch.from_pylist(held, schema)
 
-    def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([(n, {"string": pa.string(), "int": pa.int32(), "long": pa.int64()}[t]) for n, t in (c.split() for c in COLUMNS.split(", "))])
+    def streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                store, root = fs.FileSystem.from_uri(name)
+                with store.open_input_stream(root, compression=None) as stream:
+                    yield from rows(stream.read)
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0).to_pylist():
-                held = []
-                for row in unpacked(inflated(content)):
-                    held.append(row)
-                    if len(held) == 10_000:
-                        yield pa.RecordBatch.from_pylist(held, schema)
-                        held = []
-                yield pa.RecordBatch.from_pylist(held, schema)
+                yield from rows(io.BytesIO(content).read)
 
     found = [p for p in files(spark, path) if not p.endswith(".bai")]
-    return spark.read.format("binaryFile").load(found).select("content").mapInArrow(load, COLUMNS)
+    if not found:
+        raise ValueError(f"{path} names no file")
+    if _opened(found):
+        return spark.createDataFrame([(p,) for p in found], "path string").repartition(len(found)).mapInArrow(streamed, COLUMNS)
+    return spark.read.format("binaryFile").load(found).select("content").mapInArrow(held, COLUMNS)
 
 
 def spans(alignments: DataFrame) -> DataFrame:

@@ -1,4 +1,5 @@
 import gzip
+import io
 import random
 import struct
 
@@ -195,3 +196,14 @@ def test_fastq_of_all_kinds_of_files(spark, tmp_path):
         (tmp_path / "bad.fq.gz").write_bytes(gzip.compress(cut.encode()))
         with pytest.raises(Exception, match="bad FASTQ record"):
             T.read_fastq(spark, str(tmp_path / "bad.fq.gz")).collect()
+
+
+def test_a_cut_bam_is_an_error():
+    data = bam.bgzf_block(bam.header([("c", 9)]) + b"\1\2\3")
+    with pytest.raises(ValueError, match="cut"):
+        list(bam.unpacked(io.BytesIO(data).read))
+    with pytest.raises(ValueError, match="cut"):
+        list(bam.unpacked(io.BytesIO(data[:-20]).read))
+    with pytest.raises(ValueError, match="no BAM"):
+        list(bam.unpacked(io.BytesIO(bam.bgzf_block(b"SAM file of some kind")).read))
+    assert list(bam.unpacked(io.BytesIO(bam.bgzf_block(bam.header([("c", 9)])) + bam.END_OF_FILE).read)) == []
