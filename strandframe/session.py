@@ -96,20 +96,20 @@ def scratch(spark: SparkSession, tag: str) -> str:
     return path
 
 
-def few_files(df: DataFrame, per_core: int = 4) -> DataFrame:
-    """df in at most so many partitions a core, or an eighth of the shuffle partitions that the data were given, whichever
-    is more, without a shuffle: a task takes several of them one after the other, each with its own memory. Small tables
-    of many partitions else become many small files, each of which costs the executor a process where the shared folder
-    is a plain disk."""
+def few_files(df: DataFrame, small: bool = False) -> DataFrame:
+    """df in at most two partitions a core, or a sixteenth of the shuffle partitions that the data were given, whichever is
+    more, without a shuffle: a task takes several of them one after the other, each with its own memory. Tables of many
+    small files cost the executor three processes a file where the folder is a plain disk, and their readers a task each.
+    small: one partition a core, for tables of a part of the rows, or of a number a row."""
     spark = df.sparkSession
-    given = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return df.coalesce(max(8, per_core * spark.sparkContext.defaultParallelism, -(-given // 8)))
+    cores, given = spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return df.coalesce(max(cores, -(-given // 64)) if small else max(2 * cores, -(-given // 16)))
 
 
-def stored(df: DataFrame, tag: str) -> DataFrame:
+def stored(df: DataFrame, tag: str, small: bool = False) -> DataFrame:
     """Cut the lineage: write to the shared folder as Parquet and read back, so that a lost executor costs no recomputation."""
     path = scratch(df.sparkSession, tag) + "/data"
-    few_files(df).write.parquet(path)
+    few_files(df, small).write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out
