@@ -166,13 +166,13 @@ def components(edges: DataFrame) -> DataFrame:
     """``node, root``, stored, from edges ``a, b``: the least node of each component, by passing the least label on and jumping to
     the label's own label; each round is written, and rounds grow with the logarithm of a component's width."""
     both = held(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where(F.col("a") != F.col("b")).distinct())
-    before = labels = stored(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")), "cc-labels")
+    before = labels = stored(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")), "cc-labels", small=True)
     while True:
         near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("root").alias("m"))
         passed = labels.join(near, F.col("node") == F.col("a")).select("node", F.least("root", "m").alias("root"), F.col("root").alias("was"))
         jump = labels.select(F.col("node").alias("n2"), F.col("root").alias("r2"))
         jumped = passed.join(jump, F.col("root") == F.col("n2"), "left").select("node", F.least("root", F.coalesce("r2", "root")).alias("root"), "was")
-        done = stored(jumped, "cc-labels")
+        done = stored(jumped, "cc-labels", small=True)
         dropped(before)
         before, labels = done, done.select("node", "root")
         if not done.where(F.col("root") != F.col("was")).limit(1).count():
@@ -224,12 +224,12 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
             keep = keep[_first_hot_band(a[keep], b[keep], hot_bands[keep]) == BANDS]
             yield batch.select(["a", "b", "copiesa", "copiesb"]).take(pa.array(keep))
 
-    likely = stored(paired.mapInArrow(prune, "a binary, b binary, copiesa long, copiesb long"), "nd-likely")
+    likely = stored(paired.mapInArrow(prune, "a binary, b binary, copiesa long, copiesb long"), "nd-likely", small=True)
 
     # whole sets of the classes that are still to be verified, made again from one text each
     wanted = likely.select(F.col("a").alias("cls")).unionByName(likely.select(F.col("b").alias("cls"))).unionByName(large.select("cls")).distinct()
     # a table, whose size the plan knows: the texts that it picks are then not shuffled
-    wanted = stored(wanted.join(known.select("cls", "exact_id"), "cls"), "nd-wanted")
+    wanted = stored(wanted.join(known.select("cls", "exact_id"), "cls"), "nd-wanted", small=True)
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = HashCache()
@@ -247,10 +247,12 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
                 p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 if reaches(len(np.intersect1d(p, q, assume_unique=True)), len(p), len(q), threshold):
                     keep.append(n)
-            yield batch.select(["a", "b", "copiesa", "copiesb"]).take(pa.array(keep, pa.int64()))
+            good = batch.take(pa.array(keep, pa.int64()))
+            for x, y, copies in ((0, 1, 3), (1, 0, 2)):
+                yield pa.record_batch([good.column(x), good.column(y), good.column(copies)], ["cls", "other", "links"])
 
     of = lambda s: sets.select(F.col("cls").alias(s), F.col("shingles").alias("set" + s))
-    links = stored(likely.join(of("a"), "a").join(of("b"), "b").select("a", "b", "copiesa", "copiesb", "seta", "setb").mapInArrow(verify, "a binary, b binary, copiesa long, copiesb long"), "nd-links")
+    links = (likely.join(of("a"), "a").join(of("b"), "b").select("a", "b", "copiesa", "copiesb", "seta", "setb").mapInArrow(verify, "cls binary, other binary, links long"))
 
     # large buckets: tasks of two blocks
     blocks = F.ceil(F.greatest(F.col("m") / block, F.least(F.col("held") / block_shingles, F.col("m") / 2))).cast("int")
@@ -267,20 +269,21 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
         members = [np.frombuffer(s, np.uint64) for s in table.column("shingles").to_pylist()]
         found, root = block_links(_matrix(table.column("sig")), get("hot"), get("copies"), members, (get("own") == hi).astype(int), lo == hi, band, threshold, tolerance)
         keep = np.flatnonzero(found)
-        return pa.table({"cls": pa.array([names[i] for i in keep], pa.binary()), "links": pa.array(found[keep], pa.int64()), "root": pa.array([names[root[i]] for i in keep], pa.binary())})
+        return pa.table({"cls": pa.array([names[i] for i in keep], pa.binary()), "other": pa.array([names[root[i]] for i in keep], pa.binary()), "links": pa.array(found[keep], pa.int64())})
 
-    dense = stored(filled.groupBy("bucket", "lo", "hi").applyInArrow(compare, "cls binary, links long, root binary"), "nd-dense")
+    dense = filled.groupBy("bucket", "lo", "hi").applyInArrow(compare, "cls binary, other binary, links long")
 
-    each = links.select(F.col("a").alias("cls"), F.col("copiesb").alias("links")).unionByName(links.select(F.col("b").alias("cls"), F.col("copiesa").alias("links"))).unionByName(dense.select("cls", "links"))
+    # a row a link and side, and a row a class and pair of blocks with the sum of its links and one of the classes it reaches
+    each = stored(links.unionByName(dense), "nd-each", small=True)
     counts = each.groupBy("cls").agg(F.sum("links").alias("links"))
-    roots = components(links.select("a", "b").unionByName(dense.select(F.col("cls").alias("a"), F.col("root").alias("b"))))
+    roots = components(each.select(F.col("cls").alias("a"), F.col("other").alias("b")))
     named = roots.join(known.select("cls", "exact_id"), F.col("node") == F.col("cls")).select("cls", "root", "exact_id")
     least = named.groupBy("root").agg(F.min("exact_id").alias("class_id"))
     joined = named.join(least, "root").join(counts, "cls", "left").select("cls", "class_id", "links")
     each_class = classes.select("cls", "exact_id", "copies").join(joined, "cls", "left")
-    result = stored(each_class.select("cls", "exact_id", F.coalesce("class_id", "exact_id").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "nd-result")
+    result = stored(each_class.select("cls", "exact_id", F.coalesce("class_id", "exact_id").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "nd-result", small=True)
     released(classes, met)
-    dropped(known, likely, wanted, sets, links, dense, roots)
+    dropped(known, likely, wanted, sets, each, roots)
     has = signed.select("id", "cls").where("cls is not null").join(result, "cls").select("id", "class_id", "n_links", "exact_id")
     none = signed.where("cls is null").select("id", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("exact_id"))
     return has.unionByName(none).withColumnRenamed("id", id_col)

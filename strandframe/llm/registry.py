@@ -3,6 +3,13 @@
 from __future__ import annotations
 
 from strandframe.llm import bpe, decontaminate, jaccard, licences, pii, ppm, quality, suffixes, vantage, warc
+from strandframe.session import few_files
+
+
+def _few(query):
+    """The query's result, as few files when it is written."""
+    return lambda spark, sf_dir: few_files(query(spark, sf_dir))
+
 
 QUERIES = {
     "op1_bpe_round_trip": bpe.op1_bpe_round_trip,
@@ -16,6 +23,7 @@ QUERIES = {
     "op9_jaccard_join": jaccard.op9_jaccard_join,
     "op10_suffix_dedup": suffixes.op10_suffix_dedup,
 }
+QUERIES = {name: _few(query) for name, query in QUERIES.items()}
 ORACLE: dict[str, str] = {
     "op2_vp_tree_neighbours": vantage.ORACLE_SQL,
     "op3_license_scan": licences.ORACLE_SQL,

@@ -316,10 +316,10 @@ def _hits(pieces: DataFrame, length: int, shard_bytes: int, runs: tuple[int, ...
             yield pa.record_batch([*[batch.column(i).take(at) for i in range(4)], k, c1, c2, first, ref.cast(pa.int32()), pa.array(pieces_of, pa.binary())], ["pgid", "p1", "p2", "times", "gid", "c1", "c2", "off", "ref", "data"])
 
     crowded = pieces.where("crowd").select("gid", "c1", "c2", "times", "ref", "data").repartition("gid", "c1", "c2")
-    parts = stored(crowded.mapInArrow(cut, "pgid long, p1 long, p2 long, times int, gid long, c1 long, c2 long, off long, ref int, data binary"), "sa-runs")
+    parts = stored(crowded.mapInArrow(cut, "pgid long, p1 long, p2 long, times int, gid long, c1 long, c2 long, off long, ref int, data binary"), "sa-runs", small=True)
     met = parts.groupBy("gid").agg(F.sum("times").alias("met")).where("met > 1").select("gid")
     distinct = parts.join(met, "gid", "left_semi").groupBy("gid", "c1", "c2").agg(F.least(F.sum("times"), F.lit(2)).cast("int").alias("times"), F.first("ref").alias("ref"), F.first("data").alias("data"))
-    inner = _hits(_weighed(stored(distinct, "sa-distinct"), shard_bytes, "times * length(data)"), length, shard_bytes, runs[1:])
+    inner = _hits(_weighed(stored(distinct, "sa-distinct", small=True), shard_bytes, "times * length(data)"), length, shard_bytes, runs[1:])
     links = parts.select("pgid", "p1", "p2", "gid", "c1", "c2", "off").distinct()
     of_runs = links.join(inner, ["gid", "c1", "c2"]).select(F.col("pgid").alias("gid"), F.col("p1").alias("c1"), F.col("p2").alias("c2"), (F.col("off") + F.col("lo")).alias("lo"), (F.col("off") + F.col("hi")).alias("hi"))
     return found.unionByName(of_runs)
@@ -383,7 +383,7 @@ def repeats(docs: DataFrame, length: int = 200, shard_bytes: int = 1 << 20) -> D
                 yield pa.record_batch([columns["gid"], columns["c1"], columns["c2"], pa.array(np.ones(len(data), np.int32)), columns["ref"], columns["crowd"], pa.array(data, pa.binary())], ["gid", "c1", "c2", "times", "ref", "crowd", "data"])
 
     sources = stored(with_text.mapInArrow(bytes_of, "gid long, c1 long, c2 long, times int, ref int, crowd boolean, data binary"), "sa-sources")
-    hits = stored(_hits(sources, length, shard_bytes, RUNS), "sa-hits")
+    hits = stored(_hits(sources, length, shard_bytes, RUNS), "sa-hits", small=True)
     key = ["gid", "c1", "c2"]
     common = F.broadcast(contents.where(F.col("n") >= often).select(*key))
     few = met.join(F.broadcast(hits.join(common, key, "left_semi")), key)
@@ -396,7 +396,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text, F.octet_length(text)).alias("h"), text.alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
-    spans = stored(repeats(rows, length, **options).groupBy("id", "h").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "sa-spans")
+    spans = stored(repeats(rows, length, **options).groupBy("id", "h").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "sa-spans", small=True)
     marked = rows.join(spans.select(F.col("id").alias("i2"), F.col("h").alias("h2"), "spans"), rows["id"].eqNullSafe(F.col("i2")) & (rows["h"] == F.col("h2")), "left").select("id", "text", "spans")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
