@@ -1,3 +1,5 @@
+import random
+
 from strandframe.llm import licences as L
 
 PHRASES = dict((b, a) for a, b in L.BASE)
@@ -30,3 +32,28 @@ def test_base_places_and_notices(spark):
 def test_repeated_rows_and_empty_table(spark, odd, empty):
     assert L.scan(odd).count() == odd.count()
     assert L.scan(empty).count() == 0
+
+
+def test_whole_licences_with_edits_in_prose(spark):
+    rnd = random.Random(3)
+    prose = "of the people and in the house with the other things that are not to be found in any of them".split()
+    rows, want = [], {}
+    for n, (label, body) in enumerate(L.BODIES):
+        for m in range(4):
+            w = body.split()
+            for _ in range(m * len(w) // 50):
+                k = rnd.randrange(len(w))
+                w[k : k + 1] = rnd.choice([[], [w[k], "inserted"], ["changed"]])
+            rows.append((len(rows), " ".join([*rnd.choices(prose, k=200), *(x.title() + rnd.choice(["", ",", ".\n"]) for x in w), *rnd.choices(prose, k=200)])))
+            want[len(rows) - 1] = label
+    rows += [(1000 + i, " ".join(rnd.choices(prose, k=3000))) for i in range(5)]
+    found = {r["doc_id"]: r for r in L.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, label in want.items():
+        assert label in found[i]["labels"].split(",") and found[i]["score"] >= L.SHARE, (i, label, found[i])
+    assert all(found[1000 + i]["labels"] == "" for i in range(5))
+
+
+def test_only_ascii_letters_are_lower_cased(spark):
+    rows = [(0, "Kind mit license"), (1, "mit lİcense"), (2, "MIT LICENSE"), (3, "x" * 200_000 + " mit license " + "word " * 100_000)]
+    got = {r["doc_id"]: r for r in L.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i]["n_base"] for i in range(4)] == [1, 0, 1, 1] and got[0]["n_words"] == 3 and got[3]["n_words"] == 100_003
