@@ -19,19 +19,22 @@ ORACLE_SQL = None
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop what the nearest-neighbour classifier rejects (score under 0.3)."""
-    return few_files(quality.accepted(docs, quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))), 4)
+    return few_files(quality.accepted(docs, quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near duplicates keep the document of the smallest id; repeated rows of it once."""
     classes = jaccard.join(docs.select("doc_id", "text"))
-    stays = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("stays")).distinct()
-    return few_files(docs.join(stays, docs["doc_id"].eqNullSafe(stays["stays"]), "left_semi").dropDuplicates(["doc_id", "text"]), 4)
+    stays = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id").distinct()
+    # by equality, so that the rows stay where they are for the removal of repeated ones; rows without an id apart
+    known = docs.join(stays.where("doc_id is not null"), "doc_id", "left_semi").select(*docs.columns)
+    nameless = docs.where("doc_id is null").join(F.broadcast(stays.where("doc_id is null").limit(1).select(F.lit(True).alias("stays"))), F.col("stays"), "left_semi")
+    return few_files(known.dropDuplicates(["doc_id", "text"]).unionByName(nameless.dropDuplicates(["text"])))
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a benchmark item within a fifth of its words."""
-    return few_files(decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")), 4)
+    return few_files(decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +42,7 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     terms = stored(pii.revealing(docs), "pii-terms")
     rest = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
     found = pii.find(docs, terms, carry=rest)
-    return few_files(with_text(found, F.col("clean"), "text", "n_chars").select(*docs.columns), 4)
+    return few_files(with_text(found, F.col("clean"), "text", "n_chars").select(*docs.columns))
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
