@@ -14,6 +14,7 @@ LOCAL_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -96,6 +97,16 @@ def scratch(spark: SparkSession, tag: str) -> str:
     return path
 
 
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Arrow batches of at most so many bytes, unless the session has set a limit of its own: at the default of 64 MB two
+    tasks' batches of long texts take hundreds of MB off an executor's heap, and again in its Python workers."""
+    if spark.conf.get(ARROW_BYTES, "67108864b") in ("67108864b", "64m", "64MB"):
+        spark.conf.set(ARROW_BYTES, str(most))
+
+
 def few_files(df: DataFrame, small: bool = False) -> DataFrame:
     """df in at most two partitions a core, or a sixteenth of the shuffle partitions that the data were given, whichever is
     more, without a shuffle: a task takes several of them one after the other, each with its own memory. Tables of many
