@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 from strandframe.llm import bpe, decontaminate, jaccard, licences, pii, ppm, quality, suffixes, vantage, warc
-from strandframe.session import few_files
+from strandframe.session import few_files, small_batches
 
 
 def _few(query):
-    """The query's result, as few files when it is written."""
-    return lambda spark, sf_dir: few_files(query(spark, sf_dir))
+    """The query over texts in batches of bounded bytes; its result as few files when it is written."""
+
+    def run(spark, sf_dir: str):
+        small_batches(spark)
+        return few_files(query(spark, sf_dir))
+
+    return run
 
 
 QUERIES = {
