@@ -6,12 +6,14 @@ columns of ``documents``; the last returns each document's ids and the digest of
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandframe.llm import bpe, decontaminate, jaccard, pii, quality
 from strandframe.llm.filters import with_text
-from strandframe.session import few_files, stored
+from strandframe.session import few_files, small_batches, stored
 
 #: No SQL expresses the stages; tests/llm hold them against brute force.
 ORACLE_SQL = None
@@ -19,7 +21,7 @@ ORACLE_SQL = None
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop what the nearest-neighbour classifier rejects (score under 0.3)."""
-    return few_files(quality.accepted(docs, quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))))
+    return quality.accepted(docs, quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,12 +31,12 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     # by equality, so that the rows stay where they are for the removal of repeated ones; rows without an id apart
     known = docs.join(stays.where("doc_id is not null"), "doc_id", "left_semi").select(*docs.columns)
     nameless = docs.where("doc_id is null").join(F.broadcast(stays.where("doc_id is null").limit(1).select(F.lit(True).alias("stays"))), F.col("stays"), "left_semi")
-    return few_files(known.dropDuplicates(["doc_id", "text"]).unionByName(nameless.dropDuplicates(["text"])))
+    return known.dropDuplicates(["doc_id", "text"]).unionByName(nameless.dropDuplicates(["text"]))
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a benchmark item within a fifth of its words."""
-    return few_files(decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +44,7 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     terms = stored(pii.revealing(docs), "pii-terms")
     rest = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
     found = pii.find(docs, terms, carry=rest)
-    return few_files(with_text(found, F.col("clean"), "text", "n_chars").select(*docs.columns))
+    return with_text(found, F.col("clean"), "text", "n_chars").select(*docs.columns)
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,12 +56,23 @@ def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return both.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2("bytes", 256).alias("decoded_sha256"))
 
 
+def _bounded(stage):
+    """The stage over texts in batches of bounded bytes; what it gives as few files when it is written."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return few_files(stage(spark, docs, sf_dir))
+
+    return run
+
+
 STAGES = [
-    ("quality", quality_stage),
-    ("near_duplicates", near_duplicate_stage),
-    ("decontaminate", decontaminate_stage),
-    ("pii", pii_stage),
-    ("bpe", bpe_stage),
+    ("quality", _bounded(quality_stage)),
+    ("near_duplicates", _bounded(near_duplicate_stage)),
+    ("decontaminate", _bounded(decontaminate_stage)),
+    ("pii", _bounded(pii_stage)),
+    ("bpe", _bounded(bpe_stage)),
 ]
 
 
