@@ -136,15 +136,6 @@ def released(*tables: DataFrame) -> None:
         table.unpersist()
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """df, computed once and kept on the executors' disks, as rows whose plan begins here: for tables of few rows that many
-    later plans name, which would else be planned with all that led to them. What is lost with an executor is made again,
-    and the rows go when nothing refers to them any more."""
-    spark = df.sparkSession
-    rows = df._jdf.toJavaRDD().persist(spark.sparkContext._getJavaStorageLevel(StorageLevel.DISK_ONLY))
-    return DataFrame(spark._jsparkSession.createDataFrame(rows, df._jdf.schema()), spark)
-
-
 def dropped(*tables: DataFrame) -> None:
     """Remove stored tables that nothing reads any more."""
     for table in tables:
