@@ -133,6 +133,40 @@ def free_copy(taken: Column, u: Column) -> Column:
 
 
 def on_free_copies(added: DataFrame, present: DataFrame, seed: int) -> DataFrame:
+def counted_under(variants: DataFrame, kind: str) -> DataFrame:
+    """``line_no, n``: how many other lines of the kind ``under`` finds for each line; lines under none are left out.
+
+    No pair of lines is made where they share one place: a place's covering lines are counted once for all that stand on
+    it. Only where a line has several records can it meet another one on several places; the pairs of places that both
+    have, joined by both places, tell how often such a pair of lines was counted too much.
+    """
+    key = ["contig", "pos", "gt"]
+    long = F.length("ref") if kind == DELETION else F.length("alt")
+    rows = variants.where("line_no is not null and contig is not null and pos is not null and gt is not null")
+    # records go to their line's task before they are spread, so that all that follows by line is there
+    rows = rows.select("line_no", "contig", F.col("pos").cast("long").alias("at"), "gt", F.when(F.col("type") == kind, long).otherwise(0).alias("span")).repartition("line_no")
+    spread = rows.select("line_no", "contig", "at", "gt", "span", F.explode(F.sequence(F.col("at"), F.col("at") + F.greatest("span", F.lit(1)) - 1)).alias("pos"))
+    flags = F.max(F.when(F.col("pos") == F.col("at"), 1).otherwise(0)).alias("stands"), F.max(F.when(F.col("span") > 0, 1).otherwise(0)).alias("covers")
+    places = spread.groupBy("line_no", *key).agg(*flags)
+    stands, covers = places.where("stands = 1"), places.where("covers = 1")
+    most = stands.join(covers.groupBy(*key).agg(F.count("*").alias("c")), key).groupBy("line_no").agg(F.sum(F.col("c") - F.col("covers")).alias("most"))
+
+    def pairs(df: DataFrame, line: str) -> DataFrame:
+        a = df.select(F.col("line_no").alias(line), *[F.col(k).alias(f"a_{k}") for k in key])
+        b = df.select("line_no", *[F.col(k).alias(f"b_{k}") for k in key])
+        before = F.struct("a_contig", "a_gt", "a_pos") < F.struct("b_contig", "b_gt", "b_pos")
+        return a.join(b, (F.col(line) == F.col("line_no")) & before).drop("line_no").withColumn("apart", F.greatest(F.lit(-64), F.least(F.lit(64), F.col("b_pos") - F.col("a_pos"))))
+
+    met = pairs(stands, "line_no_1")
+    # a row of at most 129 distances: pairs of places at another one meet none
+    seen = met.agg(F.collect_set("apart").alias("seen"))
+    other = pairs(covers, "line_no_2").crossJoin(F.broadcast(seen)).where(F.array_contains("seen", F.col("apart"))).drop("seen")
+    both = met.join(other, [*[f"{x}_{k}" for x in "ab" for k in key], "apart"]).where("line_no_1 <> line_no_2").groupBy("line_no_1", "line_no_2").agg(F.count("*").alias("q"))
+    # q pairs of s shared places are s (s - 1) / 2; the two lines count once
+    over = both.groupBy(F.col("line_no_1").alias("line_no")).agg(F.sum(F.rint((F.sqrt(8 * F.col("q") + 1) + 1) / 2).cast("long") - 1).alias("over"))
+    return most.join(over, "line_no", "left").select("line_no", (F.col("most") - F.coalesce("over", F.lit(0))).alias("n")).where("n > 0")
+
+
     """Variants ``contig, pos, line_no, ...`` with ``gt`` on a copy that those present at their place leave free; where
     there are none at the place the genotype stays, and where no copy is free the variant is left out."""
     taken = composite_genotypes(present).withColumnRenamed("genotype", "_taken")
