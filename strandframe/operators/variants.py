@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -78,6 +82,30 @@ def matching_reference(variants: DataFrame, contigs: DataFrame) -> DataFrame:
     return bases_at(variants, contigs, F.col("pos"), F.length("ref"), "_ref").where(F.col("_ref") == F.upper("ref")).drop("_ref")
 
 
+def matching_places(contigs: DataFrame, refs: list[str]) -> DataFrame:
+    """``contig, pos, ref``: of variants at each place of the contigs, whose REFs are refs by turns, those whose REF is what
+    the contig has there. Variants that come with their contig are compared with its letters as an array: they need not
+    be joined with it, nor be rows before they match."""
+    kind = contigs.schema["contig"].dataType.simpleString()
+    upper, turns = [np.frombuffer(r.upper().encode("utf-32-le"), np.uint32) for r in refs], len(refs)
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, seq in enumerate(batch.column(1).to_pylist()):
+                letters = np.frombuffer((seq or "").encode("utf-32-le"), np.uint32)
+                for turn, ref in enumerate(upper):
+                    # places from which the whole REF fits
+                    room = max(0, len(letters) - max(1, len(ref)) + 1)
+                    same = np.ones(len(range(turn, room, turns)), bool)
+                    for k, letter in enumerate(ref.tolist()):
+                        same &= letters[turn + k : room + k : turns] == letter
+                    pos = np.flatnonzero(same) * turns + turn
+                    if len(pos):
+                        yield pa.record_batch([batch.column(0).take(pa.array(np.full(len(pos), i))), pa.array(pos), pa.repeat(pa.scalar(refs[turn], pa.string()), len(pos))], ["contig", "pos", "ref"])
+
+    return contigs.select("contig", "seq").mapInArrow(match, f"contig {kind}, pos long, ref string")
+
+
 def rendered(variants: DataFrame, contigs: DataFrame) -> DataFrame:
     """``ref, alt`` of typed variants ``contig, pos, type, length, inserted`` from the contig: a deletion's first base stays."""
     deletion = F.col("type") == DELETION

@@ -17,3 +17,12 @@ def test_lines_under_others_are_counted_without_pairs(spark):
     # 60,000 records of one place are 3.6e9 pairs
     many = spark.range(60_000).select(F.lit("c").alias("contig"), F.lit(3).cast("long").alias("pos"), F.lit("0/1").alias("gt"), F.col("id").alias("line_no"), F.lit("DEL").alias("type"), F.lit("AC").alias("ref"), F.lit("A").alias("alt"))
     assert [tuple(r) for r in V.counted_under(many, "DEL").groupBy("n").count().collect()] == [(59_999, 60_000)]
+
+
+def test_places_that_match_by_turns(spark):
+    seqs = {"a": "ACGACGTTCG", "b": "C", "c": "", "d": None, "e": "CCGAC"}
+    contigs = spark.createDataFrame(list(seqs.items()), "contig string, seq string")
+    refs = ["A", "cg", "CG"]
+    got = sorted(map(tuple, V.matching_places(contigs, refs).collect()))
+    assert got == sorted((k, i, refs[i % 3]) for k, s in seqs.items() for i in range(len(s or "")) if s.startswith(refs[i % 3].upper(), i))
+    assert "Join" not in V.matching_places(contigs, refs)._jdf.queryExecution().toString()
