@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -123,11 +124,47 @@ def only_in(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def first_match(points: DataFrame, regions: DataFrame, bin_width: int = BIN) -> DataFrame:
     """Each point, 1-based, with the region of least ``line_no`` that has it between its start and its end, both
-    included; points in none are left out."""
-    least = F.min_by(F.struct("st", "en"), "r_line").alias("r")
-    closed = regions.withColumnRenamed("line_no", "r_line").withColumn("en", F.col("en") + 1)
-    met = point_join(points, closed, bin_width=bin_width)
-    return met.groupBy(*points.columns).agg(least, F.min("r_line").alias("r_line")).select(*points.columns, "r.st", (F.col("r.en") - 1).alias("en"), "r_line")
+    included; points in none are left out.
+
+    By contig and bin: a bin's regions stream through one task, the one of least line last, each over what earlier ones
+    left in an array of the bin's places; then its distinct places are looked up. So a region costs the same however many
+    points or other regions lie there, and a task holds one bin's array. Regions have a line_no.
+    """
+    kind = regions.schema["contig"].dataType.simpleString()
+    closed = regions.select("contig", F.col("st").cast("long").alias("st"), (F.col("en").cast("long") + 1).alias("en"), F.col("line_no").cast("long").alias("line")).where("st < en and contig is not null and line is not null")
+    painted = binned(closed, F.col("st"), F.col("en"), bin_width).select("contig", "bin", "st", "en", "line")
+    places = points.select("contig", F.col("pos").cast("long").alias("st")).where("contig is not null and st is not null").distinct()
+    asked = places.select("contig", F.floor(F.col("st") / bin_width).cast("long").alias("bin"), "st", F.lit(None).cast("long").alias("en"), F.lit(None).cast("long").alias("line"))
+
+    def paint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, top, first, last, known = None, *(np.zeros(bin_width, np.int64) for _ in range(3)), np.zeros(bin_width, bool)
+        for batch in batches:
+            # runs of rows of one contig, bin and kind
+            bins, st, en, line = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3, 4))
+            names, point = batch.column(0).to_pylist(), np.asarray(batch.column(4).is_null())
+            cuts = [0, *(i for i in range(1, len(names)) if names[i] != names[i - 1] or bins[i] != bins[i - 1] or point[i] != point[i - 1]), len(names)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if a == b:
+                    continue
+                if (names[a], bins[a]) != here:
+                    here = names[a], bins[a]
+                    known[:] = False
+                base = int(bins[a]) * bin_width
+                if not point[a]:
+                    regions_here = (x[a:b].astype(np.int64) for x in (st, en, line))
+                    for s, e, n in zip(*(x.tolist() for x in regions_here), strict=True):
+                        low, high = max(0, s - base), e - base
+                        top[low:high], first[low:high], last[low:high], known[low:high] = n, s, e, True
+                    continue
+                pos = st[a:b].astype(np.int64)
+                pos = pos[known[pos - base]]
+                at = pos - base
+                yield pa.record_batch([pa.array([names[a]] * len(pos), batch.schema.field(0).type), pa.array(pos), pa.array(first[at]), pa.array(last[at] - 1), pa.array(top[at])], ["contig", "pos", "st", "en", "r_line"])
+
+    # dealt by a function of the key, as in fill_gaps
+    ordered = painted.unionByName(asked).repartition(F.xxhash64("contig", "bin")).sortWithinPartitions("contig", "bin", F.desc_nulls_last("line"))
+    found = ordered.mapInArrow(paint, f"contig {kind}, pos long, st long, en long, r_line long")
+    return points.join(found, ["contig", "pos"]).select(*points.columns, "st", "en", "r_line").distinct()
 
 
 def in_order(rows: DataFrame, *order: str, number: str = "place") -> DataFrame:

@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
+from strandframe.operators import intervals as I
 from strandframe.operators import variants as V
 
 
@@ -26,3 +27,16 @@ def test_places_that_match_by_turns(spark):
     got = sorted(map(tuple, V.matching_places(contigs, refs).collect()))
     assert got == sorted((k, i, refs[i % 3]) for k, s in seqs.items() for i in range(len(s or "")) if s.startswith(refs[i % 3].upper(), i))
     assert "Join" not in V.matching_places(contigs, refs)._jdf.queryExecution().toString()
+
+
+def test_first_match_under_many_regions(spark):
+    rnd = random.Random(8)
+    rs = [(rnd.choice("ab"), s, s + rnd.choice([-1, 0, 3, 90, 700]), n) for n, s in enumerate(rnd.randint(-50, 900) for _ in range(150))]
+    points = [(rnd.choice("abc"), rnd.randint(-80, 1600), n) for n in range(300)]
+    find = lambda c, p: next(((st, en, n) for k, st, en, n in rs if k == c and st <= p <= en), None)
+    a, b = spark.createDataFrame(points, "contig string, pos long, id long"), spark.createDataFrame(rs, "contig string, st long, en long, line_no long")
+    got = sorted(tuple(r) for r in I.first_match(a, b, bin_width=64).collect())
+    assert got == sorted((c, p, n, *find(c, p)) for c, p, n in points if find(c, p))
+    # 30,000 regions over 30,000 points of one place are 9e8 pairs
+    many = spark.range(30_000).select(F.lit("c").alias("contig"), F.lit(5).cast("long").alias("st"), F.lit(9).cast("long").alias("en"), F.col("id").alias("line_no"), F.lit(9).cast("long").alias("pos"))
+    assert I.first_match(many.select("contig", "pos", "line_no"), many).agg(F.count("*"), F.max("r_line")).first() == (30_000, 0)
