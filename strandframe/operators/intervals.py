@@ -167,6 +167,46 @@ def first_match(points: DataFrame, regions: DataFrame, bin_width: int = BIN) ->
     return points.join(found, ["contig", "pos"]).select(*points.columns, "st", "en", "r_line").distinct()
 
 
+def points_in(spans: DataFrame, points: DataFrame, key: str, bin_width: int = 256) -> DataFrame:
+    """``key, n, places``: for each key of spans ``contig, st, en`` how many points ``contig, pos`` stand in its spans, a
+    point once for each, and their distinct places in order; keys without any are left out.
+
+    Points are counted by place and places gathered by bin, so that a span is looked up in one row of at most two bins and
+    makes no row a point. Keys of several spans, and spans longer than a bin, meet each bin that they touch and are put
+    together.
+    """
+    at = points.groupBy("contig", F.col("pos").cast("long").alias("pos")).agg(F.count("*").alias("n")).withColumn("bin", F.floor(F.col("pos") / bin_width).cast("long"))
+    gathered = F.array_sort(F.collect_list(F.struct("pos", "n"))).alias("held")
+    one = at.groupBy("contig", "bin").agg(gathered)
+    # a bin's row with the places of the next one
+    two = at.withColumn("bin", F.explode(F.array(F.col("bin"), F.col("bin") - 1))).groupBy("contig", "bin").agg(gathered)
+
+    kind = spans.schema[key].dataType.simpleString()
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            st, en = (batch.column(i).to_numpy() for i in (1, 2))
+            held = batch.column(3)
+            row = np.repeat(np.arange(len(st)), held.value_lengths().to_numpy())
+            pos, n = (held.flatten().field(i).to_numpy() for i in (0, 1))
+            hit = (pos >= st[row]) & (pos < en[row])
+            row, pos, n = row[hit], pos[hit], n[hit]
+            ends = np.cumsum(np.bincount(row, minlength=len(st)))
+            sums = np.bincount(row, n, minlength=len(st)).astype(np.int64)
+            yield pa.record_batch([batch.column(0), pa.array(sums), pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(pos))], [key, "n", "places"])
+
+    def looked_up(rows: DataFrame, bins: DataFrame) -> DataFrame:
+        met = rows.join(bins, ["contig", "bin"]).select(key, "st", "en", "held")
+        return met.mapInArrow(look_up, f"{key} {kind}, n long, places array<long>").where("n > 0")
+
+    mine = spans.where("st < en").select(key, "contig", F.col("st").cast("long").alias("st"), F.col("en").cast("long").alias("en"), (F.count("*").over(Window.partitionBy(key)) == 1).alias("alone"))
+    short = F.col("alone") & (F.col("en") - F.col("st") <= bin_width)
+    direct = looked_up(mine.where(short).withColumn("bin", F.floor(F.col("st") / bin_width).cast("long")), two)
+    parts = looked_up(binned(mine.where(~short), F.col("st"), F.col("en"), bin_width), one)
+    together = parts.groupBy(key).agg(F.sum("n").alias("n"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("places")))).alias("places"))
+    return direct.unionByName(together)
+
+
 def in_order(rows: DataFrame, *order: str, number: str = "place") -> DataFrame:
     """rows numbered from 1 within their contig by the order; narrow rows, one sort a contig."""
     return rows.withColumn(number, F.row_number().over(Window.partitionBy("contig").orderBy(*order)))

@@ -30,7 +30,7 @@ _add("f4_contains", "regions", lambda r: r.where(V.contains(F.col("st"), F.col("
 _add(
     "j1_reads_variants",
     "alignments typed",
-    lambda a, v: I.point_join(v.select("contig", "pos", "line_no"), _reads(a), bin_width=1024).groupBy("event_id").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_set("pos")), lambda p: p.cast("string")), ",").alias("places")),
+    lambda a, v: I.points_in(_reads(a), v, "event_id").select("event_id", "n", F.array_join(F.col("places").cast("array<string>"), ",").alias("places")),
     f"SELECT event_id, count(*) AS n, string_agg(DISTINCT CAST(pos AS VARCHAR), ',' ORDER BY pos) AS places FROM typed v JOIN {_R} r ON v.contig = r.contig AND pos >= st AND pos < en GROUP BY event_id".replace("string_agg(DISTINCT CAST(pos AS VARCHAR), ',' ORDER BY pos)", "array_to_string(list_sort(list(DISTINCT pos)), ',')"),
 )
 _add("j2_clip", "regions", lambda r: I.clip(r, 20000, 21000).select("contig", "st", "en", F.round("rate", 9).alias("rate")), "SELECT contig, greatest(st, 20000) AS st, least(en, 21000) AS en, round(rate, 9) AS rate FROM regions WHERE greatest(st, 20000) < least(en, 21000)")

@@ -29,6 +29,24 @@ def test_places_that_match_by_turns(spark):
     assert "Join" not in V.matching_places(contigs, refs)._jdf.queryExecution().toString()
 
 
+def test_points_in_spans_are_gathered_without_pairs(spark):
+    rnd = random.Random(6)
+    spans = [(rnd.randint(0, 80), rnd.choice("ab"), s, s + rnd.choice([0, 5, 16, 17, 200])) for s in (rnd.randint(-20, 300) for _ in range(100))]
+    points = [(rnd.choice("ab"), rnd.randint(-30, 400)) for _ in range(300)]
+    n, places = Counter(), defaultdict(set)
+    for key, k, st, en in spans:
+        for c, p in points:
+            if c == k and st <= p < en:
+                n[key] += 1
+                places[key].add(p)
+    a, b = spark.createDataFrame(spans, "id long, contig string, st long, en long"), spark.createDataFrame(points, "contig string, pos long")
+    got = I.points_in(a, b, "id", bin_width=16).collect()
+    assert {r["id"]: (r["n"], r["places"]) for r in got} == {k: (n[k], sorted(places[k])) for k in n} and len(got) == len(n)
+    # 20,000 spans over 20,000 points of one place are 4e8 pairs
+    rows = spark.range(20_000).select("id", F.lit("c").alias("contig"), F.lit(5).cast("long").alias("st"), F.lit(9).cast("long").alias("en"), F.lit(7).cast("long").alias("pos"))
+    assert [tuple(r) for r in I.points_in(rows, rows, "id").groupBy("n", "places").count().collect()] == [(20_000, [7], 20_000)]
+
+
 def test_first_match_under_many_regions(spark):
     rnd = random.Random(8)
     rs = [(rnd.choice("ab"), s, s + rnd.choice([-1, 0, 3, 90, 700]), n) for n, s in enumerate(rnd.randint(-50, 900) for _ in range(150))]
