@@ -138,6 +138,10 @@ for _i, _b in enumerate(b"ACGT"):
 
 def letter_codes(seq: str | None) -> np.ndarray:
     """0 to 3 for bases of either case, 255 for other letters (one each, also where UTF-8 takes more bytes)."""
+#: As above for upper-case letters only, others 4.
+_UPPER = np.full(256, 4, np.int16)
+for _i, _b in enumerate(b"ACGT"):
+    _UPPER[_b] = _i
     return _CODE[np.frombuffer((seq or "").encode("latin-1", "replace"), np.uint8)]
 
 
@@ -145,6 +149,28 @@ def trinucleotide_counts(contigs: DataFrame) -> DataFrame:
     """``tri, n`` over all places whose three letters are bases of either case.
 
     Each task counts its sequences as arrays and hands on at most 64 rows; exploding a row a place took longer by far.
+def trinucleotide_codes(seq: str | None) -> np.ndarray:
+    """The index of the trinucleotide at each place that has two letters after it; -1 where one is no upper-case base."""
+    codes = _UPPER[np.frombuffer((seq or "").encode("latin-1", "replace"), np.uint8)]
+    left, middle, right = codes[:-2], codes[1:-1], codes[2:]
+    return np.where((left | middle | right) < 4, (left << 4) | (middle << 2) | right, -1)
+
+
+def trinucleotide_windows(contigs: DataFrame) -> DataFrame:
+    """``contig, windows, index_sum``: how many places have three letters from them, and the sum of their indices, null
+    where no place has bases only. Sequences are looked at as arrays, no row is made a place."""
+    kind = contigs.schema["contig"].dataType.simpleString()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [trinucleotide_codes(s) for s in batch.column(1).to_pylist()]
+            sums = [int(c[c >= 0].sum()) if (c >= 0).any() else None for c in found]
+            yield pa.record_batch([batch.column(0), pa.array([len(c) for c in found], pa.int64()), pa.array(sums, pa.int64())], ["contig", "windows", "index_sum"])
+
+    rows = contigs.select("contig", "seq").mapInArrow(count, f"contig {kind}, windows long, index_sum long").where("windows > 0")
+    return rows.groupBy("contig").agg(F.sum("windows").alias("windows"), F.sum("index_sum").alias("index_sum"))
+
+
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -42,7 +42,7 @@ _add("a1_trinuc_counts", "contigs", S.trinucleotide_counts, "SELECT tri, count(*
 _add(
     "w1_trinuc_windows",
     "raw_contigs",
-    lambda c: S.kmers(c, 3, "contig").groupBy("contig").agg(F.count("*").alias("windows"), F.sum(S.trinucleotide_index(F.col("kmer"))).cast("long").alias("index_sum")),
+    S.trinucleotide_windows,
     "SELECT contig, count(*) AS windows, CAST(sum(CASE WHEN regexp_matches(t, '^[ACGT]{3}$') THEN 16 * (instr('ACGT', t[1]) - 1) + 4 * (instr('ACGT', t[2]) - 1) + instr('ACGT', t[3]) - 1 END) AS BIGINT) AS index_sum FROM (SELECT contig, substr(seq, CAST(i AS INT), 3) AS t FROM (SELECT contig, seq, unnest(range(1, length(seq) - 1)) AS i FROM raw_contigs) x) y GROUP BY contig",
 )
 _add(

@@ -5,8 +5,10 @@ from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
+from strandframe.functions import sequence as S
 from strandframe.operators import intervals as I
 from strandframe.operators import variants as V
+from strandframe.plans import views
 
 
 def test_lines_under_others_are_counted_without_pairs(spark):
@@ -58,3 +60,19 @@ def test_first_match_under_many_regions(spark):
     # 30,000 regions over 30,000 points of one place are 9e8 pairs
     many = spark.range(30_000).select(F.lit("c").alias("contig"), F.lit(5).cast("long").alias("st"), F.lit(9).cast("long").alias("en"), F.col("id").alias("line_no"), F.lit(9).cast("long").alias("pos"))
     assert I.first_match(many.select("contig", "pos", "line_no"), many).agg(F.count("*"), F.max("r_line")).first() == (30_000, 0)
+
+
+def test_windows_of_sequences(spark):
+    seqs = [("a", "ACGTNACG"), ("b", "NNN"), ("c", "AC"), ("d", None), ("e", "acgT"), ("f", "A" * 1023 + "CGTA")]
+    contigs = spark.createDataFrame(seqs, "contig string, seq string")
+    want = S.kmers(contigs, 3, "contig").groupBy("contig").agg(F.count("*").alias("windows"), F.sum(S.trinucleotide_index(F.col("kmer"))).cast("long").alias("index_sum"))
+    assert sorted(map(tuple, S.trinucleotide_windows(contigs).collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+
+
+def test_contigs_are_those_of_the_sql(spark):
+    texts = ["Haanth.\nReoush", "\u212a \u0130stanbul \u00df\u01c5", "", None, "123", "xyz" * 50]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").createOrReplaceTempView("documents")
+    for name, codes in (("contigs", views.BASES), ("raw_contigs", views.CODES)):
+        want = spark.sql(views.VIEWS[name].format(**views.SPARK))
+        got = views.contigs_of(spark.table("documents"), codes).select(*want.columns)
+        assert got.dtypes == want.dtypes and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
