@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strandframe.functions.sequence import BASES, bases_at, trinucleotide_counts, trinucleotide_index
+from strandframe.functions.sequence import BASES, bases_at, trinucleotide_codes, trinucleotide_counts, trinucleotide_index
 from strandframe.operators.variants import DELETION, INSERTION, SNV, homozygous
 
 # Shares where there is nothing to count.
@@ -95,6 +99,29 @@ def local_bias(contigs: DataFrame, bias: DataFrame) -> DataFrame:
     return at.select("contig", (F.col("pos") + 1).alias("pos"), (F.col("w") / F.sum("w").over(Window.partitionBy("contig"))).alias("p"))
 
 
+def greatest_bias(contigs: DataFrame, bias: DataFrame) -> DataFrame:
+    """``contig, places, top``: how many places of a contig local_bias gives, and the greatest of their shares; NaN where
+    all weights are 0. Sums are made by sequence, no row is made a place."""
+    kind = contigs.schema["contig"].dataType.simpleString()
+    # one row of at most 64 weights
+    weights = bias.agg(F.collect_list(F.struct(trinucleotide_index(F.col("tri")).alias("i"), F.col("p").cast("double").alias("p"))).alias("weights"))
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            weight, known = np.zeros(65), np.zeros(65, bool)
+            for w in batch.column(2)[0].as_py() if batch.num_rows else []:
+                if w["i"] is not None:
+                    weight[w["i"]], known[w["i"]] = w["p"], True
+            counts = [np.bincount(trinucleotide_codes(s) & 127, minlength=128) for s in batch.column(1).to_pylist()]
+            counts = [np.where(known[:64], n[:64], 0) for n in counts]
+            places = [int(n.sum()) for n in counts]
+            yield pa.record_batch([batch.column(0), pa.array(places, pa.int64()), pa.array([float(n @ weight[:64]) for n in counts], pa.float64()), pa.array([float(weight[:64][n > 0].max(initial=0.0)) for n in counts], pa.float64())], ["contig", "places", "total", "top"])
+
+    rows = contigs.select("contig", "seq").crossJoin(F.broadcast(weights)).mapInArrow(weigh, f"contig {kind}, places long, total double, top double").where("places > 0")
+    sums = rows.groupBy("contig").agg(F.sum("places").alias("places"), F.sum("total").alias("total"), F.max("top").alias("top"))
+    return sums.select("contig", "places", F.when(F.col("total") == 0, float("nan")).otherwise(F.col("top") / F.col("total")).alias("top"))
+
+
 def indexed(shares: DataFrame) -> DataFrame:
     """``i, p``: the 64 shares by index."""
     return shares.select(trinucleotide_index(F.col("tri")).alias("i"), "p")

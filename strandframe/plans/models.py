@@ -71,7 +71,7 @@ _add(
 _add(
     "j14_local_bias",
     "snvs contigs",
-    lambda v, s: M.local_bias(s, M.mutation_shares(v, s)).groupBy("contig").agg(F.count("*").alias("places"), F.round(F.max("p"), 9).alias("top")),
+    lambda v, s: M.greatest_bias(s, M.mutation_shares(v, s)).select("contig", "places", r9("top")),
     f"SELECT contig, count(*) AS places, round(max(p), 9) AS top FROM (SELECT t.contig, b.p / sum(b.p) OVER (PARTITION BY t.contig) AS p FROM (SELECT contig, substr(seq, CAST(i AS INT), 3) AS tri FROM (SELECT contig, seq, unnest(range(1, length - 1)) AS i FROM contigs) y) t JOIN (SELECT c.tri, coalesce(m.n, 0)::DOUBLE / c.n AS p FROM {_COUNTS} c LEFT JOIN (SELECT ref_tri, count(*) AS n FROM {_CTX} x GROUP BY 1) m ON m.ref_tri = c.tri) b ON b.tri = t.tri) z GROUP BY contig",
 )
 # qualities

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strandframe.functions import sequence as S
 from strandframe.operators import intervals as I
+from strandframe.operators import mutation_model as M
 from strandframe.operators import variants as V
 from strandframe.plans import views
 
@@ -31,6 +32,15 @@ def test_places_that_match_by_turns(spark):
     assert "Join" not in V.matching_places(contigs, refs)._jdf.queryExecution().toString()
 
 
+def test_greatest_bias_is_that_of_all_places(spark):
+    contigs = spark.createDataFrame([("a", "ACGTACGA"), ("b", "acgTTT"), ("c", "AAA"), ("d", "AC"), ("e", None), ("f", "CCCC")], "contig string, seq string")
+    bias = spark.createDataFrame([("ACG", 0.5), ("CGT", 0.25), ("TTT", 1.0), ("CCC", 0.0)], "tri string, p double")
+    want = {r["contig"]: (r["n"], r["top"]) for r in M.local_bias(contigs.where("contig <> 'f'"), bias).groupBy("contig").agg(F.count("*").alias("n"), F.max("p").alias("top")).collect()}
+    got = {r["contig"]: (r["places"], r["top"]) for r in M.greatest_bias(contigs, bias).collect()}
+    zero = got.pop("f")
+    assert got == want and zero[0] == 2 and zero[1] != zero[1]
+
+
 def test_points_in_spans_are_gathered_without_pairs(spark):
     rnd = random.Random(6)
     spans = [(rnd.randint(0, 80), rnd.choice("ab"), s, s + rnd.choice([0, 5, 16, 17, 200])) for s in (rnd.randint(-20, 300) for _ in range(100))]
