@@ -36,7 +36,7 @@ _add("p16_error_qualities", "contigs", lambda s: s.where("length >= 100").select
 _indels = lambda: F.array(F.struct((c("length") % 20).cast("int").alias("loc"), F.lit("I").alias("kind"), F.lit(2).alias("len")), F.struct(((c("length") % 20) + 30).cast("int").alias("loc"), F.lit("D").alias("kind"), F.lit(3).alias("len")))
 _add("p21_cigar", "contigs", lambda s: s.select("contig", D.cigar(100, _indels()).alias("cigar")), "SELECT contig, concat(k + 1, 'M2I30M3D', 100 - k - 33, 'M') AS cigar FROM (SELECT contig, length % 20 AS k FROM contigs) x")
 _add("p20_plain_cigar", "contigs", lambda s: s.select("contig", D.cigar(c("length").cast("int"), F.filter(_indels(), lambda e: e["len"] > 9)).alias("cigar")), "SELECT contig, concat(length, 'M') AS cigar FROM contigs")
-_add("p23_run_lengths", "contigs", lambda s: s.select("contig", D.run_lengths(c("seq")).alias("runs")), """SELECT contig, string_agg(concat(n, b), '' ORDER BY g) AS runs FROM (SELECT contig, g, b, count(*) AS n FROM (SELECT contig, i, b, sum(new) OVER (PARTITION BY contig ORDER BY i) AS g FROM (SELECT contig, i, b, CASE WHEN b = lag(b) OVER (PARTITION BY contig ORDER BY i) THEN 0 ELSE 1 END AS new FROM (SELECT contig, unnest(range(1, length + 1)) AS i, unnest(string_split(seq, '')) AS b FROM contigs) x) y) z GROUP BY contig, g, b) w GROUP BY contig""")
+_add("p23_run_lengths", "contigs", lambda s: D.run_length_texts(s.select("contig", "seq"), "seq", "runs").select("contig", "runs"), """SELECT contig, string_agg(concat(n, b), '' ORDER BY g) AS runs FROM (SELECT contig, g, b, count(*) AS n FROM (SELECT contig, i, b, sum(new) OVER (PARTITION BY contig ORDER BY i) AS g FROM (SELECT contig, i, b, CASE WHEN b = lag(b) OVER (PARTITION BY contig ORDER BY i) THEN 0 ELSE 1 END AS new FROM (SELECT contig, unnest(range(1, length + 1)) AS i, unnest(string_split(seq, '')) AS b FROM contigs) x) y) z GROUP BY contig, g, b) w GROUP BY contig""")
 _add("k4_reg2bin", "regions", lambda r: r.select("line_no", D.reg2bin(c("st") * 997, c("en") * 1009).alias("bin")), "SELECT line_no, CAST(CASE WHEN b >> 14 = e >> 14 THEN 4681 + (b >> 14) WHEN b >> 17 = e >> 17 THEN 585 + (b >> 17) WHEN b >> 20 = e >> 20 THEN 73 + (b >> 20) WHEN b >> 23 = e >> 23 THEN 9 + (b >> 23) WHEN b >> 26 = e >> 26 THEN 1 + (b >> 26) ELSE 0 END AS INTEGER) AS bin FROM (SELECT line_no, st * 997 AS b, en * 1009 - 1 AS e FROM regions) x")
 # comparison
 _NAMES = "(SELECT DISTINCT CASE WHEN line_no % 3 = 0 THEN contig WHEN line_no % 3 = 1 THEN substr(contig, 4) ELSE 'M' END AS contig FROM regions)"

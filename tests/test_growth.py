@@ -2,12 +2,14 @@
 
 import random
 from collections import Counter, defaultdict
+from itertools import groupby
 
 from pyspark.sql import functions as F
 
 from strandframe.functions import sequence as S
 from strandframe.operators import intervals as I
 from strandframe.operators import mutation_model as M
+from strandframe.operators import reads as D
 from strandframe.operators import variants as V
 from strandframe.plans import views
 
@@ -86,3 +88,10 @@ def test_contigs_are_those_of_the_sql(spark):
         want = spark.sql(views.VIEWS[name].format(**views.SPARK))
         got = views.contigs_of(spark.table("documents"), codes).select(*want.columns)
         assert got.dtypes == want.dtypes and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_run_lengths_of_long_texts(spark):
+    texts = ["", None, "A", "A" * 1000 + "C" * 9 + "G" * 10 + "T", "AACCA", "\u00e9\u00e9x", "AB" * 500]
+    want = [x and "".join(f"{len(list(g))}{b}" for b, g in groupby(x)) for x in texts]
+    got = D.run_length_texts(spark.createDataFrame(list(enumerate(texts)), "id int, x string"), "x", "runs").orderBy("id").collect()
+    assert [r["runs"] for r in got] == want
