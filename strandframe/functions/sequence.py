@@ -105,21 +105,25 @@ def pieces(contigs: DataFrame, overlap: int, *carry: str | Column, size: int = P
     return cut.select(*cut.columns[: len(carry)], (F.col("k").cast("long") * size).alias("base"), F.substr("seq", F.col("k") * size + 1, F.lit(size + overlap)).alias("piece"))
 
 
-def bases_at(rows: DataFrame, contigs: DataFrame, start: Column, n: Column, name: str, most: int = 256, size: int = 4096) -> DataFrame:
+def bases_at(rows: DataFrame, contigs: DataFrame, start: Column, n: Column | int, name: str, most: int = 256, size: int = 4096) -> DataFrame:
     """rows ``contig, ...`` with ``name``: the n letters of their contig from a place; rows of other contigs are left out.
 
     Up to most letters are cut from the one piece that holds them all, met by contig and piece, so that nothing walks a
-    contig from its start; the few longer ones meet the whole contig.
+    contig from its start; the few longer ones meet the whole contig. An n that is an int, of at most most, from starts
+    that are not negative, is never longer, so that whole contigs are not moved.
     """
+    short_only, n = isinstance(n, int) and n <= most, F.lit(n) if isinstance(n, int) else n
     rows = rows.withColumns({"_start": start.cast("long"), "_n": n.cast("long")})
     few = F.coalesce((F.col("_n") <= most) & (F.col("_start") >= 0), F.lit(False))
     cut = pieces(contigs, most, F.col("contig").alias("_contig"), size=size).withColumn("_k", F.floor(F.col("base") / size)).drop("base")
-    near = rows.where(few).withColumn("_at", F.floor(F.col("_start") / size))
+    near = (rows if short_only else rows.where(few)).withColumn("_at", F.floor(F.col("_start") / size))
     short = near.join(cut, (F.col("contig") == F.col("_contig")) & (F.col("_at") == F.col("_k")))
     short = short.withColumn(name, F.substr("piece", (F.col("_start") - F.col("_k") * size + 1).cast("int"), F.col("_n").cast("int")))
+    keep = [c for c in rows.columns if c not in ("_start", "_n")]
+    if short_only:
+        return short.select(*keep, name)
     whole = rows.where(~few).join(contigs.select(F.col("contig").alias("_contig"), F.col("seq").alias("piece")), F.col("contig") == F.col("_contig"))
     whole = whole.withColumn(name, F.substr("piece", (F.col("_start") + 1).cast("int"), F.col("_n").cast("int")))
-    keep = [c for c in rows.columns if c not in ("_start", "_n")]
     return short.select(*keep, name).unionByName(whole.select(*keep, name))
 
 
@@ -134,21 +138,17 @@ def kmers(contigs: DataFrame, k: int, *carry: str) -> DataFrame:
 _CODE = np.full(256, 255, np.uint8)
 for _i, _b in enumerate(b"ACGT"):
     _CODE[_b] = _CODE[_b + 32] = _i
-
-
-def letter_codes(seq: str | None) -> np.ndarray:
-    """0 to 3 for bases of either case, 255 for other letters (one each, also where UTF-8 takes more bytes)."""
 #: As above for upper-case letters only, others 4.
 _UPPER = np.full(256, 4, np.int16)
 for _i, _b in enumerate(b"ACGT"):
     _UPPER[_b] = _i
-    return _CODE[np.frombuffer((seq or "").encode("latin-1", "replace"), np.uint8)]
 
 
-def trinucleotide_counts(contigs: DataFrame) -> DataFrame:
-    """``tri, n`` over all places whose three letters are bases of either case.
+def letter_codes(seq: str | None) -> np.ndarray:
+    """0 to 3 for bases of either case, 255 for other letters (one each, also where UTF-8 takes more bytes)."""
+    return _CODE[np.frombuffer((seq or "").encode("latin-1", "replace"), np.uint8)]
+
 
-    Each task counts its sequences as arrays and hands on at most 64 rows; exploding a row a place took longer by far.
 def trinucleotide_codes(seq: str | None) -> np.ndarray:
     """The index of the trinucleotide at each place that has two letters after it; -1 where one is no upper-case base."""
     codes = _UPPER[np.frombuffer((seq or "").encode("latin-1", "replace"), np.uint8)]
@@ -171,6 +171,10 @@ def trinucleotide_windows(contigs: DataFrame) -> DataFrame:
     return rows.groupBy("contig").agg(F.sum("windows").alias("windows"), F.sum("index_sum").alias("index_sum"))
 
 
+def trinucleotide_counts(contigs: DataFrame) -> DataFrame:
+    """``tri, n`` over all places whose three letters are bases of either case.
+
+    Each task counts its sequences as arrays and hands on at most 64 rows; exploding a row a place took longer by far.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -24,7 +24,7 @@ def share(df: DataFrame, *within: str, n: str = "n") -> DataFrame:
 
 def contexts(snvs: DataFrame, contigs: DataFrame) -> DataFrame:
     """``ref_tri, alt_tri`` of variants with a base on either side, upper-cased."""
-    cut = bases_at(snvs.where("pos > 0"), contigs, F.col("pos") - 1, F.lit(3), "_tri")
+    cut = bases_at(snvs.where("pos > 0"), contigs, F.col("pos") - 1, 3, "_tri", most=3)
     tri = F.upper("_tri")
     found = cut.select(tri.alias("ref_tri"), F.concat(F.substr(tri, F.lit(1), F.lit(1)), F.col("alt"), F.substr(tri, F.lit(3), F.lit(1))).alias("alt_tri"))
     return found.where(F.col("ref_tri").rlike("^[ACGT]{3}$"))

@@ -12,6 +12,7 @@ from strandframe.operators import quality_model as P
 from strandframe.operators.variants import variant_type
 from strandframe.plans.variants import KINDS
 from strandframe.plans.views import VIEWS, view, with_views
+from strandframe.session import stored
 
 Q: dict = {}
 O: dict[str, str] = {}
@@ -27,9 +28,12 @@ def _add(name, sources, make, sql):
     sources = sources.split()
 
     def run(spark, d):
-        if "snvs" in sources:
-            view(spark, d, "contigs")
-        return make(*[view(spark, d, s) for s in sources])
+        if "snvs" not in sources:
+            return make(*[view(spark, d, s) for s in sources])
+        # used by several branches of a plan, which would each make the sequences anew
+        contigs = stored(view(spark, d, "contigs"), "contigs")
+        contigs.createOrReplaceTempView("contigs")
+        return make(*[contigs if s == "contigs" else view(spark, d, s) for s in sources])
 
     Q[name] = run
     O[name] = with_views(sql, *sources, *(["contigs"] if "snvs" in sources else []))

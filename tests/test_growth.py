@@ -95,3 +95,12 @@ def test_run_lengths_of_long_texts(spark):
     want = [x and "".join(f"{len(list(g))}{b}" for b, g in groupby(x)) for x in texts]
     got = D.run_length_texts(spark.createDataFrame(list(enumerate(texts)), "id int, x string"), "x", "runs").orderBy("id").collect()
     assert [r["runs"] for r in got] == want
+
+
+def test_contexts_move_no_whole_contigs(spark):
+    seq = "ACGTACGA" * 700
+    contigs = spark.createDataFrame([("a", seq), ("b", "AC")], "contig string, seq string")
+    snvs = spark.createDataFrame([("a", 0, "C"), ("a", 2, "T"), ("a", 4096, "G"), ("a", 5599, "A"), ("b", 1, "G")], "contig string, pos long, alt string")
+    found = M.contexts(snvs, contigs)
+    assert sorted(map(tuple, found.collect())) == sorted((seq[p - 1 : p + 2], seq[p - 1] + b + seq[p + 1]) for p, b in ((2, "T"), (4096, "G")))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
