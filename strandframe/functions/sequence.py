@@ -105,14 +105,15 @@ def pieces(contigs: DataFrame, overlap: int, *carry: str | Column, size: int = P
     return cut.select(*cut.columns[: len(carry)], (F.col("k").cast("long") * size).alias("base"), F.substr("seq", F.col("k") * size + 1, F.lit(size + overlap)).alias("piece"))
 
 
-def bases_at(rows: DataFrame, contigs: DataFrame, start: Column, n: Column | int, name: str, most: int = 256, size: int = 4096) -> DataFrame:
+def bases_at(rows: DataFrame, contigs: DataFrame, start: Column, n: Column | int, name: str, most: int = 256, size: int = 4096, bounded: bool = False) -> DataFrame:
     """rows ``contig, ...`` with ``name``: the n letters of their contig from a place; rows of other contigs are left out.
 
     Up to most letters are cut from the one piece that holds them all, met by contig and piece, so that nothing walks a
     contig from its start; the few longer ones meet the whole contig. An n that is an int, of at most most, from starts
-    that are not negative, is never longer, so that whole contigs are not moved.
+    that are not negative, is never longer, so that whole contigs are not moved; bounded: the caller knows as much of a
+    column.
     """
-    short_only, n = isinstance(n, int) and n <= most, F.lit(n) if isinstance(n, int) else n
+    short_only, n = bounded or isinstance(n, int) and n <= most, F.lit(n) if isinstance(n, int) else n
     rows = rows.withColumns({"_start": start.cast("long"), "_n": n.cast("long")})
     few = F.coalesce((F.col("_n") <= most) & (F.col("_start") >= 0), F.lit(False))
     cut = pieces(contigs, most, F.col("contig").alias("_contig"), size=size).withColumn("_k", F.floor(F.col("base") / size)).drop("base")

@@ -14,7 +14,10 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 def name(prefix: str, contig: Column, start: Column, end: Column) -> Column:
     """1-based, ten digits."""
-    return F.format_string(f"{prefix}_%s_%010d_%010d", contig, start + 1, end + 1)
+    digits = lambda x: F.when(x.between(0, 10**10 - 1), F.lpad(x.cast("string"), 10, "0"))
+    usual = F.concat(F.lit(f"{prefix}_"), contig, F.lit("_"), digits(start + 1), F.lit("_"), digits(end + 1))
+    # others, and nulls, by the formatter, which takes longer
+    return F.coalesce(usual, F.format_string(f"{prefix}_%s_%010d_%010d", contig, start + 1, end + 1))
 
 
 def flags(paired_run: Column | bool, paired: Column, reverse: Column) -> Column:

@@ -6,7 +6,7 @@ from strandframe.functions.randomness import duck_normal_quantile, duck_uniform
 from strandframe.operators import simulate as S
 from strandframe.operators.sim_models import Mutations
 from strandframe.plans.views import view, with_views
-from strandframe.session import stored
+from strandframe.session import small_batches, stored
 
 Q: dict = {}
 O: dict[str, str] = {}
@@ -15,6 +15,7 @@ WEIGHTED = S.Settings(coverage=2.0, seed=17, gc_weights=tuple((i + 1) / 101 for
 
 
 def _contigs(spark, d):
+    small_batches(spark)
     # used by several branches of a plan, which would each make the sequences anew
     return stored(view(spark, d, "contigs").select("contig", "length", "seq"), "contigs")
 

@@ -4,12 +4,16 @@ import random
 from collections import Counter, defaultdict
 from itertools import groupby
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from strandframe.functions import sequence as S
 from strandframe.operators import intervals as I
 from strandframe.operators import mutation_model as M
 from strandframe.operators import reads as D
+from strandframe.operators import sim_models as Z
+from strandframe.operators import simulate as R
+from strandframe.operators import synthesis as Y
 from strandframe.operators import variants as V
 from strandframe.plans import views
 
@@ -104,3 +108,54 @@ def test_contexts_move_no_whole_contigs(spark):
     found = M.contexts(snvs, contigs)
     assert sorted(map(tuple, found.collect())) == sorted((seq[p - 1 : p + 2], seq[p - 1] + b + seq[p + 1]) for p, b in ((2, "T"), (4096, "G")))
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+
+
+def test_reads_stream_by_piece_and_are_those_of_their_segments(spark, monkeypatch):
+    rnd = random.Random(9)
+    seqs = {c: "".join(rnd.choice(letters) for _ in range(n)) for c, letters, n in (("a", "ACGT", 2000), ("b", "ACGTACGTNR\u00e9", 700), ("c", "ACGT", 130), ("none", "A", 0))}
+    contigs = spark.createDataFrame([(c, len(x), x) for c, x in seqs.items()], "contig string, length long, seq string")
+    found = []
+    for c, x in seqs.items():
+        for at in range(3, len(x) - 10, 17):
+            ref = x[at : at + rnd.choice([1, 1, 1, 3])]
+            found.append((c, at, ref, rnd.choice([ref[0] + "GA", "T", "C"]) if len(ref) == 1 else ref[0], rnd.choice(["0/1", "1|1", "1/0"])))
+    found += [("a", 20, seqs["a"][20], "G", "1/1"), ("elsewhere", 5, "A", "C", "1/1")]
+    errors = Z.Errors(rate=0.05, types=((R.INSERTION, 0.3), (R.DELETION, 0.3), (R.SNV, 0.4)))
+    s = R.Settings(coverage=6, fragment_mean=140, seed=11, errors=errors)
+    placed = R.placements(contigs, s)
+    others = spark.createDataFrame([("elsewhere", 130, 0, 0, 100, 30, 130), ("a", 2000, 9999, 1950, 2050, 3000, 3100)], placed.schema)
+    fragments = placed.unionByName(others)
+    variants = spark.createDataFrame(found, "contig string, pos long, ref string, alt string, gt string")
+    mates = fragments.select("contig", "read_no", F.explode(F.array(F.struct(F.col("s1").alias("st"), F.lit(False).alias("reverse")), F.struct(F.col("s2").alias("st"), F.lit(True).alias("reverse")))).alias("m"))
+    mates = mates.select("contig", "m.st", F.xxhash64(F.lit(11), F.col("contig"), F.col("read_no"), F.col("m.reverse")).alias("key"), F.col("m.reverse").alias("reverse")).collect()
+    want = []
+    for contig, st, key, reverse in mates:
+        if contig in seqs and st <= 2000:
+            mine = [{"at": at - st, "ref": ref, "alt": alt, "gt": gt} for c, at, ref, alt, gt in sorted(found) if c == contig and st <= at < st + 100]
+            made = Y.build(np.array([key]), [seqs[contig][st : st + 120]], [mine], 100, errors, s.qualities)
+            want.append((contig, st, reverse, *(x[0] for x in made)))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        # pieces shorter than a read, of about a read, and the usual ones; what a piece has goes over several batches
+        for size in (37, 128, R.READ_PIECE):
+            monkeypatch.setattr(R, "READ_PIECE", size)
+            got = R.reads(contigs, fragments, variants, s).where("pos <= 2000").select("contig", "pos", "reverse", "seq", "qual", "cigar")
+            assert sorted(map(tuple, got.collect())) == sorted(want), size
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    # no segment is moved, and no fragment made twice
+    plan = R.reads(contigs, placed, variants, s)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+    assert plan.count(", start) as binary") == 1
+
+
+def test_new_variants_move_no_whole_contigs(spark):
+    contigs = spark.createDataFrame([("a", 8, "ACGTACGA")], "contig string, length long, seq string")
+    plan = R.variants(contigs, R.Settings())._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 2 and "Union" not in plan
+
+
+def test_names_are_those_of_the_formatter(spark):
+    rows = spark.createDataFrame([("a", 0, 99), ("b", -5, 7), ("c", 10**10 - 1, 10**10 - 2), ("d", None, 3), (None, 1, 2)], "contig string, st long, en long")
+    got = rows.select(D.name("read", F.col("contig"), F.col("st"), F.col("en")), F.format_string("read_%s_%010d_%010d", "contig", F.col("st") + 1, F.col("en") + 1)).collect()
+    assert all(a == b for a, b in got) and got[0][0] == "read_a_0000000001_0000000100"
